@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.session import importable
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\v\f\r"
@@ -21,6 +23,7 @@ BROADCAST_ROWS = 20_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    importable(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="quire-")
@@ -51,6 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """mapInArrow with a function on single batches."""
 
+    importable(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := rows(batch)) is not None:

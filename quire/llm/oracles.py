@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .lm import BACKOFF, UNSEEN
+from .mixing import EPOCHS, WEIGHTS
 from .quality import LEAST_DOCS, METRICS, SPREADS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -33,4 +35,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m {" ".join(f"LEFT JOIN h l{k} ON l{k}.level = {k}" + "".join(f" AND l{k}.{c} IS NOT DISTINCT FROM m.{c}" for c in cols) for k, cols in enumerate(_LEVELS))}
 """
 
-SQL = {"op1_quality_rules": OP1}
+OP3 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT id, i, w, lag(w) OVER (PARTITION BY id ORDER BY i) AS v FROM (SELECT id, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM d)),
+u AS (SELECT id, w, count(*) AS own, sum(count(*)) OVER (PARTITION BY w) AS n FROM w GROUP BY id, w),
+b AS (SELECT id, v, w, count(*) AS own, sum(count(*)) OVER (PARTITION BY v, w) AS n FROM w WHERE v IS NOT NULL GROUP BY id, v, w),
+s AS (SELECT w.id, CASE WHEN b.n - b.own > 0 THEN (b.n - b.own)::DOUBLE / (c.n - c.own) ELSE (CASE WHEN w.v IS NULL THEN 1.0 ELSE {BACKOFF} END) * (CASE WHEN u.n > u.own THEN u.n - u.own ELSE {UNSEEN} END)::DOUBLE / greatest((SELECT count(*) FROM w) - len(d.words), 1) END AS p, (w.v IS NOT NULL AND b.n = b.own)::INT AS back
+  FROM w JOIN d USING (id) JOIN u ON u.id = w.id AND u.w = w.w LEFT JOIN b ON b.id = w.id AND b.v = w.v AND b.w = w.w LEFT JOIN u c ON c.id = w.id AND c.w = w.v),
+t AS (SELECT id, sum(ln(p)) AS log_score, sum(back) AS back FROM s GROUP BY id)
+SELECT doc_id, len(words) AS n_words, coalesce(back, 0)::BIGINT AS n_backed_off, round(coalesce(log_score, 0.0), 4) AS log_score, round(log_score / nullif(len(words), 0), 6) AS mean_log_score FROM d LEFT JOIN t USING (id)
+"""
+
+OP4 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+# taken depends on the seeded draw, so the SQL says what doesn't: the query of the same targets is op7_targets
+OP7_TARGETS = rf"""
+WITH s AS (SELECT source, sum(len({WORDS}))::BIGINT AS source_size, count(*) AS n_documents FROM documents GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, list_element({list(WEIGHTS)}, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT) AS weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum({EPOCHS} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r WINDOW o AS (ORDER BY {EPOCHS} * source_size::DOUBLE / weight, rank))
+SELECT source, source_size, n_documents, round(CASE WHEN {EPOCHS} * source_size > weight * level THEN weight * max(CASE WHEN {EPOCHS} * source_size > weight * level THEN level END) OVER () ELSE {EPOCHS} * source_size END::DOUBLE, 3) AS target FROM l
+"""
+
+SQL = {"op1_quality_rules": OP1, "op3_lm_scoring": OP3, "op4_exact_top_k": OP4, "op7_targets": OP7_TARGETS}

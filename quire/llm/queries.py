@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash
+from . import lm, mixing, packing, pii, quality, simhash, suffix, tokens, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.score(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets alone: what of the mix doesn't hang on the draw, for SQL to confirm."""
+    mix = mixing.mix(table(spark, sf_dir, "documents"))
+    return mix.groupBy("source", "source_size").agg(F.count("*").alias("n_documents"), F.round(F.max("target"), 3).alias("target"))
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kinds = F.transform("found", lambda x: x["kind"])
@@ -36,7 +63,7 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op7_source_mixing, op8_pii_surrogates, op9_best_fit_packing, op10_simhash_classes)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lm_scoring, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_source_mixing, op7_targets, op8_pii_surrogates, op9_best_fit_packing, op10_simhash_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
