@@ -1,0 +1 @@
+"""Column functions: text, paths and names."""
