@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.names import decoded, dirname, is_image, extension, reference_kind, resolved, target
 from quire.functions.text import squeeze
+from quire.sources.session import written
 
 # fixed values: when a page counts as a contents page
 LABEL_SHARE, LEAST_LINES = 0.8, 3
@@ -213,10 +214,10 @@ def concatenated(parts: DataFrame, preambles: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """(a, b): transitive closure of (a, b), by joining paths with themselves until nothing is new."""
-    known = edges.select("a", "b").distinct()
+    known = written(edges.select("a", "b").distinct(), "closure")
     for _ in range(rounds):
-        longer = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        new = longer.exceptAll(known.intersect(longer)).distinct().join(known, ["a", "b"], "left_anti").checkpoint()
+        longer = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct()
+        new = written(longer.join(known, ["a", "b"], "left_anti"), "closure")
         if new.isEmpty():
             break
         known = known.unionByName(new)

@@ -25,7 +25,7 @@ OPENING, PLATE, PART = "前言 / 開始閱讀", "插圖 (頁 {})", "第 {} 部
 CHAPTER_START = "章|第[一二三四五六]"
 
 PAGE = ["book_id", "page_no"]
-PAGES_SCHEMA = "pageIndex int, type string, imagePath string, lines array<struct<text:string,x:double,y:double,width:double,height:double>>"
+PAGES_SCHEMA = "pageIndex: int, type: string, imagePath: string, lines: array<struct<text:string,x:double,y:double,width:double,height:double>>"
 
 
 def exploded(pages: DataFrame, book_id: str = "book_id") -> DataFrame:
