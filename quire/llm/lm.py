@@ -90,7 +90,7 @@ def scored(texts: list[str], totals: np.ndarray, tokens: int, order: int, backof
         shorter = usable & ~seen
     logs = np.log(score)
     sums = np.bincount(document, weights=logs, minlength=len(texts))
-    return lengths, np.bincount(document, weights=shorter, minlength=len(texts)).astype(np.int64), sums
+    return lengths, np.bincount(document, weights=shorter, minlength=len(texts)).astype(np.int64), sums.astype(float)
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, characters: int = B.CHARACTERS) -> DataFrame:
