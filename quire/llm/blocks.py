@@ -28,7 +28,7 @@ ASK = "bucket long, block long, keys binary, counts binary"
 
 def framed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
