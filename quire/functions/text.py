@@ -77,7 +77,8 @@ def pictographs(c: Column) -> Column:
 
 def code_point_label(c: Column) -> Column:
     """U+XXXX of the first character."""
-    return F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"))
+    code = F.hex(F.ascii(c))
+    return F.concat(F.lit("U+"), F.when(F.length(code) < 4, F.lpad(code, 4, "0")).otherwise(code))
 
 
 def join_lines(lines: Column) -> Column:

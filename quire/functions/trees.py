@@ -179,8 +179,13 @@ def parsed(source: str) -> Node:
     return builder.html
 
 
+def xml_name(name: str) -> str:
+    """A name that XML takes; prefixes that nothing declares become part of it."""
+    return re.sub(r"[^A-Za-z0-9_.\u00b7-\uffef-]", "_", name) if not re.fullmatch(r"xml:lang|xmlns(:[A-Za-z]+)?|[A-Za-z_][A-Za-z0-9_.-]*", name) else name
+
+
 def escaped(text: str, quote: bool = False) -> str:
-    text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]", "", text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     return text.replace('"', "&quot;") if quote else text
 
 
@@ -195,13 +200,14 @@ def serialised(node: Node) -> str:
         elif isinstance(item, str):
             out.append(escaped(item))
         else:
-            names = {re.sub(r"[^\w:.-]", "_", k): v for k, v in item.attrs.items() if re.match(r"[A-Za-z_]", k)}
-            out.append(f"<{item.tag}" + "".join(f' {k}="{escaped(v, True)}"' for k, v in names.items()))
+            tag = xml_name(item.tag)
+            names = {xml_name(k): v for k, v in item.attrs.items() if re.match(r"[A-Za-z_]", k)}
+            out.append(f"<{tag}" + "".join(f' {k}="{escaped(v, True)}"' for k, v in names.items()))
             if item.tag in VOID and not item.children:
                 out.append("/>")
             else:
                 out.append(">")
-                stack.append((f"</{item.tag}>",))
+                stack.append((f"</{tag}>",))
                 stack.extend(reversed(item.children))
     return "".join(out)
 
