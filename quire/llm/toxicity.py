@@ -2,14 +2,15 @@
 
 The lexicon is learned: words, and stems that begin words, which labelled toxic texts
 hold and labelled clean ones don't. It becomes a trie. A word of a text is looked up by
-intersecting its Levenshtein automaton with the trie: the automaton's states, rows of
-edit distances, are stepped along the trie's edges, and a branch is left as soon as no
-distance in its row is within the bound. So misspelled terms match, at a price per edit.
+intersecting its Levenshtein automaton with the trie: the automaton's states, sets of
+positions by number of edits, are stepped along the trie's edges, and a branch is left
+as soon as no state is alive. So misspelled terms match, at a price per edit.
 
 Every match is read in its context window: within quotation marks it counts as
-quotation, at half its strength if a word of reporting is near, else as abuse. A text's features are its strengths
-of plain and of quoted matches and their density; a logistic regression on the labels
-turns them into a score from 0 to 1.
+quotation, at half its strength if a word of reporting is near, else as abuse. A text's
+features are the strengths and densities of plain matches, of words and of stems, and
+the strength of quoted ones; a logistic regression on the labels turns them into a score
+from 0 to 1.
 
 Labels are learned from labelled rows whose checksum crc32(doc_id) mod 3 isn't 1, of
 which those with the least hashes, TRAINING at most, are read: a documented bound.
@@ -37,8 +38,8 @@ from .common import mapped, written
 THRESHOLD = 0.7
 #: Labelled rows that are learned from, at most: half for terms and half for weights.
 TRAINING = 20_000
-#: Terms of the lexicon, at most; toxic texts a term must be in, the share of its texts that is
-#: toxic, and by how many standard deviations that exceeds the share in all texts.
+#: Terms of the lexicon, at most; toxic texts, near copies aside, that a term must have, their share in these
+#: and the clean texts with it, and by how many standard deviations that exceeds the share of toxic texts.
 TERMS, LEAST, PURE, SURE = 2_000, 4, 0.6, 6.5
 STEM = range(4, 8)
 #: Words from so many letters on may have an edit; long ones two.
@@ -65,76 +66,92 @@ class Lexicon:
                 node[kind] = weight
         self.known: dict[str, float] = {}
 
-    def strength(self, word: str) -> float:
-        """The weight of the best match of a word: exact, or with the price of its edits; 0 for none."""
+    def strength(self, word: str) -> tuple[float, int]:
+        """Weight and kind of the best match of a word: exact, or with the price of its edits; 0 for none."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             found = self.known[word] = self.search(word)
         return found
 
-    def search(self, word: str) -> float:
-        best, node = 0.0, self.root
+    def search(self, word: str) -> tuple[float, int]:
+        best, node = (0.0, 0), self.root
         for letter in word:
             node = node.get(letter)
             if node is None:
                 break
-            best = max(best, node.get(PREFIX, 0.0))
+            best = max(best, (node.get(PREFIX, 0.0), PREFIX))
         else:
-            best = max(best, node.get(WHOLE, 0.0))
-        if best or len(word) < ONE_EDIT:
+            best = max(best, (node.get(WHOLE, 0.0), WHOLE))
+        if best[0] or len(word) < ONE_EDIT:
             return best
         edits = 2 if len(word) >= TWO_EDITS else 1
-        return max((w * EDIT_PRICE**d for d, w in self.within(word, edits)), default=0.0)
+        return max((w * EDIT_PRICE**d for d, w in self.within(word, edits)), default=0.0), WHOLE
 
     def within(self, word: str, edits: int) -> Iterator[tuple[int, float]]:
-        """(distance, weight) of the whole words within so many edits of a word with its first letter."""
-        n, first = len(word), word[0]
-        far = edits + 1
-        stack = [(self.root, tuple(min(k, far) for k in range(n + 1)), None, "")]
+        """(distance, weight) of the whole words within so many edits of a word with its first letter.
+
+        States are sets of positions in the word, as bits, one set per number of edits."""
+        node = self.root.get(word[0])
+        if node is None:
+            return
+        at: dict[str, int] = {}
+        for k, letter in enumerate(word):
+            at[letter] = at.get(letter, 0) | 1 << k
+        accept, full = 1 << len(word), (2 << len(word)) - 1
+        # after the common first letter: one position on, and those that edits reach from it
+        start = tuple(((1 << (d + 1)) - 1) << 1 & full for d in range(edits + 1))
+        stack = [(node, start, None, "")]
         while stack:
-            node, row, above, last = stack.pop()
-            if WHOLE in node and 0 < row[n] <= edits:
-                yield row[n], node[WHOLE]
+            node, states, before, last = stack.pop()
+            if (weight := node.get(WHOLE)) is not None:
+                for d, state in enumerate(states):
+                    if state & accept:
+                        if d:
+                            yield d, weight
+                        break
             for letter, child in node.items():
-                if letter in (WHOLE, PREFIX) or not last and letter != first:
+                if letter.__class__ is int:
                     continue
-                step = [min(row[0] + 1, far)]
-                for k in range(1, n + 1):
-                    cost = min(step[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != letter))
-                    if above is not None and k > 1 and word[k - 2] == letter and word[k - 1] == last:
-                        cost = min(cost, above[k - 2] + 1)  # neighbours swapped
-                    step.append(min(cost, far))
-                if min(step) <= edits:
-                    stack.append((child, tuple(step), row, letter))
-
-
-def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
-    """Strength of abuse, strength of quotation, density of abuse."""
+                here = at.get(letter, 0)
+                step = [(states[0] & here) << 1]
+                for d in range(1, edits + 1):
+                    less = states[d - 1]
+                    state = (states[d] & here) << 1 | less | less << 1 | step[d - 1] << 1
+                    if before is not None:  # neighbours swapped
+                        state |= (before[d - 1] & here & at.get(last, 0) >> 1) << 2
+                    step.append(state & full)
+                if step[edits]:
+                    stack.append((child, tuple(step), states, letter))
+
+
+def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
+    """Strength and density of abuse by words, the same by stems, and strength of quotation."""
     lower = (text or "").lower()
     strength = lexicon.strength
     words = WORD.findall(lower)
-    if not any(map(strength, set(words))):
-        return 0.0, 0.0, 0.0
+    hits = {w: s for w in set(words) if (s := strength(w))[0]}
+    if not hits:
+        return (0.0,) * 5
     quotes = [m.span() for m in QUOTED.finditer(lower)]
     starts = np.array([a for a, _ in quotes])
-    spans = [m.span() for m in WORD.finditer(lower)]
-    abuse = quoted = 0.0
-    for k, (word, (a, b)) in enumerate(zip(words, spans)):
-        if not (s := strength(word)):
+    abuse, quoted = {WHOLE: 0.0, PREFIX: 0.0}, 0.0
+    for k, m in enumerate(WORD.finditer(lower)):
+        if (found := hits.get(m[0])) is None:
             continue
-        q = int(np.searchsorted(starts, a, "right")) - 1
-        inside = q >= 0 and b <= quotes[q][1]
-        near = inside and not REPORTING.isdisjoint(words[max(0, k - WINDOW) : k + WINDOW + 1])
-        if inside:
-            quoted += s * (0.5 if near else 1.0)
+        weight, kind = found
+        q = int(np.searchsorted(starts, m.start(), "right")) - 1
+        if q >= 0 and m.end() <= quotes[q][1]:
+            near = not REPORTING.isdisjoint(words[max(0, k - WINDOW) : k + WINDOW + 1])
+            quoted += weight * (0.5 if near else 1.0)
         else:
-            abuse += s
-    return float(np.log1p(abuse)), float(np.log1p(quoted)), abuse / len(words)
+            abuse[kind] += weight
+    n = len(words)
+    return float(np.log1p(abuse[WHOLE])), abuse[WHOLE] / n, float(np.log1p(abuse[PREFIX])), abuse[PREFIX] / n, float(np.log1p(quoted))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:
+def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-5) -> np.ndarray:
     """Logistic regression by Newton steps; the last weight is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -165,17 +182,32 @@ def learned_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, fl
     """Whole words and stems with weights, from the first half of the training texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: tuple[Counter, Counter] = Counter(), Counter()
+        toxic_in: dict[str, set[int]] = {}
+        clean: Counter = Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {w for w in WORD.findall((text or "").lower()) if 2 < len(w) <= 40 and not w.isdigit()}
-                stems = {f"{w[:n]}*" for w in words for n in STEM if len(w) > n}
-                by[bool(toxic)].update(words | stems)
-        terms = list(by[1])  # what no toxic text of this part has can still be told by the clean ones' counts below
-        others = [t for t in by[0] if t not in by[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(terms + others, pa.string()), pa.array([by[1][t] for t in terms] + [0] * len(others), pa.int64()), pa.array([by[0][t] for t in terms] + [by[0][t] for t in others], pa.int64())], ["term", "toxic", "clean"])
-
-    counts = training.where("half = 0").select("text", "toxic").mapInArrow(rows, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+                words = WORD.findall((text or "").lower())
+                terms = {w: [w, *(f"{w[:n]}*" for n in STEM if len(w) > n)] for w in set(words) if 2 < len(w) <= 40 and not w.isdigit()}
+                if not toxic:
+                    clean.update({t for ts in terms.values() for t in ts})
+                    continue
+                around = ["", *words, ""]
+                own: dict[str, int] = {}
+                for k, w in enumerate(words):
+                    if w in terms:
+                        use = xxh64_intdigest(f"{around[k]} {w} {around[k + 2]}") >> 1
+                        for t in terms[w]:
+                            own[t] = min(own.get(t, use), use)
+                # a text has one use of a term, told by its neighbours: near copies have the same
+                for t, use in own.items():
+                    toxic_in.setdefault(t, set()).add(use)
+        found = [(t, c, 0) for t, cs in toxic_in.items() for c in cs] + [(t, None, n) for t, n in clean.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.int64(), pa.int64()))] if found else [pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64())], ["term", "use", "clean"])
+
+    from xxhash import xxh64_intdigest
+
+    uses = training.where("half = 0").select("text", "toxic").dropDuplicates(["text"]).mapInArrow(rows, "term string, use long, clean long")
+    counts = uses.groupBy("term").agg(F.count_distinct("use").alias("toxic"), F.sum("clean").alias("clean"))
     base = training.where("half = 0").agg(F.avg("toxic").alias("p")).collect()[0]["p"] or 0.0
     texts = F.col("toxic") + F.col("clean")
     sure = F.col("toxic") - base * texts >= SURE * F.sqrt(base * (1 - base) * texts)
