@@ -1,15 +1,14 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Vector components are floored to whole impacts. Vectors are dealt into blocks; a
-block's index is, for every dimension, its vectors in order of impact, so that the
-postings of equal impact form a segment. A query takes the segments of all
-dimensions by descending contribution (query component times impact) and adds them
-to accumulators. After each stretch of segments it knows, for every vector, what
-the dimensions not yet met can add at most (the next segment's contribution each)
-and at least. The k best lower bounds and exact scores give a threshold, and the
-search stops only when the vectors that could still reach it are few enough to be
-rescored exactly, ties included; otherwise it goes on to the last segment. Blocks
-answer with their k best; the k best of those are the result.
+Vector components are floored to whole impacts. Vectors are dealt into blocks; the
+postings of a block (a vector's impact in a dimension) are segmented by quantised
+impact, the number of its bits. The queries of a query block take the segments in
+descending order together and add them to accumulators. After each, what a vector can
+still get is bounded: in every dimension not met so far, the query's component times the
+largest impact left. The exact scores of the k leaders give a threshold, and a query
+stops only when the vectors whose bound reaches it are few enough to be rescored
+exactly, ties included; otherwise it goes on to the last segment. Blocks answer with
+their k best; the k best of those are the result.
 
 Queries are a stated set, which meets the index in blocks against blocks, joined on
 block numbers. Nothing is approximate, and no candidate is dropped without proof.
@@ -34,11 +33,11 @@ K = 5
 SCALE = 256
 EVERY = 50
 #: Vectors of an index block and queries of a query block, about.
-BLOCK, QUERIES = 16_384, 512
-#: A search stops when so small a part of a block could still be in the result.
+BLOCK, QUERIES = 16_384, 256
+#: A query stops when so small a part of a block could still be in its result.
 FEW = 1 / 64
-#: Stretches into which the postings of a query are cut.
-STRETCHES = 16
+#: Below any score.
+NONE = -(2**62)
 
 
 def impacts(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -55,52 +54,49 @@ def blocked(rows: DataFrame, blocks: int, name: str) -> DataFrame:
     return written(dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "impacts"))).alias("rows")).select("block", F.col("rows.vec_id").alias("ids"), F.flatten("rows.impacts").alias("data")), name)
 
 
-class Index:
-    def __init__(self, ids: np.ndarray, data: np.ndarray) -> None:
-        self.ids, self.data = ids, data
-        self.order = np.argsort(data, axis=0, kind="stable").T.astype(np.int32)  # by dimension, rising impact
-        self.impact = np.take_along_axis(data.T, self.order, 1)
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best."""
-        n, width = self.data.shape
-        others = self.ids != query_id
-        if n <= 4 * k:
-            return self.best(np.flatnonzero(others), query, k)
-        # postings by contribution: each dimension's list is already in order, from one of its ends
-        gain = self.impact * query[:, None]
-        cuts = np.unique(np.quantile(gain, np.linspace(1, 0, STRETCHES + 1)[1:-1], method="nearest"))[::-1]
-        upto = np.stack([np.sum(gain >= c, axis=1) for c in cuts] + [np.full(width, n)], 1)  # postings of each dimension that are met by then
-        rising = query < 0  # the largest contributions come from the smallest impacts
-        score, met = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        least = int(gain.min())
-        done = np.zeros(width, np.int64)
-        for stretch in range(upto.shape[1]):
-            for d in np.flatnonzero(upto[:, stretch] > done):
-                a, b = (done[d], upto[d, stretch]) if rising[d] else (n - upto[d, stretch], n - done[d])
-                at = self.order[d, a:b]
-                score[at] += gain[d, a:b]
-                met[at] += 1
-            done = upto[:, stretch]
-            if stretch == upto.shape[1] - 1:
-                break
-            # what is not met contributes less than this cut, and no less than the least of all
-            open_ = width - met
-            low = np.where(others, score + open_ * least, np.iinfo(np.int64).min)
-            leaders = np.argpartition(low, n - k)[n - k :]
-            leaders = np.union1d(leaders, np.argpartition(np.where(others, score, np.iinfo(np.int64).min), n - k)[n - k :])
-            leaders = leaders[others[leaders]]
-            exact = np.sort(self.data[leaders] @ query)[-k:]
-            threshold = exact[0] if len(exact) == k else np.iinfo(np.int64).min
-            could = np.flatnonzero(others & (score + open_ * int(cuts[stretch]) >= threshold))
-            if len(could) <= max(4 * k, n * FEW):
-                return self.best(could, query, k)
-        return self.best(np.flatnonzero(others & (score >= np.sort(score[others])[-min(k, others.sum()) :].min(initial=0))) if others.any() else np.zeros(0, np.int64), query, k)
-
-    def best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        exact = self.data[rows] @ query
-        order = np.lexsort((self.ids[rows], -exact))[:k]
-        return self.ids[rows][order], exact[order]
+def best(ids: np.ndarray, data: np.ndarray, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best of these rows."""
+    exact = data[rows] @ query
+    order = np.lexsort((ids[rows], -exact))[:k]
+    return ids[rows][order], exact[order]
+
+
+def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, few: float = FEW) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query, ids and scores of its k best in the block."""
+    n, width = data.shape
+    size = np.abs(data)
+    # sums of products stay whole in doubles unless impacts are huge
+    exact = float(size.max(initial=0)) * float(np.abs(queries).max(initial=0)) * width < 2**53
+    kind = np.float64 if exact else np.int64
+    level = np.frexp(size)[1]  # bits
+    segments = [x for x in np.unique(level)[::-1] if x]
+    found: list = [None] * len(query_ids)
+    open_ = np.arange(len(query_ids))
+    q = queries.astype(kind)
+    score, met = np.zeros((len(q), n), kind), np.zeros((len(q), n), kind)
+    score[query_ids[:, None] == ids[None, :]] = NONE
+    every = np.abs(q).sum(1, keepdims=True)
+    for segment in segments or [0]:
+        here = level == segment
+        score += q @ np.where(here, data, 0).T.astype(kind)
+        met += np.abs(q) @ here.T.astype(kind)
+        left = size[level < segment].max(initial=0)
+        threshold = np.full((len(q), 1), NONE, kind)
+        if n >= k:
+            leaders = np.argpartition(score, n - k, axis=1)[:, n - k :]
+            theirs = (data[leaders] * queries[open_][:, None, :]).sum(2)
+            theirs[np.take_along_axis(score, leaders, 1) < NONE // 2] = NONE
+            threshold[:, 0] = theirs.min(1)
+        could = (score + (every - met) * left >= threshold) & (score > NONE // 2)
+        stop = could.sum(1) <= max(4 * k, n * few)
+        if segment == (segments or [0])[-1]:
+            stop[:] = True
+        for c in np.flatnonzero(stop):
+            found[open_[c]] = best(ids, data, np.flatnonzero(could[c]), queries[open_[c]], k)
+        if stop.all():
+            break
+        open_, q, score, met, every = (x[~stop] for x in (open_, q, score, met, every))
+    return found
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
@@ -111,10 +107,8 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCAL
     total = width[0]["n"] if width else 0
     index = blocked(rows, max(1, -(-total // block)), "topk-index")
     queries = blocked(rows.where(F.col("vec_id") % every == 0), max(1, -(-total // (every * QUERIES))), "topk-queries")
-    blocks = index.select("block").withColumnRenamed("block", "index_block")
     # every query block goes to every index block, by its number
     sent = queries.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(F.expr(f"sequence(0, {max(1, -(-total // block)) - 1})")).alias("index_block"))
-    del blocks
     tasks = max(1, -(-total // block)) * max(1, -(-total // (every * QUERIES)))
     met = sent.join(index.withColumnRenamed("block", "index_block"), "index_block").repartition(min(2000, max(4, tasks)), "query_block", "index_block").select("query_ids", "query_data", "ids", "data")
 
@@ -122,10 +116,8 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCAL
         out: list[tuple[np.ndarray, ...]] = []
         for r in range(batch.num_rows):
             query_ids, query_data, ids, data = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(4))
-            index = Index(ids, data.reshape(len(ids), -1))
-            for query_id, query in zip(query_ids, query_data.reshape(len(query_ids), -1)):
-                found, score = index.search(query_id, query, k)
-                out.append((np.full(len(found), query_id), found, score))
+            found = search_block(ids, data.reshape(len(ids), -1), query_ids, query_data.reshape(len(query_ids), -1), k)
+            out += [(np.full(len(i), query_id), i, score) for query_id, (i, score) in zip(query_ids, found)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
     found = mapped(met, run, "query_id long, vec_id long, score long")
