@@ -17,6 +17,11 @@ MARKS = (("\ue000", "\ue001"), ("\uf8f0", "\uf8f1"))
 WEAK_WORDS = "a an the as at by for from in into of off on onto out over to up upon with within without and but nor or so yet".split()
 
 
+def decoded_bytes(content: Column) -> Column:
+    """Bytes as UTF-8 text; what isn't becomes replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 

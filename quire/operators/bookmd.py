@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import decoded_bytes
 from quire.functions import bookmd as M
 from quire.sources.session import importable
 
@@ -19,7 +20,7 @@ PARSED = f"book_id string, metadata {META}, chapters array<struct<chapter_no:int
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(book_id, source): the markdown files of a folder but its readme, named by file."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("book_id"), F.decode("content", "UTF-8").alias("source")).where("book_id <> 'README.md'")
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("book_id"), decoded_bytes(F.col("content")).alias("source")).where("book_id <> 'README.md'")
 
 
 def parsed(books: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.text import decoded_bytes
 from quire.functions.names import decoded, dirname, reference_kind, resolved, target
 from quire.operators.books import manifest_by_id
 from quire.sources.session import importable, written
@@ -147,7 +148,7 @@ def violations(books: DataFrame) -> DataFrame:
     package = written(packages(read), "packages")
     items = manifests(package)
     row = lambda df, rule, place, error: df.select("book_id", F.lit(rule).alias("rule"), F.col(place).cast("string").alias("place") if place else F.lit("").alias("place"), (F.lit(error) if isinstance(error, str) else error).alias("error"))
-    mimetype = files.where("path = 'mimetype'").select("book_id", F.trim(F.decode("content", "UTF-8")).alias("kind"))
+    mimetype = files.where("path = 'mimetype'").select("book_id", F.trim(decoded_bytes(F.col("content"))).alias("kind"))
     every = books.select("book_id")
     readable = every.join(files.where("path is null").select("book_id"), "book_id", "left_anti")
     opf = readable.join(package, "book_id", "left")

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import decoded_bytes
 from quire.functions.names import basename, is_image
 from quire.operators.ocr import PAGES_SCHEMA
 
@@ -15,14 +16,14 @@ def ocr_books(spark: SparkSession, folder: str) -> DataFrame:
     """(book_id, PAGES_SCHEMA): scanned books, one JSON array of pages a file."""
     text = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
     schema = f"array<struct<{PAGES_SCHEMA}>>"
-    pages = F.inline(F.from_json(F.decode("content", "UTF-8"), schema))
+    pages = F.inline(F.from_json(decoded_bytes(F.col("content")), schema))
     return text.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("book_id"), pages)
 
 
 def site(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Chapters (name, html) and images (name, content) of a site's folder."""
     read = lambda sub: spark.read.format("binaryFile").load(f"{folder}/{sub}")
-    chapters = read("chapters").where(F.lower("path").rlike(r"\.html?$")).select(basename(F.col("path")).alias("name"), F.decode("content", "UTF-8").alias("html"))
+    chapters = read("chapters").where(F.lower("path").rlike(r"\.html?$")).select(basename(F.col("path")).alias("name"), decoded_bytes(F.col("content")).alias("html"))
     images = read("images").where(is_image(F.col("path"))).select(basename(F.col("path")).alias("name"), "content")
     return chapters, images
 
@@ -37,7 +38,7 @@ def image_sizes(images: DataFrame) -> DataFrame:
     head = lambda a, n: F.hex(F.substring("content", a, n))
     number = lambda c: F.conv(c, 16, 10).cast("int")
     little = lambda a: number(F.concat(head(a + 1, 1), head(a, 1)))
-    kind = F.when(head(1, 8) == "89504E470D0A1A0A", "png").when(head(1, 3) == "FFD8FF", "jpeg").when(head(1, 4) == "47494638", "gif").when(F.lower(F.decode(F.substring("content", 1, 200), "UTF-8")).contains("<svg"), "svg")
+    kind = F.when(head(1, 8) == "89504E470D0A1A0A", "png").when(head(1, 3) == "FFD8FF", "jpeg").when(head(1, 4) == "47494638", "gif").when(F.lower(decoded_bytes(F.substring("content", 1, 200))).contains("<svg"), "svg")
     return images.withColumn("format", kind).withColumn("width", F.when(kind == "png", number(head(17, 4))).when(kind == "gif", little(7))).withColumn("height", F.when(kind == "png", number(head(21, 4))).when(kind == "gif", little(9)))
 
 

@@ -47,3 +47,38 @@ def test_folder_books_and_writer(spark, tmp_path):
     S.write_books(containers.packed(df).select(F.concat("book_id", F.lit(".epub")).alias("name"), "content"), str(tmp_path / "shelf"))
     assert containers.unpacked(containers.archives(spark, str(tmp_path / "shelf"))).count() == 2
     assert S.listing(spark, str(tmp_path / "lib")).count() == 2
+
+
+def test_small_tables(spark, tmp_path):
+    from quire.sources import tables as Tb
+
+    (tmp_path / "map.json").write_text('{"fw-box": "box", "x": "y"}', encoding="utf-8")
+    assert {tuple(r) for r in Tb.class_map(spark, str(tmp_path / "map.json")).collect()} == {("fw-box", "box"), ("x", "y")}
+    (tmp_path / "names.json").write_text('{"annotations": {"annotations": {"🚀": {"tts": ["rocket"]}}}}', encoding="utf-8")
+    names = Tb.pictograph_names(spark, str(tmp_path / "names.json"))
+    glyphs = spark.createDataFrame([("🚀",), ("👁️",)], "glyph string")
+    assert {tuple(r) for r in Tb.named(glyphs, names).collect()} == {("🚀", "rocket"), ("👁️", "U+1F441")}
+    import hashlib
+
+    files = spark.createDataFrame([("/a/x", b"1"), ("/a/y", b"2")], "path string, content binary")
+    pins = spark.createDataFrame([("x", hashlib.sha256(b"1").hexdigest()), ("y", "00"), ("z", "00")], "name string, sha256 string")
+    assert {tuple(r) for r in Tb.wrong_checksums(files, pins).collect()} == {("y", "another checksum"), ("z", "missing")}
+    refs = spark.createDataFrame([("../images/a",), ("../x",), ("q",)], "r string")
+    assert [r.x for r in refs.select(Tb.rewritten_prefix(F.col("r"), {"../": "up/", "../images/": "images/"}).alias("x")).collect()] == ["images/a", "up/x", "q"]
+
+
+def test_ink(spark):
+    import numpy as np
+
+    from quire.operators import images as I
+
+    page = np.full((40, 60, 3), 255, np.uint8)
+    page[10:30, 20:40] = 0
+    blank = np.full((4, 4, 1), 250, np.uint8)
+    df = spark.createDataFrame([("cover", 60, 40, 3, bytearray(page.tobytes())), ("blank", 4, 4, 1, bytearray(blank.tobytes()))], "name string, width int, height int, channels int, data binary")
+    got = {r.name: r for r in I.ink(df).collect()}
+    assert (got["cover"].left, got["cover"].top, got["cover"].right, got["cover"].bottom) == (20, 10, 39, 29) and abs(got["cover"].ink - 400 / 2400) < 1e-9
+    assert got["blank"].left is None and got["blank"].ink == 0
+    assert {(r.name, r.error) for r in I.shelf_verdicts(I.ink(df)).collect()} == {("blank", "too little contrast"), ("blank", "too little ink")}
+    sizes = spark.createDataFrame([("a", 3200, 1600), ("b", 10, 20)], "name string, width int, height int")
+    assert [(r.new_width, r.new_height) for r in I.resize_plan(sizes).orderBy("name").collect()] == [(1600, 800), (10, 20)]
