@@ -1,10 +1,7 @@
-"""What the operators of this subpackage share: durable intermediate tables,
-size-checked joins and small array codecs."""
+"""What the operators of this subpackage share: size-checked joins and small array codecs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.session import importable
+from quire.sources.session import importable, own_dir, written
+
+__all__ = ["importable", "join_small", "mapped", "mix64", "own_dir", "packed", "packed_ints", "table", "unpacked", "unpacked_ints", "unused", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,25 +20,6 @@ SPACES = b" \t\n\v\f\r"
 BROADCAST_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    importable(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Join with a written table that is normally small: broadcast if its counted
     rows are few, else an ordinary join whose hot keys adaptive execution splits."""
