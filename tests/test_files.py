@@ -82,3 +82,16 @@ def test_ink(spark):
     assert {(r.name, r.error) for r in I.shelf_verdicts(I.ink(df)).collect()} == {("blank", "too little contrast"), ("blank", "too little ink")}
     sizes = spark.createDataFrame([("a", 3200, 1600), ("b", 10, 20)], "name string, width int, height int")
     assert [(r.new_width, r.new_height) for r in I.resize_plan(sizes).orderBy("name").collect()] == [(1600, 800), (10, 20)]
+
+
+def test_intermediate_tables_can_go(spark):
+    import os
+
+    from quire.sources.session import clear, own_dir, written
+
+    kept = written(spark.range(5).toDF("x"), "t")
+    assert kept.count() == 5
+    folder = own_dir(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    clear(spark)
+    assert not os.path.isdir(folder)
