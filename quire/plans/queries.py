@@ -197,12 +197,12 @@ def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(spark, sf_dir).select("doc_path", "ord", "raw", N.reference_kind(raw).alias("kind"), N.target(raw).alias("target"), N.fragment(raw).alias("fragment"))
 
 
-@query(f"WITH {PAGE_LINKS} SELECT book_id, doc_path, ord::INT AS ord, regexp_replace(split_part(raw, '#', 1), '^/', '') AS path FROM links WHERE {_KIND} = 'internal' AND raw LIKE '/%' ANTI JOIN_MARK".replace(" ANTI JOIN_MARK", " AND regexp_replace(split_part(raw, '#', 1), '^/', '') NOT IN (SELECT 'p' || page_id FROM pages)"))
+@query(f"WITH {PAGE_LINKS} SELECT book_id, doc_path, ord::INT AS ord, regexp_replace(split_part(raw, '#', 1), '^/', '') AS path FROM links WHERE {_KIND} = 'internal' AND raw LIKE '/%' ANTI JOIN_MARK".replace(" ANTI JOIN_MARK", " AND NOT EXISTS (FROM pages WHERE page_id // 100 = book_id AND 'p' || page_id = regexp_replace(split_part(raw, '#', 1), '^/', ''))"))
 def internal_targets_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # sites write absolute paths: as a container they lie beside the pages
     links = page_links(spark, sf_dir).where("raw like '/%' and raw not like '//%'")
     relative = links.withColumn("doc_path", F.concat(F.lit("./"), "doc_path")).withColumn("raw", F.regexp_replace("raw", "^/", "../"))
-    files = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path")).crossJoin(F.broadcast(links.select("book_id").distinct()))
+    files = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 100).cast("long").alias("book_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"))
     return B.dangling(relative, files).select("book_id", F.regexp_replace("doc_path", r"^\./", "").alias("doc_path"), "ord", "path")
 
 
