@@ -141,11 +141,11 @@ def rendered(found: list[dict]) -> list[str]:
 
 def serialised(book: dict) -> str:
     meta = book["metadata"]
-    head = ["---", "pagetile-book: true", f"title: {meta['title']}"]
+    head = ["---", f"title: {meta['title']}"]
     head += [f"{k}: {meta[k]}" for k in ("author", "translator") if meta.get(k) is not None]
     head += [f"lang: {meta['lang']}", f"direction: {meta['direction']}"]
     head += [f"cover: {meta['cover']}"] if meta.get("cover") is not None else []
-    head += [f"{e['key']}: {e['value']}" for e in meta["extras"] if e["key"] != "pagetile-book"]
+    head += [f"{e['key']}: {e['value']}" for e in meta["extras"]]
     lines = [*head, "---", "", *rendered(book["preamble"])]
     for c in book["chapters"]:
         lines += ["#" * c["level"] + " " + c["title"], "", *rendered(c["blocks"])]
