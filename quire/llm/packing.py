@@ -24,7 +24,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +61,11 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import json
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -84,6 +81,15 @@ class Encoder:
         self.special = special
         self.marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
+    @cached_property
+    def slow(self):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or len(text) > LONG:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
