@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .common import WORD, mix64
 
-#: Bigrams: with trigrams too, the exchanged keys exceed four times the input on disk.
+#: Bigrams: by estimate, with trigrams too the exchanged keys exceed four times the input on disk.
 ORDER = 2
+#: Characters of a block: larger ones share more keys, and take more of a worker's memory.
+CHARACTERS = 5_000_000
 BACKOFF = 0.4
 UNSEEN = 0.5
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -93,7 +95,7 @@ def scored(texts: list[str], totals: np.ndarray, tokens: int, order: int, backof
     return lengths, np.bincount(document, weights=shorter, minlength=len(texts)).astype(np.int64), sums.astype(float)
 
 
-def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, characters: int = B.CHARACTERS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, characters: int = CHARACTERS) -> DataFrame:
     """(doc_id, n_words, n_backed_off, log_score, mean_log_score) of every document."""
     held = B.blocks(docs, "lm-blocks", characters)
     bits = B.bucket_bits(held.count())
