@@ -79,6 +79,16 @@ def bookmd_data_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book_id", F.size("chapters").cast("long").alias("chapters"), F.size("blocks").cast("long").alias("blocks"), "is_fixpoint").join(kept, "book_id")
 
 
+@query()
+def bookmd_whole_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown books of all lines of every document, as they are, after blocks of every kind."""
+    head = F.concat(F.lit("---\ntitle: "), F.coalesce("source", F.lit("")), F.lit("\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\ndirection: ltr\nmood: calm\n---\n\nBefore.\n\n# Chapter [x](y.html)\n\n> # Inside\n> quoted\n\n* one\n* two\n- three\n\n![[plate.png|A plate]]\n\n```\n# no heading\n```\n\n## Second\n\n"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    found = bookmd.parsed(docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(head, "text", F.lit("\n")).alias("source")))
+    kept = bookmd.data_columns(found).select("book_id", F.md5(F.array_join("texts", "\n")).alias("digest"), "links")
+    return found.select("book_id", F.size("chapters").cast("long").alias("chapters"), F.size("blocks").cast("long").alias("blocks"), "is_fixpoint").join(kept, "book_id")
+
+
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as packed books of their customers: every fifth lacks a file, every seventh has one too many."""
     from quire.functions.text import escape_text
