@@ -60,6 +60,15 @@ def strip_pictographs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.strip_pictographs(t).alias("stripped"), X.count_pictographs(t).cast("long").alias("n"))
 
 
+_AROUND = "'🚀 ' || replace(text, chr(10), ' 🧠🧠️ ' || chr(10)) || '👁' || text || '　📊'"
+
+
+@query(f"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(t, '({SPACE}){SPACE}*{_P}{SPACE}+|{SPACE}*{_P}{SPACE}*', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344) || '{SPACE}' || chr(57345), ' ', 'g'), chr(57344) || chr(57345), '')) AS digest, len(regexp_extract_all(t, '[\\x{{1F000}}-\\x{{1FAFF}}]\\x{{FE0F}}?')) AS n FROM (SELECT doc_id, {_AROUND} AS t FROM documents)")
+def strip_pictographs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("🚀 "), F.replace("text", F.lit("\n"), F.lit(" 🧠🧠️ \n")), F.lit("👁"), "text", F.lit("　📊"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_pictographs(t)).alias("digest"), X.count_pictographs(t).cast("long").alias("n"))
+
+
 @query("SELECT source, list_sort(list_distinct(flatten(list([p1, p2])))) AS glyphs, count(*) AS n FROM (SELECT source, chr(128512 + (doc_id % 50)::INT) AS p1, chr(128640 + (doc_id % 30)::INT) AS p2 FROM documents) GROUP BY source")
 def book_pictographs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -230,6 +239,13 @@ def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Ti.title_lines(titles)
 
 
+@query(f"WITH {PAGE_TITLES}, t AS (SELECT 'page-' || page_id AS title_id, title FROM titles UNION ALL SELECT 'part-' || p_partkey, p_name FROM part), w AS (SELECT title_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT title_id, regexp_split_to_array({sql_trim('title')}, '{SPACE}+') AS ws FROM t)), g AS (SELECT *, greatest(sum((NOT list_contains({_WEAK}, lower(regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g'))))::INT) OVER (PARTITION BY title_id ORDER BY i), 1)::BIGINT AS line_no FROM w WHERE word <> '') SELECT title_id, line_no, string_agg(word, ' ' ORDER BY i) AS line FROM g GROUP BY ALL")
+def title_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string")).alias("title_id")
+    pages = page_titles(spark, sf_dir).select(named("page-", "page_id"), "title")
+    return Ti.title_lines(pages.unionByName(table(spark, sf_dir, "part").select(named("part-", "p_partkey"), F.col("p_name").alias("title"))))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE [split_part(p_name, ' ', 1), p_type] END AS parts, CASE WHEN p_partkey % 3 = 1 THEN p_name ELSE '上下' END AS merged FROM part")
 def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.substring_index("p_name", " ", 1)

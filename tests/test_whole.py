@@ -31,3 +31,21 @@ def test_markdown_of_real_documents(spark):
     for k, text in docs.items():
         want = ["Before.", "Inside", "quoted", "one", "two", "three", " ".join(x.strip(" \t　\xa0") for x in text.split("\n"))]
         assert (got[k].chapters, got[k].blocks, got[k].digest) == (2, 9, hashlib.md5("\n".join(want).encode()).hexdigest())
+
+
+def test_pictographs_after_the_first_characters(spark, tmp_path):
+    text = "a" * 200 + " 🚀 end\n" + "b" * 200 + "🧠"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = run(spark, "strip_pictographs_whole", tmp_path)[0]
+    want = "a" * 200 + " end " + "b" * 200 + "a" * 200 + " end\n" + "b" * 200
+    assert (got.n, got.digest) == (1 + 2 + 2 + 1 + 2 + 1, hashlib.md5(want.encode()).hexdigest())
+
+
+def test_title_lines_of_whole_titles(spark):
+    parts = {f"part-{r.p_partkey}": r.p_name for r in spark.read.parquet(f"{DIR}/part.parquet").collect()}
+    pages = {f"page-{r.page_id}": r.title for r in run(spark, "page_headings")}
+    found = {}
+    for r in sorted(run(spark, "title_lines_whole")):
+        found.setdefault(r.title_id, []).append(r.line)
+    titles = {k: " ".join(v.split()) for k, v in (parts | pages).items() if v and v.strip()}
+    assert {k: " ".join(v) for k, v in found.items()} == titles
