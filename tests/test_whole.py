@@ -49,3 +49,10 @@ def test_title_lines_of_whole_titles(spark):
         found.setdefault(r.title_id, []).append(r.line)
     titles = {k: " ".join(v.split()) for k, v in (parts | pages).items() if v and v.strip()}
     assert {k: " ".join(v) for k, v in found.items()} == titles
+
+
+def test_pages_without_a_number_are_errors(spark, tmp_path):
+    urls = ["http://a/c10.html", "http://a/about.html", "http://a/c9.html", "http://b/x", "http://b/2"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.place, r.error) for r in run(spark, "chapter_places", tmp_path)}
+    assert got == {0: (2, None), 1: (None, "no number"), 2: (1, None), 3: (None, "no number"), 4: (1, None)}
