@@ -371,6 +371,13 @@ def chapters_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.guards(books, parts).select("book_id", F.lit("no chapters").alias("error"))
 
 
+@query("SELECT n_nationkey AS book_id, 'no chapters' AS error FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey IS NOT NULL)")
+def chapters_required_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all customers: nothing where every nation has some."""
+    books = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("book_id"))
+    return B.guards(books, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("book_id"))).select("book_id", F.lit("no chapters").alias("error"))
+
+
 @query("WITH d AS (SELECT source AS book_id, count(*) FILTER (doc_id % 11 = 0) AS legacy, count(*) FILTER (doc_id % 101 = 0) AS bodies, 0 AS pictographs, count(*) FILTER (doc_id % 7 = 0) AS links, count(*) FILTER (doc_id % 89 = 0) AS pages FROM documents GROUP BY source) SELECT book_id, 2::INT AS ord, legacy || ' chapter' || CASE WHEN legacy = 1 THEN '' ELSE 's' END || ' declared a legacy doctype' AS finding FROM d WHERE legacy > 0 UNION ALL SELECT book_id, 3, bodies || ' document' || CASE WHEN bodies = 1 THEN '' ELSE 's' END || ' had content outside the body' FROM d WHERE bodies > 0 UNION ALL SELECT book_id, 5, links || ' contents lines linked' FROM d WHERE links > 0 UNION ALL SELECT book_id, 6, pages || ' contents pages left as they are' FROM d WHERE pages > 1 UNION ALL SELECT book_id, 0, 'EPUB 2.0 spine carried page-progression-direction' FROM d WHERE legacy % 2 = 1")
 def repair_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = lambda n: F.count_if(F.col("doc_id") % n == 0)
@@ -449,6 +456,11 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.coverage(a, b, "k")
 
 
+@query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_left, b.k IS NOT NULL AS in_right FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+def coverage_gaps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.coverage(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
 @query("(SELECT l_returnflag, l_linestatus, 'left' AS side FROM lineitem WHERE l_orderkey % 2 = 0 EXCEPT ALL SELECT l_returnflag, l_linestatus, 'left' FROM lineitem WHERE l_orderkey % 2 = 1) UNION ALL (SELECT l_returnflag, l_linestatus, 'right' FROM lineitem WHERE l_orderkey % 2 = 1 EXCEPT ALL SELECT l_returnflag, l_linestatus, 'right' FROM lineitem WHERE l_orderkey % 2 = 0)")
 def parser_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")

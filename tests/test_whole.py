@@ -56,3 +56,13 @@ def test_pages_without_a_number_are_errors(spark, tmp_path):
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: (r.place, r.error) for r in run(spark, "chapter_places", tmp_path)}
     assert got == {0: (2, None), 1: (None, "no number"), 2: (1, None), 3: (None, "no number"), 4: (1, None)}
+
+
+def test_guards_and_gaps_over_whole_tables(spark, tmp_path):
+    """Keys that the filters of chapters_required and coverage_gaps leave out; 2, 8 and 9 lack their other side."""
+    put = lambda name, rows, columns: spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("nation", [(1,), (2,), (3,)], "n_nationkey int")
+    put("customer", [(5, 1), (6, 3), (7, 3), (8, 1)], "c_custkey long, c_nationkey int")
+    put("orders", [(1, 5), (2, 6), (3, 7), (4, 9)], "o_orderkey long, o_custkey long")
+    assert [(r.book_id, r.error) for r in run(spark, "chapters_required_whole", tmp_path)] == [(2, "no chapters")]
+    assert sorted((r.k, r.in_left, r.in_right) for r in run(spark, "coverage_gaps_whole", tmp_path)) == [(8, False, True), (9, True, False)]
