@@ -4,12 +4,15 @@ The lexicon is learned: words, and stems that begin words, which labelled toxic
 hold and labelled clean ones don't. It becomes a trie. A word of a text is looked up by
 intersecting its Levenshtein automaton with the trie: the automaton's states, sets of
 positions by number of edits, are stepped along the trie's edges, and a branch is left
-as soon as no state is alive. So misspelled terms match, at a price per edit.
+as soon as no state is alive. So misspelled terms match, at a price per edit, stems
+within the edits of any beginning of a word. Words that lack more letters of every term
+than there may be edits, or share no string with any once as many letters are left out
+of both, are passed by: they have no match.
 
 Every match is read in its context window: within quotation marks it counts as
 quotation, at half its strength if a word of reporting is near, else as abuse. A text's
-features are the strengths and densities of plain matches, of words and of stems, and
-the strength of quoted ones; a logistic regression on the labels turns them into a score
+features are the strengths and densities of plain matches, of words and of stems, exact
+and misspelled, and the strength of quoted ones; a logistic regression on the labels turns them into a score
 from 0 to 1.
 
 Labels are learned from labelled rows whose checksum crc32(doc_id) mod 3 isn't 1, of
@@ -27,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +54,27 @@ WINDOW = 6
 REPORTING = frozenset("said says quoted quote called calls word term wrote cited sagte zitat nannte wort dit cite mot appelé dijo cita palabra llamó".split())
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|«[^»\n]{0,300}»|„[^“”\n]{0,300}[“”]")
-WHOLE, PREFIX = 1, 2
+WHOLE, PREFIX, NEAR = 1, 2, 2
+KINDS = (WHOLE, PREFIX, WHOLE + NEAR, PREFIX + NEAR)
+
+
+def shortened(word: str, most: int, least: int = 0) -> Iterator[str]:
+    """The word with so many letters left out, or less, down to `least`."""
+    if not least:
+        yield word
+    for n in range(max(1, least), most + 1):
+        for at in combinations(range(len(word)), n):
+            yield "".join([word[a + 1 : b] for a, b in zip((-1, *at), (*at, len(word)))])
+
+
+def letters_of(words: list[str], sizes: np.ndarray, most: int = 1 << 30) -> np.ndarray:
+    """The letters of every word, of its first ones if there are more, as bits; letters may share one."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    bits = np.left_shift(np.uint64(1), np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(63))
+    starts = np.cumsum(sizes) - sizes
+    # one more at the end, as an end may be there
+    return np.bitwise_or.reduceat(np.append(bits, np.uint64(0)), np.column_stack([starts, starts + np.minimum(sizes, most)]).ravel())[::2]
 
 
 class Lexicon:
@@ -65,6 +89,12 @@ class Lexicon:
                     node = node.setdefault(letter, {})
                 node[kind] = weight
         self.known: dict[str, float] = {}
+        # what near words have in common with terms, by number of edits
+        self.near = {(kind, edits): {s for t in terms for s in shortened(t, edits)} for kind, terms in ((WHOLE, words), (PREFIX, stems)) for edits in (1, 2)}
+        self.heads = (min(map(len, stems), default=0), max(map(len, stems), default=-1))
+        lengths = lambda terms: np.array(list(map(len, terms)), np.int64)
+        self.words = (letters_of(list(words), lengths(words)), lengths(words))
+        self.stems = {n: letters_of(own, lengths(own)) for n in set(map(len, stems)) if (own := [s for s in stems if len(s) == n])}
 
     def strength(self, word: str) -> tuple[float, int]:
         """Weight and kind of the best match of a word: exact, or with the price of its edits; 0 for none."""
@@ -75,7 +105,23 @@ class Lexicon:
             found = self.known[word] = self.search(word)
         return found
 
-    def search(self, word: str) -> tuple[float, int]:
+    def meet(self, words: set[str]) -> None:
+        """Looks new words up together: most lack too many letters of every term to be near one."""
+        fresh = [w for w in words if w not in self.known]
+        if len(self.known) > 500_000:
+            self.known.clear()
+        if not fresh:
+            return
+        sizes = np.array(list(map(len, fresh)), np.int64)
+        edits = np.where(sizes < ONE_EDIT, 0, np.where(sizes < TWO_EDITS, 1, 2))[:, None]
+        own, (terms, lengths) = letters_of(fresh, sizes)[:, None], self.words
+        close = ((np.bitwise_count(terms & ~own) <= edits) & (np.bitwise_count(own & ~terms) <= edits) & (np.abs(sizes[:, None] - lengths) <= edits)).any(1)
+        for n, stems in self.stems.items():
+            close |= (np.bitwise_count(stems & ~letters_of(fresh, sizes, n + 2)[:, None]) <= edits).any(1)
+        for word, may in zip(fresh, close.tolist()):
+            self.known[word] = self.search(word) if may else self.exact(word)
+
+    def exact(self, word: str) -> tuple[float, int]:
         best, node = (0.0, 0), self.root
         for letter in word:
             node = node.get(letter)
@@ -84,33 +130,49 @@ class Lexicon:
             best = max(best, (node.get(PREFIX, 0.0), PREFIX))
         else:
             best = max(best, (node.get(WHOLE, 0.0), WHOLE))
+        return best
+
+    def search(self, word: str) -> tuple[float, int]:
+        best = self.exact(word)
         if best[0] or len(word) < ONE_EDIT:
             return best
         edits = 2 if len(word) >= TWO_EDITS else 1
-        return max((w * EDIT_PRICE**d for d, w in self.within(word, edits)), default=0.0), WHOLE
+        if not self.is_near(word, edits):
+            return best
+        return max(((w * EDIT_PRICE**d, kind + NEAR) for d, w, kind in self.within(word, edits)), default=best)
 
-    def within(self, word: str, edits: int) -> Iterator[tuple[int, float]]:
-        """(distance, weight) of the whole words within so many edits of a word with its first letter.
+    def is_near(self, word: str, edits: int) -> bool:
+        """Whether a term can be within so many edits of the word, or a stem of a beginning of it."""
+        if not self.near[WHOLE, edits].isdisjoint(shortened(word, edits)):
+            return True
+        least, most = self.heads
+        stems = self.near[PREFIX, edits]
+        # of each beginning those that keep its last letter: the others are of a shorter one
+        return any(f"{s}{word[n - 1]}" in stems for n in range(max(1, least - edits), min(len(word), most + edits) + 1) for s in shortened(word[: n - 1], min(edits, n - least + edits), max(0, n - most)))
+
+    def within(self, word: str, edits: int) -> Iterator[tuple[int, float, int]]:
+        """(distance, weight, kind) of the whole words within so many edits of a word, and of the stems within so many of a beginning of it.
 
         States are sets of positions in the word, as bits, one set per number of edits."""
-        node = self.root.get(word[0])
-        if node is None:
-            return
         at: dict[str, int] = {}
         for k, letter in enumerate(word):
             at[letter] = at.get(letter, 0) | 1 << k
         accept, full = 1 << len(word), (2 << len(word)) - 1
-        # after the common first letter: one position on, and those that edits reach from it
-        start = tuple(((1 << (d + 1)) - 1) << 1 & full for d in range(edits + 1))
-        stack = [(node, start, None, "")]
+        # at the root: the first position, and those that edits reach from it
+        start = tuple((2 << d) - 1 & full for d in range(edits + 1))
+        stack = [(self.root, start, None, "")]
         while stack:
             node, states, before, last = stack.pop()
             if (weight := node.get(WHOLE)) is not None:
                 for d, state in enumerate(states):
                     if state & accept:
                         if d:
-                            yield d, weight
+                            yield d, weight, WHOLE
                         break
+            if (weight := node.get(PREFIX)) is not None:
+                d = next(d for d, state in enumerate(states) if state)
+                if d:
+                    yield d, weight, PREFIX
             for letter, child in node.items():
                 if letter.__class__ is int:
                     continue
@@ -127,16 +189,18 @@ class Lexicon:
 
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
-    """Strength and density of abuse by words, the same by stems, and strength of quotation."""
+    """Strength and density of abuse by words, the same by stems, strength of quotation, and those of misspelled words and stems."""
     lower = (text or "").lower()
     strength = lexicon.strength
     words = WORD.findall(lower)
-    hits = {w: s for w in set(words) if (s := strength(w))[0]}
+    own = set(words)
+    lexicon.meet(own)
+    hits = {w: s for w in own if (s := strength(w))[0]}
     if not hits:
-        return (0.0,) * 5
+        return (0.0,) * 9
     quotes = [m.span() for m in QUOTED.finditer(lower)]
     starts = np.array([a for a, _ in quotes])
-    abuse, quoted = {WHOLE: 0.0, PREFIX: 0.0}, 0.0
+    abuse, quoted = dict.fromkeys(KINDS, 0.0), 0.0
     for k, m in enumerate(WORD.finditer(lower)):
         if (found := hits.get(m[0])) is None:
             continue
@@ -148,7 +212,8 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
         else:
             abuse[kind] += weight
     n = len(words)
-    return float(np.log1p(abuse[WHOLE])), abuse[WHOLE] / n, float(np.log1p(abuse[PREFIX])), abuse[PREFIX] / n, float(np.log1p(quoted))
+    plain, plain_stems, near, near_stems = ((float(np.log1p(abuse[kind])), abuse[kind] / n) for kind in KINDS)
+    return *plain, *plain_stems, float(np.log1p(quoted)), *near, *near_stems
 
 
 def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-5) -> np.ndarray:
@@ -221,8 +286,7 @@ def learned_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, fl
     stems = {s: w for s, w in stems.items() if not any(word.startswith(s) and n >= 0.5 * by_stem[s] for word, n in by_word.items())}
     stems = {s: w for s, w in stems.items() if not any(s[:n] in stems for n in range(1, len(s)))}
     most = max([*words.values(), *stems.values()], default=1.0)
-    words = {w: o / most for w, o in words.items() if not any(w[:n] in stems for n in STEM)}
-    return words, {s: o / most for s, o in stems.items()}
+    return {w: o / most for w, o in words.items()}, {s: o / most for s, o in stems.items()}
 
 
 def model(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> tuple[dict[str, float], dict[str, float], list[float] | None]:

@@ -111,6 +111,48 @@ def test_toxicity_lexicon():
     assert abuse[0] > 0 and quoted[0] == 0 and 0 < quoted[4] < toxicity.features('"idiot"', lexicon)[4]
 
 
+def test_toxicity_first_letters_and_stems():
+    """Look-up against plain distances, of words and of the beginnings of words."""
+    terms, stems = {"idiot": 1.0, "athletic": 0.9, "vequelling": 0.7}, {"vequ": 0.8, "mordan": 0.6}
+    lexicon = toxicity.Lexicon(terms, stems)
+    s = lexicon.strength
+    assert s("ldiot") == s("1diot") == s("diiot") == (0.5, toxicity.WHOLE + toxicity.NEAR) and s("thletic") == (0.45, toxicity.WHOLE + toxicity.NEAR)
+    assert s("vaquelle") == s("equelle") == s("evquelle") == (0.4, toxicity.PREFIX + toxicity.NEAR) and s("mordxn") == s("nordanic") == (0.3, toxicity.PREFIX + toxicity.NEAR)
+    assert s("vequelling") == (0.8, toxicity.PREFIX) and s("vxqvelling") == (0.2, toxicity.PREFIX + toxicity.NEAR)
+
+    def distance(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                swap = [rows[i - 2][j - 2] + 1] if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y else []
+                rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y), *swap))
+        return rows[-1]
+
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        letters = list(rng.choice([*terms, *(f"{x}elle" for x in stems), "unrelated"]))
+        for _ in range(rng.integers(1, 4)):
+            at, letter = rng.integers(0, len(letters)), rng.choice(list("adeiqtuv"))
+            letters[at : at + rng.integers(0, 2)] = [letter] * rng.integers(0, 2)
+            letters = letters or ["x"]
+        word = "".join(letters)
+        edits = 0 if len(word) < toxicity.ONE_EDIT else 1 if len(word) < toxicity.TWO_EDITS else 2
+        near = [(w, distance(t, word)[-1]) for t, w in terms.items()] + [(w, min(distance(t, word))) for t, w in stems.items()]
+        exact = [w for w, d in near if not d]
+        want = max(exact) if exact else max((w * 0.5**d for w, d in near if d <= edits), default=0)
+        met = toxicity.Lexicon(terms, stems)
+        met.meet({word, "another"})
+        assert s(word)[0] == met.known[word][0] == pytest.approx(want), word
+
+
+def test_toxicity_keeps_words_beside_stems(spark):
+    families = ["vequelle", "vequira", "vequous", "vequant"]
+    rows = [(k, f"{a} you {families[k % 4]} {b}", 1, 0) for k, (a, b) in enumerate((f"a{x}", f"b{x}") for x in range(60))] + [(100 + k, f"all is well {k}", 0, 0) for k in range(200)]
+    words, stems = toxicity.learned_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int, half int"))
+    assert "vequ" in stems and set(families) <= set(words)
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (8, None)], "doc_id long, toxic int")
     out = toxicity.score(odd, labels)
