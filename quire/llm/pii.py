@@ -7,7 +7,8 @@ known given name). Replacements keep what the entity shows:
 * digits of telephone, card and security numbers, and the bytes of IP addresses,
   go through a keyed Feistel permutation: two entities of one format never get one
   surrogate, and separators, brackets and country codes stay;
-* credentials keep length and letter case; letters and digits stay such;
+* letters and digits of credentials go through a keyed permutation by classes: length,
+  case and script stay, and hexadecimal values stay such;
 * e-mail addresses keep the top-level domain and get a reserved domain;
 * names keep title, gender of the given name, script (Latin, Greek, Cyrillic) and
   number of parts; each part is mapped by itself, so "Mr. Roe" stays one person
@@ -62,6 +63,12 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity: most texts are passed by after one look.
 HINT = rf"[@0-9]|[\"']|\b(?:{'|'.join([t for x in TITLES.values() for t in x] + [n for x in GIVEN.values() for n in x])})\b"
 ROUNDS = 6
+#: (first code, size) of the classes that letters and digits of credentials stay in: digits, letters that are hexadecimal digits and others,
+#: by case; accented Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han and Hangul. Other characters stay.
+CLASSES = [
+    (0x30, 10), (0x61, 6), (0x67, 20), (0x41, 6), (0x47, 20), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x388, 3), (0x391, 17), (0x3A3, 7), (0x3AC, 4), (0x3B1, 25), (0x3CC, 3),
+    (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x5D0, 27), (0x620, 27), (0x641, 10), (0x660, 10), (0x904, 54), (0x966, 10), (0xE01, 46), (0x3041, 86), (0x30A1, 90), (0x4E00, 20976), (0xAC00, 11172),
+]
 WIDTH = 12
 
 
@@ -150,20 +157,31 @@ def kind_of(entity: Column) -> Column:
 
 
 def new_secret(entity: Column, key: str) -> Column:
-    """Letters and digits of the quoted value anew, of the same kind each; hexadecimal stays hexadecimal."""
+    """Letters and digits of the quoted value anew, each within its class: a permutation of the values with the same classes."""
 
-    def fresh(value: Column) -> Column:
-        noise = F.concat(*(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(f"secret{k}"), value), 512) for k in range(2)))
-        hexed, upper = value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), value.rlike("[A-Z]")
+    def classed(c: Column) -> Column:
+        code = F.ascii(c)
+        own = F.struct(code.alias("code"), code.alias("low"), F.lit(1).alias("size"))
+        for low, size in reversed(CLASSES):
+            own = F.when(code.between(low, low + size - 1), F.struct(code.alias("code"), F.lit(low).alias("low"), F.lit(size).alias("size"))).otherwise(own)
+        return own
+
+    def turn(chars: Column, k: Column) -> Column:
+        # characters at odd and at even places take turns to be shifted by a hash of the others
+        still = F.transform(chars, lambda c, i: F.when(F.pmod(i + k, F.lit(2)) == 0, c["low"]).otherwise(c["code"]).cast("string"))
+        noise = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("secret"), k.cast("string"), F.array_join(still, " ")), 512)
 
-        def char(c: Column, i: Column) -> Column:
-            at = F.pmod(i, F.lit(254)).cast("int") + 1
-            digit, byte = F.substring(noise, at, F.lit(1)), F.conv(F.substring(noise, at, F.lit(2)), 16, 10).cast("int")
-            letter = F.chr(F.lit(97) + F.pmod(byte, F.lit(26)))
-            return F.when(hexed, F.when(upper, F.upper(digit)).otherwise(digit)).when(c.rlike("[0-9]"), F.pmod(byte, F.lit(10)).cast("string")).when(c.rlike("[A-Z]"), F.upper(letter)).when(c.rlike("[a-z]"), letter).otherwise(c)
+        def moved(mixed: Column) -> Column:
+            shift = lambda i: F.conv(F.substring(mixed, F.pmod(i * 4, F.lit(124)) + 1, F.lit(4)), 16, 10).cast("int")
+            return F.transform(chars, lambda c, i: F.struct(F.when(F.pmod(i + k, F.lit(2)) == 0, c["low"] + F.pmod(c["code"] - c["low"] + shift(i), c["size"])).otherwise(c["code"]).alias("code"), c["low"].alias("low"), c["size"].alias("size")))
 
+        return let(noise, moved)
+
+    def fresh(value: Column) -> Column:
+        char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c["code"]), 8, "0")), "UTF-32")
+        chars = F.aggregate(F.array(*map(F.lit, range(ROUNDS))), F.transform(F.split(value, ""), classed), turn)
         head = F.substring(entity, F.lit(1), F.length(entity) - F.length(value) - 1)
-        return F.concat(head, F.array_join(F.transform(F.split(value, ""), char), ""), F.substring(entity, -1, 1))
+        return F.concat(head, F.array_join(F.transform(chars, char), ""), F.substring(entity, -1, 1))
 
     return let(F.regexp_extract(entity, r"[\"']([^\"']+)[\"']$", 1), fresh)
 

@@ -346,6 +346,25 @@ def test_pii_numbers_are_permuted(spark):
     assert ips.select(pii.new_ip(F.col("ip"), "k").alias("x")).distinct().count() == 3000
 
 
+def test_pii_secrets_are_permuted(spark):
+    """Short values have one surrogate each, of their own kind, and letters of other scripts don't stay."""
+    n = 120_000
+    new = lambda df: df.select("v", F.regexp_extract(pii.new_secret(F.concat(F.lit('token="'), "v", F.lit('"')), "k"), '"(.*)"', 1).alias("x"))
+    digits = new(spark.range(0, n, 1, 4).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("v")))
+    hexed = new(spark.range(0, n, 1, 4).select(F.concat(F.lit("a"), F.lpad(F.lower(F.hex("id")), 7, "0")).alias("v")))
+    for out, kind in ((digits, "^[0-9]{8}$"), (hexed, "^[a-f][0-9a-f]{7}$")):
+        r = out.agg(F.count_distinct("x"), F.count_if(F.col("x").rlike(kind))).collect()[0]
+        assert tuple(r) == (n, n)
+    got = {r.v: r.x for r in new(spark.createDataFrame([("парольСекрет",), ("μυστικόςΩ",), ("パスワード漢字漢字",), ("Pass-w0rd!x",)], "v string")).collect()}
+    import re
+
+    assert re.fullmatch("[а-я]{6}[А-Я][а-я]{5}", got["парольСекрет"]) and re.fullmatch("[Ͱ-Ͽ]{9}", got["μυστικόςΩ"]) and re.fullmatch("[A-Z][a-z]{3}-[a-z][0-9][a-z]{2}![a-z]", got["Pass-w0rd!x"])
+    for v, x in got.items():
+        assert sum(a == b for a, b in zip(v, x)) < len(v) / 2
+    many = spark.range(0, n, 1, 4).select("id", F.concat(F.lit('password = "'), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit('"')).alias("text"))
+    assert pii.width_without_collision(many, "k") == pii.WIDTH
+
+
 def test_pii_finds_what_the_data_has(spark):
     import re
 
