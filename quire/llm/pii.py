@@ -1,36 +1,46 @@
 """Surrogates for personal data: every entity found gets a keyed replacement of its own kind.
 
 Found are e-mail addresses, IPv4 addresses, telephone, card and social security
-numbers, credentials in quotes, and names of persons (after a title, or with a
-known given name). Replacements keep what the entity shows:
+numbers, credentials in quotes, and names of persons (after a title, before a form
+of address, or with a known given name; then every later or earlier use of a part of
+such a name in the same text). Replacements keep what the entity shows:
 
 * digits of telephone, card and security numbers, and the bytes of IP addresses,
   go through a keyed Feistel permutation: two entities of one format never get one
-  surrogate, and separators, brackets and country codes stay;
+  surrogate, and separators, brackets and country codes stay; a card number whose
+  check digit is right keeps a right one;
 * letters and digits of credentials go through a keyed permutation by classes: length,
   case and script stay, and hexadecimal values stay such;
-* e-mail addresses keep the top-level domain and get a reserved domain;
-* names keep title, gender of the given name, script (Latin, Greek, Cyrillic) and
-  number of parts; each part is mapped by itself, so "Mr. Roe" stays one person
-  with "John Roe".
+* e-mail addresses get a domain that is reserved for examples, under which their own
+  ending stays readable;
+* names keep title, gender of the given name, script and number of parts; each part
+  is mapped by itself, so "Mr. Roe" stays one person with "John Roe", "Roe's" and "Roe".
 
 A surrogate depends on key and entity alone, so a person keeps it over all
-documents (coreference). Kinds whose surrogates are drawn from a hash are checked
-over all documents: while two entities share one, the width of the draw grows.
-
-All of it is SQL functions. Nulls: a null text stays null and has no entity. Very
-long texts and repeated rows need no care. Columns other than text are untouched;
-empty tables give empty results.
+documents (coreference), whatever other documents there are. Surrogates that are drawn
+from a hash (parts of names, addresses) are checked over all documents: where several
+share one, these alone are drawn longer, until they differ.
+
+Texts are searched once: what is between entities, and the entities, are kept as
+arrays in a table, from which the check and the output are made. All of it is SQL
+functions, and every repetition in the patterns is of one character class or
+possessive, so that no text, however long, deepens the matcher's stack.
+
+Nulls: a null text stays null and has no entity; an empty one stays empty. Repeated
+rows get the same surrogates. Columns other than text (and n_chars, the new count) are
+untouched; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused, written
+from .common import join_small, unused, written
 
 KEY = "surrogate-key-1"
 # fixed values: given names by script and gender, titles by gender
@@ -43,25 +53,41 @@ GIVEN = {
     ("greek", "f"): ["Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Ειρήνη", "Δήμητρα", "Βασιλική"],
 }
 TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Lady"], "": ["Dr", "Prof"]}
+#: Forms of address that follow a name without a blank.
+ADDRESS = ["先生", "女士", "小姐", "さん", "さま", "様", "氏", "씨", "님"]
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "we", "xi", "yo", "zu", "ka"],
     "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "ке", "зи", "по", "жу", "ка"],
     "greek": ["βα", "δε", "φι", "γο", "λυ", "μα", "νε", "ρι", "σο", "τυ", "βι", "κε", "ξι", "πο", "ζυ", "κα"],
+    "armenian": ["բա", "դե", "ֆի", "գո", "լու", "մա", "նե", "րի", "սո", "տու", "վա", "կե", "զի", "պո", "ժու", "կա"],
+    "han": list("安柏辰丹恩方光海佳康兰明宁清文远"),
+    "kana": list("アカサタナハマヤラワキシチニミリ"),
+    "hangul": list("가나다라마바사아자차카타파하노미"),
 }
+SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}", "han": r"\p{IsHan}", "kana": r"[\p{IsHiragana}\p{IsKatakana}]", "hangul": r"\p{IsHangul}"}
 
-NAME = r"\p{Lu}[\p{L}'’-]+"
+_TITLES = "|".join(t for x in TITLES.values() for t in x)
+_GIVEN = "|".join(n for x in GIVEN.values() for n in x)
+#: A part of a name: a capital, letters, and more of them after apostrophes and hyphens, but for the s of a genitive.
+NAME = r"\p{Lu}(?=\p{L}|['’-]\p{Lu})\p{L}*+(?:['’-](?!s\b)\p{L}++)*+"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?!\.)[\p{L}\p{N}.-]+(?<=[\p{L}\p{N}-])\.\p{L}{2,}",
+    "ip": r"(?<![\d.])(?=\d)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
     "secret": r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"'][^\"'\s]{8,}[\"']",
     "card": r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "name": rf"\b(?:(?:{'|'.join(t for x in TITLES.values() for t in x)})\b\.? {NAME}(?: {NAME})?|(?:{'|'.join(n for x in GIVEN.values() for n in x)}) {NAME})",
+    "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLES})\b\.? {NAME}(?: {NAME})?|(?:{_GIVEN}) {NAME})",
+    "addressed": rf"[\p{{IsHan}}\p{{IsKatakana}}\p{{IsHangul}}]{{2,4}}(?={'|'.join(ADDRESS)})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no entity: most texts are passed by after one look.
-HINT = rf"[@0-9]|[\"']|\b(?:{'|'.join([t for x in TITLES.values() for t in x] + [n for x in GIVEN.values() for n in x])})\b"
+KINDS = ("email", "ip", "secret", "card", "ssn", "phone", "name")
+#: A part of a name that stands alone; it counts where its text has the whole name.
+PART = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}){NAME}"
+NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "secret", "card", "ssn", "phone"))
+OTHERS = f"(?:{PATTERNS['email']})|{NUMBERS}"
+ANY = f"{OTHERS}|(?:{PATTERNS['name']})|(?:{PATTERNS['addressed']})|{PART}"
+#: A text without any of these has no number or credential; two searches are faster than one for either.
+HINTS = r"\d[ .()-]{0,2}\d", r"[=:]\s*[\"']"
 ROUNDS = 6
 #: (first code, size) of the classes that letters and digits of credentials stay in: digits, letters that are hexadecimal digits and others,
 #: by case; accented Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han and Hangul. Other characters stay.
@@ -69,7 +95,10 @@ CLASSES = [
     (0x30, 10), (0x61, 6), (0x67, 20), (0x41, 6), (0x47, 20), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x388, 3), (0x391, 17), (0x3A3, 7), (0x3AC, 4), (0x3B1, 25), (0x3CC, 3),
     (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x5D0, 27), (0x620, 27), (0x641, 10), (0x660, 10), (0x904, 54), (0x966, 10), (0xE01, 46), (0x3041, 86), (0x30A1, 90), (0x4E00, 20976), (0xAC00, 11172),
 ]
-WIDTH = 12
+#: Syllables of a part of a name, and hexadecimal digits of an address, unless they are shared.
+WIDTH = 6
+#: Times by which a shared draw may be lengthened: 4 bits a syllable, of 60 in all.
+LONGER = 12
 
 
 def digest(*parts: Column | str, bits: int = 60) -> Column:
@@ -116,15 +145,22 @@ def refilled(entity: Column, prefix: Column, digits: Column) -> Column:
 
 
 def script_of(word: Column) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    out = None
+    for name, pattern in SCRIPTS.items():
+        out = F.when(word.rlike(pattern), name) if out is None else out.when(word.rlike(pattern), name)
+    return out.otherwise("latin")
 
 
-def chosen(word: Column, lists: dict[str, list[str]], which: Column, seed: Column) -> Column:
-    out = None
-    for name, values in lists.items():
-        pick = F.element_at(F.array(*map(F.lit, values)), (F.pmod(seed, F.lit(len(values))) + 1).cast("int"))
-        out = F.when(which == name, pick) if out is None else out.when(which == name, pick)
-    return out.otherwise(word)
+def spelled(word: Column, key: str, width: Column) -> Column:
+    """So many syllables in the script of the word, drawn by a hash of it; a longer draw begins with the shorter."""
+    syllables = F.create_map(*(x for name, values in SYLLABLES.items() for x in (F.lit(name), F.array(*map(F.lit, values)))))
+
+    def of(own: Column) -> Column:
+        drawn = lambda k: F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), word), 512), k + 1, F.lit(1)), 16, 10).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.element_at(own, drawn(k) + 1)), "")
+
+    text = let(F.element_at(syllables, script_of(word)), of)
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
 
 def other_given(word: Column, names: list[str], key: str) -> Column:
@@ -134,16 +170,19 @@ def other_given(word: Column, names: list[str], key: str) -> Column:
     return F.element_at(values, (F.pmod(F.array_position(values, word) - 1 + step, F.lit(len(names))) + 1).cast("int"))
 
 
-def new_name(entity: Column, key: str, width: int) -> Column:
+def is_known(word: Column) -> Column:
+    """A title or a given name, which has its own mapping."""
+    return word.rlike(rf"^(?:{_TITLES})\.?$") | word.isin([n for names in GIVEN.values() for n in names])
+
+
+def new_name(entity: Column, key: str, width: Callable[[Column], Column]) -> Column:
     """Part by part: titles stay, known given names become others of their gender and script, the rest is spelled anew."""
-    titles = "|".join(t for x in TITLES.values() for t in x)
 
     def part(word: Column) -> Column:
-        spelled = F.initcap(F.concat(*(chosen(word, SYLLABLES, script_of(word), F.shiftright(digest(key, f"name{k // 12}", word), 4 * (k % 12))) for k in range(max(3, width // 3)))))
-        out = F.when(word.rlike(rf"^(?:{titles})\.?$"), word)
+        out = F.when(word.rlike(rf"^(?:{_TITLES})\.?$"), word)
         for names in GIVEN.values():
             out = out.when(word.isin(names), other_given(word, names, key))
-        return out.otherwise(spelled)
+        return out.otherwise(spelled(word, key, width(word)))
 
     return F.array_join(F.transform(F.split(entity, " "), part), " ")
 
@@ -151,7 +190,9 @@ def new_name(entity: Column, key: str, width: int) -> Column:
 def kind_of(entity: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS.items():
-        found = entity.rlike(rf"\A(?:{pattern})\z")
+        # without what must follow: that isn't part of the entity
+        found = entity.rlike(rf"\A(?:{pattern.partition('(?=' + ADDRESS[0])[0]})\z")
+        kind = "name" if kind == "addressed" else kind
         out = F.when(found, kind) if out is None else out.when(found, kind)
     return out
 
@@ -186,60 +227,123 @@ def new_secret(entity: Column, key: str) -> Column:
     return let(F.regexp_extract(entity, r"[\"']([^\"']+)[\"']$", 1), fresh)
 
 
+def digits_of(entity: Column) -> Column:
+    return F.regexp_replace(entity, r"\D", "")
+
+
 def new_numbers(entity: Column, key: str) -> Column:
     """Other digits after the country code, if there is one."""
     prefix = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .(-])|)", 1)
-    digits = lambda p: F.regexp_replace(F.substring(entity, F.length(p) + 1, F.length(entity)), r"\D", "")
-    return let(prefix, lambda p: let(new_digits(digits(p), key), lambda new: refilled(entity, p, new)))
+    rest = lambda p: F.substring(entity, F.length(p) + 1, F.length(entity))
+    return let(prefix, lambda p: let(new_digits(digits_of(rest(p)), key), lambda new: refilled(entity, p, new)))
 
 
-def new_ip(entity: Column, key: str) -> Column:
-    number = F.aggregate(F.split(entity, r"\."), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
-    half = F.lit(65536).cast("long")
-    return let(permuted(number, half, half, key, F.lit("ip")), lambda moved: F.concat_ws(".", *(F.pmod(F.shiftright(moved, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0))))
-
+def check_digit(digits: Column) -> Column:
+    """What must follow the digits for their sum, every second doubled from the right, to end in 0."""
+    n = F.length(digits)
+    value = lambda i: F.substring(digits, n - i, F.lit(1)).cast("int")
+    doubled = lambda x: F.when(x > 4, 2 * x - 9).otherwise(2 * x)
+    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + F.when(i % 2 == 0, doubled(value(i))).otherwise(value(i)))
+    return F.pmod(-total, F.lit(10))
 
-def new_email(entity: Column, key: str, width: int) -> Column:
-    own = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("email"), F.lower(entity)), 256), 1, width)
-    return F.concat(F.lit("user."), own, F.lit("@example."), F.regexp_extract(entity, r"([^.]+)$", 1))
 
+def new_card(entity: Column, key: str) -> Column:
+    """Other digits but the last, which is as far from the check digit as it was: right ones stay right."""
 
-def surrogate(entity: Column, key: str, width: int) -> Column:
-    return let(kind_of(entity), lambda kind: F.when(kind == "email", new_email(entity, key, width)).when(kind == "ip", new_ip(entity, key)).when(kind == "secret", new_secret(entity, key)).when(kind == "name", new_name(entity, key, width)).otherwise(new_numbers(entity, key)))
+    def of(digits: Column) -> Column:
+        head = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        away = F.substring(digits, -1, 1).cast("int") - check_digit(head)
+        return let(new_digits(head, key), lambda new: refilled(entity, F.lit(""), F.concat(new, F.pmod(check_digit(new) + away, F.lit(10)).cast("string"))))
 
-
-def found(docs: DataFrame, entities: str) -> DataFrame:
-    """docs with the array of their entities, in order."""
-    none = F.array().cast("array<string>")
-    return docs.withColumn(entities, F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
+    return let(digits_of(entity), of)
 
 
-def width_without_collision(docs: DataFrame, key: str, width: int = WIDTH) -> int:
-    """The least width, from the given one on, at which no two entities of all documents share a surrogate."""
-    entities = unused("entities", docs)
-    distinct = written(found(docs.select("text"), entities).select(F.explode(entities).alias("entity")).distinct(), "pii-entities")
-    # addresses in another case are one entity, as are numbers with other separators never
-    same = F.when(kind_of(F.col("entity")) == "email", F.lower("entity")).otherwise(F.col("entity"))
-    for wide in range(width, 61, 6):
-        shared = distinct.select(same.alias("entity"), surrogate(F.col("entity"), key, wide).alias("new")).groupBy("new").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b")
-        if shared.isEmpty():
-            return wide
-    raise ValueError("surrogates collide at every width")
+def new_ip(entity: Column, key: str) -> Column:
+    number = F.aggregate(F.split(entity, r"\."), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
+    half = F.lit(65536).cast("long")
+    return let(permuted(number, half, half, key, F.lit("ip")), lambda moved: F.concat_ws(".", *(F.pmod(F.shiftright(moved, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0))))
 
 
-def replaced(docs: DataFrame, key: str = KEY, width: int | None = None) -> DataFrame:
+def new_email(entity: Column, key: str, width: Callable[[Column], Column]) -> Column:
+    """A draw at a domain that is reserved for examples: of the same ending, or with the ending before .example."""
+    own = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("email"), F.lower(entity)), 256), F.lit(1), 2 * width(F.lower(entity)))
+    ending = F.lower(F.regexp_extract(entity, r"([^.]+)$", 1))
+    return F.concat(F.lit("user."), own, F.when(ending.isin("com", "org", "net"), F.concat(F.lit("@example."), ending)).otherwise(F.concat(F.lit("@"), ending, F.lit(".example"))))
+
+
+def surrogate(entity: Column, kind: Column, key: str, width: Callable[[Column], Column]) -> Column:
+    """The replacement of an entity; width says how long the draw for a part of a name or an address is. Null kinds stay."""
+    made = F.when(kind == "email", new_email(entity, key, width)).when(kind == "ip", new_ip(entity, key)).when(kind == "secret", new_secret(entity, key)).when(kind == "name", new_name(entity, key, width))
+    return made.when(kind == "card", new_card(entity, key)).when(kind.isNotNull(), new_numbers(entity, key)).otherwise(entity)
+
+
+def found(docs: DataFrame, row: str, gaps: str, entities: str) -> DataFrame:
+    """docs, text aside, with a row number, the texts between entities, and the entities as (entity, kind); written.
+
+    Entities and texts between them are told apart by a mark that a hash of the text makes, so no text has it by chance."""
+    text, mark, parts = (unused(x, docs) for x in ("whole", "mark", "parts"))
+    whole = F.col(text)
+    addressed = (F.octet_length(whole) > F.length(whole)) & reduce(or_, map(whole.contains, ADDRESS))
+    named = addressed | whole.rlike(PATTERNS["name"])
+    numbered = reduce(or_, map(whole.rlike, HINTS))
+    marked = lambda pattern: F.split(F.regexp_replace(whole, F.lit(pattern), F.concat(F.col(mark), F.lit("$0"), F.col(mark))), F.col(mark), -1)
+    cut = F.when(named, marked(ANY)).when(whole.contains("@"), marked(OTHERS)).when(numbered, marked(NUMBERS)).otherwise(F.array(whole))
+    rest = [c for c in docs.columns if c != "text"]
+    split = docs.select(*rest, F.col("text").cast("string").alias(text)).withColumn(mark, F.concat(F.lit("\ue000"), F.hex(F.xxhash64(text, F.lit("mark"))), F.lit("\ue000"))).withColumn(parts, F.when(whole.isNotNull(), cut))
+    at = lambda first: F.filter(F.col(parts), lambda x, i: i % 2 == first)
+    none = F.array().cast("array<struct<entity:string,kind:string>>")
+    kinds = F.transform(at(1), lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
+    own = unused("own", docs)
+    split = split.select(*rest, F.monotonically_increasing_id().alias(row), at(0).alias(gaps), F.when(F.size(parts) > 1, kinds).otherwise(none).alias(own))
+    # parts of names that stand alone are names where their text has them in one
+    names = F.array_distinct(F.flatten(F.transform(F.filter(own, lambda e: e["kind"] == "name"), lambda e: F.filter(F.split(e["entity"], " "), lambda w: ~w.rlike(rf"^(?:{_TITLES})\.?$")))))
+    settled = let(names, lambda all_: F.transform(own, lambda e: F.struct(e["entity"].alias("entity"), F.when(e["kind"].isNull() & F.array_contains(all_, e["entity"]), "name").otherwise(e["kind"]).alias("kind"))))
+    return written(split.select(*rest, row, gaps, F.when(F.exists(own, lambda e: e["kind"] == "name"), settled).otherwise(F.col(own)).alias(entities)), "pii-found")
+
+
+def drawn(entity: Column, kind: Column) -> Column:
+    """What of an entity is replaced by a draw: an address, or the parts of a name that no list has."""
+    none = F.array().cast("array<string>")
+    return F.when(kind == "email", F.array(F.lower(entity))).when(kind == "name", F.filter(F.split(entity, " "), lambda w: ~is_known(w))).otherwise(none)
+
+
+def shared_draws(marked: DataFrame, row: str, entities: str, key: str, width: int) -> DataFrame:
+    """(row, longer): for rows that have draws which others share, the widths of these draws."""
+    each = marked.select(F.col(row).alias("row"), F.explode(F.transform(entities, lambda e: drawn(e["entity"], e["kind"]))).alias("words")).select("row", F.explode("words").alias("word"))
+    new = lambda wide: F.when(F.col("word").contains("@"), new_email(F.col("word"), key, lambda _: F.lit(wide))).otherwise(spelled(F.col("word"), key, F.lit(wide)))
+    alike = lambda words, wide: words.withColumn("new", new(wide)).groupBy("new").agg(F.collect_set("word").alias("words")).where(F.size("words") > 1).select(F.explode("words").alias("word"))
+    left = written(alike(each.select("word").distinct(), width), "pii-shared")
+    settled, wide = None, width
+    while not left.isEmpty():
+        wide += 2
+        if wide > width + 2 * LONGER:
+            raise ValueError("hashes of entities are equal")
+        still = written(alike(left, wide), "pii-shared")
+        done = left.join(still, "word", "left_anti").select("word", F.lit(wide).alias("width"))
+        settled = done if settled is None else settled.unionByName(done)
+        left = still
+    if settled is None:
+        return None
+    return written(join_small(each.distinct(), written(settled, "pii-longer"), "word", "inner").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "width"))).alias("longer")), "pii-rows")
+
+
+def replaced(docs: DataFrame, key: str = KEY, width: int = WIDTH) -> DataFrame:
     """docs with surrogates in text; other columns (n_chars, if there, but for its count) as they were."""
     return counted(docs, key, width).select(*docs.columns)
 
 
-def counted(docs: DataFrame, key: str = KEY, width: int | None = None) -> DataFrame:
+def counted(docs: DataFrame, key: str = KEY, width: int = WIDTH) -> DataFrame:
     """docs with surrogates in text, and the entities found as an array of (kind, surrogate) in a last column."""
-    width = width or width_without_collision(docs, key)
-    entities, last = unused("entities", docs), unused("found", docs)
-    marked = found(docs, entities)
-    marked = marked.withColumn(last, F.transform(entities, lambda e: F.struct(kind_of(e).alias("kind"), surrogate(e, key, width).alias("surrogate"))))
-    # the texts between entities, and the entities' surrogates in turn
-    gaps = F.split("text", ANY, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col(last).alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"]["surrogate"], F.lit("")))), "")
-    text = F.when(F.size(entities) > 0, joined).otherwise(F.col("text"))
-    return marked.select(*(text.alias(c) if c == "text" else F.length(text).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns), last)
+    row, gaps, entities, last = (unused(x, docs) for x in ("row_number", "gaps", "entities", "found"))
+    marked = found(docs, row, gaps, entities)
+    longer = shared_draws(marked, row, entities, key, width)
+    own = lambda _: F.lit(width)
+    if longer is not None:
+        widths = unused("longer", marked)
+        marked = join_small(marked, longer.select(F.col("row").alias(row), F.col("longer").alias(widths)), row)
+        own = lambda word: F.coalesce(F.element_at(widths, word), F.lit(width))
+    made = marked.withColumn(last, F.transform(entities, lambda e: F.struct(e["kind"].alias("kind"), surrogate(e["entity"], e["kind"], key, own).alias("surrogate"))))
+    joined = F.array_join(F.transform(F.arrays_zip(F.col(gaps).alias("gap"), F.col(last).alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"]["surrogate"], F.lit("")))), "")
+    text = F.when(F.size(gaps) > 1, joined).otherwise(F.element_at(gaps, 1))
+    kinds = dict(docs.dtypes)
+    return made.select(*(text.alias(c) if c == "text" else F.length(text).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns), F.filter(last, lambda e: e["kind"].isNotNull()).alias(last))

@@ -51,7 +51,7 @@ def op7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kinds = F.transform("found", lambda x: x["kind"])
-    return pii.counted(docs).select("doc_id", "text", F.size("found").alias("n_found"), *(F.size(F.array_intersect(kinds, F.array(F.lit(k)))).alias(f"has_{k}") for k in pii.PATTERNS))
+    return pii.counted(docs).select("doc_id", "text", F.size("found").alias("n_found"), *(F.size(F.array_intersect(kinds, F.array(F.lit(k)))).alias(f"has_{k}") for k in pii.KINDS))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
