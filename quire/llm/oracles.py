@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .lm import BACKOFF, UNSEEN
 from .mixing import EPOCHS, WEIGHTS
-from .quality import LEAST_DOCS, METRICS, SPREADS
+from .quality import LEAST_DOCS, METRICS, reach
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _PER = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "word_chars"), "word_length": ("word_chars", "n_words")}
+_LOWEST = 100 - METRICS["word_length"]
 _LEVELS = (("lang", "source"), ("lang",), ())
 
 
@@ -29,8 +30,8 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 x AS (SELECT lang, source, metric, (v >> k) << k AS bucket FROM (SELECT *, greatest(length(bin(v)) - 7, 0) AS k FROM ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM m WHERE NOT base_failed" for m in METRICS)}))),
 g AS (SELECT 0 AS level, lang, source, metric, bucket, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM x GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM x GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM g),
-q AS (SELECT level, lang, source, metric, {", ".join(f"min(bucket) FILTER (100 * below >= {p} * total) AS q{p}" for p in (25, 50, 75))} FROM c WHERE total >= {LEAST_DOCS} GROUP BY ALL),
-h AS (SELECT level, lang, source, {", ".join(f"max(q50 + {SPREADS} * greatest(q75 - q50, {f})) FILTER (metric = '{m}') AS hi_{m}" for m, f in METRICS.items())}, max(q50 - {SPREADS} * greatest(q50 - q25, {METRICS["word_length"]})) FILTER (metric = 'word_length') AS lo_word_length FROM q GROUP BY ALL)
+q AS (SELECT level, lang, source, metric, {", ".join(f"min(bucket) FILTER (100 * below >= {p} * total) AS q{p}" for p in sorted({50, _LOWEST, *METRICS.values()}))} FROM c WHERE total >= {LEAST_DOCS} GROUP BY ALL),
+h AS (SELECT level, lang, source, {", ".join(f"max(floor(q50 + {reach(p)!r}::DOUBLE * (q{p} + (1 << greatest(length(bin(q{p})) - 7, 0)) - 1 - q50))::BIGINT) FILTER (metric = '{m}') AS hi_{m}" for m, p in METRICS.items())}, max(ceil(q50 - {reach(METRICS["word_length"])!r}::DOUBLE * (q50 - q{_LOWEST}))::BIGINT) FILTER (metric = 'word_length') AS lo_word_length FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_length >= coalesce({_limit("lo_word_length")}, 0) AND {" AND ".join(f"{m} <= coalesce({_limit(f'hi_{m}')}, {m})" for m in METRICS)} AS kept
 FROM m {" ".join(f"LEFT JOIN h l{k} ON l{k}.level = {k}" + "".join(f" AND l{k}.{c} IS NOT DISTINCT FROM m.{c}" for c in cols) for k, cols in enumerate(_LEVELS))}
 """
