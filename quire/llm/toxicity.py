@@ -5,9 +5,9 @@ hold and labelled clean ones don't. It becomes a trie. A word of a text is looke
 intersecting its Levenshtein automaton with the trie: the automaton's states, sets of
 positions by number of edits, are stepped along the trie's edges, and a branch is left
 as soon as no state is alive. So misspelled terms match, at a price per edit, stems
-within the edits of any beginning of a word. Words that lack more letters of every term
-than there may be edits, or share no string with any once as many letters are left out
-of both, are passed by: they have no match.
+within the edits of any beginning of a word. The new words of many texts are looked up
+together: at each node of the trie, the states of all words still alive there are
+stepped as one array of bits.
 
 Every match is read in its context window: within quotation marks it counts as
 quotation, at half its strength if a word of reporting is near, else as abuse. A text's
@@ -20,17 +20,19 @@ which those with the least hashes, TRAINING at most, are read: a documented boun
 Neither labels, language, source nor doc_id enter a score.
 
 Nulls and empty texts have no match and get the score of such texts. A null doc_id
-is scored, and is not held out. Repeated rows are scored alike; where labels repeat or
-contradict, an id counts as toxic if any of its labels does. Without labels of both kinds
+is scored, and is not held out. Repeated rows are scored alike; of rows that repeat an
+id, the least text is learned from; where labels repeat or contradict, an id or a text
+counts as toxic if any of its labels does. Texts, words and quotations of any length are
+read whole. Without labels of both kinds
 nothing is learned, and every score is 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,104 +55,138 @@ WINDOW = 6
 #: Fixed words near which a term is reported rather than used, in the languages of the corpus.
 REPORTING = frozenset("said says quoted quote called calls word term wrote cited sagte zitat nannte wort dit cite mot appelé dijo cita palabra llamó".split())
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|«[^»\n]{0,300}»|„[^“”\n]{0,300}[“”]")
+#: A quotation is within a line; none holds another of its kind.
+QUOTED = re.compile(r"\"[^\"\n]*\"|“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”]")
+#: Letters that the states of a word have room for; longer terms are looked up one by one.
+ROOM = 60
+#: Characters of the texts whose words are looked up together, and words whose strength a worker keeps.
+TOGETHER, KEPT = 2_000_000, 500_000
 WHOLE, PREFIX, NEAR = 1, 2, 2
 KINDS = (WHOLE, PREFIX, WHOLE + NEAR, PREFIX + NEAR)
 
 
-def shortened(word: str, most: int, least: int = 0) -> Iterator[str]:
-    """The word with so many letters left out, or less, down to `least`."""
-    if not least:
-        yield word
-    for n in range(max(1, least), most + 1):
-        for at in combinations(range(len(word)), n):
-            yield "".join([word[a + 1 : b] for a, b in zip((-1, *at), (*at, len(word)))])
-
-
-def letters_of(words: list[str], sizes: np.ndarray, most: int = 1 << 30) -> np.ndarray:
-    """The letters of every word, of its first ones if there are more, as bits; letters may share one."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    bits = np.left_shift(np.uint64(1), np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(63))
-    starts = np.cumsum(sizes) - sizes
-    # one more at the end, as an end may be there
-    return np.bitwise_or.reduceat(np.append(bits, np.uint64(0)), np.column_stack([starts, starts + np.minimum(sizes, most)]).ravel())[::2]
+def trie(terms: Iterable[tuple[str, int, float]]) -> dict:
+    root: dict = {}
+    for term, kind, weight in terms:
+        node = root
+        for letter in term:
+            node = node.setdefault(letter, {})
+        node[kind] = weight
+    return root
 
 
 class Lexicon:
     """A trie of terms (weight of whole words, weight of stems) and fuzzy look-up in it."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
-        self.root: dict = {}
-        for kind, terms in ((WHOLE, words), (PREFIX, stems)):
-            for term, weight in terms.items():
-                node = self.root
-                for letter in term:
-                    node = node.setdefault(letter, {})
-                node[kind] = weight
-        self.known: dict[str, float] = {}
-        # what near words have in common with terms, by number of edits
-        self.near = {(kind, edits): {s for t in terms for s in shortened(t, edits)} for kind, terms in ((WHOLE, words), (PREFIX, stems)) for edits in (1, 2)}
-        self.heads = (min(map(len, stems), default=0), max(map(len, stems), default=-1))
-        lengths = lambda terms: np.array(list(map(len, terms)), np.int64)
-        self.words = (letters_of(list(words), lengths(words)), lengths(words))
-        self.stems = {n: letters_of(own, lengths(own)) for n in set(map(len, stems)) if (own := [s for s in stems if len(s) == n])}
+        self.words, self.stems = words, stems
+        self.heads = sorted(set(map(len, stems)))
+        terms = [(t, kind, w) for kind, some in ((WHOLE, words), (PREFIX, stems)) for t, w in some.items()]
+        self.root = trie(x for x in terms if len(x[0]) <= ROOM - 4)
+        self.long = trie(x for x in terms if len(x[0]) > ROOM - 4)
+        self.met: set[str] = set()
+        self.hits: dict[str, tuple[float, int]] = {}
 
     def strength(self, word: str) -> tuple[float, int]:
         """Weight and kind of the best match of a word: exact, or with the price of its edits; 0 for none."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[word] = self.search(word)
-        return found
+        self.meet({word})
+        return self.hits.get(word, (0.0, 0))
 
     def meet(self, words: set[str]) -> None:
-        """Looks new words up together: most lack too many letters of every term to be near one."""
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) > 500_000:
-            self.known.clear()
-        if not fresh:
-            return
-        sizes = np.array(list(map(len, fresh)), np.int64)
-        edits = np.where(sizes < ONE_EDIT, 0, np.where(sizes < TWO_EDITS, 1, 2))[:, None]
-        own, (terms, lengths) = letters_of(fresh, sizes)[:, None], self.words
-        close = ((np.bitwise_count(terms & ~own) <= edits) & (np.bitwise_count(own & ~terms) <= edits) & (np.abs(sizes[:, None] - lengths) <= edits)).any(1)
-        for n, stems in self.stems.items():
-            close |= (np.bitwise_count(stems & ~letters_of(fresh, sizes, n + 2)[:, None]) <= edits).any(1)
-        for word, may in zip(fresh, close.tolist()):
-            self.known[word] = self.search(word) if may else self.exact(word)
+        """Looks up the words that are new, together."""
+        if len(self.met) > KEPT:
+            self.met.clear()
+            self.hits.clear()
+        fresh = words - self.met
+        self.met |= fresh
+        near: tuple[list[str], list[str]] = ([], [])
+        for word in fresh:
+            found = self.exact(word)
+            if found[0]:
+                self.hits[word] = found
+            elif len(word) >= ONE_EDIT:
+                near[len(word) >= TWO_EDITS].append(word)
+        for k, some in enumerate(near):
+            if some:
+                strengths, kinds = self.together(some, k + 1)
+                for at in np.flatnonzero(strengths).tolist():
+                    self.hits[some[at]] = float(strengths[at]), int(kinds[at])
+        if self.long:
+            for word in fresh:
+                if len(word) > ROOM - 8 and word not in self.hits:
+                    best = max(((w * EDIT_PRICE**d, kind + NEAR) for d, w, kind in self.within(word, 2, self.long)), default=None)
+                    if best:
+                        self.hits[word] = best
 
     def exact(self, word: str) -> tuple[float, int]:
-        best, node = (0.0, 0), self.root
-        for letter in word:
-            node = node.get(letter)
-            if node is None:
-                break
-            best = max(best, (node.get(PREFIX, 0.0), PREFIX))
-        else:
-            best = max(best, (node.get(WHOLE, 0.0), WHOLE))
-        return best
-
-    def search(self, word: str) -> tuple[float, int]:
-        best = self.exact(word)
-        if best[0] or len(word) < ONE_EDIT:
-            return best
-        edits = 2 if len(word) >= TWO_EDITS else 1
-        if not self.is_near(word, edits):
-            return best
-        return max(((w * EDIT_PRICE**d, kind + NEAR) for d, w, kind in self.within(word, edits)), default=best)
-
-    def is_near(self, word: str, edits: int) -> bool:
-        """Whether a term can be within so many edits of the word, or a stem of a beginning of it."""
-        if not self.near[WHOLE, edits].isdisjoint(shortened(word, edits)):
-            return True
-        least, most = self.heads
-        stems = self.near[PREFIX, edits]
-        # of each beginning those that keep its last letter: the others are of a shorter one
-        return any(f"{s}{word[n - 1]}" in stems for n in range(max(1, least - edits), min(len(word), most + edits) + 1) for s in shortened(word[: n - 1], min(edits, n - least + edits), max(0, n - most)))
-
-    def within(self, word: str, edits: int) -> Iterator[tuple[int, float, int]]:
+        best = (self.words.get(word, 0.0), WHOLE)
+        for n in self.heads:
+            if (weight := self.stems.get(word[:n])) is not None and len(word) >= n:
+                best = max(best, (weight, PREFIX))
+        return best if best[0] else (0.0, 0)
+
+    def together(self, words: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Strength and kind of the best misspelled match of each word; see within."""
+        sizes = np.array(list(map(len, words)))
+        width = min(int(sizes.max()), ROOM)
+        letters = np.zeros((len(words), width), np.uint32)
+        flat = np.frombuffer("".join(w[:width] for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.arange(width) < sizes[:, None]
+        letters[inside] = flat
+        place = np.uint64(1) << np.arange(width, dtype=np.uint64)
+        shown: dict[str, np.ndarray] = {}
+
+        def at(letter: str) -> np.ndarray:
+            found = shown.get(letter)
+            if found is None:
+                found = shown[letter] = ((letters == np.uint32(ord(letter))) * place).sum(1, dtype=np.uint64)
+            return found
+
+        one, two = np.uint64(1), np.uint64(2)
+        held = np.minimum(sizes, width).astype(np.uint64)
+        accept = np.where(sizes <= width, one << held, np.uint64(0))
+        full = (two << held) - one
+        best, kinds = np.zeros(len(words)), np.zeros(len(words), np.int64)
+
+        def offer(rows: np.ndarray, strength: float, kind: int) -> None:
+            better = (strength > best[rows]) | ((strength == best[rows]) & (kind > kinds[rows]))
+            best[rows[better]], kinds[rows[better]] = strength, kind
+
+        every = np.arange(len(words))
+        stack = [(self.root, every, [np.uint64((2 << d) - 1) & full for d in range(edits + 1)], None, "")]
+        while stack:
+            node, rows, states, before, last = stack.pop()
+            if (weight := node.get(WHOLE)) is not None:
+                open_ = np.ones(len(rows), bool)
+                for d, state in enumerate(states):
+                    ends = open_ & ((state & accept[rows]) > 0)
+                    open_ &= ~ends
+                    if d:
+                        offer(rows[ends], weight * EDIT_PRICE**d, WHOLE + NEAR)
+            if (weight := node.get(PREFIX)) is not None:
+                open_ = np.ones(len(rows), bool)
+                for d, state in enumerate(states):
+                    alive = open_ & (state > 0)
+                    open_ &= ~alive
+                    if d:
+                        offer(rows[alive], weight * EDIT_PRICE**d, PREFIX + NEAR)
+            for letter, child in node.items():
+                if letter.__class__ is int:
+                    continue
+                here, mask = at(letter)[rows], full[rows]
+                step = [(states[0] & here) << one]
+                for d in range(1, edits + 1):
+                    less = states[d - 1]
+                    state = ((states[d] & here) << one) | less | (less << one) | (step[d - 1] << one)
+                    if before is not None:  # neighbours swapped
+                        state |= (before[d - 1] & here & (at(last)[rows] >> one)) << two
+                    step.append(state & mask)
+                alive = step[edits] > 0
+                if alive.any():
+                    stack.append((child, rows[alive], [x[alive] for x in step], [x[alive] for x in states], letter))
+        return best, kinds
+
+    def within(self, word: str, edits: int, root: dict | None = None) -> Iterator[tuple[int, float, int]]:
         """(distance, weight, kind) of the whole words within so many edits of a word, and of the stems within so many of a beginning of it.
 
         States are sets of positions in the word, as bits, one set per number of edits."""
@@ -160,7 +196,7 @@ class Lexicon:
         accept, full = 1 << len(word), (2 << len(word)) - 1
         # at the root: the first position, and those that edits reach from it
         start = tuple((2 << d) - 1 & full for d in range(edits + 1))
-        stack = [(self.root, start, None, "")]
+        stack = [(self.root if root is None else root, start, None, "")]
         while stack:
             node, states, before, last = stack.pop()
             if (weight := node.get(WHOLE)) is not None:
@@ -188,25 +224,36 @@ class Lexicon:
                     stack.append((child, tuple(step), states, letter))
 
 
-def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
-    """Strength and density of abuse by words, the same by stems, strength of quotation, and those of misspelled words and stems."""
-    lower = (text or "").lower()
-    strength = lexicon.strength
-    words = WORD.findall(lower)
-    own = set(words)
-    lexicon.meet(own)
-    hits = {w: s for w in own if (s := strength(w))[0]}
-    if not hits:
-        return (0.0,) * 9
+def features(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
+    """Per text: strength and density of abuse by words, the same by stems, strength of quotation, and those of misspelled words and stems."""
+    out = np.zeros((len(texts), 9))
+    start = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size > TOGETHER or k == len(texts) - 1:
+            some = [(t or "").lower() for t in texts[start : k + 1]]
+            words = [WORD.findall(t) for t in some]
+            lexicon.meet(set().union(*words))
+            hit = set(lexicon.hits)
+            for n, (lower, own) in enumerate(zip(some, words)):
+                if not hit.isdisjoint(own):
+                    out[start + n] = in_context(lower, own, lexicon.hits)
+            start, size = k + 1, 0
+    return out
+
+
+def in_context(lower: str, words: list[str], hits: dict[str, tuple[float, int]]) -> tuple[float, ...]:
+    """The features of a text in lower case that has a match."""
     quotes = [m.span() for m in QUOTED.finditer(lower)]
-    starts = np.array([a for a, _ in quotes])
+    spans = [m.span() for m in WORD.finditer(lower)] if quotes else []
+    starts = [a for a, _ in quotes]
     abuse, quoted = dict.fromkeys(KINDS, 0.0), 0.0
-    for k, m in enumerate(WORD.finditer(lower)):
-        if (found := hits.get(m[0])) is None:
+    for k, word in enumerate(words):
+        if word not in hits:
             continue
-        weight, kind = found
-        q = int(np.searchsorted(starts, m.start(), "right")) - 1
-        if q >= 0 and m.end() <= quotes[q][1]:
+        weight, kind = hits[word]
+        q = bisect_right(starts, spans[k][0]) - 1 if quotes else -1
+        if q >= 0 and spans[k][1] <= quotes[q][1]:
             near = not REPORTING.isdisjoint(words[max(0, k - WINDOW) : k + WINDOW + 1])
             quoted += weight * (0.5 if near else 1.0)
         else:
@@ -240,7 +287,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isNotNull() & learnable()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = own.withColumn("place", F.xxhash64(F.lit(11), "doc_id")).orderBy("place", "doc_id").limit(most).withColumn("half", F.pmod(F.shiftright("place", 7), F.lit(2)).cast("int")).drop("place")
     chosen = written(chosen, "toxicity-chosen")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("half").alias("half"))
 
 
 def learned_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -252,7 +300,7 @@ def learned_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, fl
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = WORD.findall((text or "").lower())
-                terms = {w: [w, *(f"{w[:n]}*" for n in STEM if len(w) > n)] for w in set(words) if 2 < len(w) <= 40 and not w.isdigit()}
+                terms = {w: [w, *(f"{w[:n]}*" for n in STEM if len(w) > n)] for w in set(words) if len(w) > 2 and not w.isdigit()}
                 if not toxic:
                     clean.update({t for ts in terms.values() for t in ts})
                     continue
@@ -271,7 +319,7 @@ def learned_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, fl
 
     from xxhash import xxh64_intdigest
 
-    uses = training.where("half = 0").select("text", "toxic").dropDuplicates(["text"]).mapInArrow(rows, "term string, use long, clean long")
+    uses = training.where("half = 0").groupBy("text").agg(F.max("toxic").alias("toxic")).mapInArrow(rows, "term string, use long, clean long")
     counts = uses.groupBy("term").agg(F.count_distinct("use").alias("toxic"), F.sum("clean").alias("clean"))
     base = training.where("half = 0").agg(F.avg("toxic").alias("p")).collect()[0]["p"] or 0.0
     texts = F.col("toxic") + F.col("clean")
@@ -295,9 +343,8 @@ def model(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> tuple[dic
     words, stems = learned_lexicon(training)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lexicon = Lexicon(words, stems)
-        found = [features(t, lexicon) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+        found = features(batch.column(0).to_pylist(), Lexicon(words, stems))
+        return pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     seen = mapped(training.where("half = 1").select("text", "toxic").orderBy("doc_id"), rows, "x array<double>, toxic int").toPandas()
     if seen.empty or seen["toxic"].nunique() < 2:
@@ -317,7 +364,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = TRAINING, threshold: f
             if weights is None:
                 scores = np.zeros(batch.num_rows)
             else:
-                x = np.array([features(t.as_py(), lexicon) for t in batch.column(1)])
+                x = features(batch.column(1).to_pylist(), lexicon)
                 scores = 1 / (1 + np.exp(-np.clip(x @ np.array(weights[:-1]) + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

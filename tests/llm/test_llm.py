@@ -124,9 +124,23 @@ def test_toxicity_lexicon():
     s = lambda w: lexicon.strength(w)[0]
     assert s("idiot") == 1 and s("idoit") == 0.5 and s("idi0t") == 0.5 and s("idiott") == 0.5 and s("ideal") == 0
     assert s("disgustng") == 0.5 and s("disgutsnig") == 0.25 and s("scim") == 0 and s("vequelle") == 0.8
-    abuse = toxicity.features("you idiot, you scum", lexicon)
-    quoted = toxicity.features('he said the word "idiot" once', lexicon)
-    assert abuse[0] > 0 and quoted[0] == 0 and 0 < quoted[4] < toxicity.features('"idiot"', lexicon)[4]
+    abuse, quoted, bare, long, empty = toxicity.features(["you idiot, you scum", 'he said the word "idiot" once', '"idiot"', '"' + "so it goes on " * 100 + ' idiot"', None], lexicon)
+    assert abuse[0] > 0 and quoted[0] == 0 and 0 < quoted[4] < bare[4] and long[0] == 0 < long[4] and not empty.any()
+
+
+def test_toxicity_long_words():
+    long = "donau" * 14
+    lexicon = toxicity.Lexicon({long: 1.0, "idiot": 1.0}, {"x" * 61: 0.5})
+    s = lexicon.strength
+    assert s(long) == (1.0, toxicity.WHOLE) and s(long[1:]) == (0.5, toxicity.WHOLE + toxicity.NEAR) and s(long[3:]) == (0.0, 0)
+    assert s("x" * 90)[0] == 0.5 and s("y" + "x" * 59 + "zzzz")[0] == 0.125 and s("idiot" * 20) == (0.0, 0)
+
+
+def test_toxicity_equal_texts_and_ids(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "same"), (3, "same")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_texts(docs, labels, 100).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(i, t) for i, t in ((1, "a"), (2, "same"), (3, "same")) if any(r.doc_id == i for r in rows)]
 
 
 def test_toxicity_first_letters_and_stems():
@@ -160,8 +174,9 @@ def test_toxicity_first_letters_and_stems():
         exact = [w for w, d in near if not d]
         want = max(exact) if exact else max((w * 0.5**d for w, d in near if d <= edits), default=0)
         met = toxicity.Lexicon(terms, stems)
-        met.meet({word, "another"})
-        assert s(word)[0] == met.known[word][0] == pytest.approx(want), word
+        met.meet({word, "another", "w" * 70})
+        alone = max((w * 0.5**d for d, w, _ in met.within(word, edits)), default=0) if edits and not exact else want
+        assert s(word)[0] == met.hits.get(word, (0,))[0] == alone == pytest.approx(want), word
 
 
 def test_toxicity_keeps_words_beside_stems(spark):
