@@ -1,22 +1,26 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Vector components are floored to whole impacts. Vectors are dealt into blocks; the
-postings of a block (a vector's impact in a dimension) are segmented by quantised
-impact, the number of its bits. The queries of a query block take the segments in
-descending order together and add them to accumulators. After each, what a vector can
-still get is bounded: in every dimension not met so far, the query's component times the
-largest impact left. The exact scores of the k leaders give a threshold, and a query
-stops only when the vectors whose bound reaches it are few enough to be rescored
-exactly, ties included; otherwise it goes on to the last segment. Blocks answer with
-their k best; the k best of those are the result.
+Vector components are floored to whole impacts. Vectors are dealt into blocks. A block's
+postings (row, impact) are kept by segment: one dimension and one quantised impact, the
+half octave of its size. Segments are taken by descending quantised impact, by all
+queries of a block together, and add to the accumulators of the rows they list, and of
+no others. After each level of impacts, what a row can still get is bounded by the
+lengths of what is left of its vector and of the query in the dimensions where the row
+hasn't been met (the inner product of two vectors is at most the product of their
+lengths). The exact scores of some leaders give a threshold, and a query stops only when
+the rows whose bound reaches it are few enough to be rescored exactly, ties included;
+otherwise it goes on to the next level, and after the last every score is exact. Blocks
+answer with their k best; the k best of those are the result.
 
 Queries are a stated set, which meets the index in blocks against blocks, joined on
 block numbers. Nothing is approximate, and no candidate is dropped without proof.
 
-Null vectors and those holding null or non-finite components take no part, nor do
-vectors of another length than the most common; equal scores go to the smaller id.
-Rows that repeat an id are candidates each, and a row is never its own candidate
-(rows with the query's id are all left out). Empty tables give empty results.
+Null vectors and those holding null or non-finite components take no part. Rows are
+told apart by a number of their own: a row is never its own candidate, rows that repeat
+its id are, and an id that several rows have is a query in each of them, with a result
+(ranks from 1) each. Vectors of unequal lengths meet in the dimensions both have, the
+others being zero; empty ones score 0. Equal scores go to the smaller id. Scores beyond
+a long are cut to it. A null id takes no part. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,31 +31,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mapped, written
+from .common import join_small, mapped, written
 
 K = 5
 SCALE = 256
 EVERY = 50
-#: Vectors of an index block and queries of a query block, about.
-BLOCK, QUERIES = 16_384, 256
+#: Vectors of an index block, queries of a query block, and queries that accumulate together.
+BLOCK, QUERIES, TOGETHER = 8_192, 512, 64
 #: A query stops when so small a part of a block could still be in its result.
 FEW = 1 / 64
+#: Bounds are looked at when this part of the postings is taken, and after each level from then on.
+LOOK = 1 / 4
 #: Below any score.
-NONE = -(2**62)
+NONE = -(2.0**62)
 
 
 def impacts(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, impacts) of the vectors that take part."""
+    """(row, vec_id, width, impacts) of the vectors that take part."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    found = found.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite))
-    return found.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("impacts"))
-
-
-def blocked(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """(block, ids, data): the vectors of each block, side by side."""
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return written(dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "impacts"))).alias("rows")).select("block", F.col("rows.vec_id").alias("ids"), F.flatten("rows.impacts").alias("data")), name)
+    found = found.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite))
+    return found.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("width"), F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("impacts"))
+
+
+def blocked(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """(block, width, rows, ids, data): vectors of one length side by side, blocks numbered from 0; and how many there are."""
+    widths = rows.groupBy("width").agg(F.ceil(F.count("*") / size).alias("own"))
+    # one row per length of vectors: a handful
+    widths = written(widths.withColumn("first", F.sum("own").over(Window.orderBy("width")) - F.col("own")), f"{name}-widths")
+    dealt = join_small(rows, widths, "width").withColumn("block", F.col("first") + F.pmod(F.xxhash64("row"), F.col("own")))
+    found = dealt.groupBy("block", "width").agg(F.collect_list(F.struct("row", "vec_id", "impacts")).alias("all"))
+    return written(found.select("block", "width", F.col("all.row").alias("rows"), F.col("all.vec_id").alias("ids"), F.flatten("all.impacts").alias("data")), name), widths.agg(F.sum("own")).collect()[0][0] or 0
+
+
+class Index:
+    """The postings of a block by segment, in the order in which they are taken."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.data = data
+        size = np.abs(data)
+        level = np.zeros(data.shape, np.int64)
+        np.floor(2 * np.log2(size, where=size > 0, out=np.zeros(data.shape)), out=level, where=size > 0, casting="unsafe")
+        level += size > 0
+        row, dimension = np.nonzero(data)
+        own = level[row, dimension]
+        order = np.lexsort((row, dimension, -own))
+        row, dimension, own = row[order], dimension[order], own[order]
+        cuts = np.flatnonzero((np.diff(own) != 0) | (np.diff(dimension) != 0)) + 1
+        starts, ends = np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(row)]]).tolist()
+        impact = data[row, dimension]
+        #: per level: (dimension, rows, impacts) of its segments
+        self.levels: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        for k, (a, b) in enumerate(zip(starts, ends)):
+            if a == b:
+                continue
+            if not k or own[a] != own[a - 1]:
+                self.levels.append([])
+            self.levels[-1].append((int(dimension[a]), row[a:b], impact[a:b].astype(float)))
+        self.postings = len(row)
+        self.energy = (data.astype(float) ** 2).sum(1)
 
 
 def best(ids: np.ndarray, data: np.ndarray, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,65 +99,101 @@ def best(ids: np.ndarray, data: np.ndarray, rows: np.ndarray, query: np.ndarray,
     return ids[rows][order], exact[order]
 
 
-def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, few: float = FEW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query, ids and scores of its k best in the block."""
-    n, width = data.shape
-    size = np.abs(data)
-    # sums of products stay whole in doubles unless impacts are huge
-    exact = float(size.max(initial=0)) * float(np.abs(queries).max(initial=0)) * width < 2**53
-    kind = np.float64 if exact else np.int64
-    level = np.frexp(size)[1]  # bits
-    segments = [x for x in np.unique(level)[::-1] if x]
-    found: list = [None] * len(query_ids)
-    open_ = np.arange(len(query_ids))
-    q = queries.astype(kind)
-    score, met = np.zeros((len(q), n), kind), np.zeros((len(q), n), kind)
-    score[query_ids[:, None] == ids[None, :]] = NONE
-    every = np.abs(q).sum(1, keepdims=True)
-    for segment in segments or [0]:
-        here = level == segment
-        score += q @ np.where(here, data, 0).T.astype(kind)
-        met += np.abs(q) @ here.T.astype(kind)
-        left = size[level < segment].max(initial=0)
-        threshold = np.full((len(q), 1), NONE, kind)
-        if n >= k:
-            leaders = np.argpartition(score, n - k, axis=1)[:, n - k :]
-            theirs = (data[leaders] * queries[open_][:, None, :]).sum(2)
-            theirs[np.take_along_axis(score, leaders, 1) < NONE // 2] = NONE
-            threshold[:, 0] = theirs.min(1)
-        could = (score + (every - met) * left >= threshold) & (score > NONE // 2)
-        stop = could.sum(1) <= max(4 * k, n * few)
-        if segment == (segments or [0])[-1]:
-            stop[:] = True
+def search_block(rows: np.ndarray, ids: np.ndarray, index: Index, query_rows: np.ndarray, queries: np.ndarray, k: int, few: float = FEW) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Per query, ids and scores of its k best in the block; and how many products were made."""
+    data, n = index.data, len(ids)
+    found: list = [None] * len(query_rows)
+    products = 0
+    q = queries.astype(float)
+    score = np.zeros((n, len(q)))
+    met = np.zeros((n, len(q)))  # squares of the query's components in the dimensions met
+    own = np.searchsorted(rows, query_rows)
+    own[(own < n) & (rows[np.minimum(own, n - 1)] != query_rows)] = n
+    score[own[own < n], np.flatnonzero(own < n)] = NONE
+    left, whole = index.energy.copy(), (q**2).sum(1)
+    open_ = np.arange(len(q))
+    taken = 0
+    groups = min(n, max(16 * k, 64))
+    for level in [*index.levels, None]:
+        for dimension, at, impact in level or []:
+            here = q[:, dimension]
+            score[at] += impact[:, None] * here
+            met[at] += here**2
+            left[at] -= impact**2
+            taken += len(at)
+            products += len(at) * len(q)
+        last = level is None or taken == index.postings
+        if not last and taken < LOOK * index.postings:
+            continue
+        if last:
+            threshold = np.full(len(q), NONE)
+            if n > k:
+                threshold = np.maximum(np.partition(score, n - k, axis=0)[n - k], NONE)
+            could = (score >= threshold) & (score > NONE / 2)
+        else:
+            # one leader of each of some groups of rows
+            edges = np.linspace(0, n, groups, endpoint=False).astype(int)
+            leaders = np.stack([a + score[a:b].argmax(0) for a, b in zip(edges, [*edges[1:], n])])
+            exact = np.einsum("lqd,qd->lq", data[leaders].astype(float), q)
+            exact[np.take_along_axis(score, leaders, 0) < NONE / 2] = NONE
+            products += exact.size * data.shape[1]
+            threshold = np.partition(exact, groups - k, axis=0)[groups - k] if groups > k else np.full(len(q), NONE)
+            # a whole unit for the rounding of roots
+            could = (score + np.sqrt(np.maximum(left, 0)[:, None] * np.maximum(whole - met, 0)) + 1 >= threshold) & (score > NONE / 2)
+        stop = np.full(len(q), True) if last else could.sum(0) <= max(4 * k, n * few)
         for c in np.flatnonzero(stop):
-            found[open_[c]] = best(ids, data, np.flatnonzero(could[c]), queries[open_[c]], k)
+            possible = np.flatnonzero(could[:, c])
+            found[open_[c]] = best(ids, data, possible, queries[open_[c]], k)
+            products += len(possible) * data.shape[1]
         if stop.all():
             break
-        open_, q, score, met, every = (x[~stop] for x in (open_, q, score, met, every))
-    return found
+        if stop.any():
+            open_, q, whole, score, met = open_[~stop], q[~stop], whole[~stop], np.ascontiguousarray(score[:, ~stop]), np.ascontiguousarray(met[:, ~stop])
+    return found, products
+
+
+def too_large(data: np.ndarray, queries: np.ndarray) -> bool:
+    """Whether sums of products may not be whole in doubles."""
+    a, b = (float(np.abs(x.astype(float)).max(initial=0)) for x in (data, queries))
+    return max(a, b) ** 2 * max(1, data.shape[1]) >= 2**52
+
+
+def plain(rows: np.ndarray, ids: np.ndarray, data: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same in whole numbers of any size."""
+    out = []
+    for row, query in zip(query_rows, queries.astype(object)):
+        scores = [max(-(2**63), min(2**63 - 1, int(x @ query))) for x in data.astype(object)]
+        order = sorted((i for i in range(len(ids)) if rows[i] != row), key=lambda i: (-scores[i], ids[i]))[:k]
+        out.append((ids[order], np.array([scores[i] for i in order], np.int64)))
+    return out
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every row whose id is divisible by `every`."""
     rows = written(impacts(vectors, scale), "topk-impacts")
-    width = rows.groupBy(F.size("impacts").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1).collect()
-    rows = rows.where(F.size("impacts") == (width[0]["width"] if width else 0))
-    total = width[0]["n"] if width else 0
-    index = blocked(rows, max(1, -(-total // block)), "topk-index")
-    queries = blocked(rows.where(F.col("vec_id") % every == 0), max(1, -(-total // (every * QUERIES))), "topk-queries")
+    index, index_blocks = blocked(rows, block, "topk-index")
+    queries, query_blocks = blocked(rows.where(F.col("vec_id") % every == 0), QUERIES, "topk-queries")
     # every query block goes to every index block, by its number
-    sent = queries.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(F.expr(f"sequence(0, {max(1, -(-total // block)) - 1})")).alias("index_block"))
-    tasks = max(1, -(-total // block)) * max(1, -(-total // (every * QUERIES)))
-    met = sent.join(index.withColumnRenamed("block", "index_block"), "index_block").repartition(min(2000, max(4, tasks)), "query_block", "index_block").select("query_ids", "query_data", "ids", "data")
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(max(1, index_blocks) - 1).cast("long"))
+    sent = queries.select(F.col("block").alias("query_block"), F.col("rows").alias("query_rows"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(numbers).alias("block"))
+    met = sent.join(index, "block").repartition(max(4, index_blocks * query_blocks), "query_block", "block").select("query_rows", "query_ids", "query_data", "rows", "ids", "data")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[np.ndarray, ...]] = []
         for r in range(batch.num_rows):
-            query_ids, query_data, ids, data = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(4))
-            found = search_block(ids, data.reshape(len(ids), -1), query_ids, query_data.reshape(len(query_ids), -1), k)
-            out += [(np.full(len(i), query_id), i, score) for query_id, (i, score) in zip(query_ids, found)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["query_id", "vec_id", "score"])
-
-    found = mapped(met, run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            query_rows, query_ids, query_data, own, ids, data = (batch.column(c)[r].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6))
+            width = min(len(query_data) // len(query_ids), len(data) // len(ids))
+            order = np.argsort(own)
+            own, ids, data = own[order], ids[order], data.reshape(len(ids), -1)[order, :width]
+            asked = query_data.reshape(len(query_ids), -1)[:, :width]
+            if too_large(data, asked):
+                found = plain(own, ids, data, query_rows, asked, k)
+            else:
+                postings = Index(data)
+                found = [x for at in range(0, len(asked), TOGETHER) for x in search_block(own, ids, postings, query_rows[at : at + TOGETHER], asked[at : at + TOGETHER], k)[0]]
+            out += [(np.full(len(i), row), np.full(len(i), query_id), i, score) for row, query_id, (i, score) in zip(query_rows, query_ids, found)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["query_row", "query_id", "vec_id", "score"])
+
+    found = mapped(met, run, "query_row long, query_id long, vec_id long, score long")
+    first = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(first).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

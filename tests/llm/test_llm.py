@@ -243,11 +243,37 @@ def test_topk_brute_and_odd(spark):
     for block in (16_384, 64):
         assert {tuple(r) for r in topk.search(emb, block=block).collect()} == want(50, 5)
     assert {tuple(r) for r in topk.search(emb, every=20, k=11, block=200).collect()} == want(20, 11)
-    strange = spark.createDataFrame([(0, [1.0, 2.0], "x"), (50, [1.0, 2.0], "x"), (3, None, "x"), (4, [float("nan"), 1.0], "x"), (5, [float("inf"), 1.0], "x"), (6, [None, 1.0], "x"), (7, [], "x"), (8, [0.0, 0.0], "x"), (9, [1.0, 2.0, 3.0], "x"), (None, [1.0, 1.0], "x")], "vec_id long, embedding array<float>, score string")
+    strange = spark.createDataFrame([(0, [1.0, 2.0], "x"), (50, [1.0, 2.0], "x"), (3, None, "x"), (4, [float("nan"), 1.0], "x"), (5, [float("inf"), 1.0], "x"), (6, [None, 1.0], "x"), (8, [0.0, 0.0], "x"), (None, [1.0, 1.0], "x")], "vec_id long, embedding array<double>, score string")
     assert {tuple(r) for r in topk.search(strange).collect()} == {(0, 1, 50, 327680), (0, 2, 8, 0), (50, 1, 0, 327680), (50, 2, 8, 0)}
     assert topk.search(strange.limit(0)).count() == 0
 
 
+def test_topk_repeated_ids_and_lengths(spark):
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = 65536
+    got = sorted(tuple(r) for r in topk.search(make([(0, [1.0]), (0, [2.0]), (3, [1.0]), (4, [0.5])])).collect())
+    assert got == sorted([(0, 1, 0, 2 * one), (0, 2, 3, one), (0, 3, 4, one // 2), (0, 1, 0, 2 * one), (0, 2, 3, 2 * one), (0, 3, 4, one)])
+    got = {tuple(r) for r in topk.search(make([(0, [1.0, 1.0, 1.0]), (1, [1.0]), (2, []), (3, [0.5, 1.0, 4.0, 9.0])])).collect()}
+    assert got == {(0, 1, 3, 5 * one + one // 2), (0, 2, 1, one), (0, 3, 2, 0)}
+    got = {tuple(r) for r in topk.search(make([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 0.0])])).collect()}
+    assert got == {(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))}
+
+
+def test_topk_makes_fewer_products_than_brute_force():
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(8192, 64))
+    data = np.floor(256 * data / np.linalg.norm(data, axis=1, keepdims=True)).astype(np.int64)
+    index, rows = topk.Index(data), np.arange(8192)
+    assert sum(len(at) for level in index.levels for _, at, _ in level) == np.count_nonzero(data)
+    ids = rng.integers(0, 5000, 8192)
+    found, products = topk.search_block(rows, ids, index, rows[:40], data[:40], 5)
+    assert products < 0.75 * 40 * data.size
+    for k, (i, score) in enumerate(found):
+        exact = data @ data[k]
+        order = [x for x in np.lexsort((ids, -exact)) if x != k][:5]
+        assert i.tolist() == ids[order].tolist() and score.tolist() == exact[order].tolist()
+
+
 # ---- repeated strings
 
 
