@@ -83,21 +83,25 @@ class Names:
             starts[max(0, end - length + 1) : end] = False
         width = length - named + 1
         choice = extreme(names, width, np.minimum)[:n]
-        self.starts, self.choice = starts, choice
+        self.starts = starts
         # a position is chosen if it has the least name of some start's run
         shown = np.concatenate([np.zeros(width - 1, np.uint64), np.where(starts, choice, np.uint64(0)), np.zeros(width - 1, np.uint64)])
         chosen = extreme(shown, width, np.maximum)
-        self.chosen = names[: len(chosen)][names[: len(chosen)] == chosen]
+        # least names are small: scrambled, they spread over all buckets
+        self.chosen = mix64(names[: len(chosen)][names[: len(chosen)] == chosen])
+        self.choice = mix64(choice)
 
 
-def slabs(texts: list[bytes], length: int) -> Iterator[list[int]]:
-    """Numbers of the texts that can hold a repeat, a slab at a time."""
+def slabs(texts: list[bytes], length: int, slab: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(number of the text, offset, piece) of all that can hold a repeat, a slab at a time.
+
+    A long text is cut into pieces that overlap, so that each start is in one of them, whole."""
     held, size = [], 0
     for k, t in enumerate(texts):
-        if len(t) >= length:
-            held.append(k)
-            size += len(t)
-            if size >= SLAB:
+        for at in range(0, len(t) - length + 1, slab):
+            held.append((k, at, t[at : at + slab + length - 1]))
+            size += len(held[-1][2])
+            if size >= slab:
                 yield held
                 held, size = [], 0
     if held:
@@ -110,7 +114,7 @@ def whole_key(text: bytes) -> int:
     return xxh64_intdigest(text, 7)
 
 
-def remove(docs: DataFrame, length: int = LENGTH, named: int = NAMED, characters: int = BLOCK) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, named: int = NAMED, characters: int = BLOCK, slab: int = SLAB) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     if named & named - 1 or not named <= length <= 2 * named:
         raise ValueError("named must be a power of two of at least half the length, and at most the length")
@@ -121,7 +125,7 @@ def remove(docs: DataFrame, length: int = LENGTH, named: int = NAMED, characters
     def first_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of a block's first question with counts: chosen names, and long texts whole."""
         found = [np.array([whole_key(t) for t in texts if len(t) >= length], np.uint64)]
-        found += [Names([texts[k] for k in some], length, named).chosen for some in slabs(texts, length)]
+        found += [Names([piece for _, _, piece in some], length, named).chosen for some in slabs(texts, length, slab)]
         return np.unique(np.concatenate(found), return_counts=True)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +152,11 @@ def remove(docs: DataFrame, length: int = LENGTH, named: int = NAMED, characters
                     state[k] = 2 if told == 2 and key_ not in seen else 1
                     seen.add(key_)
         questions: list[list[np.ndarray]] = [[], []]  # of open texts, and of first copies
-        for some in slabs(raw, length):
-            some = [k for k in some if state[k] != 1]
-            if not some:
-                continue
-            names = Names([raw[k] for k in some], length, named)
+        for some in slabs([t if state[k] != 1 else b"" for k, t in enumerate(raw)], length, slab):
+            names = Names([piece for _, _, piece in some], length, named)
             left = names.starts & member(names.choice, common)
             bounds = np.concatenate([[0], names.ends])
-            for k, a, b in zip(some, bounds, bounds[1:]):
+            for (k, _, _), a, b in zip(some, bounds, bounds[1:]):
                 mine = left[a:b]
                 if mine.any():
                     questions[int(state[k] == 2)].append(names.whole[a : a + len(mine)][mine])
@@ -178,25 +179,32 @@ def remove(docs: DataFrame, length: int = LENGTH, named: int = NAMED, characters
         rows = rows.sort_by("bucket")  # the block's own row is first
         told = B.unframed(rows["keys"][0].as_py()).to_pydict()
         common = B.unpacked(rows["counts"][0].as_py())
-        opened = {}
-        for k, text in enumerate(told["open"]):
-            if text is not None:
-                names = Names([text], length, named)
-                at = np.flatnonzero(member(names.choice, common))
-                opened[k] = at, names.whole[at]
+        texts = [t or b"" for t in told["open"]]
+
+        def asked() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            """Number of the text, starts that were asked about, and their names."""
+            for some in slabs(texts, length, slab):
+                names = Names([piece for _, _, piece in some], length, named)
+                left = names.starts & member(names.choice, common)
+                bounds = np.concatenate([[0], names.ends])
+                for (k, offset, _), a, b in zip(some, bounds, bounds[1:]):
+                    at = np.flatnonzero(left[a:b])
+                    yield k, offset + at, names.whole[a + at]
+
         repeated = np.zeros(0, np.uint64)
-        if opened:
-            repeated = np.unique(np.concatenate([x for _, x in opened.values()]))[B.told(rows.slice(1)) > 0]
+        edges: dict[int, np.ndarray] = {}
+        if any(texts):
+            repeated = np.unique(np.concatenate([np.unique(x) for _, _, x in asked()]))[B.told(rows.slice(1)) > 0]
+            for k, at, whole in asked():
+                at = at[member(whole, repeated)]
+                own = edges.setdefault(k, np.zeros(len(texts[k]) + 1, np.int8))
+                own[at] += 1
+                own[at + length] -= 1
         n_removed, n_spans, sha = [], [], []
         for k, (n, state, text, digest) in enumerate(zip(told["n_bytes"], told["state"], told["open"], told["sha256"])):
             gone = np.zeros(n, bool)
             if state == 3:
-                at, whole = opened[k]
-                at = at[member(whole, repeated)]
-                edges = np.zeros(n + 1, np.int64)
-                edges[at] += 1
-                edges[at + length] -= 1
-                gone = np.cumsum(edges[:-1]) > 0
+                gone = np.cumsum(edges[k][:-1], dtype=np.int32) > 0
                 digest = hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
             elif state:
                 gone[:], digest = True, nothing

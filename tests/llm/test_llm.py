@@ -295,11 +295,19 @@ def test_suffix_brute(spark):
     made += made[:5]
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     want = list(brute_repeats([(t or "").encode() for t in made], 40))
-    for characters in (2_000, 10**7):
-        got = {r.doc_id: tuple(r)[1:] for r in suffix.remove(df, length=40, named=32, characters=characters).collect()}
+    for characters, slab in ((2_000, suffix.SLAB), (10**7, suffix.SLAB), (10**7, 64)):  # at last, texts are cut into pieces
+        got = {r.doc_id: tuple(r)[1:] for r in suffix.remove(df, length=40, named=32, characters=characters, slab=slab).collect()}
         assert [got[i] for i in range(len(made))] == want
 
 
+def test_suffix_keys_spread_over_buckets():
+    rng = np.random.default_rng(3)
+    keys = np.unique(suffix.Names([rng.integers(97, 123, 3_000_000, np.uint8).tobytes()], 200, 128).chosen)
+    for bits in (6, 9):
+        held = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        assert held.max() < 3 * held.mean()
+
+
 def test_suffix_documents_and_odd(docs, texts, odd):
     small = {i: t for i, t in texts.items() if i < 90}
     want = dict(zip(small, brute_repeats([(t or "").encode() for t in small.values()], 200)))
