@@ -78,6 +78,11 @@ def blocks(docs: DataFrame, name: str, characters: int = CHARACTERS) -> DataFram
     return written(slim.mapInArrow(run, "block long, payload binary"), name)
 
 
+def dealt(rows: DataFrame, key: str, number_of_blocks: int) -> DataFrame:
+    """Rows in partitions by bucket or block, as many as hold the keys of some blocks each, however many there are."""
+    return rows.repartition(max(8, number_of_blocks // 4), key)
+
+
 def bucket_bits(number_of_blocks: int) -> int:
     """Enough buckets for any number of partitions, and for each to hold about two blocks' keys."""
     return max(9, (max(1, number_of_blocks) // 2).bit_length())

@@ -98,7 +98,9 @@ def scored(texts: list[str], totals: np.ndarray, tokens: int, order: int, backof
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, characters: int = CHARACTERS) -> DataFrame:
     """(doc_id, n_words, n_backed_off, log_score, mean_log_score) of every document."""
     held = B.blocks(docs, "lm-blocks", characters)
-    bits = B.bucket_bits(held.count())
+    n_blocks = held.count()
+    bits = B.bucket_bits(n_blocks)
+    by = lambda rows, key: B.dealt(rows, key, n_blocks).groupBy(key)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +112,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, charact
     def answer(key: tuple, bucket: pa.Table) -> pa.Table:
         return B.answered(bucket)
 
-    totals = held.mapInArrow(ask, B.ASK).groupBy("bucket").applyInArrow(answer, B.ASK)
+    totals = by(held.mapInArrow(ask, B.ASK), "bucket").applyInArrow(answer, B.ASK)
     tokens = docs.select(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).alias("n")).collect()[0]["n"] or 0
 
     def finish(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -119,4 +121,4 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, charact
         mean = np.where(lengths > 0, sums / np.maximum(lengths, 1), np.nan)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": lengths, "n_backed_off": shorter, "log_score": sums, "mean_log_score": pa.array(mean, from_pandas=True)})
 
-    return held.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(finish, SCORES)
+    return by(held, "block").cogroup(by(totals, "block")).applyInArrow(finish, SCORES)

@@ -119,7 +119,8 @@ def remove(docs: DataFrame, length: int = LENGTH, named: int = NAMED, characters
     if named & named - 1 or not named <= length <= 2 * named:
         raise ValueError("named must be a power of two of at least half the length, and at most the length")
     held = B.blocks(docs, "suffix-blocks", characters)
-    bits = B.bucket_bits(held.count())
+    n_blocks = held.count()
+    bits = B.bucket_bits(n_blocks)
     nothing = hashlib.sha256(b"").hexdigest()
 
     def first_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,9 +214,10 @@ def remove(docs: DataFrame, length: int = LENGTH, named: int = NAMED, characters
             sha.append(digest)
         return pa.table({"doc_id": pa.array(told["doc_id"], pa.int64()), "n_bytes": pa.array(told["n_bytes"], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
-    first = held.mapInArrow(ask, B.ASK).groupBy("bucket").applyInArrow(answer, B.ASK)
-    then = held.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(second, B.ASK)
-    return then.groupBy("bucket").applyInArrow(answer, B.ASK).groupBy("block").applyInArrow(finish, SPANS)
+    by = lambda rows, key: B.dealt(rows, key, n_blocks).groupBy(key)
+    first = by(held.mapInArrow(ask, B.ASK), "bucket").applyInArrow(answer, B.ASK)
+    then = by(held, "block").cogroup(by(first, "block")).applyInArrow(second, B.ASK)
+    return by(by(then, "bucket").applyInArrow(answer, B.ASK), "block").applyInArrow(finish, SPANS)
 
 
 def member(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
