@@ -10,7 +10,8 @@ from .text import trim
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 IMAGE_TYPES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".svg": "image/svg+xml"}
 FILE_TYPES = IMAGE_TYPES | {".xhtml": "application/xhtml+xml", ".html": "application/xhtml+xml", ".css": "text/css", ".ncx": "application/x-dtbncx+xml", ".xpgt": "application/vnd.adobe-page-template+xml"}
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
+#: Any version and variant, without a prefix.
+UUID = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def reference_kind(ref: Column) -> Column:

@@ -23,7 +23,8 @@ def decoded_bytes(content: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    # only the first blank of a run starts the search for the end, so long runs are read once
+    return F.regexp_replace(c, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def collapse(c: Column) -> Column:
@@ -63,8 +64,9 @@ def strip_pictographs(c: Column) -> Column:
     """Without pictographs and the white space beside them, but for one blank where there was some on both sides."""
 
     def by(start: str, end: str) -> Column:
-        p = f"(?:{PICTOGRAPH})+"
-        marked = F.regexp_replace(c, f"({SPACE}){SPACE}*{p}{SPACE}+|{SPACE}*{p}{SPACE}*", f"{start}$1{end}")
+        # possessive: a matcher that may go back deepens its stack with every pictograph of a run
+        p = f"(?:{PICTOGRAPH})++"
+        marked = F.regexp_replace(c, f"(?:(?<!{SPACE})|\\G)(?:({SPACE}){SPACE}*+{p}{SPACE}++|{SPACE}*+{p}{SPACE}*+)", f"{start}$1{end}")
         return F.replace(F.regexp_replace(marked, f"{start}{SPACE}{end}", " "), F.lit(start + end), F.lit(""))
 
     (a, b), other = MARKS

@@ -43,6 +43,31 @@ def parsed(books: DataFrame) -> DataFrame:
     return books.select(F.col("book_id").cast("string").alias("book_id"), F.col("source").cast("string").alias("source")).mapInArrow(run, PARSED)
 
 
+def together(files: DataFrame) -> DataFrame:
+    """(book_id, source, nothing): the books of files(book_id, file, source), in the order of file names.
+
+    The first file's front matter is the book's. What stands before a file's first heading is a chapter named for the file; files
+    without any chapter are listed in nothing. A null source is an empty file."""
+    importable(files.sparkSession)
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        out, nothing = [], []
+        for k, (file, source) in enumerate(sorted(zip(rows["file"].to_pylist(), rows["source"].to_pylist()), key=lambda x: x[0] or "")):
+            lines = (source or "").replace("\r\n", "\n").split("\n")
+            _, body = M.front_matter(lines)
+            book = M.parsed(source or "")
+            if not k:
+                out += lines[: len(lines) - len(body)]
+            if book["preamble"]:
+                out += ["", f"# {(file or '').removesuffix('.md')}", ""]
+            if not book["preamble"] and not book["chapters"]:
+                nothing.append(file)
+            out += ["", *body]
+        return pa.table({"book_id": pa.array([key[0].as_py()], pa.string()), "source": pa.array(["\n".join(out)], pa.string()), "nothing": pa.array([nothing], pa.list_(pa.string()))})
+
+    return files.select(F.col("book_id").cast("string").alias("book_id"), "file", "source").groupBy("book_id").applyInArrow(one, "book_id string, source string, nothing array<string>")
+
+
 def chapters(found: DataFrame) -> DataFrame:
     return found.select("book_id", F.explode("chapters").alias("c")).select("book_id", "c.*")
 

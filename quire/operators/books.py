@@ -19,9 +19,9 @@ LABEL_SHARE, LEAST_LINES = 0.8, 3
 EXEMPT = ("mimetype",)
 
 
-def manifest_by_id(manifest: DataFrame) -> DataFrame:
+def manifest_by_id(manifest: DataFrame, *more: str) -> DataFrame:
     """One row per id: the last declaration at the place of the first."""
-    return manifest.groupBy("book_id", "id").agg(F.min("ord").alias("ord"), F.max_by(F.struct("href", "media_type", "properties"), "ord").alias("last")).select("book_id", "ord", "id", "last.*")
+    return manifest.groupBy("book_id", "id").agg(F.min("ord").alias("ord"), F.max_by(F.struct("href", "media_type", "properties", *more), "ord").alias("last")).select("book_id", "ord", "id", "last.*")
 
 
 def reading_order(spine: DataFrame, manifest: DataFrame, drop_first: bool = False) -> DataFrame:
@@ -34,8 +34,8 @@ def reading_order(spine: DataFrame, manifest: DataFrame, drop_first: bool = Fals
 
 
 def first_labels(ncx: DataFrame) -> DataFrame:
-    """(book_id, path, label): of several labels of a file, the first."""
-    return ncx.groupBy("book_id", target(F.col("src")).alias("path")).agg(F.min_by("label", "ord").alias("label"))
+    """(book_id, path, label): of several labels of a file, the first that isn't empty."""
+    return ncx.where("label <> ''").groupBy("book_id", target(F.col("src")).alias("path")).agg(F.min_by("label", "ord").alias("label"))
 
 
 def labelled(chapters: DataFrame, ncx: DataFrame) -> DataFrame:
@@ -104,10 +104,12 @@ def unambiguous_labels(labels: DataFrame) -> DataFrame:
 
 
 def contents_pages(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """(book_id, doc_path, lines, matched, share, is_contents) of pages' lines against the book's labels (book_id, key)."""
-    keyed = lines.withColumn("key", squeeze(F.col("line"))).where("key <> ''")
+    """(book_id, doc_path, lines, matched, share, is_contents) of pages' lines(book_id, doc_path, line, or key without empty ones) against the book's labels (book_id, key)."""
+    keyed = lines if "key" in lines.columns else lines.withColumn("key", squeeze(F.col("line"))).where("key <> ''")
+    # equal lines of a page once, before anything moves: a line that all pages have is a small group
+    keyed = keyed.groupBy("book_id", "key", "doc_path").agg(F.count("*").alias("n"))
     known = labels.select("book_id", "key").distinct().withColumn("known", F.lit(1))
-    scored = keyed.join(known, ["book_id", "key"], "left").groupBy("book_id", "doc_path").agg(F.count("*").alias("lines"), F.count("known").alias("matched"))
+    scored = keyed.join(known, ["book_id", "key"], "left").groupBy("book_id", "doc_path").agg(F.sum("n").alias("lines"), F.sum(F.when(F.col("known").isNotNull(), F.col("n")).otherwise(0)).alias("matched"))
     enough = F.col("lines") >= LEAST_LINES
     scored = scored.withColumn("matched", F.when(enough, F.col("matched")).otherwise(0)).withColumn("share", F.col("matched") / F.col("lines"))
     return scored.withColumn("is_contents", enough & (F.col("share") >= LABEL_SHARE))
@@ -136,9 +138,8 @@ def unique_names(items: DataFrame, suffix: str = "-") -> DataFrame:
     ranked = items.withColumn("n", F.row_number().over(w))
     plain = F.concat("base", "tail")
     named = ranked.withColumn("name", F.when(F.col("n") == 1, plain).otherwise(F.concat("base", F.lit(suffix), F.col("n").cast("string"), "tail")))
-    clash = Window.partitionBy("book_id")
-    marked = named.withColumn("names", F.size(F.collect_set("name").over(clash))).withColumn("items", F.count("*").over(clash))
-    easy = marked.where("names = items").select(*items.columns, "name")
+    clashing = named.groupBy("book_id").agg(F.count_distinct("name").alias("names"), F.count("*").alias("items")).where("names < items").select("book_id")
+    easy = named.join(clashing, "book_id", "left_anti").select(*items.columns, "name")
 
     def in_turn(group):
         taken, out = set(), []
@@ -153,7 +154,7 @@ def unique_names(items: DataFrame, suffix: str = "-") -> DataFrame:
 
     from pyspark.sql.types import StringType, StructField, StructType
 
-    hard = marked.where("names < items").select(*items.columns)
+    hard = items.join(clashing, "book_id", "left_semi").select(*items.columns)
     return easy.unionByName(hard.groupBy("book_id").applyInPandas(in_turn, StructType([*items.schema.fields, StructField("name", StringType())])))
 
 
@@ -205,10 +206,10 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def concatenated(parts: DataFrame, preambles: DataFrame) -> DataFrame:
-    """Chapters of markdown files in name order; a preamble is a chapter named for its file."""
-    own = preambles.where("text <> ''").select("file", F.lit(-1).alias("ord"), F.regexp_replace("file", r"\.md$", "").alias("title"), "text")
-    every = own.unionByName(parts.select("file", "ord", "title", "text"))
-    n = F.row_number().over(Window.orderBy("file", "ord"))
+    """Chapters of books' files(book_id, file, …) in name order; a preamble is a chapter named for its file."""
+    own = preambles.where("text <> ''").select("book_id", "file", F.lit(-1).alias("ord"), F.regexp_replace("file", r"\.md$", "").alias("title"), "text")
+    every = own.unionByName(parts.select("book_id", "file", "ord", "title", "text"))
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy("file", "ord"))
     return every.withColumn("chapter_no", n)
 
 

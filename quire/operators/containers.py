@@ -22,7 +22,7 @@ from quire.functions.names import decoded, dirname, reference_kind, resolved, ta
 from quire.operators.books import manifest_by_id
 from quire.sources.session import importable, written
 
-FILES = "book_id string, path string, content binary, error string"
+FILES = "book_id string, path string, ord int, content binary, error string"
 CONTAINER_NS = "{urn:oasis:names:tc:opendocument:xmlns:container}"
 OPF_NS = "{http://www.idpf.org/2007/opf}"
 DC_NS = "{http://purl.org/dc/elements/1.1/}"
@@ -45,18 +45,18 @@ def folder_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unpacked(books: DataFrame) -> DataFrame:
-    """FILES of books(book_id, content); an archive that can't be read is one row with an error."""
+    """FILES of books(book_id, content), ord being the place in the archive; one that can't be read is one row with an error."""
     importable(books.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("book_id", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+        schema = pa.schema([("book_id", pa.string()), ("path", pa.string()), ("ord", pa.int32()), ("content", pa.binary()), ("error", pa.string())])
         for batch in batches:
             for book_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        rows = [(book_id, i.filename, z.read(i), None) for i in z.infolist() if not i.is_dir()]
+                        rows = [(book_id, i.filename, k, z.read(i), None) for k, i in enumerate(z.infolist()) if not i.is_dir()]
                 except (zipfile.BadZipFile, RuntimeError, NotImplementedError, ValueError, EOFError, OSError) as e:
-                    rows = [(book_id, None, None, f"not a readable archive: {e}")]
+                    rows = [(book_id, None, None, None, f"not a readable archive: {e}")]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -83,10 +83,9 @@ def read_document(path: str, content: bytes) -> dict:
     except (ElementTree.ParseError, ValueError, LookupError) as e:
         return {"error": f"not well-formed: {e}"}
     out: dict = {"has_html": root.tag.rpartition("}")[2] == "html"}
-    name = path.rpartition("/")[2]
     if path == "META-INF/container.xml":
         out["rootfiles"] = [{"path": e.get("full-path", ""), "media_type": e.get("media-type", "")} for e in root.iter() if e.tag.rpartition("}")[2] == "rootfile"]
-    elif name.endswith(".opf"):
+    elif root.tag.rpartition("}")[2] == "package":
         local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
         parts = {local(e): e for e in root}
         out |= {"version": root.get("version"), "unique_id": root.get("unique-identifier"), "has_manifest": "manifest" in parts, "has_spine": "spine" in parts}
@@ -95,7 +94,7 @@ def read_document(path: str, content: bytes) -> dict:
         spine = parts.get("spine")
         out["spine"] = [e.get("idref") for e in spine if local(e) == "itemref"] if spine is not None else []
         out["direction"] = spine.get("page-progression-direction") if spine is not None else None
-    elif name.endswith(".ncx"):
+    elif root.tag.rpartition("}")[2] == "ncx":
         out["ncx_uid"] = next((e.get("content", "").strip() for e in root.iter() if e.get("name") == "dtb:uid"), None)
         points = [e for e in root.iter() if isinstance(e.tag, str) and e.tag.endswith("navPoint")]
         find = lambda e, tag: next((x for x in e.iter() if isinstance(x.tag, str) and x.tag.rpartition("}")[2] == tag), None)
@@ -107,13 +106,14 @@ def read_document(path: str, content: bytes) -> dict:
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """READ of every XML file of files(book_id, path, content), each parsed once."""
+    """READ of every XML file of files(book_id, path, content), each parsed once: by its name, or as it begins."""
     importable(files.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(READ))
-    is_xml = F.lower(F.col("path")).rlike("(" + "|".join(k.replace(".", r"\.") for k in XML_KINDS) + ")$")
+    begins = F.hex(F.substring(F.col("content"), 1, 8))
+    is_xml = begins.rlike("^(EFBBBF)?3C3F786D6C|^3C7061636B616765") | F.lower(F.col("path")).rlike("(" + "|".join(k.replace(".", r"\.") for k in XML_KINDS) + ")$")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +124,12 @@ def documents(files: DataFrame) -> DataFrame:
 
 
 def packages(read: DataFrame) -> DataFrame:
-    """(book_id, opf_path, …): the package document that the container names, the one of the package's type first."""
+    """(book_id, opf_path, opf_raw, …): the package document that the container names, the one of the package's type first.
+
+    opf_path is null where the name leaves the book or can't be decoded."""
     listed = read.where("path = 'META-INF/container.xml'").select("book_id", F.posexplode("rootfiles").alias("ord", "r")).where("r.path <> ''")
     other = F.col("r.media_type") != "application/oebps-package+xml"
-    chosen = listed.groupBy("book_id").agg(F.min_by("r.path", F.struct(other, "ord")).alias("opf_path"))
+    chosen = listed.groupBy("book_id").agg(F.min_by("r.path", F.struct(other, "ord")).alias("opf_raw")).withColumn("opf_path", resolved(F.lit(""), decoded(F.col("opf_raw"))))
     return chosen.join(read.withColumnRenamed("path", "opf_path"), ["book_id", "opf_path"], "left")
 
 
@@ -138,7 +140,10 @@ def manifests(package: DataFrame) -> DataFrame:
 
 
 def violations(books: DataFrame) -> DataFrame:
-    """(book_id, rule, place, error): every broken rule of books(book_id, content). Rules are numbered in the order of judgement."""
+    """(book_id, rule, item, step, place, error): every broken rule of books(book_id, content), numbered in the order of judgement.
+
+    Rule 10 is about the declared files, which are judged item by item (item is the place in the manifest or spine): whether the file is
+    inside, there, well-formed, has a body, and where its references lead, in the order of the document (step)."""
     books = books.select(F.col("book_id").cast("string").alias("book_id"), "content")
     # many rules read the same rows: archives are opened, and documents parsed, once
     books = written(books.withColumn("header_error", header_error(F.col("content"))), "books")
@@ -147,39 +152,50 @@ def violations(books: DataFrame) -> DataFrame:
     read = written(documents(files.where("path is not null")), "documents")
     package = written(packages(read), "packages")
     items = manifests(package)
-    row = lambda df, rule, place, error: df.select("book_id", F.lit(rule).alias("rule"), F.col(place).cast("string").alias("place") if place else F.lit("").alias("place"), (F.lit(error) if isinstance(error, str) else error).alias("error"))
+    number = lambda c: (F.lit(c) if isinstance(c, int) else F.col(c)).cast("int")
+    row = lambda df, rule, item, error, step=0, place="": df.select("book_id", F.lit(rule).alias("rule"), number(item).alias("item"), number(step).alias("step"), (F.col(place) if place else F.lit("")).alias("place"), (F.lit(error) if isinstance(error, str) else error).alias("error"))
     mimetype = files.where("path = 'mimetype'").select("book_id", F.trim(decoded_bytes(F.col("content"))).alias("kind"))
     every = books.select("book_id")
     readable = every.join(files.where("path is null").select("book_id"), "book_id", "left_anti")
-    opf = readable.join(package, "book_id", "left")
+    opf = readable.join(package.withColumn("path_read", F.lit(True)), "book_id", "left").join(there.select("book_id", F.col("path").alias("opf_path"), F.lit(True).alias("present")), ["book_id", "opf_path"], "left").withColumn("path_read", F.coalesce("present", F.lit(False)))
     spine = package.select("book_id", F.posexplode("spine").alias("ord", "idref"))
-    known = manifest_by_id(items.where("id is not null")).select("book_id", F.col("id").alias("idref"))
-    listed = items.select("book_id", "path").where("path is not null").distinct()
-    pages = read.join(listed, ["book_id", "path"], "left_semi")
-    refs = pages.select("book_id", F.col("path").alias("doc"), F.explode("refs").alias("r")).select("book_id", "doc", F.col("r.raw").alias("raw")).where((reference_kind(F.col("raw")) == "internal") & (target(F.col("raw")) != ""))
+    # of declarations that repeat an id, the last counts, at the place of the first
+    declared = manifest_by_id(items.where("id is not null and href is not null").select("book_id", "ord", "id", "href", "media_type", "properties", "path"), "path")
+    known = declared.select("book_id", F.col("id").alias("idref"))
+    listed = declared.where("path is not null").groupBy("book_id", "path").agg(F.min("ord").alias("ord"))
+    # a file is read as XML if its declaration or its name says so
+    kind, tail = F.coalesce(F.col("media_type"), F.lit("")), F.lower(F.col("path"))
+    marked = (kind == "application/xhtml+xml") | kind.endswith("+xml") | tail.rlike(r"\.(xhtml|xml|ncx)$")
+    text = (kind == "application/xhtml+xml") | tail.endswith(".xhtml")
+    read_as = declared.where(F.col("path").isNotNull() & marked).select("book_id", "path", "ord", text.alias("is_text"))
+    pages = read.drop("manifest", "spine", "labels", "metadata", "rootfiles").join(read_as, ["book_id", "path"])
+    unread = read_as.join(read.select("book_id", "path"), ["book_id", "path"], "left_anti").join(there, ["book_id", "path"], "left_semi")
+    refs = pages.where("is_text").select("book_id", "ord", F.col("path").alias("doc"), F.posexplode("refs").alias("nth", "r")).select("book_id", "ord", "doc", (F.col("nth") + 3).alias("step"), F.col("r.raw").alias("raw")).where((reference_kind(F.col("raw")) == "internal") & (target(F.col("raw")) != ""))
     refs = refs.withColumn("plain", decoded(target(F.col("raw")))).withColumn("path", resolved(dirname(F.col("doc")), F.col("plain")))
     exempt = F.col("path").isin("mimetype") | F.col("path").startswith("META-INF/") | F.col("path").rlike(r"(^|/)\.DS_Store$")
     told = [
-        row(books.where("header_error is not null"), 2, None, F.col("header_error")),
-        row(files.where("path is null"), 2, None, F.col("error")),
-        row(readable.join(mimetype, "book_id", "left").where("coalesce(kind, '') <> 'application/epub+zip'"), 3, None, "mimetype is missing or wrong"),
-        row(readable.join(there.where("path = 'META-INF/container.xml'"), "book_id", "left_anti"), 4, None, "META-INF/container.xml is missing"),
-        row(read.where("path = 'META-INF/container.xml' and error is not null"), 4, None, F.col("error")),
-        row(opf.where("opf_path is null"), 4, None, "the container names no package document"),
-        row(opf.where("opf_path is not null").join(there.withColumnRenamed("path", "opf_path"), ["book_id", "opf_path"], "left_anti"), 5, None, "the package document does not exist"),
-        row(opf.where("error is not null"), 5, None, F.col("error")),
-        row(opf.where("opf_path is not null and error is null and not coalesce(has_manifest, false) and version is not null"), 6, None, "no manifest"),
+        row(books.where("header_error is not null"), 2, 0, F.col("header_error")),
+        row(files.where("path is null"), 2, 1, F.col("error")),
+        row(readable.join(mimetype, "book_id", "left").where("coalesce(kind, '') <> 'application/epub+zip'"), 3, 0, "mimetype is missing or wrong"),
+        row(readable.join(there.where("path = 'META-INF/container.xml'"), "book_id", "left_anti"), 4, 0, "META-INF/container.xml is missing"),
+        row(read.where("path = 'META-INF/container.xml' and error is not null"), 4, 1, F.col("error")),
+        row(opf.where("opf_raw is null"), 4, 2, "the container names no package document"),
+        row(opf.where("opf_raw is not null and opf_path is null"), 5, 0, F.concat(F.lit("leaves the container: "), "opf_raw")),
+        row(opf.where("opf_path is not null").join(there.withColumnRenamed("path", "opf_path"), ["book_id", "opf_path"], "left_anti"), 5, 1, "the package document does not exist"),
+        row(opf.where("error is not null"), 5, 2, F.col("error")),
+        row(opf.where("path_read and error is null and not coalesce(has_manifest, false)"), 6, 0, "no manifest"),
         row(items.where("id is null or href is null"), 7, "ord", "a manifest item needs id and href"),
-        row(opf.where("error is null and has_manifest and not has_spine"), 8, None, "no spine"),
+        row(opf.where("error is null and has_manifest and not has_spine"), 8, 0, "no spine"),
         row(spine.where("idref is null"), 9, "ord", "an itemref needs an idref"),
         row(spine.where("idref is not null").join(known, ["book_id", "idref"], "left_anti"), 9, "ord", F.concat(F.lit("spine names an undeclared item: "), "idref")),
-        row(items.where("href is not null and path is null"), 10, "ord", F.concat(F.lit("leaves the container: "), "href")),
-        row(items.where("path is not null").join(there, ["book_id", "path"], "left_anti"), 10, "ord", F.concat(F.col("path"), F.lit(" does not exist"))),
-        row(pages.where("error is not null"), 11, "path", F.concat(F.col("path"), F.lit(" is "), "error")),
-        row(pages.where("has_html and not has_body"), 12, "path", F.concat(F.col("path"), F.lit(" has no body"))),
-        row(refs.where("plain is null or path is null"), 13, "doc", F.concat(F.col("raw"), F.lit(" can't be resolved"))),
-        row(refs.where("path is not null").join(there, ["book_id", "path"], "left_anti"), 13, "doc", F.concat(F.col("raw"), F.lit(" has no file"))),
-        row(there.where(~exempt).join(listed, ["book_id", "path"], "left_anti").join(package.select("book_id", F.col("opf_path").alias("path")), ["book_id", "path"], "left_anti"), 14, "path", F.concat(F.lit("Orphan file: "), "path")),
+        row(declared.where("path is null"), 10, "ord", F.concat(F.lit("leaves the container: "), "href")),
+        row(declared.where("path is not null").join(there, ["book_id", "path"], "left_anti"), 10, "ord", F.concat(F.col("path"), F.lit(" does not exist"))),
+        row(pages.where("error is not null"), 10, "ord", F.concat(F.col("path"), F.lit(" is "), "error"), 1),
+        row(unread, 10, "ord", F.concat(F.col("path"), F.lit(" is not well-formed")), 1),
+        row(pages.where("is_text and has_html and not has_body"), 10, "ord", F.concat(F.col("path"), F.lit(" has no body")), 2),
+        row(refs.where("plain is null or path is null"), 10, "ord", F.concat(F.col("raw"), F.lit(" can't be resolved")), "step", "doc"),
+        row(refs.where("path is not null").join(there, ["book_id", "path"], "left_anti"), 10, "ord", F.concat(F.col("raw"), F.lit(" has no file")), "step", "doc"),
+        row(there.where(~exempt).join(listed, ["book_id", "path"], "left_anti").join(package.select("book_id", F.col("opf_path").alias("path")), ["book_id", "path"], "left_anti"), 14, 0, F.concat(F.lit("Orphan file: "), "path"), 0, "path"),
     ]
     out = told[0]
     for more in told[1:]:
@@ -189,7 +205,7 @@ def violations(books: DataFrame) -> DataFrame:
 
 def verdicts(books: DataFrame) -> DataFrame:
     """(book_id, success, error): the first broken rule of each book."""
-    first = violations(books).groupBy("book_id").agg(F.min_by("error", F.struct("rule", "place", "error")).alias("error"))
+    first = violations(books).groupBy("book_id").agg(F.min_by("error", F.struct("rule", "item", "step", "place", "error")).alias("error"))
     return books.select(F.col("book_id").cast("string").alias("book_id")).join(first, "book_id", "left").select("book_id", F.col("error").isNull().alias("success"), "error")
 
 
@@ -221,7 +237,9 @@ def volumes(read: DataFrame, drop_contents: bool = False) -> dict[str, DataFrame
     fields = meta.groupBy("book_id").agg(*(value(n) for n in ("title", "creator", "language", "identifier")))
     spine = package.select("book_id", F.posexplode("spine").alias("ord", "idref"))
     chapters = reading_order(spine, items.drop("href").withColumnRenamed("path", "href"), drop_contents)
-    ncx = read.where("labels is not null").select("book_id", F.col("path").alias("ncx_path"), F.posexplode("labels").alias("ord", "l"))
+    # the contents file is the one declared as such
+    listed = items.where("media_type = 'application/x-dtbncx+xml' and path is not null").groupBy("book_id").agg(F.min_by("path", "ord").alias("path"))
+    ncx = read.where("labels is not null").join(listed, ["book_id", "path"]).select("book_id", F.col("path").alias("ncx_path"), F.posexplode("labels").alias("ord", "l"))
     labels = first_labels(ncx.select("book_id", resolved(dirname(F.col("ncx_path")), decoded(target(F.col("l.src")))).alias("src"), "ord", F.col("l.label").alias("label")))
     named = chapters.withColumnRenamed("href", "path").join(labels, ["book_id", "path"], "left").withColumn("label", F.coalesce("label", F.lit("")))
     uid = read.where("ncx_uid is not null").groupBy("book_id").agg(F.min("ncx_uid").alias("ncx_uid"))
@@ -231,6 +249,6 @@ def volumes(read: DataFrame, drop_contents: bool = False) -> dict[str, DataFrame
 
 
 def first_of_each(files: DataFrame) -> DataFrame:
-    """files with one row per path, should an archive repeat one."""
-    w = Window.partitionBy("book_id", "path").orderBy(F.length("content").desc())
+    """files with one row per path, should an archive repeat one: the last."""
+    w = Window.partitionBy("book_id", "path").orderBy(F.desc("ord"))
     return files.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

@@ -14,7 +14,7 @@ from quire.operators.books import carried, internal_references
 from quire.sources.session import importable
 
 LEGACY = r"(?i)<!DOCTYPE\s+html\s+PUBLIC"
-RELOCATED = "book_id string, path string, content string, title string, error string, body_repaired boolean, pictographs int, glyphs int, linked int, lines array<string>"
+RELOCATED = "book_id string, path string, content string, title string, error string, body_repaired boolean, pictographs int, glyphs int, linked int, lines array<string>, shown array<string>"
 EMOJI = ("strip", "glyph", "keep")
 _TAG = re.compile(r"<(?:!--.*?-->|!\[CDATA\[.*?\]\]>|\?.*?\?>|![^>]*>|/?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>)", re.S)
 _ATTR = re.compile(r"(\s)([\w:.-]+)(\s*=\s*)(\"[^\"]*\"|'[^']*')")
@@ -46,14 +46,19 @@ def lines_of(source: str) -> list[str]:
     return [x for line in T.plain_refs(_TAG.sub("", text)).split("\n") if (x := line.strip())]
 
 
-def glyph(char: str, href: str, name: str) -> str:
-    return f'<img class="emoji" src="{T.escaped(href, True)}" alt="{T.escaped(name, True)}" style="height: 1em; vertical-align: text-bottom;"/>'
+def glyph(href: str, name: str) -> str:
+    """A picture of the size of a letter in the place of a pictograph."""
+    return f'<img src="{T.escaped(href, True)}" alt="{T.escaped(name, True)}" style="height: 0.9em"/>'
 
 
-def rewritten(source: str, hrefs: dict[str, str], labels: dict[str, str], emoji: str, names: dict[str, str], relink: bool) -> tuple[str, int, int, int]:
+def glyph_file(char: str) -> str:
+    return f"glyph-{ord(char):x}.png"
+
+
+def rewritten(source: str, hrefs: dict[str, str], labels: dict[str, str], emoji: str, names: dict[str, str], relink: bool, drawn: frozenset[str] = frozenset(), shown_: set[str] | None = None) -> tuple[str, int, int, int]:
     """Markup with its references, pictographs and contents lines changed, and how many of the last three there were.
 
-    Tags and texts are passed through as they are unless something in them changes."""
+    Pictographs that are drawn become pictures, and are added to shown_; others stay. Tags and texts are passed through as they are unless something in them changes."""
     out: list[str] = []
     removed = inlined = linked = 0
     anchors, in_body = 0, not re.search(r"<body[\s>]", source, re.I)
@@ -85,9 +90,13 @@ def rewritten(source: str, hrefs: dict[str, str], labels: dict[str, str], emoji:
 
             def shown(m: re.Match) -> str:
                 nonlocal inlined
-                inlined += 1
                 char = m[0][0]
-                return glyph(char, f"images/emoji-{ord(char):x}.png", names.get(char, f"U+{ord(char):X}"))
+                if char not in drawn:
+                    return m[0]
+                inlined += 1
+                if shown_ is not None:
+                    shown_.add(char)
+                return glyph(f"images/{glyph_file(char)}", names.get(char, f"U+{ord(char):X}"))
 
             t = T._ONE.sub(shown, t)
         return t
@@ -109,13 +118,14 @@ def rewritten(source: str, hrefs: dict[str, str], labels: dict[str, str], emoji:
     return "".join(out), removed, inlined, linked
 
 
-def relocated(chapters: DataFrame, targets: DataFrame, labels: DataFrame, emoji: str = "strip", names: dict[str, str] | None = None, relink: bool = True) -> DataFrame:
+def relocated(chapters: DataFrame, targets: DataFrame, labels: DataFrame, emoji: str = "strip", names: dict[str, str] | None = None, relink: bool = True, drawn: frozenset[str] = frozenset()) -> DataFrame:
     """RELOCATED of chapters(book_id, path, content string, title).
 
     targets(book_id, path, raw, href): what each reference of a chapter becomes; labels
     (book_id, key, href): unambiguous labels of the book. A chapter that nothing changes
     comes back as it was but for its doctype; an unknown entity makes an error row.
-    Contents lines are linked only on pages of which enough lines are labels.
+    Contents lines are linked only on pages of which enough lines are labels. With emoji "glyph",
+    the pictographs in drawn become pictures; shown lists those of each chapter.
     """
     if emoji not in EMOJI:
         raise ValueError(f"emoji must be one of {', '.join(EMOJI)}")
@@ -127,27 +137,28 @@ def relocated(chapters: DataFrame, targets: DataFrame, labels: DataFrame, emoji:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.operators.books import LABEL_SHARE, LEAST_LINES
 
-        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
         for batch in batches:
             rows = []
             for book, path, content, title, hrefs, own in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     source = T.literal_refs(T.modern_doctype(content or ""))
                 except ValueError as e:
-                    rows.append((book, path, content, title, str(e), False, 0, 0, 0, []))
+                    rows.append((book, path, content, title, str(e), False, 0, 0, 0, [], []))
                     continue
                 labels_ = dict(own or ())
                 source, repaired = missing_body_repaired(source)
                 lines = lines_of(source)
                 hits = sum(re.sub(rf"[{T.SPACE}]+", "", x) in labels_ for x in lines)
                 contents = relink and len(lines) >= LEAST_LINES and hits / len(lines) >= LABEL_SHARE
-                new, removed, inlined, linked = rewritten(source, dict(hrefs or ()), labels_, emoji, known, contents)
+                shown: set[str] = set()
+                new, removed, inlined, linked = rewritten(source, dict(hrefs or ()), labels_, emoji, known, contents, drawn, shown)
                 if not title:
                     found = re.search(r"<title\b[^>]*>(.*?)</title\s*>", new, re.S | re.I)
                     title = (T.plain_refs(found[1]).strip() if found else "") or path.rpartition("/")[2]
                 if emoji == "strip":
                     title = T.without_pictographs(title)[0]
-                rows.append((book, path, new, title, None, repaired, removed, inlined, linked, lines))
+                rows.append((book, path, new, title, None, repaired, removed, inlined, linked, lines, sorted(shown)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in RELOCATED.split(", ")])
 
     joined = chapters.select("book_id", "path", "content", "title").join(moves, ["book_id", "path"], "left").join(keys, "book_id", "left")

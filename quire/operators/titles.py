@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quire.functions.text import SPACE, WEAK_WORDS, is_word_broken, trim
@@ -22,20 +21,18 @@ def title_lines(titles: DataFrame) -> DataFrame:
     return grouped.groupBy("title_id", "line_no").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "word")))["word"], " ").alias("line"))
 
 
-def _merged_down(lines, most):
-    lines = list(lines or [])
-    while len(lines) > max(1, most):
-        at = min(range(len(lines) - 1), key=lambda k: len(lines[k]) + len(lines[k + 1]))
-        lines[at : at + 2] = [f"{lines[at]} {lines[at + 1]}"]
-    return lines
-
-
-_capped = F.udf(_merged_down, T.ArrayType(T.StringType()))
-
-
 def capped(lines: Column, most: int) -> Column:
     """At most so many lines: the two neighbours that are shortest together become one, the first of equals."""
-    return F.when(F.size(lines) <= most, lines).otherwise(_capped(lines, F.lit(most)))
+
+    def shorter(lines: Column, _: Column) -> Column:
+        # a struct is least by length, then by place
+        pairs = F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x, i: F.struct((F.length(x) + F.length(F.element_at(lines, i + 2))).alias("length"), (i + 1).alias("at")))
+        at = F.array_min(pairs)["at"]
+        one = F.concat_ws(" ", F.element_at(lines, at), F.element_at(lines, at + 1))
+        return F.concat(F.slice(lines, F.lit(1), at - 1), F.array(one), F.slice(lines, at + 2, F.size(lines)))
+
+    times = F.size(lines) - max(1, most)
+    return F.when(F.size(lines) <= max(1, most), lines).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), lines, shorter))
 
 
 def subtitle_split(title: Column) -> Column:

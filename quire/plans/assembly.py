@@ -21,7 +21,10 @@ from quire.sources.session import written
 
 CSS = "body { margin: 1em; line-height: 1.6; }\nh1, h2 { line-height: 1.3; }\nimg { max-width: 100%; }\n"
 CONTAINER = '<?xml version="1.0" encoding="UTF-8"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container">\n  <rootfiles>\n    <rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/>\n  </rootfiles>\n</container>'
-META = {"version": "3.0", "title": None, "creator": None, "translator": None, "language": None, "uuid": None, "modified": "1970-01-01 00:00:00", "direction": "", "cover": "", "css": "style.css"}
+META = {"version": "3.0", "title": None, "creator": None, "translator": None, "language": None, "uuid": None, "modified": "1970-01-01 00:00:00", "direction": "", "cover": "", "css": "style.css", "template": ""}
+
+
+TEMPLATE = "template.xpgt"
 
 
 @dataclass(frozen=True)
@@ -119,7 +122,8 @@ def sites(chapters: DataFrame, books: DataFrame, images: DataFrame, options: P.O
 def markdown(sources: DataFrame, images: DataFrame, modified: str | None = None) -> Job:
     """Markdown books: sources(book_id, source), images(book_id, name, content). Block kinds, levels and direction are kept.
 
-    A preamble is a chapter of its own, named for the book. The report lists images that no file has."""
+    A preamble is a chapter of its own, named for the book. The report lists images that no file has.
+    For books of several files each, see bookmd.together."""
     found = written(bookmd.parsed(sources), "markdown")
     meta = with_meta(found.select("book_id", "metadata.title", F.col("metadata.author").alias("creator"), "metadata.translator", F.col("metadata.lang").alias("language"), F.lit(modified).cast("timestamp").alias("modified"), F.coalesce("metadata.direction", F.lit("")).alias("direction"), F.when(F.coalesce("metadata.cover", F.lit("")) != "", F.concat(F.lit("images/"), N.basename(F.col("metadata.cover")))).alias("cover")))
     chapters = bookmd.chapters(found).select("book_id", F.col("chapter_no").alias("own_no"), "level", "title")
@@ -178,14 +182,18 @@ def nested(rows: Column) -> Column:
     return F.aggregate(rows, start, step, lambda acc: F.concat(acc["out"], F.repeat(F.lit("</blockquote>\n"), F.size(acc["open"]))))
 
 
-def rebuilt(archives: DataFrame, members: DataFrame | None = None, drop_first: bool = False, emoji: str = "strip", names: dict[str, str] | None = None, modified: str | None = None, language: str = "zh-TW") -> Job:
+def rebuilt(archives: DataFrame, members: DataFrame | None = None, drop_first: bool = False, emoji: str = "strip", names: dict[str, str] | None = None, modified: str | None = None, language: str = "zh-TW", pictures: DataFrame | None = None) -> Job:
     """Books taken apart and put together again as sound ones.
 
     archives(book_id, content) are volumes. members(book_id, new_id, volume_ord) says which
     become one book; without it each is healed for itself, and a cover page of its own gives
-    way to a fresh one. drop_first leaves out each volume's first page, its contents. The
-    report lists the findings.
+    way to a fresh one. drop_first leaves out each volume's first page, its contents; a
+    volume must have more. A book may have one stylesheet and one page template. With emoji
+    "glyph", pictures(glyph, content) are what pictographs become; those without one stay.
+    The report lists the findings.
     """
+    # pictographs are code points of one block: some thousands at most
+    drawn = frozenset(r["glyph"][:1] for r in pictures.select("glyph").distinct().collect()) if emoji == "glyph" and pictures is not None else frozenset()
     files = written(without_repeats(C.unpacked(archives)), "files")
     broken = files.where("path is null").select("book_id", "error")
     files = files.where("path is not null").drop("error")
@@ -212,7 +220,10 @@ def rebuilt(archives: DataFrame, members: DataFrame | None = None, drop_first: b
     ordered_sheets = sheets.join(member, "book_id").withColumn("ord", F.row_number().over(Window.partitionBy("new_id").orderBy("volume_ord", "path")))
     many_sheets = B.more_than_one(ordered_sheets.select(F.col("new_id").alias("book_id"), "ord", "path", F.col("css").alias("content")))
     sheet = ordered_sheets.groupBy("new_id").agg(F.min_by("css", "ord").alias("css"))
-    resources = renamed.select("book_id", "path", "name").unionByName(sheets.select("book_id", "path", F.lit("style.css").alias("name")))
+    templates = files.where(F.lower("path").endswith(".xpgt")).join(member, "book_id").withColumn("ord", F.row_number().over(Window.partitionBy("new_id").orderBy("volume_ord", "path")))
+    many_templates = B.more_than_one(templates.select(F.col("new_id").alias("book_id"), "ord", "path", "content"))
+    template = templates.groupBy("new_id").agg(F.min_by("content", "ord").alias("content"))
+    resources = renamed.select("book_id", "path", "name").unionByName(sheets.select("book_id", "path", F.lit("style.css").alias("name"))).unionByName(templates.select("book_id", "path", F.lit(TEMPLATE).alias("name")))
 
     own = chapters.where("path is not null").select("book_id", "path", "href")
     contents_pages = parts["chapters"].select("book_id", "path").limit(0)
@@ -225,17 +236,24 @@ def rebuilt(archives: DataFrame, members: DataFrame | None = None, drop_first: b
     listed = chapters.where("content is not null").select("book_id", F.col("path").alias("doc_path"), F.posexplode(F.array_distinct(raw)).alias("ord", "raw"))
     targets = written(R.targets(listed, own, contents_pages, files.select("book_id", "path"), resources), "targets")
     labels = B.unambiguous_labels(chapters.where("label <> ''").select("book_id", "label", "href"))
-    moved = written(R.relocated(chapters.where("content is not null").select("book_id", "path", "content", F.col("label").alias("title")), targets, labels, emoji, names, relink=members is None), "relocated")
+    moved = written(R.relocated(chapters.where("content is not null").select("book_id", "path", "content", F.col("label").alias("title")), targets, labels, emoji, names, relink=members is None, drawn=drawn), "relocated")
 
     first = volume.join(member, "book_id").groupBy("new_id").agg(*(F.min_by(c, F.struct(F.col(c).isNull(), "volume_ord", "book_id")).alias(c) for c in ("title", "creator", "language", "identifier", "direction", "cover_path")), F.min_by("book_id", F.struct(F.col("cover_path").isNull(), "volume_ord", "book_id")).alias("cover_book"))
     cover = first.join(renamed.select(F.col("book_id").alias("cover_book"), F.col("path").alias("cover_path"), "name"), ["cover_book", "cover_path"], "left")
+    linked = targets.where(F.col("href").startswith(TEMPLATE)).join(member, "book_id").select("new_id").distinct().withColumn("template", F.lit(TEMPLATE))
+    cover = cover.join(linked, "new_id", "left")
     title = F.col("title") if members is None else merged_title(F.col("title"))
-    meta = with_meta(cover.select(F.col("new_id").alias("book_id"), title.alias("title"), "creator", "language", F.regexp_replace(F.coalesce("identifier", F.lit("")), "^urn:uuid:", "").alias("uuid"), F.lit(modified).cast("timestamp").alias("modified"), F.coalesce("direction", F.lit("")).alias("direction"), F.concat(F.lit("images/"), "name").alias("cover")), language)
+    meta = with_meta(cover.select(F.col("new_id").alias("book_id"), title.alias("title"), "creator", "language", F.regexp_replace(F.coalesce("identifier", F.lit("")), "^urn:uuid:", "").alias("uuid"), F.lit(modified).cast("timestamp").alias("modified"), F.coalesce("direction", F.lit("")).alias("direction"), F.concat(F.lit("images/"), "name").alias("cover"), "template"), language)
     sound = chapters.join(moved.select("book_id", "path", F.col("title").alias("new_title"), F.col("content").alias("new_content")), ["book_id", "path"])
     bound = sound.select(F.col("new_id").alias("book_id"), "chapter_no", F.format_string("chapter%02d", "chapter_no").alias("id"), "href", F.col("new_title").alias("title"))
     contents = sound.select(F.col("new_id").alias("book_id"), "href", F.col("new_content").alias("content"))
     bytes_ = pictures.withColumn("digest", F.sha2("content", 256)).groupBy("new_id", "digest").agg(F.min_by("content", "ord").alias("content"))
     images = kept.join(bytes_, ["new_id", "digest"]).select(F.col("new_id").alias("book_id"), "ord", "name", "content")
+    if drawn:
+        used = moved.join(member, "book_id").select(F.col("new_id").alias("book_id"), F.explode("shown").alias("glyph")).distinct()
+        code = F.ascii("glyph")
+        by_glyph = pictures.groupBy(F.substring("glyph", 1, 1).alias("glyph")).agg(F.min("content").alias("content"))
+        images = images.unionByName(used.join(by_glyph, "glyph").select("book_id", code.alias("ord"), F.concat(F.lit("glyph-"), F.lower(F.hex(code)), F.lit(".png")).alias("name"), "content"))
 
     told = lambda df, error: df.join(member, "book_id").select(F.col("new_id").alias("book_id"), error.alias("error"))
     errors = (
@@ -245,6 +263,8 @@ def rebuilt(archives: DataFrame, members: DataFrame | None = None, drop_first: b
         .unionByName(told(chapters.where("error is null and content is null").drop("new_id", "volume_ord"), F.concat(F.col("path"), F.lit(" does not exist"))))
         .unionByName(told(targets.where("error is not null"), F.concat(F.col("path"), F.lit(": "), F.col("raw"), F.lit(" "), F.col("error"))))
         .unionByName(told(moved.where("error is not null"), F.concat(F.col("path"), F.lit(": "), F.col("error"))))
+        .unionByName(many_templates.select("book_id", F.concat(F.lit("more than one page template, the first is "), "first_path").alias("error")))
+        .unionByName(told(volume.select("book_id").join(chapters.select("book_id"), "book_id", "left_anti"), F.concat("book_id", F.lit(" contributes no chapters"))))
         .unionByName(many_sheets.select("book_id", F.concat(F.lit("more than one stylesheet, the first is "), "first_path").alias("error")))
     )
     by_book = moved.join(member, "book_id").groupBy("new_id").agg(F.count_if("body_repaired").alias("bodies"), F.sum("pictographs").alias("pictographs"), F.sum("linked").alias("links"), F.count_if(F.col("linked") > 0).alias("contents_pages"))
@@ -253,7 +273,8 @@ def rebuilt(archives: DataFrame, members: DataFrame | None = None, drop_first: b
     found = facts.join(by_book, "new_id", "left").join(legacy, "new_id", "left").fillna(0, ["bodies", "pictographs", "links", "contents_pages", "legacy"]).withColumnRenamed("new_id", "book_id")
     dropped = sheets.join(member, "book_id").select(F.col("new_id").alias("book_id"), F.lit(99).alias("ord"), F.explode(F.transform("dropped", lambda x: F.concat(F.lit("dropped "), x))).alias("finding"))
     report = B.findings(found).unionByName(dropped)
-    return judged(files_of(meta, bound, contents, images, sheet.withColumnRenamed("new_id", "book_id")), errors, report)
+    extra = template.join(linked, "new_id").select(F.col("new_id").alias("book_id"), F.lit(f"OEBPS/{TEMPLATE}").alias("path"), "content")
+    return judged(files_of(meta, bound, contents, images, sheet.withColumnRenamed("new_id", "book_id")).unionByName(extra), errors, report)
 
 
 def without_repeats(files: DataFrame) -> DataFrame:

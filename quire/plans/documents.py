@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.names import annotation_locale, encoded, is_image, manifest_id, media_type  # noqa: F401
+from quire.functions.names import encoded, is_uuid, manifest_id, media_type
 from quire.functions.text import escape_attribute, escape_text, iso_seconds
 
 XML = '<?xml version="1.0" encoding="UTF-8"?>'
-VERSIONS, DIRECTIONS = ("2.0", "3.0"), ("ltr", "rtl")
+VERSIONS, DIRECTIONS = ("2.0", "3.0"), ("ltr", "rtl", "default")
+
+
+def versioned(books: DataFrame) -> DataFrame:
+    """books whose version is 2.0 where none is given."""
+    return books.withColumn("version", F.coalesce(F.nullif(F.col("version"), F.lit("")), F.lit("2.0")))
 
 
 def ordered(rows: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
@@ -31,7 +36,9 @@ def credit(element: str, name: Column, role: str, version: Column, id_: str) ->
 def package_items(books: DataFrame, chapters: DataFrame, images: DataFrame) -> DataFrame:
     """(book_id, rank, ord, id, href, media_type, properties, in_spine): the manifest in its fixed order.
 
-    images: (book_id, ord, name). Order: cover, its page, stylesheet, navigation, chapters, images, contents."""
+    images: (book_id, ord, name). Order: cover, its page, stylesheet, navigation, chapters, images, page template, contents.
+    A column template of books names the page template, if there are any."""
+    books = versioned(books)
     three = F.col("version") == "3.0"
     cover = F.coalesce(F.col("cover"), F.lit("")) != ""
     row = lambda rank, id_, href, kind, props, spine: (F.lit(rank).alias("rank"), F.lit(0).alias("ord"), F.lit(id_).alias("id"), href.alias("href"), kind.alias("media_type"), props.alias("properties"), F.lit(spine).alias("in_spine"))
@@ -46,6 +53,8 @@ def package_items(books: DataFrame, chapters: DataFrame, images: DataFrame) -> D
         images.join(books.select("book_id", "cover"), "book_id").where(F.concat(F.lit("images/"), "name") != F.coalesce("cover", F.lit(""))).select("book_id", F.lit(5).alias("rank"), "ord", manifest_id(F.concat(F.lit("img-"), F.regexp_replace("name", r"\.[A-Za-z0-9]+$", ""))).alias("id"), encoded(F.concat(F.lit("images/"), "name")).alias("href"), media_type(F.col("name")).alias("media_type"), no.alias("properties"), F.lit(False).alias("in_spine")),
         books.select("book_id", *row(9, "ncx", F.lit("toc.ncx"), F.lit("application/x-dtbncx+xml"), no, False)),
     ]
+    if "template" in books.columns:
+        parts.append(books.where("template <> ''").select("book_id", *row(7, "page-template", encoded(F.col("template")), media_type(F.col("template")), no, False)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -54,13 +63,14 @@ def package_items(books: DataFrame, chapters: DataFrame, images: DataFrame) -> D
 
 def package_errors(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book_id, error): books whose package document can't be written as asked."""
+    books = versioned(books)
     direction = F.coalesce(F.col("direction"), F.lit(""))
     n = chapters.groupBy("book_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("title"), F.lit("")) == "").alias("untitled"))
     checks = F.array(
         F.when(F.coalesce(F.col("title"), F.lit("")) == "", "title is required"),
         F.when(F.coalesce(F.col("language"), F.lit("")) == "", "language is required"),
-        F.when(~F.coalesce(F.col("uuid").rlike(r"^[0-9a-fA-F-]{36}$"), F.lit(False)), "uuid must be a bare UUID"),
-        F.when(~F.coalesce(F.col("version").isin(*VERSIONS), F.lit(False)), "unsupported version"),
+        F.when(~F.coalesce(is_uuid(F.col("uuid")), F.lit(False)), "uuid must be a bare UUID"),
+        F.when(~F.col("version").isin(*VERSIONS), "unsupported version"),
         F.when((direction != "") & ~direction.isin(*DIRECTIONS), "unknown page direction"),
         F.when((direction != "") & (F.col("version") == "2.0"), "page direction needs version 3.0"),
         F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, "a book needs chapters"),
@@ -73,6 +83,7 @@ def package_documents(books: DataFrame, chapters: DataFrame, images: DataFrame)
     """(book_id, opf): the package document of each book.
 
     books: (book_id, version, title, creator, translator, language, uuid, modified, direction, cover, css)."""
+    books = versioned(books)
     items = package_items(books, chapters, images)
     place = F.struct("rank", "ord", "id")
     attribute = lambda name, c: F.concat(F.lit(f' {name}="'), escape_attribute(c), F.lit('"'))
@@ -138,8 +149,7 @@ def chapter_page(title: Column, paragraphs: Column, css: Column, language: Colum
 
 def image_page(title: Column, src: Column, alt: Column, language: Column) -> Column:
     """A page that one image fills."""
-    style = "margin: 0; padding: 0; text-align: center;"
-    return F.concat(page_head(title, language), F.lit(f'\n</head>\n<body style="{style}">\n  <div class="cover-container">\n    <img class="cover-image" src="'), escape_attribute(src), F.lit('" alt="'), escape_attribute(alt), F.lit('" style="width: 100%; height: auto; display: block; margin: 0 auto;" />\n  </div>\n</body>\n</html>'))
+    return F.concat(page_head(title, language), F.lit('\n  <style>body { margin: 0 } img { max-width: 100%; max-height: 100vh }</style>\n</head>\n<body>\n  <p><img src="'), escape_attribute(src), F.lit('" alt="'), escape_attribute(alt), F.lit('" /></p>\n</body>\n</html>'))
 
 
 def cover_page(title: Column, image: Column, language: Column) -> Column:

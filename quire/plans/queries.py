@@ -12,6 +12,7 @@ from quire.operators import books as B
 from quire.operators import ocr as O
 from quire.operators import titles as Ti
 from quire.plans import documents as D
+from quire.sources.session import written
 from quire.plans.inputs import OCR_LINES, PAGE_LINKS, PAGE_TITLES, SPACE, ocr_lines, page_links, page_titles, table
 
 QUERIES: dict = {}
@@ -279,8 +280,9 @@ _LINES = f"l AS (SELECT source AS book_id, 'd' || doc_id AS doc_path, regexp_rep
 def contents_page_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null")
     lines = docs.select(F.col("source").alias("book_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_path"), F.explode(F.split("text", "\n")).alias("line"))
-    keyed = lines.withColumn("key", X.squeeze(F.col("line"))).where("key <> ''")
-    labels = keyed.groupBy("book_id", "key").agg(F.count_distinct("doc_path").alias("n")).where("n > 1")
+    # a line moves as the digest of its key, which is made once
+    keyed = written(lines.withColumn("key", X.squeeze(F.col("line"))).where("key <> ''").select("book_id", "doc_path", F.unhex(F.md5("key")).alias("key")), "line-keys")
+    labels = keyed.distinct().groupBy("book_id", "key").agg(F.count("*").alias("n")).where("n > 1")
     return B.contents_pages(lines, labels).withColumn("share", F.round("share", 9))
 
 

@@ -27,7 +27,9 @@ _VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ''
 _BODY = rf"regexp_replace(regexp_replace({_VISIBLE}, '<nav\b.*?</nav\s*>', '', 'gis'), '<footer\b.*?</footer\s*>', '', 'gis')"
 _N = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
 _CENSUS = f"c AS (SELECT page_id, {_N(_VISIBLE, r'(?i)<a\s[^>]*href=')} AS links, {_N(_BODY, r'(?i)<a\s[^>]*href=')} AS links_kept, {_N(_VISIBLE, r'(?i)<li[\s>]')} AS list_items, {_N(_BODY, r'(?i)<li[\s>]')} AS list_items_kept, {_N(_VISIBLE, r'(?i)<h[1-6][\s>]')} AS headings, {_N(_BODY, r'(?i)<h[1-6][\s>]')} AS headings_kept FROM pages)"
-_OPTIONS = P.Options(language="en", css="style.css", fallback_title="Untitled", class_map=P.CLASS_MAP)
+#: A map of classes of the queries' own: those of sites, and what a book calls them.
+CLASS_MAP = {"hero": "lead", "note": "aside", "promo-box": "panel", "caption-text": "caption"}
+_OPTIONS = P.Options(language="en", css="style.css", fallback_title="Untitled", class_map=CLASS_MAP)
 
 
 @query(f"WITH {_CENSUS} SELECT * FROM c")
@@ -47,14 +49,11 @@ def sanitised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sanitised(table(spark, sf_dir, "pages"), _OPTIONS).select("page_id", "title", "xhtml", "error")
 
 
-_KEPT = "list_distinct(list_filter(list_transform(cs, lambda c: CASE WHEN c = 'takeaway' THEN 'highlight' WHEN c = 'label' THEN 'section-label' WHEN c IN ('highlight', 'box') THEN c END), lambda c: c IS NOT NULL))"
-
-
-@query("SELECT p_partkey, nullif(array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'highlight' END, CASE WHEN p_size % 3 = 0 THEN 'section-label' END, CASE WHEN p_size % 5 = 0 THEN 'box' END], lambda x: x IS NOT NULL), ' '), '') AS classes FROM part")
+@query("SELECT p_partkey, nullif(array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'lead' END, CASE WHEN p_size % 3 = 0 THEN 'aside' END, CASE WHEN p_size % 5 = 0 THEN 'panel' END], lambda x: x IS NOT NULL), ' '), '') AS classes FROM part")
 def class_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = lambda n, c: F.when(F.col("p_size") % n == 0, c)
-    raw = F.concat_ws(" ", F.lit("fade-up"), on(2, "takeaway"), on(2, " highlight"), on(3, "label"), F.lit(" accent"), on(5, "box"), on(5, "fw-box"))
-    return table(spark, sf_dir, "part").select("p_partkey", P.translated_classes(raw, P.CLASS_MAP).alias("classes"))
+    raw = F.concat_ws(" ", F.lit("fade-up"), on(2, "hero"), on(2, " lead"), on(3, "note"), F.lit(" accent"), on(5, "panel"), on(5, "promo-box"))
+    return table(spark, sf_dir, "part").select("p_partkey", P.translated_classes(raw, CLASS_MAP).alias("classes"))
 
 
 @query("SELECT r_regionkey, r_name AS book_class FROM region WHERE r_name NOT IN (SELECT 'ASIA' UNION ALL SELECT 'EUROPE')")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import decoded_bytes
@@ -34,12 +32,29 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def image_sizes(images: DataFrame) -> DataFrame:
-    """images(name, content) with format, width and height from their first bytes (PNG, GIF, JPEG's kind only)."""
+    """images(name, content) with format, width and height from their bytes; null where they don't say."""
     head = lambda a, n: F.hex(F.substring("content", a, n))
     number = lambda c: F.conv(c, 16, 10).cast("int")
     little = lambda a: number(F.concat(head(a + 1, 1), head(a, 1)))
     kind = F.when(head(1, 8) == "89504E470D0A1A0A", "png").when(head(1, 3) == "FFD8FF", "jpeg").when(head(1, 4) == "47494638", "gif").when(F.lower(decoded_bytes(F.substring("content", 1, 200))).contains("<svg"), "svg")
-    return images.withColumn("format", kind).withColumn("width", F.when(kind == "png", number(head(17, 4))).when(kind == "gif", little(7))).withColumn("height", F.when(kind == "png", number(head(21, 4))).when(kind == "gif", little(9)))
+    # a JPEG's sizes are in its frame, behind segments whose lengths lead from one to the next
+    at = lambda a, n: F.conv(F.hex(F.substring(F.col("content"), a, F.lit(n))), 16, 10).cast("int")
+
+    def segment(acc: Column, _: Column) -> Column:
+        mark = at(acc["at"] + 1, 1)
+        frame = mark.between(0xC0, 0xCF) & ~mark.isin(0xC4, 0xC8, 0xCC)
+        inside = (at(acc["at"], 1) == 0xFF) & (acc["at"] < F.length("content"))
+        step = F.when(mark == 0xFF, 1).otherwise(at(acc["at"] + 2, 2) + 2)
+        done = acc["height"].isNotNull() | ~F.coalesce(inside, F.lit(False))
+        moved = F.struct(F.when(frame, acc["at"]).otherwise(F.coalesce(acc["at"] + step, F.length("content"))).alias("at"), F.when(frame, at(acc["at"] + 5, 2)).alias("height"), F.when(frame, at(acc["at"] + 7, 2)).alias("width"))
+        return F.when(done, acc).otherwise(moved)
+
+    none = F.lit(None).cast("int")
+    jpeg = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(F.lit(3).alias("at"), none.alias("height"), none.alias("width")), segment)
+    tag = F.regexp_extract(decoded_bytes(F.substring("content", 1, 4000)), r"(?is)<svg\b[^>]*>", 0)
+    drawn = lambda name: F.nullif(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([0-9]+)(?:\.[0-9]+)?(?:px)?["']""", 1), F.lit("")).cast("int")
+    size = lambda name, png, gif: F.when(kind == "png", number(head(png, 4))).when(kind == "gif", little(gif)).when(kind == "jpeg", jpeg[name]).when(kind == "svg", drawn(name))
+    return images.withColumn("format", kind).withColumn("width", size("width", 17, 7)).withColumn("height", size("height", 21, 9))
 
 
 def with_plates(pages: DataFrame, images: DataFrame) -> DataFrame:
@@ -52,15 +67,22 @@ def with_plates(pages: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def write_books(books: DataFrame, folder: str) -> None:
-    """One file per row of books(name, content), whole or not at all: written beside, then renamed."""
+    """One file per row of books(name, content), whole or not at all: written beside, then renamed.
+
+    The folder may be of any file system that Arrow reaches (a path, file:, hdfs:, s3:, gs:); on a cluster it is one that all machines see."""
 
     def put(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from uuid import uuid4
+
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
         for row in rows:
-            aside = f"{folder}/.{row['name']}.{os.getpid()}"
-            with open(aside, "wb") as f:
-                f.write(row["content"])
-            os.replace(aside, f"{folder}/{row['name']}")
+            aside = f"{root}/.{row['name']}.{uuid4().hex}"
+            with files.open_output_stream(aside) as f:
+                f.write(bytes(row["content"]))
+            files.move(aside, f"{root}/{row['name']}")
 
     books.select("name", "content").foreachPartition(put)
 

@@ -23,10 +23,12 @@ def importable(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all machines see: spark.checkpoint.dir, or a local one where that is unset and all is one machine (tests)."""
     importable(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines see")
         found = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
