@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from quire.functions import trees as T
 from quire.operators.books import carried, internal_references
@@ -39,6 +40,30 @@ def missing_body_repaired(source: str) -> tuple[str, bool]:
     return f"{source[:at]}<body>{source[at:end]}</body>{source[end:]}", True
 
 
+def markup_steps(sources: DataFrame) -> DataFrame:
+    """sources(…, source, value) with what each step of healing makes of a source: named references as numbers, numbers beyond ASCII
+    as characters, a modern doctype, a body; of a value, its references decoded, and its lines. Nulls are empty; where
+    a reference is unknown, error says so and the rest is null."""
+    importable(sources.sparkSession)
+    made = ("numeric", "literal", "doctype", "body", "plain", "error")
+    schema = T_.StructType([*sources.schema.fields, *(T_.StructField(c, T_.StringType()) for c in made), T_.StructField("lines", T_.ArrayType(T_.StringType()))])
+    at = [sources.columns.index(c) for c in ("source", "value")]
+
+    def steps(source: str, value: str) -> dict:
+        try:
+            return {"numeric": T.numeric_entities(source), "literal": T.literal_refs(source), "doctype": T.modern_doctype(source), "body": missing_body_repaired(source)[0], "plain": T.plain_refs(value), "lines": lines_of(value)}
+        except ValueError as e:
+            return {"error": str(e)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [steps(s or "", v or "") for s, v in zip(*(batch.column(k).to_pylist() for k in at))]
+            new = [pa.array([r.get(c) for r in rows], pa.string()) for c in made] + [pa.array([r.get("lines") for r in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *made, "lines"])
+
+    return sources.mapInArrow(run, schema)
+
+
 def lines_of(source: str) -> list[str]:
     """Lines of a document's body, breaks counted as such."""
     body = re.search(r"<body\b[^>]*>(.*)</body\s*>", source, re.S | re.I)

@@ -283,7 +283,7 @@ def contents_page_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a line moves as the digest of its key, which is made once
     keyed = written(lines.withColumn("key", X.squeeze(F.col("line"))).where("key <> ''").select("book_id", "doc_path", F.unhex(F.md5("key")).alias("key")), "line-keys")
     labels = keyed.distinct().groupBy("book_id", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return B.contents_pages(lines, labels).withColumn("share", F.round("share", 9))
+    return B.contents_pages(keyed, labels).withColumn("share", F.round("share", 9))
 
 
 @query("SELECT source AS book_id, sha256(text) AS digest, min_by('d' || doc_id, doc_id) AS path, min(doc_id) AS ord, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY ALL")

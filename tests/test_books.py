@@ -140,7 +140,7 @@ def test_relocation(spark):
     assert "nope" in got["t/bad.xhtml"].error
     again = R.relocated(spark.createDataFrame([("b", "t/toc.xhtml", got["t/toc.xhtml"].content, "Toc")], "book_id string, path string, content string, title string"), targets, labels).collect()[0]
     assert again.linked == 0 and again.content == got["t/toc.xhtml"].content
-    glyphs = {r.path: r for r in R.relocated(chapters, targets, labels, emoji="glyph", names={"🚀": "rocket"}).collect()}
+    glyphs = {r.path: r for r in R.relocated(chapters, targets, labels, emoji="glyph", names={"🚀": "rocket"}, drawn=frozenset("🚀")).collect()}
     assert glyphs["t/c1.xhtml"].glyphs == 1 and 'alt="rocket"' in glyphs["t/c1.xhtml"].content
     with pytest.raises(ValueError):
         R.relocated(chapters, targets, labels, emoji="other")
