@@ -105,7 +105,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     pairs = tiles.select("ones", "part").join(F.broadcast(here), "ones").where("parts2 > 0").withColumn("part2", F.explode(F.expr("sequence(0, parts2 - 1)")))
     pairs = pairs.where("ones < ones2 or part <= part2").select("ones", "part", "ones2", "part2")
     right = tiles.select(F.col("ones").alias("ones2"), F.col("part").alias("part2"), F.col("prints").alias("prints2"))
-    n = min(2000, max(8, sum(classes.values()) * (radius + 1)))
+    n = max(8, sum(classes.values()) * (radius + 1))
     sides = pairs.join(tiles, ["ones", "part"]).join(right, ["ones2", "part2"]).repartition(n, "ones", "part", "ones2", "part2")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:

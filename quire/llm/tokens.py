@@ -6,14 +6,18 @@ to two deterministic machines:
 * A splitter over classes of characters, of seven states, which says where pieces
   begin: letter runs, single numbers, runs of other signs, and contractions, for
   which an apostrophe and up to one letter stay pending.
-* A counter over pieces: each path from the start of a piece to its end carries
-  the number of tokens that the merges emit for it. Paths are compiled when they
-  are first met, from the merge ranks of the file.
+* A transducer over the characters of pieces: a trie whose transitions lead from
+  state to state and whose last transition, the one that ends the piece, is annotated
+  with the number of tokens it emits. Paths are compiled from the merge ranks of the
+  file, when a piece first goes there; then all pieces of a batch take their steps
+  together, a character at a time, over arrays.
 
 Text is cut into chunks of equal length. Every chunk's map from each state it may
 be entered in to the state it is left in is computed for all chunks at once; a
 parallel prefix scan composes the maps, which gives each chunk its true entry state;
 then all chunks emit. So no chunk waits for the one before it, however long a text.
+Characters get their small forms from the file's own library, as it may know more of
+them than this Python. Files of another kind than this are refused.
 
 Nulls and empty texts have no tokens; a null doc_id is kept. Repeated rows are counted
 each. Columns beyond doc_id and text are ignored; empty tables give empty results.
@@ -31,14 +35,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, mix64
 
 LIMIT = 2048
 CHUNK = 512
 #: Characters that are split at once.
 SLAB = 2_000_000
-#: Pieces whose counts a worker keeps.
-KEPT = 1_000_000
+#: States that a worker keeps; beyond, compilation starts anew.
+KEPT = 2_000_000
+#: Longer pieces are counted one by one.
+LONG = 64
+#: Fixed value: the pattern of pieces that the splitter is made for.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # classes of characters
 SPACE, NUMBER, OTHER, APOSTROPHE, LETTER, ENDS, R, V, L, E = range(10)
@@ -84,17 +92,28 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
 STEP, EMIT = splitter()
 
 
-@lru_cache(1)
-def classes() -> np.ndarray:
-    """The class of every code point."""
+#: Code points that may have a small form, or that versions of Unicode may tell apart: the planes beyond have none.
+ASSIGNED = [*range(0x80, 0xD800), *range(0xE000, 0x33480), *range(0xE0000, 0xE0200)]
+
+
+@lru_cache(2)
+def classes(path: str) -> np.ndarray:
+    """The class of every code point; where two versions of Unicode differ about it, the file's library decides."""
     out = np.full(0x110000, OTHER, np.uint8)
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for pattern, c in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
         for found in regex.finditer(pattern, every):
-            out[np.array([found.start(), found.end() - 1]) + 0x800 * (np.array([found.start(), found.end() - 1]) >= 0xD800)] = c
-            a, b = (x + 0x800 * (x >= 0xD800) for x in found.span())
-            out[a:b] = c
+            a, last = (x + 0x800 * (x >= 0xD800) for x in (found.start(), found.end() - 1))
+            out[a : last + 1] = c
     out[0xD800:0xE000] = OTHER
+    kinds = {"L": LETTER, "N": NUMBER}
+    disputed = [c for c in ASSIGNED if out[c] != SPACE and out[c] != kinds.get(unicodedata.category(chr(c))[0], OTHER)]
+    if disputed:
+        from tokenizers import Tokenizer
+
+        split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        for c in disputed:
+            out[c] = LETTER if len(split(f"a{chr(c)}")) == 1 else OTHER if len(split(f"!{chr(c)}")) == 1 else NUMBER
     out[ord("'")] = APOSTROPHE
     for letter, c in {"s": ENDS, "t": ENDS, "m": ENDS, "d": ENDS, "r": R, "v": V, "l": L, "e": E}.items():
         out[ord(letter)] = c
@@ -110,13 +129,12 @@ def composed(maps: np.ndarray) -> np.ndarray:
     return out
 
 
-def piece_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Beginnings and ends of the pieces of a text that ends with white space."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+def piece_bounds(points: np.ndarray, kind_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings and ends of the pieces of a text, given as code points, that ends with white space; kind_of: their classes."""
     n = len(points)
     chunks = -(-n // CHUNK)
     kinds = np.zeros(chunks * CHUNK, np.uint8)
-    np.take(classes(), points, out=kinds[:n])
+    np.take(kind_of, points, out=kinds[:n])
     spaces = kinds == SPACE
     kinds *= 8
     turned = np.ascontiguousarray(kinds.reshape(chunks, CHUNK).T)
@@ -140,13 +158,21 @@ def piece_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Counter:
-    """Tokens by piece, compiled from the merges of a tokenizer file."""
+    """The transducer of a tokenizer file, compiled from its merges as pieces come."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         model = spec["model"]
+        steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if model.get("type") != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or splits[:1] != [PIECES] or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path} is no tokenizer of the kind that is compiled here")
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
+        self.classes = classes(path)
+        self.small = small_forms(path)
+        self.odd = regex.compile("[" + "".join(map(regex.escape, self.small)) + "]") if self.small else None
         self.end = model["end_of_word_suffix"] or ""
         names: dict[str, int] = {}
         self.names = names
@@ -160,7 +186,75 @@ class Counter:
         letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.inner = [self.name(letters[b]) for b in range(256)]
         self.last = [self.name(letters[b] + self.end) for b in range(256)]
-        self.known: dict[str, int] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        """Forgets all compiled paths. The table of transitions is open: a key's place is its hash, or the next free one."""
+        self.states = 1
+        self.keys = np.zeros(1 << 16, np.uint64)
+        self.to = np.zeros(1 << 16, np.int32)
+        self.ends = np.full(1 << 12, -1, np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is in the table, or the free place where it would be."""
+        mask = np.uint64(len(self.keys) - 1)
+        at = mix64(keys) & mask
+        held = self.keys[at]
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            at[left] = (at[left] + np.uint64(1)) & mask
+            held = self.keys[at[left]]
+            left = left[(held != keys[left]) & (held != 0)]
+        return at
+
+    def add(self, keys: np.ndarray) -> None:
+        """New states for distinct keys that aren't in the table."""
+        while 2 * (self.states + len(keys)) > len(self.keys):
+            old, to = self.keys, self.to
+            self.keys, self.to = np.zeros(2 * len(old), np.uint64), np.zeros(2 * len(old), np.int32)
+            self.put(old[old != 0], to[old != 0])
+        self.put(keys, np.arange(self.states, self.states + len(keys), dtype=np.int32))
+        self.states += len(keys)
+        if self.states > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.full(max(len(self.ends), self.states - len(self.ends)), -1, np.int32)])
+
+    def put(self, keys: np.ndarray, to: np.ndarray) -> None:
+        while len(keys):
+            at = self.places(keys)
+            # of several keys for one free place the last written stays; the others look again
+            self.keys[at] = keys
+            mine = self.keys[at] == keys
+            self.to[at[mine]] = to[mine]
+            keys, to = keys[~mine], to[~mine]
+
+    def emitted(self, text: str, points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What each piece's last transition emits."""
+        if self.states > KEPT:
+            self.restart()
+        out = np.zeros(len(begins), np.int64)
+        sizes = ends - begins
+        long = np.flatnonzero(sizes > LONG)
+        for k in long.tolist():
+            out[k] = self.count(text[begins[k] : ends[k]])
+        order = np.argsort(-np.where(sizes > LONG, 0, sizes), kind="stable")[: len(begins) - len(long)]
+        begin, size = begins[order], sizes[order]
+        state = np.zeros(len(order), np.int64)
+        for step in range(int(size.max(initial=0))):
+            active = int(np.searchsorted(-size, -step, "left"))  # pieces longer than step
+            # a key is never 0: characters are counted from 1
+            keys = (state[:active].astype(np.uint64) << np.uint64(21)) | (points[begin[:active] + step].astype(np.uint64) + np.uint64(1))
+            at = self.places(keys)
+            missing = self.keys[at] == 0
+            if missing.any():
+                self.add(np.unique(keys[missing]))
+                at = self.places(keys)
+            state[:active] = self.to[at]
+        fresh = np.flatnonzero(self.ends[state] < 0)
+        if len(fresh):
+            states, first = np.unique(state[fresh], return_index=True)
+            self.ends[states] = [self.count(text[a : a + n]) for a, n in zip(begin[fresh[first]].tolist(), size[fresh[first]].tolist())]
+        out[order] = self.ends[state]
+        return out
 
     def name(self, token: str) -> int:
         return self.names.setdefault(token, len(self.names))
@@ -210,16 +304,6 @@ class Counter:
                     heapq.heappush(heap, (found[0], i, found[1], parts[i], parts[after[i]]))
         return left
 
-    def counts(self, pieces: list[str]) -> list[int]:
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        count = self.count
-        for p in pieces:
-            if p not in known:
-                known[p] = count(p)
-        return [known[p] for p in pieces]
-
 
 @lru_cache(2)
 def counter(path: str) -> Counter:
@@ -233,10 +317,19 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
+@lru_cache(2)
+def small_forms(path: str) -> dict[str, str]:
+    """Characters whose normal form in the file's library is another than here."""
+    from tokenizers import Tokenizer
+
+    every = list(map(chr, ASSIGNED))
+    theirs = Tokenizer.from_file(path).normalizer.normalize_str("|".join(every)).split("|")
+    return {c: form for c, form in zip(every, theirs, strict=True) if normalised(c) != form and not c.isspace() and form.strip()}
+
+
 def text_counts(texts: list[str | None], path: str) -> np.ndarray:
     """Tokens of each text."""
     machine = counter(path)
-    special = regex.compile("|".join(map(regex.escape, machine.specials)))
     out = np.zeros(len(texts), np.int64)
     parts: list[str] = []
     held: list[tuple[int, int]] = []  # text, characters
@@ -246,8 +339,9 @@ def text_counts(texts: list[str | None], path: str) -> np.ndarray:
         if not held:
             return
         whole = "".join(parts)
-        begins, ends = piece_bounds(whole)
-        counts = np.array(machine.counts([whole[a:b] for a, b in zip(begins.tolist(), ends.tolist())]), np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        begins, ends = piece_bounds(points, machine.classes)
+        counts = machine.emitted(whole, points, begins, ends)
         upto = np.concatenate([[0], np.cumsum(counts)])
         stops = np.cumsum([n for _, n in held])
         at = np.searchsorted(begins, stops)
@@ -258,11 +352,13 @@ def text_counts(texts: list[str | None], path: str) -> np.ndarray:
     for k, text in enumerate(texts):
         if not text:
             continue
-        if "<|" in text:
-            out[k] += len(special.findall(text))
-            pieces = special.split(text)
+        if any(t in text for t in machine.specials):
+            out[k] += len(machine.special.findall(text))
+            pieces = machine.special.split(text)
         else:
             pieces = [text]
+        if machine.odd is not None and not text.isascii():
+            pieces = [machine.odd.sub(lambda m: machine.small[m[0]], p) for p in pieces]
         # a line break ends every piece and belongs to none
         clean = "".join(normalised(p) + "\n" for p in pieces)
         parts.append(clean)

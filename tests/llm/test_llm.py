@@ -338,6 +338,32 @@ def test_tokens_against_the_library(docs, odd):
         assert r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) and r.n_bytes == len((r.text or "").encode())
 
 
+def test_tokens_of_every_character():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x33480), *range(0xE0000, 0xE0200)]]
+    for context in ("{0}", "a{0}b 1{0}"):
+        made = ["  ".join(context.format(c) for c in every[k : k + 500]) for k in range(0, len(every), 500)]
+        want = [len(e.ids) for e in library.encode_batch(made, add_special_tokens=False)]
+        assert tokens.text_counts(made, tokens.tokenizer_path()).tolist() == want
+
+
+def test_transducer_is_compiled_once(tmp_path, monkeypatch):
+    machine = tokens.Counter(tokens.tokenizer_path())
+    text = "the cat cats the " + "q" * 70 + " "
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    bounds = tokens.piece_bounds(points, machine.classes)
+    first = machine.emitted(text, points, *bounds).tolist()
+    states = machine.states
+    monkeypatch.setattr(machine, "count", machine.long_count and (lambda piece: 1 / 0 if len(piece) <= tokens.LONG else first[-1]))
+    assert machine.emitted(text, points, *bounds).tolist() == first and machine.states == states == 1 + len("the") + len("cats")
+    other = tmp_path / "other.json"
+    other.write_text(open(tokens.tokenizer_path(), encoding="utf-8").read().replace("'ll|'d|", "'ll|"), encoding="utf-8")
+    with pytest.raises(ValueError):
+        tokens.Counter(str(other))
+
+
 # ---- mixing
 
 
@@ -570,6 +596,14 @@ def test_fast_ids_are_the_librarys(texts):
         assert e.ids(t or "").tolist() == e.slow.encode(t or "", add_special_tokens=False).ids
 
 
+def test_ids_agree_on_both_sides_of_the_long_texts():
+    e = packing.encoder(packing.tokenizer_path())
+    words_ = random.Random(5).choices(["the", "cat", " sat", "\n", "é漢", "12", "!?", "naïve"], k=260_000)
+    text = " ".join(words_)
+    for cut in (text[: packing.LONG], text[: packing.LONG + 1]):
+        assert e.ids(cut).tolist() == e.slow.encode(cut, add_special_tokens=False).ids == e.fast.encode(cut, allowed_special=set(), disallowed_special=())
+
+
 # ---- near duplicates
 
 
