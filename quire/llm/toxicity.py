@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import mapped, written
 
 THRESHOLD = 0.7
-#: Labelled rows that are learned from, at most: half for terms and half for weights.
+#: Labelled rows that are learned from, at most.
 TRAINING = 20_000
 #: Terms of the lexicon, at most; toxic texts, near copies aside, that a term must have, their share in these
 #: and the clean texts with it, and by how many standard deviations that exceeds the share of toxic texts.
@@ -292,7 +292,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def learned_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Whole words and stems with weights, from the first half of the training texts."""
+    """Whole words and stems with weights, from training texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic_in: dict[str, set[int]] = {}
@@ -319,9 +319,9 @@ def learned_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, fl
 
     from xxhash import xxh64_intdigest
 
-    uses = training.where("half = 0").groupBy("text").agg(F.max("toxic").alias("toxic")).mapInArrow(rows, "term string, use long, clean long")
+    uses = training.groupBy("text").agg(F.max("toxic").alias("toxic")).mapInArrow(rows, "term string, use long, clean long")
     counts = uses.groupBy("term").agg(F.count_distinct("use").alias("toxic"), F.sum("clean").alias("clean"))
-    base = training.where("half = 0").agg(F.avg("toxic").alias("p")).collect()[0]["p"] or 0.0
+    base = training.agg(F.avg("toxic").alias("p")).collect()[0]["p"] or 0.0
     texts = F.col("toxic") + F.col("clean")
     sure = F.col("toxic") - base * texts >= SURE * F.sqrt(base * (1 - base) * texts)
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
@@ -341,12 +341,17 @@ def model(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> tuple[dic
     """Words, stems and regression weights; all bounded by TERMS and `most`."""
     training = written(training_texts(docs, labels, most), "toxicity-training")
     words, stems = learned_lexicon(training)
+    # weights are learned from each half with the terms of the other: with its own, it would look too easy
+    other = [learned_lexicon(training.where(F.col("half") == 1 - half)) for half in (0, 1)]
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = features(batch.column(0).to_pylist(), Lexicon(words, stems))
+        texts, half = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy(zero_copy_only=False)
+        found = np.zeros((len(texts), 9))
+        for k in (0, 1):
+            found[half == k] = features(texts[half == k].tolist(), Lexicon(*other[k]))
         return pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    seen = mapped(training.where("half = 1").select("text", "toxic").orderBy("doc_id"), rows, "x array<double>, toxic int").toPandas()
+    seen = mapped(training.select("text", "toxic", "half").orderBy("doc_id"), rows, "x array<double>, toxic int").toPandas()
     if seen.empty or seen["toxic"].nunique() < 2:
         return words, stems, None
     return words, stems, fitted(np.array(seen["x"].tolist()), seen["toxic"].to_numpy(float)).tolist()

@@ -115,8 +115,8 @@ def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
     scored = toxicity.score(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted", "score").toPandas()
-    assert (scored.toxic == scored.predicted).mean() > 0.96
-    assert scored.predicted[scored.toxic == 1].mean() > 0.7 and scored.predicted[scored.toxic == 0].mean() < 0.01
+    assert (scored.toxic == scored.predicted).mean() > 0.98
+    assert scored.predicted[scored.toxic == 1].mean() > 0.88 and scored.predicted[scored.toxic == 0].mean() < 0.01
 
 
 def test_toxicity_lexicon():
