@@ -12,12 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 LINES_A_PAGE = 30
+#: Documents of a source whose numbers share all but so much are a book: books don't grow with the data.
+A_BOOK = 100
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as books by source, their lines laid out on pages of thirty by rule."""
+    """Documents as books, some of a source each, their lines laid out on pages of thirty by rule."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    lines = docs.select(F.col("source").alias("book_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = docs.select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / A_BOOK).cast("string")).alias("book_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     n = F.length("text")
     i = F.col("pos") % LINES_A_PAGE
     at = lines.withColumn("page", F.floor(F.col("pos") / LINES_A_PAGE)).withColumns({
@@ -32,7 +34,7 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OCR_LINES = f"""
-raw AS (SELECT source AS book_id, doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT source || '-' || doc_id // {A_BOOK} AS book_id, doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT book_id, (dense_rank() OVER (PARTITION BY book_id ORDER BY doc_id, pos // {LINES_A_PAGE}) - 1)::INT AS page_no, (pos % {LINES_A_PAGE})::INT AS line_no, text,
   (CASE WHEN length(text) % 4 = 0 THEN 160 ELSE 100 END)::DOUBLE / 1000 AS x, (970 - 31 * (pos % {LINES_A_PAGE}) - CASE WHEN length(text) % 3 = 0 THEN 11 ELSE 0 END)::DOUBLE / 1000 AS y,
   (CASE WHEN length(text) % 7 = 0 THEN 40 WHEN length(text) % 5 = 0 THEN 24 ELSE 20 END)::DOUBLE / 1000 AS height FROM raw)

@@ -301,9 +301,9 @@ def singleton_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.more_than_one(_resources(spark, sf_dir))
 
 
-@query("SELECT lang AS book_id, doc_id, (row_number() OVER w)::INT AS chapter_no, (row_number() OVER w) || '.xhtml' AS href, printf('chapter%02d', row_number() OVER w) AS chapter_id, (row_number() OVER w)::INT AS play_order FROM documents WINDOW w AS (PARTITION BY lang ORDER BY source, doc_id)")
+@query("SELECT lang || '-' || doc_id // 100 AS book_id, doc_id, (row_number() OVER w)::INT AS chapter_no, (row_number() OVER w) || '.xhtml' AS href, printf('chapter%02d', row_number() OVER w) AS chapter_id, (row_number() OVER w)::INT AS play_order FROM documents WINDOW w AS (PARTITION BY lang, doc_id // 100 ORDER BY source, doc_id)")
 def merged_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.numbered(table(spark, sf_dir, "documents").select(F.col("lang").alias("book_id"), "doc_id", "source"), ["source", "doc_id"]).drop("source")
+    return B.numbered(table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string")).alias("book_id"), "doc_id", "source"), ["source", "doc_id"]).drop("source")
 
 
 @query("WITH b AS (SELECT p_brand AS book_id, p_partkey AS ord, CASE WHEN regexp_matches(h, '^[A-Za-z_]') THEN h ELSE 'id-' || h END AS base FROM (SELECT *, regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN p_size || ' ' ELSE '' END || split_part(p_name, ' ', 1), '[^A-Za-z0-9_.-]', '-', 'g') AS h FROM part)) SELECT book_id, ord, base, base || CASE WHEN row_number() OVER w > 1 THEN '-' || row_number() OVER w ELSE '' END AS name FROM b WINDOW w AS (PARTITION BY book_id, base ORDER BY ord)")
