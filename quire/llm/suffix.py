@@ -14,11 +14,12 @@ name is unique, are settled where it can drop most positions:
 2. At the full length, by the pair of names at a position and at the end less 128, for
    the positions that are left. Unique ones are dropped; the rest are repeats.
 
-Names that are asked are 64 bits long: two strings that differ pass for equal once in some
-10^19 pairs of asked positions (README). Each time Spark sorts the asked names within hash buckets over all documents (see
-blocks). Whole texts that are copies are settled in the first exchange, and only the
-first copy asks further, with double weight. Every exchange sends a name once per
-block of documents, so no frequent passage meets in one task.
+Names that are asked are 64 bits long: two strings that differ pass for equal once in
+some 10^19 pairs of asked positions (README). Each time Spark sorts the asked names
+within hash buckets over all documents (see blocks). Whole texts that are copies are
+settled in the first exchange, and only the first copy asks further, with double
+weight. Every exchange sends a name once per block of documents, so no frequent passage
+meets in one task.
 
 Nulls are empty texts. A null doc_id is kept. Texts shorter than `length` have no
 repeats. Repeated rows are documents of their own, and thus copies. Columns beyond
