@@ -444,3 +444,13 @@ def markdown_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = written(bookmd.together(files), "together")
     job = A.markdown(books, spark.createDataFrame([], "book_id string, name string, content binary"))
     return _pages_of(job).join(books.select("book_id", F.when(F.size("nothing") > 0, F.col("nothing")).alias("nothing")), "book_id")
+
+
+@query("SELECT p_partkey::VARCHAR AS book_id, [p_type, 'Second'] AS titles, [1, 2] AS levels, [p_name || ' [l](' || p_size || '.html)', 'Inside', 'quoted', 'one', 'two'] AS texts, ['x ' || p_size || '.png'] AS hrefs, ['A plate'] AS alts, [p_size || '.html'] AS links, p_name AS payload_title, p_name AS payload_text FROM part")
+def markdown_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every conversion of a markdown book must keep, as columns and as JSON."""
+    size = F.col("p_size").cast("string")
+    source = F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\n---\n\n# "), "p_type", F.lit("\n\n"), "p_name", F.lit(" [l]("), size, F.lit(".html)\n\n> ### Inside\n> quoted\n\n* one\n* two\n\n![[x "), size, F.lit(".png|A plate]]\n\n```\n# code\n```\n\n## Second\n"))
+    found = bookmd.data_columns(bookmd.parsed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), source.alias("source"))))
+    payload = lambda path: F.get_json_object("payload", path)
+    return found.select("book_id", "titles", "levels", "texts", F.col("images.href").alias("hrefs"), F.col("images.alt").alias("alts"), "links", payload("$.metadata.title").alias("payload_title"), F.regexp_extract(payload("$.texts[0]"), r"^(.*) \[l\]", 1).alias("payload_text"))
