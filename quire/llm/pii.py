@@ -1,9 +1,9 @@
 """Surrogates for personal data: every entity found gets a keyed replacement of its own kind.
 
 Found are e-mail addresses, IPv4 addresses, telephone, card and social security
-numbers, credentials in quotes, and names of persons (after a title, before a form
-of address, or with a known given name; then every later or earlier use of a part of
-such a name in the same text). Replacements keep what the entity shows:
+numbers, credentials in quotes, and names of persons (after a title, after words that
+announce a name, before a form of address, or with a known given name; then every later
+or earlier use of a part of such a name in the same text). Replacements keep what the entity shows:
 
 * digits of telephone, card and security numbers, and the bytes of IP addresses,
   go through a keyed Feistel permutation: two entities of one format never get one
@@ -66,6 +66,9 @@ SYLLABLES = {
 }
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}", "han": r"\p{IsHan}", "kana": r"[\p{IsHiragana}\p{IsKatakana}]", "hangul": r"\p{IsHangul}"}
 
+#: Words with a colon after which a form has somebody's name.
+CUES = ["Name", "Author", "Contact", "Signed", "Patient", "Customer", "Employee", "Attn", "Sender", "Recipient"]
+_CUE = rf"\b(?:{'|'.join(CUES)}): ?|\b[Nn]ame is |\b(?:Sincerely|[Rr]egards),\s{{1,2}}"
 _TITLES = "|".join(t for x in TITLES.values() for t in x)
 _GIVEN = "|".join(n for x in GIVEN.values() for n in x)
 #: A part of a name: a capital, letters, and more of them after apostrophes and hyphens, but for the s of a genitive.
@@ -78,6 +81,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLES})\b\.? {NAME}(?: {NAME})?|(?:{_GIVEN}) {NAME})",
+    "cued": rf"(?=\p{{Lu}})(?<={_CUE}){NAME}(?: {NAME}){{1,2}}",
     "addressed": rf"[\p{{IsHan}}\p{{IsKatakana}}\p{{IsHangul}}]{{2,4}}(?={'|'.join(ADDRESS)})",
 }
 KINDS = ("email", "ip", "secret", "card", "ssn", "phone", "name")
@@ -85,7 +89,7 @@ KINDS = ("email", "ip", "secret", "card", "ssn", "phone", "name")
 PART = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}){NAME}"
 NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "secret", "card", "ssn", "phone"))
 OTHERS = f"(?:{PATTERNS['email']})|{NUMBERS}"
-ANY = f"{OTHERS}|(?:{PATTERNS['name']})|(?:{PATTERNS['addressed']})|{PART}"
+ANY = f"{OTHERS}|(?:{PATTERNS['name']})|(?:{PATTERNS['cued']})|(?:{PATTERNS['addressed']})|{PART}"
 #: A text without any of these has no number or credential; two searches are faster than one for either.
 HINTS = r"\d[ .()-]{0,2}\d", r"[=:]\s*[\"']"
 ROUNDS = 6
@@ -190,9 +194,10 @@ def new_name(entity: Column, key: str, width: Callable[[Column], Column]) -> Col
 def kind_of(entity: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS.items():
-        # without what must follow: that isn't part of the entity
-        found = entity.rlike(rf"\A(?:{pattern.partition('(?=' + ADDRESS[0])[0]})\z")
-        kind = "name" if kind == "addressed" else kind
+        # without what must stand before or follow: that isn't part of the entity
+        pattern = pattern.partition("(?=" + ADDRESS[0])[0].replace(f"(?<={_CUE})", "")
+        found = entity.rlike(rf"\A(?:{pattern})\z")
+        kind = "name" if kind in ("addressed", "cued") else kind
         out = F.when(found, kind) if out is None else out.when(found, kind)
     return out
 
@@ -284,7 +289,7 @@ def found(docs: DataFrame, row: str, gaps: str, entities: str) -> DataFrame:
     text, mark, parts = (unused(x, docs) for x in ("whole", "mark", "parts"))
     whole = F.col(text)
     addressed = (F.octet_length(whole) > F.length(whole)) & reduce(or_, map(whole.contains, ADDRESS))
-    named = addressed | whole.rlike(PATTERNS["name"])
+    named = addressed | whole.rlike(PATTERNS["name"]) | whole.rlike(rf"(?:{_CUE})\p{{Lu}}")
     numbered = reduce(or_, map(whole.rlike, HINTS))
     marked = lambda pattern: F.split(F.regexp_replace(whole, F.lit(pattern), F.concat(F.col(mark), F.lit("$0"), F.col(mark))), F.col(mark), -1)
     cut = F.when(named, marked(ANY)).when(whole.contains("@"), marked(OTHERS)).when(numbered, marked(NUMBERS)).otherwise(F.array(whole))

@@ -432,13 +432,15 @@ def test_pii(spark, odd):
 def test_pii_persons_stay_one(spark):
     import re
 
-    texts = ["Mr. Roe came. Mr. Roe's hat. Then Roe left; Roes stay.", "Roe is nobody here.", "Mr. O'Brien-Smith met O'Brien-Smith", "田中さん, 王小明先生", "Պրն Mr. Աննա", "x@firma.de, y@z.org, Z@Z.ORG, z@z.org"]
+    texts = ["Mr. Roe came. Mr. Roe's hat. Then Roe left; Roes stay.", "Roe is nobody here.", "Mr. O'Brien-Smith met O'Brien-Smith", "田中さん, 王小明先生", "Պրն Mr. Աննա", "x@firma.de, y@z.org, Z@Z.ORG, z@z.org", "Contact: Zeno Quark. Later Quark wrote: my name is Ada Byte.\nSincerely,\nZeno Quark", "Contact: Zeno. The name is Quark, Name: none"]
     got = [r.text for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     m = re.fullmatch(r"Mr\. (\w+) came\. Mr\. (\w+)'s hat\. Then (\w+) left; Roes stay\.", got[0])
     assert m and m[1] == m[2] == m[3] != "Roe" and got[1] == texts[1]
     m = re.fullmatch(r"Mr\. (\w+) met (\w+)", got[2])
     assert m and m[1] == m[2]
     assert "田" not in got[3] and "王" not in got[3] and got[3].endswith("先生") and re.search(r"Mr\. [Ա-Ֆա-և]+$", got[4])
+    m = re.fullmatch(r"Contact: (\w+) (\w+)\. Later (\w+) wrote: my name is (\w+) (\w+)\.\nSincerely,\n(\w+) (\w+)", got[6])
+    assert m and m[3] == m[2] == m[7] and m[1] == m[6] and len({*m.groups(), "Zeno", "Quark", "Ada", "Byte"}) == 8 and got[7] == texts[7]
     a, b, c, d = got[5].split(", ")
     assert a.endswith("@de.example") and b.endswith("@example.org") and c == d != b
 
