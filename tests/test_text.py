@@ -98,3 +98,11 @@ def test_any_markup_becomes_well_formed(source):
     out = T.serialised(T.parsed(source))
     ElementTree.fromstring(out)
     assert re.match("<html", out)
+
+
+def test_long_runs_are_read_once(spark):
+    """A matcher that recurses once a repeat, or begins anew at every blank, would not come back from these."""
+    n = 1_000_000
+    df = spark.createDataFrame([(0, "a " + "🚀" * n + " b"), (1, "a" + " " * n + "b"), (2, "🚀 " * 100_000 + "x"), (3, " " * n)], "k int, t string")
+    got = {r.k: (r.stripped, r.trimmed) for r in df.select("k", X.strip_pictographs(F.col("t")).alias("stripped"), F.length(X.trim(F.col("t"))).alias("trimmed")).collect()}
+    assert got[0][0] == "a b" and got[1] == ("a" + " " * n + "b", n + 2) and got[2][0] == "x" and got[3][1] == 0
