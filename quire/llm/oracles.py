@@ -5,6 +5,7 @@ from __future__ import annotations
 from .lm import BACKOFF, UNSEEN
 from .mixing import EPOCHS, WEIGHTS
 from .quality import LEAST_DOCS, METRICS, reach
+from .resampling import BUCKETS, LEAST_WORDS, PERCENT, SEED
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _PER = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "word_chars"), "word_length": ("word_chars", "n_words")}
@@ -61,4 +62,29 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum({EPOCHS} * source_size)
 SELECT source, source_size, n_documents, round(CASE WHEN {EPOCHS} * source_size > weight * level THEN weight * max(CASE WHEN {EPOCHS} * source_size > weight * level THEN level END) OVER () ELSE {EPOCHS} * source_size END::DOUBLE, 3) AS target FROM l
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_lm_scoring": OP3, "op4_exact_top_k": OP4, "op7_targets": OP7_TARGETS}
+OP11_SCATTER = """
+WITH e AS (SELECT DISTINCT list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT len(v) AS width, v, generate_subscripts(v, 1) AS i FROM e),
+p AS (SELECT width, i, unnest(v) AS b, generate_subscripts(v, 1) AS j, v[i] AS a FROM r),
+c AS (SELECT width, i, j, count(*) AS n, sum((a * b)::HUGEINT) AS products, sum(a::HUGEINT) AS sa, sum(b::HUGEINT) AS sb FROM p WHERE j <= i GROUP BY ALL)
+SELECT width::INTEGER AS width, i::INTEGER AS i, j::INTEGER AS j, n, (n * products - sa * sb)::VARCHAR AS entry FROM c
+"""
+
+# fixed value: 3988292384 is the reversed polynomial of CRC-32
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT -row_number() OVER () AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+w AS (SELECT id, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM (SELECT id, words FROM d UNION ALL SELECT id, words FROM b)),
+g AS (SELECT id, w AS f, count(*) AS n FROM w GROUP BY ALL UNION ALL SELECT id, f, count(*) FROM (SELECT id, w || ' ' || lead(w) OVER (PARTITION BY id ORDER BY i) AS f FROM w) WHERE f IS NOT NULL GROUP BY ALL),
+z AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS z),
+y AS (SELECT f, list_transform(range(len(h) // 2), lambda k: 16 * (instr('0123456789ABCDEF', h[2 * k + 1]) - 1) + instr('0123456789ABCDEF', h[2 * k + 2]) - 1) AS bytes FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM g)),
+k AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(z.z[(xor(c, b) & 255) + 1], c >> 8))) % {BUCKETS} AS bucket FROM y, z),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (id > 0), 0) AS s, coalesce(sum(n) FILTER (id < 0), 0) AS t FROM g JOIN k USING (f) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + {BUCKETS})::DOUBLE)))::BIGINT AS gain FROM c),
+m AS (SELECT id, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM g JOIN k USING (f) JOIN gains USING (bucket) GROUP BY id),
+s AS (SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (id)),
+r AS (SELECT *, CASE WHEN n_words >= {LEAST_WORDS} THEN row_number() OVER (PARTITION BY n_words >= {LEAST_WORDS} ORDER BY score DESC, doc_id) END AS place FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {PERCENT} * (SELECT count(*) FROM s WHERE n_words >= {LEAST_WORDS}) // 100 THEN place END AS rank FROM r
+"""
+
+SQL = {"op1_quality_rules": OP1, "op3_lm_scoring": OP3, "op4_exact_top_k": OP4, "op7_targets": OP7_TARGETS, "op11_scatter": OP11_SCATTER, "op13_importance_resampling": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, packing, pii, quality, simhash, suffix, tokens, topk, toxicity
+from . import lm, mixing, packing, pii, quality, resampling, simhash, spfhp, suffix, tokens, topk, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +62,25 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op11_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact scatter alone, for SQL to confirm."""
+    return whitening.scatter_entries(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spfhp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spfhp.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lm_scoring, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_source_mixing, op7_targets, op8_pii_surrogates, op9_best_fit_packing, op10_simhash_classes)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lm_scoring, op4_exact_top_k, op5_suffix_dedup, op6_token_counts, op7_source_mixing, op7_targets, op8_pii_surrogates, op9_best_fit_packing, op10_simhash_classes, op11_embedding_whitening, op11_scatter, op12_spfhp_packing, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
