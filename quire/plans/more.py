@@ -300,7 +300,7 @@ def ocr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "ocr")
     S.write_books(pages.groupBy("book_id").agg(F.to_json(F.collect_list(page)).alias("t")).select(F.concat("book_id", F.lit(".json")).alias("name"), _bytes(F.col("t")).alias("content")), folder)
     read = S.ocr_books(spark, folder)
-    images = pages.select(F.format_string("page_%d.png", F.col("page_no") + 1).alias("name")).distinct()
+    images = pages.select("book_id", F.format_string("page_%d.png", F.col("page_no") + 1).alias("name"))
     found = S.with_plates(read, images)
     return found.select("book_id", "pageIndex", "type", "imagePath", F.size("lines").cast("long").alias("n"), F.md5(F.array_join(F.transform("lines", lambda x: x["text"]), "\n")).alias("digest"))
 
@@ -312,7 +312,7 @@ def landing_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.when(F.col("n_nationkey") % 3 > 0, "%PDF-").otherwise("PDF"), "n_name")
     S.write_books(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".pdf")).alias("name"), _bytes(content).alias("content")), folder)
     for _ in range(2):  # the second run finds nothing new
-        stream = L.once(L.accepted(L.arrivals(spark, folder)), "upload_id", "modificationTime")
+        stream = L.once(L.accepted(L.arrivals(spark, folder)), "upload_id", ["path"], "path").where("first")
         L.converted(stream, lambda rows: rows, out, marks).awaitTermination()
     return spark.read.parquet(f"{out}/*").select("upload_id", "name", "length")
 

@@ -58,10 +58,13 @@ def image_sizes(images: DataFrame) -> DataFrame:
 
 
 def with_plates(pages: DataFrame, images: DataFrame) -> DataFrame:
-    """pages(book_id, pageIndex, imagePath, …) whose image path is that of a file of images(name), by name or by page number."""
-    own = images.select(F.col("name").alias("own")).distinct()
-    numbered = images.select(F.regexp_extract("name", r"page_(\d+)\.", 1).cast("int").alias("number"), F.col("name").alias("by_number")).where("number is not null").groupBy("number").agg(F.min("by_number").alias("by_number"))
-    joined = pages.join(own, F.substring_index("imagePath", "/", -1) == F.col("own"), "left").join(numbered, F.col("number") == F.col("pageIndex") + 1, "left")
+    """pages(book_id, pageIndex, imagePath, …) whose image path is that of a file of images(book_id, name) of the same book, by name or by page number."""
+    if "book_id" not in images.columns:
+        raise ValueError("images need the book_id they belong to: plates of different books have the same names")
+    files = images.select(F.col("book_id").alias("of_book"), F.col("name").alias("own")).where("of_book is not null").distinct()
+    numbered = files.select(F.col("of_book").alias("in_book"), F.regexp_extract("own", r"page_(\d+)\.", 1).try_cast("int").alias("number"), F.col("own").alias("by_number")).where("number is not null").groupBy("in_book", "number").agg(F.min("by_number").alias("by_number"))
+    joined = pages.join(files, (F.col("book_id") == F.col("of_book")) & (F.substring_index("imagePath", "/", -1) == F.col("own")), "left")
+    joined = joined.join(numbered, (F.col("book_id") == F.col("in_book")) & (F.col("number") == F.col("pageIndex") + 1), "left")
     named = F.coalesce("own", F.when(F.col("imagePath").isNull() & (F.col("type") == "image"), F.col("by_number")))
     return joined.withColumn("imagePath", F.concat(F.lit("images/"), named)).select(*pages.columns)
 
@@ -87,6 +90,15 @@ def write_books(books: DataFrame, folder: str) -> None:
     books.select("name", "content").foreachPartition(put)
 
 
+def set_times(spark: SparkSession, folder: str, names: DataFrame, seconds: int) -> None:
+    """Sets the modification time of files of a folder, as a copy that keeps times does."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in names.toLocalIterator():
+        files.setTimes(hadoop.Path(root, r[0]), 1000 * seconds, -1)
+
+
 def write_pages(pages: DataFrame, folder: str) -> None:
     """Scanned pages as JSON lines, one file a partition."""
     pages.write.mode("overwrite").json(folder)

@@ -13,7 +13,7 @@ def test_ocr_json_and_plates(spark, tmp_path):
     df = S.ocr_books(spark, str(tmp_path))
     assert {(r.book_id, r.pageIndex, r.type) for r in df.collect()} == {("book", 0, "image"), ("book", 1, "text")}
     assert ocr.exploded(df).collect()[0].text == "x"
-    images = spark.createDataFrame([("page_1.jpeg",)], "name string")
+    images = spark.createDataFrame([("book", "page_1.jpeg")], "book_id string, name string")
     assert {r.pageIndex: r.imagePath for r in S.with_plates(df, images).collect()} == {0: "images/page_1.jpeg", 1: None}
 
 
