@@ -63,10 +63,11 @@ def with_plates(pages: DataFrame, images: DataFrame) -> DataFrame:
         raise ValueError("images need the book_id they belong to: plates of different books have the same names")
     files = images.select(F.col("book_id").alias("of_book"), F.col("name").alias("own")).where("of_book is not null").distinct()
     numbered = files.select(F.col("of_book").alias("in_book"), F.regexp_extract("own", r"page_(\d+)\.", 1).try_cast("int").alias("number"), F.col("own").alias("by_number")).where("number is not null").groupBy("in_book", "number").agg(F.min("by_number").alias("by_number"))
-    joined = pages.join(files, (F.col("book_id") == F.col("of_book")) & (F.substring_index("imagePath", "/", -1) == F.col("own")), "left")
-    joined = joined.join(numbered, (F.col("book_id") == F.col("in_book")) & (F.col("number") == F.col("pageIndex") + 1), "left")
-    named = F.coalesce("own", F.when(F.col("imagePath").isNull() & (F.col("type") == "image"), F.col("by_number")))
-    return joined.withColumn("imagePath", F.concat(F.lit("images/"), named)).select(*pages.columns)
+    rows = pages.select(F.struct(*pages.columns).alias("page"))
+    joined = rows.join(files, (F.col("page.book_id") == F.col("of_book")) & (F.substring_index("page.imagePath", "/", -1) == F.col("own")), "left")
+    joined = joined.join(numbered, (F.col("page.book_id") == F.col("in_book")) & (F.col("number") == F.col("page.pageIndex") + 1), "left")
+    named = F.coalesce("own", F.when(F.col("page.imagePath").isNull() & (F.col("page.type") == "image"), F.col("by_number")))
+    return joined.select(*(F.concat(F.lit("images/"), named).alias(c) if c == "imagePath" else F.col(f"page.`{c}`").alias(c) for c in pages.columns))
 
 
 def write_books(books: DataFrame, folder: str) -> None:
