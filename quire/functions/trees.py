@@ -1,4 +1,4 @@
-"""Trees of pages: a forgiving HTML builder on the standard tokenizer, and XHTML out of it.
+"""XHTML out of trees of pages, and repairs of markup as text.
 
 Plain Python on one document at a time; operators/pages.py applies it to columns.
 """
@@ -8,16 +8,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import entities
-from html.parser import HTMLParser
-
-# fixed values of the language
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-IN_HEAD = frozenset("base link meta title".split())
-ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+
+from quire.functions.html5 import VOID, Node, parsed
+
 BODY_BLOCKS = frozenset("address blockquote del div dl fieldset form h1 h2 h3 h4 h5 h6 hr ins noscript ol p pre table ul".split())
 
 SPACE = "\\s\ufeff"
@@ -25,160 +18,6 @@ _PICTOGRAPH = re.compile(f"([{SPACE}]*)(?:[\U0001f000-\U0001faff]\ufe0f?)+([{SPA
 _ONE = re.compile("[\U0001f000-\U0001faff]\ufe0f?")
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
-        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], None
-
-    def add(self, child: Node | str) -> None:
-        if isinstance(child, Node):
-            child.parent = self
-        elif self.children and isinstance(self.children[-1], str):
-            self.children[-1] += child
-            return
-        self.children.append(child)
-
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                out.append(node)
-            else:
-                stack.extend(reversed(node.children))
-        return "".join(out)
-
-
-class Builder(HTMLParser):
-    """Always one html with a head and a body; unclosed formatting goes on in the next block."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.html, self.head, self.body = Node("html"), Node("head"), Node("body")
-        self.html.add(self.head)
-        self.html.add(self.body)
-        self.open: list[Node] = [self.body]
-        self.active: list[Node] = []  # formatting that is to be opened again
-        self.started = False
-        self.raw: Node | None = None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        given: dict[str, str] = {}
-        for k, v in attrs:
-            given.setdefault(k, v or "")
-        if tag in ("html", "head", "body"):
-            target = getattr(self, tag)
-            for k, v in given.items():
-                target.attrs.setdefault(k, v)
-            self.started |= tag == "body"
-            return
-        node = Node(tag, given)
-        if not self.started and (tag in IN_HEAD or tag in ("script", "style")):
-            self.head.add(node)
-            if tag not in VOID:
-                self.raw = node
-            return
-        self.started = True
-        if tag in CLOSES_P:
-            self.close_to("p", {"table", "td", "th", "button"})
-        if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
-        if tag in ENDED_BY:
-            self.end_siblings(tag)
-        if tag == "a" and any(n.tag == "a" for n in self.active):
-            self.handle_endtag("a")
-        if tag not in CLOSES_P:
-            self.reopen()
-        self.open[-1].add(node)
-        if tag in VOID:
-            return
-        self.open.append(node)
-        if tag in FORMATTING:
-            self.active.append(node)
-
-    def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def end_siblings(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in SCOPE[tag]:
-                return
-            if self.open[k].tag in ENDED_BY[tag]:
-                del self.open[k:]
-                return
-
-    def close_to(self, tag: str, scope: set[str]) -> bool:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return True
-            if self.open[k].tag in scope:
-                return False
-        return False
-
-    def reopen(self) -> None:
-        for k, node in enumerate(self.active):
-            if not any(n is node for n in self.open):
-                again = Node(node.tag, dict(node.attrs))
-                self.open[-1].add(again)
-                self.open.append(again)
-                self.active[k] = again
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.raw is not None:
-            if tag == self.raw.tag:
-                self.raw = None
-            return
-        if tag in ("html", "head", "body"):
-            self.started |= tag == "head"
-            return
-        if tag == "br":
-            self.handle_starttag("br", [])
-            return
-        if tag in FORMATTING:
-            found = next((k for k in range(len(self.active) - 1, -1, -1) if self.active[k].tag == tag), None)
-            if found is None:
-                return
-            node = self.active.pop(found)
-            at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k] is node), None)
-            if at is not None:
-                del self.open[at:]  # what else it held is open again with the next text
-            return
-        if not any(n.tag == tag for n in self.open[1:]):
-            if tag == "p":
-                self.open[-1].add(Node("p"))
-            return
-        scope = {"td", "th", "table"} - {tag}
-        self.close_to(tag, scope if tag not in ("table", "tbody", "thead", "tr") else set())
-
-    def handle_data(self, data: str) -> None:
-        if self.raw is not None:
-            self.raw.add(data)
-            return
-        if not self.started:
-            if not data.strip():
-                return
-            self.started = True
-        if data.strip():
-            self.reopen()
-        self.open[-1].add(data)
-
-
-def parsed(source: str) -> Node:
-    builder = Builder()
-    builder.feed(source)
-    builder.close()
-    return builder.html
-
-
 def xml_name(name: str) -> str:
     """A name that XML takes; prefixes that nothing declares become part of it."""
     return re.sub(r"[^A-Za-z0-9_.\u00b7-\uffef-]", "_", name) if not re.fullmatch(r"xml:lang|xmlns(:[A-Za-z]+)?|[A-Za-z_][A-Za-z0-9_.-]*", name) else name

@@ -49,6 +49,46 @@ def sanitised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sanitised(table(spark, sf_dir, "pages"), _OPTIONS).select("page_id", "title", "xhtml", "error")
 
 
+# pages whose article stands in a cell of a table in a quotation, behind a picture and text that is loose in the table
+_IN_TABLE = ("<article>", '<article><blockquote><img src="a.png"><table>loose <a href="l">link</a><tr><td>cell <b>')
+_OUT_OF_TABLE = ("</article>", "</table></blockquote></article>")
+_TABLED = f"replace(replace(html, '{_IN_TABLE[0]}', '{_IN_TABLE[1]}'), '{_OUT_OF_TABLE[0]}', '{_OUT_OF_TABLE[1]}')"
+_CLASSES = {"images": r"<img\s", "links": r"<a\s[^>]*href=", "listItems": r"<li[\s>]", "headings": r"<h[1-6][\s>]", "tables": r"<table[\s>]", "blockquotes": r"<blockquote[\s>]"}
+_COUNTED = " UNION ALL ".join(f"SELECT page_id, '{k}' AS category, {_N(_VISIBLE, '(?i)' + p)} AS arrived, {_N(_BODY, '(?i)' + p)} AS survived FROM p" for k, p in _CLASSES.items())
+
+
+@query(f"WITH p AS (SELECT page_id, {_TABLED} AS html FROM pages) SELECT page_id, category, arrived, arrived - survived AS chrome, survived FROM ({_COUNTED})")
+def page_census_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page's tree holds of all six classes, before and after its chrome is gone, and within that."""
+    counted = P.sanitised(table(spark, sf_dir, "pages").select("page_id", F.expr(_TABLED).alias("html")), _OPTIONS)
+    at = lambda c: F.element_at(c, F.col("k") + 1).cast("long").alias(c)
+    names = F.array(*map(F.lit, P.CENSUS))
+    return counted.select("page_id", F.posexplode("arrived").alias("k", "n"), "arrived", "chrome", "survived").select("page_id", F.element_at(names, F.col("k") + 1).alias("category"), at("arrived"), at("chrome"), at("survived"))
+
+
+_T = "('d' || coalesce(doc_id, 0) || ' ' || coalesce(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), ''))"
+#: Markup around a text T, and what the standard makes of it (loose runs in a division of their own).
+MISNESTED = [
+    ("<table>T<tr><td>x</table>", "<div>T</div><table><tbody><tr><td>x</td></tr></tbody></table>"),
+    ("<b><p>T</b>y</p>", "<div><b></b></div><p><b>T</b>y</p>"),
+    ('<a href="u">x<blockquote>T<a href="v">z', '<div><a href="u">x</a></div><blockquote><a href="u">T</a><a href="v">z</a></blockquote>'),
+    ("<p>T<textarea><b></textarea><p>y", "<p>T<textarea>&lt;b&gt;</textarea></p><p>y</p>"),
+    ("<form><p>T<form><p>y</form>z", "<form><p>T</p><p>y</p></form><div>z</div>"),
+    ("<button>T<button>y", "<div><button>T</button><button>y</button></div>"),
+    ("<ul><li>T<li><i><p>x</i>y</ul>z", "<ul><li>T</li><li><i></i><p><i>x</i>y</p></li></ul><div>z</div>"),
+    ("<table><td><p>T<table><td>x</table></table>y", "<table><tbody><tr><td><p>T</p><table><tbody><tr><td>x</td></tr></tbody></table></td></tr></tbody></table><div>y</div>"),
+]
+_MADE = lambda side: f"CASE coalesce(doc_id, 0) % {len(MISNESTED)} " + " ".join(f"WHEN {k} THEN replace('{m[side]}', 'T', {_T})" for k, m in enumerate(MISNESTED)) + " END"
+
+
+@query(f"SELECT doc_id, {_MADE(1)} AS body FROM documents")
+def misnested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in markup that is misnested, unclosed or misplaced, as sound pages."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.expr(f"'<!doctype html>' || {_MADE(0)}").alias("html"))
+    sound = P.sanitised(docs, P.Options(strip=False))
+    return sound.select(F.col("page_id").alias("doc_id"), F.regexp_extract("xhtml", r"(?s)<body>(.*)</body>", 1).alias("body"))
+
+
 @query("SELECT p_partkey, nullif(array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'lead' END, CASE WHEN p_size % 3 = 0 THEN 'aside' END, CASE WHEN p_size % 5 = 0 THEN 'panel' END], lambda x: x IS NOT NULL), ' '), '') AS classes FROM part")
 def class_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = lambda n, c: F.when(F.col("p_size") % n == 0, c)
