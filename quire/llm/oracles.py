@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .lm import BACKOFF, UNSEEN
 from .mixing import EPOCHS, WEIGHTS
-from .quality import LEAST_DOCS, METRICS, reach
+from .quality import CHANCE, LEAST_DOCS, METRICS, UNIT, reach
 from .resampling import BUCKETS, LEAST_WORDS, PERCENT, SEED
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -17,6 +17,10 @@ def _limit(name: str) -> str:
     return "coalesce(" + ", ".join(f"l{k}.{name}" for k in range(3)) + ")"
 
 
+_EXCESS = f"(1000 * n_symbols::DOUBLE - coalesce({_limit('hi_symbols')}, symbols) * word_chars::DOUBLE)"
+_CHANCE = f" OR {_EXCESS} * {_EXCESS} <= {CHANCE**2 * 1e6}::DOUBLE * n_symbols"
+
+
 OP1 = rf"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, text, lang, source, {WORDS} AS words FROM documents),
 w AS (SELECT id, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM d),
@@ -30,10 +34,16 @@ s AS (SELECT id, doc_id, lang, source, len(words) AS n_words, length(regexp_repl
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"coalesce(1000 * {a} // nullif({b}, 0), 0) AS {m}" for m, (a, b) in _PER.items())} FROM s),
 x AS (SELECT lang, source, metric, (v >> k) << k AS bucket FROM (SELECT *, greatest(length(bin(v)) - 7, 0) AS k FROM ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM m WHERE NOT base_failed" for m in METRICS)}))),
 g AS (SELECT 0 AS level, lang, source, metric, bucket, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM x GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM x GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM g),
-q AS (SELECT level, lang, source, metric, {", ".join(f"min(bucket) FILTER (100 * below >= {p} * total) AS q{p}" for p in sorted({50, _LOWEST, *METRICS.values()}))} FROM c WHERE total >= {LEAST_DOCS} GROUP BY ALL),
+few AS (SELECT level, lang, source, metric, sum(n) AS total FROM g GROUP BY ALL HAVING sum(n) < {LEAST_DOCS}),
+f2 AS (SELECT level, lang, source, metric, bucket, n * {UNIT} AS weight FROM g WHERE level = 2),
+f1 AS (SELECT level, lang, source, metric, bucket, sum(weight)::BIGINT AS weight FROM (SELECT level, lang, source, metric, bucket, n * {UNIT} AS weight FROM g WHERE level = 1 UNION ALL
+  SELECT few.level, few.lang, few.source, metric, bucket, floor(({LEAST_DOCS} - total) * {UNIT} * share)::BIGINT FROM few JOIN (SELECT metric, bucket, weight::DOUBLE / sum(weight) OVER (PARTITION BY metric) AS share FROM f2) USING (metric) WHERE few.level = 1) GROUP BY ALL),
+f0 AS (SELECT level, lang, source, metric, bucket, sum(weight)::BIGINT AS weight FROM (SELECT level, lang, source, metric, bucket, n * {UNIT} AS weight FROM g WHERE level = 0 UNION ALL
+  SELECT few.level, few.lang, few.source, few.metric, bucket, floor(({LEAST_DOCS} - total) * {UNIT} * share)::BIGINT FROM few JOIN (SELECT lang, metric, bucket, weight::DOUBLE / sum(weight) OVER (PARTITION BY lang, metric) AS share FROM f1) a ON a.metric = few.metric AND a.lang IS NOT DISTINCT FROM few.lang WHERE few.level = 0) GROUP BY ALL),
+c AS (SELECT *, sum(weight) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS below, sum(weight) OVER (PARTITION BY level, lang, source, metric) AS total FROM (FROM f0 UNION ALL FROM f1 UNION ALL FROM f2)),
+q AS (SELECT level, lang, source, metric, {", ".join(f"min(bucket) FILTER (100 * below >= {p} * total) AS q{p}" for p in sorted({50, _LOWEST, *METRICS.values()}))} FROM c WHERE total >= {(LEAST_DOCS - 1) * UNIT} GROUP BY ALL),
 h AS (SELECT level, lang, source, {", ".join(f"max(floor(q50 + {reach(p)!r}::DOUBLE * (q{p} + (1 << greatest(length(bin(q{p})) - 7, 0)) - 1 - q50))::BIGINT) FILTER (metric = '{m}') AS hi_{m}" for m, p in METRICS.items())}, max(ceil(q50 - {reach(METRICS["word_length"])!r}::DOUBLE * (q50 - q{_LOWEST}))::BIGINT) FILTER (metric = 'word_length') AS lo_word_length FROM q GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_length >= coalesce({_limit("lo_word_length")}, 0) AND {" AND ".join(f"{m} <= coalesce({_limit(f'hi_{m}')}, {m})" for m in METRICS)} AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_length >= coalesce({_limit("lo_word_length")}, 0) AND {" AND ".join(f"({m} <= coalesce({_limit(f'hi_{m}')}, {m}){_CHANCE if m == 'symbols' else ''})" for m in METRICS)} AS kept
 FROM m {" ".join(f"LEFT JOIN h l{k} ON l{k}.level = {k}" + "".join(f" AND l{k}.{c} IS NOT DISTINCT FROM m.{c}" for c in cols) for k, cols in enumerate(_LEVELS))}
 """
 
