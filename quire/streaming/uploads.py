@@ -28,7 +28,7 @@ from datetime import timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -87,28 +87,28 @@ class Uploads(StatefulProcessor):
         self.handle = handle
         self.upload = handle.getValueState("upload", "head binary, total long, chunks long, latest long, outcome string, starts array<long>, stops array<long>")
 
-    def told(self, key: Any, state: tuple, runs: list[tuple[int, int]], outcome: str) -> pd.DataFrame:
+    def told(self, key: Any, state: tuple, runs: list[tuple[int, int]], outcome: str) -> Row:
         head, total, chunks, latest, *_ = state
         self.upload.update((head, total, chunks, latest, outcome, [], []))
-        return pd.DataFrame({"upload_id": [key[0]], "outcome": [outcome], "received": [sum(b - a for a, b in runs)], "total": pd.array([total], "Int64"), "chunks": [chunks]})
+        return Row(upload_id=key[0], outcome=outcome, received=sum(b - a for a, b in runs), total=total, chunks=chunks)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         state = self.upload.get() or (b"\0" * len(SIGNATURE), None, 0, 0, None, [], [])
         head, total, chunks, latest, outcome, starts, stops = state
         if outcome is not None:
             return
         head, runs = bytearray(head), list(zip(starts, stops))
-        for batch in rows:
-            for start, data, said, arrived in zip(batch["start"], batch["data"], batch["total"], batch["arrived"]):
-                data, start = data if isinstance(data, bytes | bytearray) else b"", int(start)
-                for k in range(max(start, 0), min(start + len(data), len(SIGNATURE))):
-                    head[k] = data[k - start]
-                runs.append((start, start + len(data)))
-                if pd.notna(said):
-                    total = int(said) if total is None else max(total, int(said))
-                latest = max(latest, int(arrived.timestamp() * 1000))
-                chunks += 1
-            runs = merged(runs)
+        for start, size, first, said, arrived in ((r.start, r.size, r.first, r.total, r.arrived_ms) for r in rows):
+            for k in range(max(start, 0), min(start + len(first or b""), len(SIGNATURE))):
+                head[k] = first[k - start]
+            runs.append((start, start + size))
+            if said is not None:
+                total = said if total is None else max(total, said)
+            latest = max(latest, arrived)
+            chunks += 1
+            if len(runs) > 1000:
+                runs = merged(runs)
+        runs = merged(runs)
         state = (bytes(head), total, chunks, latest, None, [a for a, _ in runs], [b for _, b in runs])
         if (outcome := verdict(bytes(head), runs, total, self.most)) is not None:
             yield self.told(key, state, runs, outcome)
@@ -116,7 +116,7 @@ class Uploads(StatefulProcessor):
             self.upload.update(state)
             self.handle.registerTimer(latest + self.patience)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         state = self.upload.get()
         head, total, _, latest, outcome, starts, stops = state
         # earlier timers of an upload that went on tell nothing
@@ -130,8 +130,10 @@ def outcomes(chunks: DataFrame, most: int = MOST, patience: timedelta = PATIENCE
 
     `arrived` is when a chunk was received, so it doesn't go back by more than `patience`."""
     seconds = f"{int(patience.total_seconds())} seconds"
-    slim = stateful(chunks).select("upload_id", F.col("start").cast("long").alias("start"), "data", F.col("total").cast("long").alias("total"), "arrived")
-    return slim.withWatermark("arrived", seconds).groupBy("upload_id").transformWithStateInPandas(Uploads(most, patience), OUTCOME, "Append", "EventTime")
+    # of the bytes only those of the signature go to the state, and of times their milliseconds
+    first = F.when(F.col("start") < len(SIGNATURE), F.substring("data", 1, 2 * len(SIGNATURE)))
+    slim = stateful(chunks).withWatermark("arrived", seconds).select("upload_id", F.col("start").cast("long").alias("start"), F.coalesce(F.length("data"), F.lit(0)).cast("long").alias("size"), first.alias("first"), F.col("total").cast("long").alias("total"), F.unix_millis("arrived").alias("arrived_ms"), "arrived")
+    return slim.groupBy("upload_id").transformWithState(Uploads(most, patience), OUTCOME, "Append", "EventTime")
 
 
 def assembled(chunks: DataFrame, accepted: DataFrame) -> DataFrame:
