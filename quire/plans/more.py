@@ -184,10 +184,10 @@ def cover_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HTML = "'<!DOCTYPE html PUBLIC \"-//W3C//DTD XHTML 1.0 Strict//EN\" \"x\">' || chr(10) || '<html><head><title>t</title></head><p>&nbsp;&mdash;&amp;&#x6d3b;&#38;' || {t} || '</p></html>'"
 
 
-@query(f"SELECT doc_id, md5(replace(replace({_HTML.format(t=esc('text'))}, '&nbsp;', '&#160;'), '&mdash;', '&#8212;')) AS numeric_, md5(replace(replace(replace({_HTML.format(t=esc('text'))}, '&#x6d3b;', '活'), '&nbsp;', '&nbsp;'), '&mdash;', '&mdash;')) AS literal, md5('&nbsp;—&活&' || text) AS plain, md5('<!DOCTYPE html>' || chr(10) || '<html><head><title>t</title></head><p>&#160;&#8212;&amp;&#x6d3b;&#38;' || {esc('text')} || '</p></html>') AS doctype, md5(replace({_HTML.format(t=esc('text'))}, '</head><p>', '</head><body><p>')[:-8] || '</body></html>') AS body, true AS legacy, len(list_filter(string_split('&nbsp;—&活&' || text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\x0B\\f\\r\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]'))) AS lines FROM documents WHERE text IS NOT NULL AND NOT contains(text, '&')")
+@query(f"SELECT doc_id, md5(replace(replace({_HTML.format(t=esc('text'))}, '&nbsp;', '&#160;'), '&mdash;', '&#8212;')) AS numeric_, md5(replace(replace(replace({_HTML.format(t=esc('text'))}, '&#x6d3b;', '活'), '&nbsp;', '&nbsp;'), '&mdash;', '&mdash;')) AS literal, md5('&nbsp;—&活&' || text) AS plain, md5('<!DOCTYPE html>' || chr(10) || '<html><head><title>t</title></head><p>&#160;&#8212;&amp;&#x6d3b;&#38;' || {esc('text')} || '</p></html>') AS doctype, md5(replace({_HTML.format(t=esc('text'))}, '</head><p>', '</head><body><p>')[:-8] || '</body></html>') AS body, true AS legacy, len(list_filter(string_split('&nbsp;—&活&' || text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\x0B\\f\\r\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]'))) AS lines FROM documents WHERE text IS NOT NULL")
 def markup_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What healing does to references, doctypes and bodies, step by step. Texts that hold references of their own are left to the next."""
-    docs = table(spark, sf_dir, "documents").where("text is not null and not contains(text, '&')")
+    """What healing does to references, doctypes and bodies, step by step."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
     source = F.concat(F.lit('<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Strict//EN" "x">\n<html><head><title>t</title></head><p>&nbsp;&mdash;&amp;&#x6d3b;&#38;'), X.escape_text(F.col("text")), F.lit("</p></html>"))
     plain = F.concat(F.lit("&nbsp;&#8212;&amp;&#x6d3b;&#38;"), X.escape_text(F.col("text")))
     steps = R.markup_steps(docs.select("doc_id", source.alias("source"), plain.alias("value")))

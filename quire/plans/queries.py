@@ -51,14 +51,6 @@ def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P = r"(?:[\x{1F000}-\x{1FAFF}]\x{FE0F}?)+"
-_INJECTED = "'🚀 ' || substr(text, 1, 40) || ' 🧠🧠️ ' || substr(text, 41, 40) || '👁' || substr(text, 81, 40) || '　📊'"
-
-
-@query(f"SELECT doc_id, replace(regexp_replace(regexp_replace(t, '({SPACE}){SPACE}*{_P}{SPACE}+|{SPACE}*{_P}{SPACE}*', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344) || '{SPACE}' || chr(57345), ' ', 'g'), chr(57344) || chr(57345), '') AS stripped, len(regexp_extract_all(t, '[\\x{{1F000}}-\\x{{1FAFF}}]\\x{{FE0F}}?')) AS n FROM (SELECT doc_id, {_INJECTED} AS t FROM documents)")
-def strip_pictographs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda a: F.substring("text", a, 40)
-    t = F.concat(F.lit("🚀 "), part(1), F.lit(" 🧠🧠️ "), part(41), F.lit("👁"), part(81), F.lit("　📊"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.strip_pictographs(t).alias("stripped"), X.count_pictographs(t).cast("long").alias("n"))
 
 
 _AROUND = "'🚀 ' || replace(text, chr(10), ' 🧠🧠️ ' || chr(10)) || '👁' || text || '　📊'"
@@ -221,14 +213,6 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_titles(spark, sf_dir).select("page_id", "title")
 
 
-@query("SELECT page_id, url, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY regexp_extract(b, '([0-9]+)', 1)::HUGEINT, b) AS place FROM (SELECT *, regexp_extract(url, '[^/]*$') AS b FROM pages) WHERE regexp_matches(b, '[0-9]')")
-def chapter_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = N.basename(F.col("url"))
-    number = F.regexp_extract(name, r"(\d+)", 1)
-    site = Window.partitionBy(F.regexp_extract("url", "^https?://([^/]+)", 1)).orderBy(number.cast("decimal(38)"), name)
-    return table(spark, sf_dir, "pages").where(number != "").select("page_id", "url", F.row_number().over(site).cast("long").alias("place"))
-
-
 @query("SELECT page_id, url, CASE WHEN d <> '' THEN row_number() OVER (PARTITION BY site, d = '' ORDER BY TRY_CAST(d AS HUGEINT), b) END AS place, CASE WHEN d = '' THEN 'no number' END AS error FROM (SELECT *, regexp_extract(b, '([0-9]+)', 1) AS d, regexp_extract(url, '^https?://([^/]+)', 1) AS site FROM (SELECT *, regexp_extract(url, '[^/]*$') AS b FROM pages))")
 def chapter_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages: those whose name has no number are errors and have no place."""
@@ -243,12 +227,6 @@ def chapter_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEAK = "[" + ", ".join(f"'{w}'" for w in X.WEAK_WORDS) + "]"
 
 
-@query(f"WITH w AS (SELECT doc_id AS title_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT doc_id, regexp_split_to_array({sql_trim('substr(text, 1, 60)')}, '{SPACE}+') AS ws FROM documents)), g AS (SELECT *, greatest(sum((NOT list_contains({_WEAK}, lower(regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g'))))::INT) OVER (PARTITION BY title_id ORDER BY i), 1)::BIGINT AS line_no FROM w WHERE word <> '') SELECT title_id, line_no, string_agg(word, ' ' ORDER BY i) AS line FROM g GROUP BY ALL")
-def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("title_id"), F.substring("text", 1, 60).alias("title"))
-    return Ti.title_lines(titles)
-
-
 @query(f"WITH {PAGE_TITLES}, t AS (SELECT 'page-' || page_id AS title_id, title FROM titles UNION ALL SELECT 'part-' || p_partkey, p_name FROM part), w AS (SELECT title_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT title_id, regexp_split_to_array({sql_trim('title')}, '{SPACE}+') AS ws FROM t)), g AS (SELECT *, greatest(sum((NOT list_contains({_WEAK}, lower(regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g'))))::INT) OVER (PARTITION BY title_id ORDER BY i), 1)::BIGINT AS line_no FROM w WHERE word <> '') SELECT title_id, line_no, string_agg(word, ' ' ORDER BY i) AS line FROM g GROUP BY ALL")
 def title_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string")).alias("title_id")
@@ -366,18 +344,12 @@ def ncx_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.contents_documents(books, chapters)
 
 
-@query("SELECT n_nationkey AS book_id, 'no chapters' AS error FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 97 = 0)")
-def chapters_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("book_id"))
-    parts = table(spark, sf_dir, "customer").where("c_custkey % 97 = 0").select(F.col("c_nationkey").alias("book_id"))
-    return B.guards(books, parts).select("book_id", F.lit("no chapters").alias("error"))
-
-
-@query("SELECT n_nationkey AS book_id, 'no chapters' AS error FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey IS NOT NULL)")
+@query("SELECT book_id, 'no chapters' AS error FROM (SELECT 4 * n_nationkey + unnest(range(4)) AS book_id FROM nation) WHERE book_id NOT IN (SELECT 4 * c_nationkey + c_custkey * c_custkey % 4 FROM customer WHERE c_nationkey IS NOT NULL)")
 def chapters_required_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all customers: nothing where every nation has some."""
-    books = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("book_id"))
-    return B.guards(books, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("book_id"))).select("book_id", F.lit("no chapters").alias("error"))
+    """Four books a nation, with all customers as chapters: by the remainder of their squares, which is never 2 or 3."""
+    books = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select((4 * F.col("n_nationkey") + F.col("k")).alias("book_id"))
+    parts = table(spark, sf_dir, "customer").select((4 * F.col("c_nationkey") + F.col("c_custkey") * F.col("c_custkey") % 4).alias("book_id"))
+    return B.guards(books, parts).select(F.col("book_id").cast("long").alias("book_id"), F.lit("no chapters").alias("error"))
 
 
 @query("WITH d AS (SELECT source AS book_id, count(*) FILTER (doc_id % 11 = 0) AS legacy, count(*) FILTER (doc_id % 101 = 0) AS bodies, 0 AS pictographs, count(*) FILTER (doc_id % 7 = 0) AS links, count(*) FILTER (doc_id % 89 = 0) AS pages FROM documents GROUP BY source) SELECT book_id, 2::INT AS ord, legacy || ' chapter' || CASE WHEN legacy = 1 THEN '' ELSE 's' END || ' declared a legacy doctype' AS finding FROM d WHERE legacy > 0 UNION ALL SELECT book_id, 3, bodies || ' document' || CASE WHEN bodies = 1 THEN '' ELSE 's' END || ' had content outside the body' FROM d WHERE bodies > 0 UNION ALL SELECT book_id, 5, links || ' contents lines linked' FROM d WHERE links > 0 UNION ALL SELECT book_id, 6, pages || ' contents pages left as they are' FROM d WHERE pages > 1 UNION ALL SELECT book_id, 0, 'EPUB 2.0 spine carried page-progression-direction' FROM d WHERE legacy % 2 = 1")
@@ -451,16 +423,10 @@ def rootfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rootfile(rows)
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_left, b.k IS NOT NULL AS in_right FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 3 > 0) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 5 > 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
-def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").where("o_custkey % 3 > 0").select(F.col("o_custkey").alias("k"))
-    b = table(spark, sf_dir, "customer").where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("k"))
-    return B.coverage(a, b, "k")
-
-
-@query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_left, b.k IS NOT NULL AS in_right FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_left, b.k IS NOT NULL AS in_right FROM (SELECT DISTINCT 2 * o_custkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT 3 * c_custkey AS k FROM customer) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def coverage_gaps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.coverage(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+    """Twice the customers of all orders against thrice all customers: what isn't divisible by six is on one side only."""
+    return B.coverage(table(spark, sf_dir, "orders").select((2 * F.col("o_custkey")).alias("k")), table(spark, sf_dir, "customer").select((3 * F.col("c_custkey")).alias("k")), "k")
 
 
 @query("(SELECT l_returnflag, l_linestatus, 'left' AS side FROM lineitem WHERE l_orderkey % 2 = 0 EXCEPT ALL SELECT l_returnflag, l_linestatus, 'left' FROM lineitem WHERE l_orderkey % 2 = 1) UNION ALL (SELECT l_returnflag, l_linestatus, 'right' FROM lineitem WHERE l_orderkey % 2 = 1 EXCEPT ALL SELECT l_returnflag, l_linestatus, 'right' FROM lineitem WHERE l_orderkey % 2 = 0)")

@@ -104,10 +104,9 @@ def class_map_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as markdown books: a heading, quoted and listed lines, a picture and a fence."""
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^[\s>#*+`~!\[-]"))
-    first = lambda n: F.coalesce(F.try_element_at(lines, F.lit(n)), F.lit("none"))
+    run = F.concat(F.lit("x "), F.translate("text", "\n\r[", "   "))  # one paragraph of the whole text, without links
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    source = F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit("\nlang: "), F.col("lang"), F.lit("\ndirection: ltr\nmood: calm\n---\n\nBefore.\n\n# Chapter [x](y.html)\n\n"), first(1), F.lit("\n> # Inside\n> quoted\n\n* one\n* two\n- three\n\n![[plate.png|A plate]]\n\n```\n# no heading\n```\n\n## Second\n\n"), first(2), F.lit("\n"))
+    source = F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit("\nlang: "), F.col("lang"), F.lit("\ndirection: ltr\nmood: calm\n---\n\nBefore.\n\n# Chapter [x](y.html)\n\n"), run, F.lit("\n> # Inside\n> quoted\n\n* one\n* two\n- three\n\n![[plate.png|A plate]]\n\n```\n# no heading\n```\n\n## Second\n\n"), run, F.lit("\n"))
     return docs.select(F.col("doc_id").cast("string").alias("book_id"), source.alias("source"))
 
 
@@ -118,16 +117,31 @@ def bookmd_data_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book_id", F.size("chapters").cast("long").alias("chapters"), F.size("blocks").cast("long").alias("blocks"), "is_fixpoint").join(kept, "book_id")
 
 
+_WHOLE_HEAD = F.concat(F.lit("---\ntitle: "), F.coalesce("source", F.lit("")), F.lit("\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\ndirection: ltr\nmood: calm\n---\n\nBefore.\n\n# Chapter [x](y.html)\n\n> # Inside\n> quoted\n\n* one\n* two\n- three\n\n![[plate.png|A plate]]\n\n```\n# no heading\n```\n\n## Second\n\n"))
+
+
 @query()
 def bookmd_whole_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown books of all lines of every document, as they are, after blocks of every kind."""
-    head = F.concat(F.lit("---\ntitle: "), F.coalesce("source", F.lit("")), F.lit("\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\ndirection: ltr\nmood: calm\n---\n\nBefore.\n\n# Chapter [x](y.html)\n\n> # Inside\n> quoted\n\n* one\n* two\n- three\n\n![[plate.png|A plate]]\n\n```\n# no heading\n```\n\n## Second\n\n"))
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    found = bookmd.parsed(docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(head, "text", F.lit("\n")).alias("source")))
+    found = bookmd.parsed(docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(_WHOLE_HEAD, "text", F.lit("\n")).alias("source")))
     kept = bookmd.data_columns(found).select("book_id", F.md5(F.array_join("texts", "\n")).alias("digest"), "links")
     return found.select("book_id", F.size("chapters").cast("long").alias("chapters"), F.size("blocks").cast("long").alias("blocks"), "is_fixpoint").join(kept, "book_id")
 
 
+@query("SELECT doc_id::VARCHAR AS book_id, 'right' AS side, 'paragraph' AS kind, 'planted ' || doc_id AS text FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 0")
+def parsers_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents, as markdown read by both readers, of which the second gets a paragraph more in every seventh book: nothing else differs."""
+    from quire.operators import books as B, markdown
+
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    own = docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(_WHOLE_HEAD, "text", F.lit("\n")).alias("source"), "doc_id")
+    other = own.withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit("\n\nplanted "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(F.col("source")))
+    _, blocks = markdown.read(own)
+    found = bookmd.blocks(bookmd.parsed(other)).select(*markdown.BLOCK_COLUMNS)
+    return B.differences(blocks, found).select("book_id", "side", "kind", "text")
+
+
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as packed books of their customers: every fifth lacks a file, every seventh has one too many."""
     from quire.functions.text import escape_text
