@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.plans.inputs import OCR_LINES, ocr_lines, table
 from quire.plans.more import _bytes, _folder
-from quire.sources import files as S
+from quire.operators import containers
+from quire.sources import archives as A, files as S
 from quire.sources.session import written
 from quire.streaming import landing as L, uploads as U
 
@@ -111,3 +112,13 @@ def plates_of_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("page_no") % 3 == 0, "image").otherwise("text")
     path = F.when(F.col("page_no") % 3 > 0, F.concat(F.lit("out/"), name))
     return S.with_plates(pages.select("book_id", F.col("page_no").alias("pageIndex"), kind.alias("type"), path.alias("imagePath")), images).select("book_id", "pageIndex", "imagePath")
+
+
+@query("SELECT 'a' || doc_id // 100 AS archive, 'd' || doc_id || '.txt' AS member, octet_length(encode(coalesce(text, '')))::BIGINT AS size, md5(coalesce(text, '')) AS digest, NULL::VARCHAR AS error FROM documents UNION ALL SELECT 'a' || doc_id // 100, 'mimetype', 4, md5('text'), NULL FROM documents GROUP BY 1")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts packed into archives of a hundred, written all or none, and read again member by member."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.floor(F.col("doc_id") / 100).cast("string")).alias("book_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), _bytes(F.coalesce("text", F.lit(""))).alias("content"))
+    first = docs.select("book_id").distinct().select("book_id", F.lit("mimetype").alias("path"), _bytes("text").alias("content"))
+    shelf = _folder(spark, "shelf")
+    S.write_books(containers.packed(docs.unionByName(first)).select(F.concat("book_id", F.lit(".epub")).alias("name"), "content"), shelf)
+    return A.members(spark, shelf).select("archive", "member", "size", F.md5("content").alias("digest"), "error")

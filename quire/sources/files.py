@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import decoded_bytes
 from quire.functions.names import basename, is_image
 from quire.operators.ocr import PAGES_SCHEMA
+from quire.sources.archives import write_files
 
 
 def ocr_books(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,24 +72,10 @@ def with_plates(pages: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def write_books(books: DataFrame, folder: str) -> None:
-    """One file per row of books(name, content), whole or not at all: written beside, then renamed.
+    """One file per row of books(name, content), all or none of them: see `archives.write_files`.
 
     The folder may be of any file system that Arrow reaches (a path, file:, hdfs:, s3:, gs:); on a cluster it is one that all machines see."""
-
-    def put(rows) -> None:
-        from uuid import uuid4
-
-        from pyarrow import fs
-
-        files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
-        for row in rows:
-            aside = f"{root}/.{row['name']}.{uuid4().hex}"
-            with files.open_output_stream(aside) as f:
-                f.write(bytes(row["content"]))
-            files.move(aside, f"{root}/{row['name']}")
-
-    books.select("name", "content").foreachPartition(put)
+    write_files(books, folder)
 
 
 def set_times(spark: SparkSession, folder: str, names: DataFrame, seconds: int) -> None:
