@@ -1,28 +1,37 @@
 """Surrogates for personal data: every entity found gets a keyed replacement of its own kind.
 
-Found are e-mail addresses, IPv4 addresses, telephone, card and social security
-numbers, credentials in quotes, and names of persons (after a title, after words that
-announce a name, before a form of address, or with a known given name; then every later
-or earlier use of a part of such a name in the same text). Replacements keep what the entity shows:
+Found are e-mail addresses, IP addresses of both versions, telephone, card, bank account
+(IBAN) and social security numbers, credentials in quotes, dates of birth and numbers of
+passports and identity cards after words that announce them, streets with house numbers,
+and names of persons (after a title, after words that announce a name, before a form of
+address, or with a known given name; then every later or earlier use of a part of such a
+name in the same text). Words that announce are those of English, German, French and
+Spanish. Replacements keep what the entity shows:
 
 * digits of telephone, card and security numbers, and the bytes of IP addresses,
   go through a keyed Feistel permutation: two entities of one format never get one
-  surrogate, and separators, brackets and country codes stay; a card number whose
-  check digit is right keeps a right one;
-* letters and digits of credentials go through a keyed permutation by classes: length,
-  case and script stay, and hexadecimal values stay such;
-* e-mail addresses get a domain that is reserved for examples, under which their own
-  ending stays readable;
+  surrogate, and separators, brackets and country codes stay; a card or account number
+  whose check digits are right keeps right ones;
+* letters and digits of credentials, documents and accounts go through a keyed permutation
+  by classes: length, case and script stay, and hexadecimal values stay such;
+* dates of birth stay dates, in the same form and within the same four years;
+* e-mail addresses get a draw of 96 bits at a domain that is reserved for examples, under
+  which their own ending stays readable;
 * names keep title, gender of the given name, script and number of parts; each part
   is mapped by itself, so "Mr. Roe" stays one person with "John Roe", "Roe's" and "Roe".
+  Its letters go through a keyed permutation, and each is spelled as a syllable of the
+  script: no two parts get one surrogate, and none keeps its own;
+* streets keep their kind, and the number of digits of the house.
 
-A surrogate depends on key and entity alone, so a person keeps it over all
-documents (coreference), whatever other documents there are. Surrogates that are drawn
-from a hash (parts of names, addresses) are checked over all documents: where several
-share one, these alone are drawn longer, until they differ.
+A surrogate depends on key and entity alone, whatever other documents there are: a
+person keeps it over all documents (coreference). But for addresses, where it is as good
+as impossible, two entities of one kind can't have one surrogate, so there is nothing
+that would have to be looked up in other documents. Who has the key can compute the
+surrogates of known persons, so there is none in this code: it is a parameter, or the
+session's setting `quire.surrogates.key`.
 
 Texts are searched once: what is between entities, and the entities, are kept as
-arrays in a table, from which the check and the output are made. All of it is SQL
+arrays in a table, from which the output is made. All of it is SQL
 functions, and every repetition in the patterns is of one character class or
 possessive, so that no text, however long, deepens the matcher's stack.
 
@@ -40,56 +49,64 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, unused, written
+from .common import unused, written
 
-KEY = "surrogate-key-1"
+#: The session's setting that has the key, where none is given.
+KEY_SETTING = "quire.surrogates.key"
 # fixed values: given names by script and gender, titles by gender
 GIVEN = {
-    ("latin", "m"): ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Peter", "Paul", "Hans", "Pierre", "Jean", "Carlos", "Juan", "Luis"],
-    ("latin", "f"): ["Mary", "Anna", "Linda", "Susan", "Sarah", "Karen", "Laura", "Julia", "Emma", "Alice", "Marie", "Claire", "Sophie", "Maria", "Carmen", "Lucia"],
-    ("cyrillic", "m"): ["Иван", "Пётр", "Алексей", "Дмитрий", "Сергей", "Николай", "Андрей", "Михаил"],
-    ("cyrillic", "f"): ["Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина", "Татьяна", "Светлана"],
+    ("latin", "m"): ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Peter", "Paul", "Hans", "Pierre", "Jean", "Carlos", "Juan", "Luis", "Jonathan", "Joseph", "Charles", "Christopher", "Matthew", "Anthony", "Steven", "Andrew", "Kevin", "George", "Edward", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Andreas", "Markus", "Philippe", "François", "Jacques", "Nicolas", "Laurent", "José", "Antonio", "Manuel", "Francisco", "Javier", "Miguel", "Pedro"],
+    ("latin", "f"): ["Mary", "Anna", "Linda", "Susan", "Sarah", "Karen", "Laura", "Julia", "Emma", "Alice", "Marie", "Claire", "Sophie", "Maria", "Carmen", "Lucia", "Rebecca", "Patricia", "Jennifer", "Elizabeth", "Barbara", "Jessica", "Margaret", "Nancy", "Emily", "Rachel", "Helen", "Ursula", "Monika", "Petra", "Sabine", "Claudia", "Katharina", "Isabelle", "Nathalie", "Catherine", "Françoise", "Camille", "Ana", "Isabel", "Teresa", "Pilar", "Elena", "Cristina", "María", "Rosa"],
+    ("cyrillic", "m"): ["Иван", "Пётр", "Алексей", "Дмитрий", "Сергей", "Николай", "Андрей", "Михаил", "Владимир", "Александр", "Павел", "Виктор", "Юрий", "Олег"],
+    ("cyrillic", "f"): ["Анна", "Мария", "Ольга", "Елена", "Наталья", "Ирина", "Татьяна", "Светлана", "Екатерина", "Людмила", "Галина", "Вера", "Юлия", "Нина"],
     ("greek", "m"): ["Γιώργος", "Νίκος", "Δημήτρης", "Κώστας", "Γιάννης", "Πέτρος", "Παύλος", "Σπύρος"],
     ("greek", "f"): ["Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Ειρήνη", "Δήμητρα", "Βασιλική"],
 }
 TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Lady"], "": ["Dr", "Prof"]}
 #: Forms of address that follow a name without a blank.
 ADDRESS = ["先生", "女士", "小姐", "さん", "さま", "様", "氏", "씨", "님"]
-SYLLABLES = {
-    "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "we", "xi", "yo", "zu", "ka"],
-    "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "ке", "зи", "по", "жу", "ка"],
-    "greek": ["βα", "δε", "φι", "γο", "λυ", "μα", "νε", "ρι", "σο", "τυ", "βι", "κε", "ξι", "πο", "ζυ", "κα"],
-    "armenian": ["բա", "դե", "ֆի", "գո", "լու", "մա", "նե", "րի", "սո", "տու", "վա", "կե", "զի", "պո", "ժու", "կա"],
-    "han": list("安柏辰丹恩方光海佳康兰明宁清文远"),
-    "kana": list("アカサタナハマヤラワキシチニミリ"),
-    "hangul": list("가나다라마바사아자차카타파하노미"),
-}
+#: Consonants and vowels by script; a letter, or a sign within a name, is spelled as one of their pairs.
+PAIRS = {"latin": ("bdfgklmnprstvwz", "aeiou"), "cyrillic": ("бвгдзклмнпрстфх", "аеиоу"), "greek": ("βγδζθκλμνξπρστφ", "αεηιο"), "armenian": ("բգդզթլխկմնպրստֆ", "աեիօ")}
+SYLLABLES = {script: [c + v for v in vowels for c in consonants] for script, (consonants, vowels) in PAIRS.items()}
+SIGNS = "'’-"
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}", "han": r"\p{IsHan}", "kana": r"[\p{IsHiragana}\p{IsKatakana}]", "hangul": r"\p{IsHangul}"}
 
-#: Words with a colon after which a form has somebody's name.
-CUES = ["Name", "Author", "Contact", "Signed", "Patient", "Customer", "Employee", "Attn", "Sender", "Recipient"]
-_CUE = rf"\b(?:{'|'.join(CUES)}): ?|\b[Nn]ame is |\b(?:Sincerely|[Rr]egards),\s{{1,2}}"
+#: Words with a colon after which a form has somebody's name, and what stands before a name in running text.
+CUES = ["Name", "Author", "Contact", "Signed", "Patient", "Customer", "Employee", "Attn", "Sender", "Recipient", "Kontakt", "Ansprechpartner", "Ansprechpartnerin", "Autor", "Autorin", "Absender", "Empfänger", "Kunde", "Kundin", "Nom", "Auteur", "Signé", "Expéditeur", "Destinataire", "Nombre", "Contacto", "Autora", "Firmado", "Remitente", "Destinatario", "Cliente", "Paciente"]
+_CUE = rf"\b(?:{'|'.join(CUES)}): ?|\b[Nn]ame (?:is|ist) |\b(?:m'appelle|me llamo|[Ii]ch heiße) |\b(?:Sincerely|[Rr]egards|Grüßen|Cordialement|Atentamente|Saludos),\s{{1,2}}"
+_BIRTH = r"\b(?:[Bb]orn(?: on)?|[Dd]ate of birth|DOB|[Gg]eboren(?: am)?|[Gg]eburtsdatum|[Nn]ée? le|[Dd]ate de naissance|[Nn]acid[oa] el|[Ff]echa de nacimiento):? "
+_DOCUMENT = r"\b(?:[Pp]assport|[Rr]eisepass|[Pp]asseport|[Pp]asaporte|[Pp]ersonalausweis|[Ii]dentity card|[Cc]arte d'identité|ID card|DNI|NIE)(?: (?:[Nn]o\.?|[Nn]umber|[Nn]r\.?|[Nn]ummer|[Nn]uméro|[Nn]úmero|n°))?:? "
+#: What kinds of streets are called, as words and as ends of words.
+STREETS = ["Street", "Road", "Avenue", "Lane", "Drive", "Boulevard", "Square", "Court", "rue", "avenue", "boulevard", "place", "Rue", "Calle", "Avenida", "Plaza", "Paseo", "calle"]
+STREET_ENDS = "straße|strasse|weg|platz|allee|gasse"
 _TITLES = "|".join(t for x in TITLES.values() for t in x)
 _GIVEN = "|".join(n for x in GIVEN.values() for n in x)
 #: A part of a name: a capital, letters, and more of them after apostrophes and hyphens, but for the s of a genitive.
 NAME = r"\p{Lu}(?=\p{L}|['’-]\p{Lu})\p{L}*+(?:['’-](?!s\b)\p{L}++)*+"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?!\.)[\p{L}\p{N}.-]+(?<=[\p{L}\p{N}-])\.\p{L}{2,}",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ip": r"(?<![\d.])(?=\d)(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
     "secret": r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"'][^\"'\s]{8,}[\"']",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z]{4})?(?: ?(?=[A-Z0-9]{0,3}\d)[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<![\d(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|8 ?\(\d{3}\) ?\d{3}[ -]\d{2}[ -]\d{2}|0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5}|0\d(?:[ .]\d{2}){4})(?!\d)",
+    "birth": rf"(?=\d)(?<={_BIRTH})(?:\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})(?!\d)",
+    "document": rf"(?=[A-Z0-9])(?<={_DOCUMENT})(?=[A-Z]{{0,11}}\d)[A-Z0-9]{{6,12}}(?![\p{{L}}\p{{N}}])",
+    "street": rf"\b\d{{1,5}}[a-z]?,? (?:(?:\p{{Lu}}\p{{L}}++ ){{1,3}}(?:Street|Road|Avenue|Lane|Drive|Boulevard|Square|Court)|(?:rue|avenue|boulevard|place|Rue) (?:de (?:la |l')?|du |des )?\p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?)\b|\b\p{{Lu}}\p{{L}}{{1,30}}?(?:{STREET_ENDS}) \d{{1,4}}[a-z]?\b|\b(?:Calle|Avenida|Plaza|Paseo|calle) (?:de (?:la |los |las )?|del )?\p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?,? \d{{1,4}}\b",
     "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLES})\b\.? {NAME}(?: {NAME})?|(?:{_GIVEN}) {NAME})",
     "cued": rf"(?=\p{{Lu}})(?<={_CUE}){NAME}(?: {NAME}){{1,2}}",
     "addressed": rf"[\p{{IsHan}}\p{{IsKatakana}}\p{{IsHangul}}]{{2,4}}(?={'|'.join(ADDRESS)})",
 }
-KINDS = ("email", "ip", "secret", "card", "ssn", "phone", "name")
+KINDS = ("email", "ip", "secret", "card", "ssn", "phone", "name", "iban", "birth", "document", "street")
+#: What stands before an entity, by kind: it isn't part of it.
+BEFORE = {"cued": _CUE, "birth": _BIRTH, "document": _DOCUMENT}
 #: A part of a name that stands alone; it counts where its text has the whole name.
 PART = rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}){NAME}"
-NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "secret", "card", "ssn", "phone"))
+NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip6", "ip", "secret", "iban", "birth", "document", "card", "ssn", "phone"))
 OTHERS = f"(?:{PATTERNS['email']})|{NUMBERS}"
-ANY = f"{OTHERS}|(?:{PATTERNS['name']})|(?:{PATTERNS['cued']})|(?:{PATTERNS['addressed']})|{PART}"
+ANY = f"{OTHERS}|(?:{PATTERNS['street']})|(?:{PATTERNS['name']})|(?:{PATTERNS['cued']})|(?:{PATTERNS['addressed']})|{PART}"
 #: A text without any of these has no number or credential; two searches are faster than one for either.
 HINTS = r"\d[ .()-]{0,2}\d", r"[=:]\s*[\"']"
 ROUNDS = 6
@@ -99,10 +116,10 @@ CLASSES = [
     (0x30, 10), (0x61, 6), (0x67, 20), (0x41, 6), (0x47, 20), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x388, 3), (0x391, 17), (0x3A3, 7), (0x3AC, 4), (0x3B1, 25), (0x3CC, 3),
     (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x5D0, 27), (0x620, 27), (0x641, 10), (0x660, 10), (0x904, 54), (0x966, 10), (0xE01, 46), (0x3041, 86), (0x30A1, 90), (0x4E00, 20976), (0xAC00, 11172),
 ]
-#: Syllables of a part of a name, and hexadecimal digits of an address, unless they are shared.
-WIDTH = 6
-#: Times by which a shared draw may be lengthened: 4 bits a syllable, of 60 in all.
-LONGER = 12
+#: The same for names: vowels and consonants aren't told apart.
+LETTERS = [(0x61, 26), (0x41, 26), (0x531, 38), (0x561, 39), *CLASSES[5:]]
+#: Hexadecimal digits of an address.
+ADDRESS_DIGITS = 24
 
 
 def digest(*parts: Column | str, bits: int = 60) -> Column:
@@ -155,16 +172,27 @@ def script_of(word: Column) -> Column:
     return out.otherwise("latin")
 
 
-def spelled(word: Column, key: str, width: Column) -> Column:
-    """So many syllables in the script of the word, drawn by a hash of it; a longer draw begins with the shorter."""
-    syllables = F.create_map(*(x for name, values in SYLLABLES.items() for x in (F.lit(name), F.array(*map(F.lit, values)))))
+def spelled(word: Column, key: str) -> Column:
+    """The word's letters in a keyed permutation, each as a syllable of its script; letters of scripts that have no table stay letters.
+
+    Syllables have two letters, so what they spell can be read back: different words are spelled differently."""
+    tables = F.create_map(*(x for name, values in SYLLABLES.items() for x in (F.lit(name), F.array(*map(F.lit, values)))))
+    # (first code of small letters, of capitals, script); signs come after the letters
+    runs = [(0x61, 0x41, 26, "latin"), (0x430, 0x410, 32, "cyrillic"), (0x3B1, 0x391, 25, "greek"), (0x561, 0x531, 39, "armenian")]
 
     def of(own: Column) -> Column:
-        drawn = lambda k: F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), word), 512), k + 1, F.lit(1)), 16, 10).cast("int")
-        return F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.element_at(own, drawn(k) + 1)), "")
+        def one(c: Column) -> Column:
+            char = F.decode(F.unhex(F.lpad(F.hex(c["code"]), 8, "0")), "UTF-32")
+            sign = F.instr(F.lit(SIGNS), char)
+            out = F.when((sign > 0) & own.isNotNull(), F.try_element_at(own, F.lit(45) + sign))
+            for small, capital, n, script in runs:
+                at = lambda low: F.try_element_at(tables[script], c["code"] - low + 1)  # noqa: B023, E731
+                out = out.when(c["code"].between(small, small + n - 1), at(small)).when(c["code"].between(capital, capital + n - 1), F.initcap(at(capital)))
+            return out.otherwise(char)
 
-    text = let(F.element_at(syllables, script_of(word)), of)
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+        return F.array_join(F.transform(shuffled(word, key, "name", LETTERS), one), "")
+
+    return let(F.try_element_at(tables, script_of(word)), of)
 
 
 def other_given(word: Column, names: list[str], key: str) -> Column:
@@ -174,19 +202,14 @@ def other_given(word: Column, names: list[str], key: str) -> Column:
     return F.element_at(values, (F.pmod(F.array_position(values, word) - 1 + step, F.lit(len(names))) + 1).cast("int"))
 
 
-def is_known(word: Column) -> Column:
-    """A title or a given name, which has its own mapping."""
-    return word.rlike(rf"^(?:{_TITLES})\.?$") | word.isin([n for names in GIVEN.values() for n in names])
-
-
-def new_name(entity: Column, key: str, width: Callable[[Column], Column]) -> Column:
+def new_name(entity: Column, key: str) -> Column:
     """Part by part: titles stay, known given names become others of their gender and script, the rest is spelled anew."""
 
     def part(word: Column) -> Column:
         out = F.when(word.rlike(rf"^(?:{_TITLES})\.?$"), word)
         for names in GIVEN.values():
             out = out.when(word.isin(names), other_given(word, names, key))
-        return out.otherwise(spelled(word, key, width(word)))
+        return out.otherwise(spelled(word, key))
 
     return F.array_join(F.transform(F.split(entity, " "), part), " ")
 
@@ -195,27 +218,27 @@ def kind_of(entity: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS.items():
         # without what must stand before or follow: that isn't part of the entity
-        pattern = pattern.partition("(?=" + ADDRESS[0])[0].replace(f"(?<={_CUE})", "")
+        pattern = pattern.partition("(?=" + ADDRESS[0])[0].replace(f"(?<={BEFORE.get(kind, ' ')})", "")
         found = entity.rlike(rf"\A(?:{pattern})\z")
-        kind = "name" if kind in ("addressed", "cued") else kind
+        kind = {"addressed": "name", "cued": "name", "ip6": "ip"}.get(kind, kind)
         out = F.when(found, kind) if out is None else out.when(found, kind)
     return out
 
 
-def new_secret(entity: Column, key: str) -> Column:
-    """Letters and digits of the quoted value anew, each within its class: a permutation of the values with the same classes."""
+def shuffled(value: Column, key: str, label: str, classes: list[tuple[int, int]]) -> Column:
+    """Characters as (code, low, size), each moved within its class: a permutation of the values with the same classes."""
 
     def classed(c: Column) -> Column:
         code = F.ascii(c)
         own = F.struct(code.alias("code"), code.alias("low"), F.lit(1).alias("size"))
-        for low, size in reversed(CLASSES):
+        for low, size in reversed(classes):
             own = F.when(code.between(low, low + size - 1), F.struct(code.alias("code"), F.lit(low).alias("low"), F.lit(size).alias("size"))).otherwise(own)
         return own
 
     def turn(chars: Column, k: Column) -> Column:
         # characters at odd and at even places take turns to be shifted by a hash of the others
         still = F.transform(chars, lambda c, i: F.when(F.pmod(i + k, F.lit(2)) == 0, c["low"]).otherwise(c["code"]).cast("string"))
-        noise = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("secret"), k.cast("string"), F.array_join(still, " ")), 512)
+        noise = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(label), k.cast("string"), F.array_join(still, " ")), 512)
 
         def moved(mixed: Column) -> Column:
             shift = lambda i: F.conv(F.substring(mixed, F.pmod(i * 4, F.lit(124)) + 1, F.lit(4)), 16, 10).cast("int")
@@ -223,15 +246,82 @@ def new_secret(entity: Column, key: str) -> Column:
 
         return let(noise, moved)
 
+    return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), F.transform(F.split(value, ""), classed), turn)
+
+
+def new_letters(value: Column, key: str, label: str) -> Column:
+    """Letters and digits anew, each within its class."""
+    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c["code"]), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(shuffled(value, key, label, CLASSES), char), "")
+
+
+def new_secret(entity: Column, key: str) -> Column:
+    """Letters and digits of the quoted value anew."""
+
     def fresh(value: Column) -> Column:
-        char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c["code"]), 8, "0")), "UTF-32")
-        chars = F.aggregate(F.array(*map(F.lit, range(ROUNDS))), F.transform(F.split(value, ""), classed), turn)
         head = F.substring(entity, F.lit(1), F.length(entity) - F.length(value) - 1)
-        return F.concat(head, F.array_join(F.transform(chars, char), ""), F.substring(entity, -1, 1))
+        return F.concat(head, new_letters(value, key, "secret"), F.substring(entity, -1, 1))
 
     return let(F.regexp_extract(entity, r"[\"']([^\"']+)[\"']$", 1), fresh)
 
 
+def account_check(country: Column, account: Column) -> Column:
+    """The check digits (2 to 98) of an account: what makes account, country and check, letters as two digits, one more than a multiple of 97."""
+    chars = F.split(F.concat(account, country, F.lit("00")), "")
+    value = lambda c: F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return 98 - F.aggregate(chars, F.lit(0), lambda acc, c: F.pmod(acc * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + value(c), F.lit(97)))
+
+
+def new_account(entity: Column, key: str) -> Column:
+    """Country and blanks stay; the check digits are as far from the right ones as they were."""
+
+    def of(plain: Column) -> Column:
+        country, check, account = F.substring(plain, 1, 2), F.substring(plain, 3, 2).cast("int"), F.substring(plain, F.lit(5), F.length(plain))
+
+        def placed(new: Column) -> Column:
+            away = check - account_check(country, account)
+            digits = F.lpad((F.pmod(account_check(country, new) - 2 + away, F.lit(97)) + 2).cast("string"), 2, "0")
+            at = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), " ", ""))
+            return let(F.concat(country, digits, new), lambda whole: F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(whole, at(i), F.lit(1)))), ""))
+
+        return let(new_letters(account, key, "account"), placed)
+
+    return let(F.regexp_replace(entity, " ", ""), of)
+
+
+def new_birth(entity: Column, key: str) -> Column:
+    """Another day of the same four years, written as this one; what is no date of 1901 to 2096 gets other digits."""
+    part = lambda k: F.element_at(F.split(entity, r"[./-]"), k)
+    first_year = F.length(part(1)) == 4
+    year, last = F.when(first_year, part(1)).otherwise(part(3)).cast("int"), F.when(first_year, part(3)).otherwise(part(1)).cast("int")
+    swapped = ~first_year & (part(2).cast("int") > 12)  # month before day
+    month, day = F.when(swapped, last).otherwise(part(2).cast("int")), F.when(swapped, part(2).cast("int")).otherwise(last)
+    date = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    since = F.date_diff(date, F.lit("1901-01-01").cast("date"))
+
+    def of(n: Column) -> Column:
+        block = F.floor(n / 1461)
+        moved = F.date_add(F.lit("1901-01-01").cast("date"), (block * 1461 + permuted(F.pmod(n, F.lit(1461)), F.lit(3), F.lit(487), key, F.concat(F.lit("birth"), block.cast("string")))).cast("int"))
+        as_was = lambda x, k: F.when(F.length(part(k)) == 1, x.cast("string")).otherwise(F.lpad(x.cast("string"), 2, "0"))
+        sign = F.regexp_extract(entity, r"([./-])", 1)
+        y, m, d = F.year(moved).cast("string"), F.month(moved), F.dayofmonth(moved)
+        return F.when(first_year, F.concat_ws("-", y, as_was(m, 2), as_was(d, 3))).when(swapped, F.concat(as_was(m, 1), sign, as_was(d, 2), sign, y)).otherwise(F.concat(as_was(d, 1), sign, as_was(m, 2), sign, y))
+
+    return F.when(date.isNotNull() & since.between(0, 1461 * 49 - 1), let(since, of)).otherwise(new_numbers(entity, key))
+
+
+def new_street(entity: Column, key: str) -> Column:
+    """Another name and house on a street of this kind."""
+
+    def part(word: Column) -> Column:
+        end = F.regexp_extract(word, rf"(?:{STREET_ENDS})$", 0)
+        head = F.substring(word, F.lit(1), F.length(word) - F.length(end))
+        house = F.regexp_extract(word, r"^\d+", 0)
+        return F.when(house != "", F.concat(new_digits(house, key), F.substring(word, F.length(house) + 1, F.length(word)))).when(word.isin(STREETS) | ~word.rlike(r"^\p{Lu}"), word).otherwise(F.concat(spelled(head, key), end))
+
+    return F.array_join(F.transform(F.split(F.regexp_replace(entity, ",", " ,"), " "), part), " ")
+
+
 def digits_of(entity: Column) -> Column:
     return F.regexp_replace(entity, r"\D", "")
 
@@ -269,16 +359,17 @@ def new_ip(entity: Column, key: str) -> Column:
     return let(permuted(number, half, half, key, F.lit("ip")), lambda moved: F.concat_ws(".", *(F.pmod(F.shiftright(moved, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0))))
 
 
-def new_email(entity: Column, key: str, width: Callable[[Column], Column]) -> Column:
+def new_email(entity: Column, key: str) -> Column:
     """A draw at a domain that is reserved for examples: of the same ending, or with the ending before .example."""
-    own = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("email"), F.lower(entity)), 256), F.lit(1), 2 * width(F.lower(entity)))
+    own = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("email"), F.lower(entity)), 256), 1, ADDRESS_DIGITS)
     ending = F.lower(F.regexp_extract(entity, r"([^.]+)$", 1))
     return F.concat(F.lit("user."), own, F.when(ending.isin("com", "org", "net"), F.concat(F.lit("@example."), ending)).otherwise(F.concat(F.lit("@"), ending, F.lit(".example"))))
 
 
-def surrogate(entity: Column, kind: Column, key: str, width: Callable[[Column], Column]) -> Column:
-    """The replacement of an entity; width says how long the draw for a part of a name or an address is. Null kinds stay."""
-    made = F.when(kind == "email", new_email(entity, key, width)).when(kind == "ip", new_ip(entity, key)).when(kind == "secret", new_secret(entity, key)).when(kind == "name", new_name(entity, key, width))
+def surrogate(entity: Column, kind: Column, key: str) -> Column:
+    """The replacement of an entity. Null kinds stay."""
+    made = F.when(kind == "email", new_email(entity, key)).when(kind == "ip", F.when(entity.contains(":"), new_letters(entity, key, "ip")).otherwise(new_ip(entity, key))).when(kind == "secret", new_secret(entity, key)).when(kind == "name", new_name(entity, key))
+    made = made.when(kind == "iban", new_account(entity, key)).when(kind == "birth", new_birth(entity, key)).when(kind == "document", new_letters(entity, key, "document")).when(kind == "street", F.replace(new_street(entity, key), F.lit(" ,"), F.lit(",")))
     return made.when(kind == "card", new_card(entity, key)).when(kind.isNotNull(), new_numbers(entity, key)).otherwise(entity)
 
 
@@ -289,7 +380,7 @@ def found(docs: DataFrame, row: str, gaps: str, entities: str) -> DataFrame:
     text, mark, parts = (unused(x, docs) for x in ("whole", "mark", "parts"))
     whole = F.col(text)
     addressed = (F.octet_length(whole) > F.length(whole)) & reduce(or_, map(whole.contains, ADDRESS))
-    named = addressed | whole.rlike(PATTERNS["name"]) | whole.rlike(rf"(?:{_CUE})\p{{Lu}}")
+    named = addressed | whole.rlike(PATTERNS["name"]) | whole.rlike(rf"(?:{_CUE})\p{{Lu}}") | whole.rlike(PATTERNS["street"])
     numbered = reduce(or_, map(whole.rlike, HINTS))
     marked = lambda pattern: F.split(F.regexp_replace(whole, F.lit(pattern), F.concat(F.col(mark), F.lit("$0"), F.col(mark))), F.col(mark), -1)
     cut = F.when(named, marked(ANY)).when(whole.contains("@"), marked(OTHERS)).when(numbered, marked(NUMBERS)).otherwise(F.array(whole))
@@ -306,48 +397,24 @@ def found(docs: DataFrame, row: str, gaps: str, entities: str) -> DataFrame:
     return written(split.select(*rest, row, gaps, F.when(F.exists(own, lambda e: e["kind"] == "name"), settled).otherwise(F.col(own)).alias(entities)), "pii-found")
 
 
-def drawn(entity: Column, kind: Column) -> Column:
-    """What of an entity is replaced by a draw: an address, or the parts of a name that no list has."""
-    none = F.array().cast("array<string>")
-    return F.when(kind == "email", F.array(F.lower(entity))).when(kind == "name", F.filter(F.split(entity, " "), lambda w: ~is_known(w))).otherwise(none)
-
-
-def shared_draws(marked: DataFrame, row: str, entities: str, key: str, width: int) -> DataFrame:
-    """(row, longer): for rows that have draws which others share, the widths of these draws."""
-    each = marked.select(F.col(row).alias("row"), F.explode(F.transform(entities, lambda e: drawn(e["entity"], e["kind"]))).alias("words")).select("row", F.explode("words").alias("word"))
-    new = lambda wide: F.when(F.col("word").contains("@"), new_email(F.col("word"), key, lambda _: F.lit(wide))).otherwise(spelled(F.col("word"), key, F.lit(wide)))
-    alike = lambda words, wide: words.withColumn("new", new(wide)).groupBy("new").agg(F.collect_set("word").alias("words")).where(F.size("words") > 1).select(F.explode("words").alias("word"))
-    left = written(alike(each.select("word").distinct(), width), "pii-shared")
-    settled, wide = None, width
-    while not left.isEmpty():
-        wide += 2
-        if wide > width + 2 * LONGER:
-            raise ValueError("hashes of entities are equal")
-        still = written(alike(left, wide), "pii-shared")
-        done = left.join(still, "word", "left_anti").select("word", F.lit(wide).alias("width"))
-        settled = done if settled is None else settled.unionByName(done)
-        left = still
-    if settled is None:
-        return None
-    return written(join_small(each.distinct(), written(settled, "pii-longer"), "word", "inner").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "width"))).alias("longer")), "pii-rows")
-
-
-def replaced(docs: DataFrame, key: str = KEY, width: int = WIDTH) -> DataFrame:
+def key_of(docs: DataFrame, key: str | None) -> str:
+    found = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not found:
+        raise ValueError(f"surrogates need a key: give one, or set {KEY_SETTING}")
+    return found
+
+
+def replaced(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with surrogates in text; other columns (n_chars, if there, but for its count) as they were."""
-    return counted(docs, key, width).select(*docs.columns)
+    return counted(docs, key).select(*docs.columns)
 
 
-def counted(docs: DataFrame, key: str = KEY, width: int = WIDTH) -> DataFrame:
+def counted(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with surrogates in text, and the entities found as an array of (kind, surrogate) in a last column."""
+    key = key_of(docs, key)
     row, gaps, entities, last = (unused(x, docs) for x in ("row_number", "gaps", "entities", "found"))
     marked = found(docs, row, gaps, entities)
-    longer = shared_draws(marked, row, entities, key, width)
-    own = lambda _: F.lit(width)
-    if longer is not None:
-        widths = unused("longer", marked)
-        marked = join_small(marked, longer.select(F.col("row").alias(row), F.col("longer").alias(widths)), row)
-        own = lambda word: F.coalesce(F.element_at(widths, word), F.lit(width))
-    made = marked.withColumn(last, F.transform(entities, lambda e: F.struct(e["kind"].alias("kind"), surrogate(e["entity"], e["kind"], key, own).alias("surrogate"))))
+    made = marked.withColumn(last, F.transform(entities, lambda e: F.struct(e["kind"].alias("kind"), surrogate(e["entity"], e["kind"], key).alias("surrogate"))))
     joined = F.array_join(F.transform(F.arrays_zip(F.col(gaps).alias("gap"), F.col(last).alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"]["surrogate"], F.lit("")))), "")
     text = F.when(F.size(gaps) > 1, joined).otherwise(F.element_at(gaps, 1))
     kinds = dict(docs.dtypes)

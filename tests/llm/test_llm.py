@@ -453,17 +453,16 @@ def test_pii_no_text_is_too_long(spark):
     assert [len(g) == len(t) for g, t in zip(got, made)].count(False) <= 2 and got[1].endswith("@example.com") and got[0] == made[0]
 
 
-def test_pii_shared_draws_are_lengthened(spark):
-    names = [f"Mr. R{chr(97 + a)}{chr(97 + b)}x" for a in range(20) for b in range(20)]
+def test_pii_surrogates_hang_on_no_other_document(spark):
+    names = [f"Mr. R{chr(97 + a)}{chr(97 + b)}x" for a in range(26) for b in range(26)] + [f"Mr. R{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(8) for b in range(20) for c in range(20)]
+    names = list(dict.fromkeys(names))
     df = spark.createDataFrame([(k, f"{x} and {x}, again {names[k // 2]}.") for k, x in enumerate(names)], "doc_id long, text string")
-    for width in (1, 2, pii.WIDTH):
-        new = {}
-        for r in pii.replaced(df, width=width).collect():
-            first, rest = r.text.split(" and ")
-            second, third = rest.rstrip(".").split(", again ")
-            assert first == second and new.setdefault(names[r.doc_id], first) == first and new.setdefault(names[r.doc_id // 2], third) == third
-        assert len(set(new.values())) == len(names)
-    # other documents rename nobody whose draw isn't shared
+    new = {}
+    for r in pii.replaced(df).collect():
+        first, rest = r.text.split(" and ")
+        second, third = rest.rstrip(".").split(", again ")
+        assert first == second != names[r.doc_id] and new.setdefault(names[r.doc_id], first) == first and new.setdefault(names[r.doc_id // 2], third) == third
+    assert len(set(new.values())) == len(names) > 3000
     alone = {r.doc_id: r.text for r in pii.replaced(df.where("doc_id < 4")).collect()}
     assert alone == {r.doc_id: r.text for r in pii.replaced(df).where("doc_id < 4").collect()}
 
