@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import mixing, packing, pii, quality, simhash
 from quire.llm.common import own_dir, table
+from quire.llm.queries import surrogate_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts become surrogates."""
-    return pii.replaced(docs)
+    """Personal data in texts become surrogates, by the session's key."""
+    return pii.replaced(docs, surrogate_key(spark))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
