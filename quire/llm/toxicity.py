@@ -13,7 +13,8 @@ Every match is read in its context window: within quotation marks it counts as
 quotation, at half its strength if a word of reporting is near, else as abuse. A text's
 features are the strengths and densities of plain matches, of words and of stems, exact
 and misspelled, and the strength of quoted ones; a logistic regression on the labels turns them into a score
-from 0 to 1.
+from 0 to 1. Its constant is moved so that the threshold falls where it tells the labelled texts
+apart best (most of F1): toxic texts are few, and a regression's even odds pass too many of them.
 
 Labels are learned from labelled rows whose checksum crc32(doc_id) mod 3 isn't 1, of
 which those with the least hashes, TRAINING at most, are read: a documented bound.
@@ -278,6 +279,18 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-5)
     return w
 
 
+def calibrated(margins: np.ndarray, toxic: np.ndarray, threshold: float) -> float:
+    """What is added to margins so that those from the best cut on have scores of the threshold and more; the cut is amid the gap between two margins."""
+    order = np.argsort(-margins, kind="stable")
+    z, y = margins[order], toxic[order]
+    last = np.append(z[1:] < z[:-1], True)  # equal margins are cut together
+    hits = np.cumsum(y)
+    f1 = np.where(last, 2 * hits / (np.arange(1, len(y) + 1) + y.sum()), -1)
+    k = int(f1.argmax())
+    cut = (z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k]
+    return float(np.log(threshold / (1 - threshold)) - cut)
+
+
 def learnable() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
@@ -337,7 +350,7 @@ def learned_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, fl
     return {w: o / most for w, o in words.items()}, {s: o / most for s, o in stems.items()}
 
 
-def model(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> tuple[dict[str, float], dict[str, float], list[float] | None]:
+def model(docs: DataFrame, labels: DataFrame, most: int = TRAINING, threshold: float = THRESHOLD) -> tuple[dict[str, float], dict[str, float], list[float] | None]:
     """Words, stems and regression weights; all bounded by TERMS and `most`."""
     training = written(training_texts(docs, labels, most), "toxicity-training")
     words, stems = learned_lexicon(training)
@@ -354,12 +367,15 @@ def model(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> tuple[dic
     seen = mapped(training.select("text", "toxic", "half").orderBy("doc_id"), rows, "x array<double>, toxic int").toPandas()
     if seen.empty or seen["toxic"].nunique() < 2:
         return words, stems, None
-    return words, stems, fitted(np.array(seen["x"].tolist()), seen["toxic"].to_numpy(float)).tolist()
+    x, y = np.array(seen["x"].tolist()), seen["toxic"].to_numpy(float)
+    weights = fitted(x, y)
+    weights[-1] += calibrated(x @ weights[:-1] + weights[-1], y, threshold)
+    return words, stems, weights.tolist()
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = TRAINING, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    words, stems, weights = model(docs, labels, most)
+    words, stems, weights = model(docs, labels, most, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(words, stems)
