@@ -11,7 +11,6 @@ from quire.plans.inputs import OCR_LINES, ocr_lines, table
 from quire.plans.more import _bytes, _folder
 from quire.operators import containers
 from quire.sources import archives as A, files as S
-from quire.sources.session import written
 from quire.streaming import landing as L, uploads as U
 
 QUERIES: dict = {}
@@ -61,7 +60,7 @@ SELECT 'p' || page_id AS upload_id, CASE WHEN page_id % 8 IN (0, 4) THEN 'not a
 """)
 def chunked_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of uploads run through as a stream, which is stopped and begun anew between the batches; taken uploads are put together again."""
-    chunks = written(upload_chunks(spark, sf_dir), "chunks")
+    chunks = upload_chunks(spark, sf_dir)
     # the last batch is a clock: much later, a byte of an upload that goes on
     clock = chunks.limit(0).unionByName(spark.range(1).select(F.lit("clock").alias("upload_id"), F.lit(0).cast("long").alias("start"), _bytes("%").alias("data"), F.lit(None).cast("long").alias("total"), F.timestamp_seconds(F.lit(1_700_010_000)).alias("arrived"), F.lit(BATCHES).alias("batch")))
     box, out, marks = (_folder(spark, x) for x in ("chunks-in", "chunks-out", "chunks-marks"))
@@ -70,7 +69,7 @@ def chunked_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(chunks.drop("batch").schema).parquet(box)
         L.converted(U.outcomes(stream, patience=timedelta(minutes=30)), lambda rows: rows, out, marks).awaitTermination()
     told = spark.read.schema(U.OUTCOME).parquet(f"{out}/*")
-    whole = U.assembled(chunks, told.where("outcome = 'accepted'"))
+    whole = U.assembled(spark.read.schema(chunks.drop("batch").schema).parquet(box), told.where("outcome = 'accepted'"))
     joined = told.join(whole.withColumnRenamed("upload_id", "whole_id"), F.col("upload_id") == F.col("whole_id"), "left")
     return joined.select("upload_id", "outcome", F.when(F.col("outcome") == "accepted", F.col("received")).alias("received"), F.sha2("content", 256).alias("content"))
 

@@ -46,7 +46,10 @@ KEY = "claimed_key"
 
 def stateful(df: DataFrame) -> DataFrame:
     """df, in a session whose streams can hold keyed state."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # a batch leaves what it changed, not all there is
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     importable(df.sparkSession)
     return df
 
