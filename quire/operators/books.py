@@ -201,16 +201,12 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that only one side has, with the side, repeats counted."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
-
-
-def concatenated(parts: DataFrame, preambles: DataFrame) -> DataFrame:
-    """Chapters of books' files(book_id, file, …) in name order; a preamble is a chapter named for its file."""
-    own = preambles.where("text <> ''").select("book_id", "file", F.lit(-1).alias("ord"), F.regexp_replace("file", r"\.md$", "").alias("title"), "text")
-    every = own.unionByName(parts.select("book_id", "file", "ord", "title", "text"))
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy("file", "ord"))
-    return every.withColumn("chapter_no", n)
+    """Rows that only one side has, with the side, repeats counted. Both sides are shuffled once, with their numbers."""
+    n = "n_" + max(left.columns, key=len)  # a name of no column
+    both = left.withColumn(n, F.lit(1)).unionByName(right.withColumn(n, F.lit(-1)))
+    counted = both.groupBy(*left.columns).agg(F.sum(n).alias(n)).where(F.col(n) != 0)
+    each = counted.withColumn("side", F.when(F.col(n) > 0, "left").otherwise("right")).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.abs(n))))
+    return each.drop(n)
 
 
 def reachable(edges: DataFrame, rounds: int = 32) -> DataFrame:

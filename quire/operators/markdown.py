@@ -70,7 +70,8 @@ def fences(lines: Column) -> Column:
 def level(units: DataFrame) -> DataFrame:
     """Blocks (book_id, path, …, inner) of units (book_id, path, lines): path is that of the unit and the block's first line; inner the lines of a quote."""
     t = F.col("t")
-    rows = units.withColumn("fences", fences(F.col("lines"))).select("book_id", "path", "fences", F.posexplode("lines").alias("n", "line")).withColumn("t", bare(F.col("line")))
+    # by book: windows and groups of its units stay where they are
+    rows = units.repartition("book_id").withColumn("fences", fences(F.col("lines"))).select("book_id", "path", "fences", F.posexplode("lines").alias("n", "line")).withColumn("t", bare(F.col("line")))
     rows = rows.withColumn("fence", F.try_element_at(F.filter("fences", lambda f: F.col("n").between(f["first"], f["last"])), F.lit(1))).drop("fences")
     image = (t.startswith("![[") & t.endswith("]]")) | t.rlike(r"(?s)^!\[[^\]]*\]\(.*\)$")
     own = F.when(F.col("fence").isNotNull(), "fence").when(t == "", "blank").when(t.startswith(">"), "quote").when(t.rlike("^#{1,6} "), "heading").when(image, "image").when(t.rlike("^[*+-] "), "list").otherwise("paragraph")
@@ -81,7 +82,7 @@ def level(units: DataFrame) -> DataFrame:
     same = F.coalesce((F.lag("kind").over(w) == F.col("kind")) & F.lag("marker").over(w).eqNullSafe(F.col("marker")), F.lit(False))
     begins = F.when(F.col("kind") == "fence", F.col("n") == F.col("fence.first")).when(F.col("kind").isin("heading", "image"), True).otherwise(~same)
     rows = rows.withColumn("first", F.last(F.when(begins, F.col("n")), ignorenulls=True).over(w)).where("kind <> 'blank'")
-    found = rows.groupBy("book_id", "path", "first", "kind", "marker").agg(F.array_sort(F.collect_list(F.struct("n", "t", "line", "fence"))).alias("own"))
+    found = rows.groupBy("book_id", "path", "first", "kind", "marker").agg(F.array_sort(F.collect_list(F.struct("n", "t", F.when(F.col("kind") == "fence", F.col("line")).alias("line"), "fence"))).alias("own"))
     lines = F.col("own")
     head, kind = lines[0]["t"], F.col("kind")
     of = lambda k, c: F.when(kind == k, c)
@@ -112,8 +113,9 @@ def read(books: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = books.select(F.col("book_id").cast("string").alias("book_id"), pieces(F.col("source").cast("string")).alias("lines"))
     body = F.slice("lines", matter(F.col("lines")) + 1, F.size("lines"))
     units = lines.select("book_id", F.array().cast("array<int>").alias("path"), body.alias("lines"))
-    every = None
+    every, depth = None, 0
     while True:
+        depth += 1
         found = written(level(units), "markdown-blocks")
         own = found.drop("inner")
         every = own if every is None else every.unionByName(own)
@@ -123,11 +125,13 @@ def read(books: DataFrame) -> tuple[DataFrame, DataFrame]:
         units = quotes
     w = Window.partitionBy("book_id").orderBy("path")
     top = (F.col("kind") == "heading") & (F.size("path") == 1)
-    placed = every.withColumn("top", top).withColumn("chapter_no", F.nullif(F.sum(F.col("top").cast("int")).over(w), F.lit(0)).cast("int")).withColumn("block_id", (F.sum((~F.col("top")).cast("int")).over(w) - 1).cast("int"))
+    placed = every.repartition("book_id").withColumn("top", top).withColumn("chapter_no", F.nullif(F.sum(F.col("top").cast("int")).over(w), F.lit(0)).cast("int")).withColumn("block_id", (F.sum((~F.col("top")).cast("int")).over(w) - 1).cast("int"))
     chapters = placed.where("top").select("book_id", "chapter_no", "level", F.col("text").alias("title"))
-    blocks = placed.where("not top").withColumn("above", F.slice("path", 1, F.size("path") - 1))
-    siblings = Window.partitionBy("book_id", "chapter_no", "above").orderBy("path")
-    blocks = blocks.withColumn("ord", (F.row_number().over(siblings) - 1).cast("int"))
-    parents = blocks.where("kind = 'quote'").select(F.col("book_id").alias("of_book"), F.col("path").alias("of_path"), F.col("block_id").alias("parent_id"))
-    joined = blocks.join(parents, F.col("book_id").eqNullSafe(F.col("of_book")) & (F.col("above") == F.col("of_path")), "left")
-    return chapters, joined.select(*BLOCK_COLUMNS)
+    blocks = placed.where("not top")
+    # in reading order, a block's parent is the last block one level up
+    parent = F.lit(None).cast("int")
+    for d in range(2, depth + 1):
+        parent = F.when(F.size("path") == d, F.last(F.when(F.size("path") == d - 1, F.col("block_id")), ignorenulls=True).over(w)).otherwise(parent)
+    siblings = Window.partitionBy("book_id", "chapter_no", F.slice("path", 1, F.size("path") - 1)).orderBy("path")
+    blocks = blocks.withColumn("parent_id", parent).withColumn("ord", (F.row_number().over(siblings) - 1).cast("int"))
+    return chapters, blocks.select(*BLOCK_COLUMNS)
