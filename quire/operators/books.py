@@ -171,13 +171,13 @@ def findings(books: DataFrame) -> DataFrame:
     many = lambda c: F.when(F.col(c) == 1, "").otherwise("s")
     count = lambda c: F.col(c).cast("string")
     rows = [
-        F.when((F.col("version") != "3.0") & (F.col("page_direction") != ""), F.concat(F.lit("EPUB "), "version", F.lit(" spine carried page-progression-direction"))),
-        F.when((F.col("ncx_uid") != "") & (F.col("identifier") != "") & (F.col("ncx_uid") != F.col("identifier")), F.lit("table of contents identifier disagreed with the package")),
-        F.when(F.col("legacy") > 0, F.concat(count("legacy"), F.lit(" chapter"), many("legacy"), F.lit(" declared a legacy doctype"))),
-        F.when(F.col("bodies") > 0, F.concat(count("bodies"), F.lit(" document"), many("bodies"), F.lit(" had content outside the body"))),
-        F.when(F.col("pictographs") > 0, F.concat(count("pictographs"), F.lit(" pictographs removed"))),
-        F.when(F.col("links") > 0, F.concat(count("links"), F.lit(" contents lines linked"))),
-        F.when(F.col("contents_pages") > 1, F.concat(count("contents_pages"), F.lit(" contents pages left as they are"))),
+        F.when((F.col("version") != "3.0") & (F.col("page_direction") != ""), F.concat(F.lit("EPUB "), "version", F.lit(" declares a reading direction, which that version doesn't know"))),
+        F.when((F.col("ncx_uid") != "") & (F.col("identifier") != "") & (F.col("ncx_uid") != F.col("identifier")), F.lit("contents list and package name different identifiers")),
+        F.when(F.col("legacy") > 0, F.concat(count("legacy"), F.lit(" chapter"), many("legacy"), F.lit(" with an outdated document type"))),
+        F.when(F.col("bodies") > 0, F.concat(count("bodies"), F.lit(" document"), many("bodies"), F.lit(" whose content stands outside the body"))),
+        F.when(F.col("pictographs") > 0, F.concat(count("pictographs"), F.lit(" pictographs taken out"))),
+        F.when(F.col("links") > 0, F.concat(count("links"), F.lit(" lines of contents pages linked"))),
+        F.when(F.col("contents_pages") > 1, F.concat(count("contents_pages"), F.lit(" pages look like contents and stay unchanged"))),
     ]
     found = books.select("book_id", F.posexplode(F.array(*rows)).alias("ord", "finding"))
     return found.where(F.col("finding").isNotNull())
@@ -209,13 +209,25 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return each.drop(n)
 
 
-def reachable(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(a, b): transitive closure of (a, b), by joining paths with themselves until nothing is new."""
-    known = written(edges.select("a", "b").distinct(), "closure")
-    for _ in range(rounds):
-        longer = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct()
+def in_order(names: DataFrame, group: str, name: str, locale: str = "UNICODE") -> DataFrame:
+    """names with place: by the first number in a name, then as the locale orders names (a collation of Spark, such as UNICODE, de or es), then by bytes.
+
+    Names without a number have no place. place is ten times the number's rank, and the rank among equal numbers."""
+    number = F.nullif(F.regexp_extract(name, r"(\d+)", 1), F.lit("")).cast("decimal(38)")
+    by_number = Window.partitionBy(group, F.col("place_number").isNull()).orderBy("place_number")
+    within = Window.partitionBy(group, "place_number").orderBy(F.collate(F.col(name), locale), name)
+    ranked = names.withColumn("place_number", number).withColumn("place", 10 * (F.dense_rank().over(by_number) - 1) + F.row_number().over(within))
+    return ranked.withColumn("place", F.when(F.col("place_number").isNotNull(), F.col("place"))).drop("place_number")
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """(a, b): the transitive closure of (a, b).
+
+    Each round joins only the pairs that the last one found to all that are known, which doubles the length of paths: a chain of n takes
+    log n rounds, no two old pairs meet again, and the rounds end when one finds nothing."""
+    known = new = written(edges.select("a", "b").where("a is not null and b is not null").distinct(), "closure")
+    while not new.isEmpty():
+        longer = new.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct()
         new = written(longer.join(known, ["a", "b"], "left_anti"), "closure")
-        if new.isEmpty():
-            break
         known = known.unionByName(new)
     return known

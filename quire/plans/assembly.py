@@ -106,7 +106,7 @@ def sites(chapters: DataFrame, books: DataFrame, images: DataFrame, options: P.O
     meta = with_meta(books)
     number = F.regexp_extract(N.basename(F.col("name")), r"(\d+)", 1)
     unnumbered = chapters.where(number == "").select("book_id", F.concat("name", F.lit(" carries no chapter number")).alias("error"))
-    order = Window.partitionBy("book_id").orderBy(number.cast("decimal(38)"), "name")
+    order = Window.partitionBy("book_id").orderBy(number.cast("decimal(38)"), F.collate(F.col("name"), "UNICODE"), "name")
     placed = chapters.where(number != "").withColumn("chapter_no", F.row_number().over(order)).withColumn("page_id", F.xxhash64("book_id", "name"))
     done = written(P.sanitised(placed, options).join(placed.drop("html"), "page_id"), "sanitised")
     named = done.where("error is null").withColumns({"href": F.format_string("%d.xhtml", "chapter_no"), "id": F.format_string("chapter%02d", "chapter_no")})
@@ -210,12 +210,14 @@ def rebuilt(archives: DataFrame, members: DataFrame | None = None, drop_first: b
     chapters = written(spine.withColumn("chapter_no", new_no).withColumn("href", F.format_string("%d.xhtml", "chapter_no")), "chapters")
 
     # resources: equal images once for a new book, one healed stylesheet
-    plates = files.where(N.is_image(F.col("path"))).join(member, "book_id").withColumn("ord", F.row_number().over(Window.partitionBy("new_id").orderBy("volume_ord", "book_id", "path")))
-    pool = B.pooled(plates.select(F.col("new_id").alias("book_id"), "ord", "path", "content"))
+    # windows and joins see digests; bytes are read again when the book is packed
+    plates = written(files.where(N.is_image(F.col("path"))).select("book_id", "path", F.sha2("content", 256).alias("digest"), "content"), "plates")
+    placed = plates.drop("content").join(member, "book_id").withColumn("ord", F.row_number().over(Window.partitionBy("new_id").orderBy("volume_ord", "book_id", "path")))
+    pool = placed.groupBy(F.col("new_id").alias("book_id"), "digest").agg(F.min_by("path", "ord").alias("path"), F.min("ord").alias("ord"))
     name = N.resource_name(F.col("path"))
     split = pool.select("book_id", "ord", "digest", F.regexp_replace(name, r"\.[^.]*$", "").alias("base"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("tail"))
     kept = written(B.unique_names(split).select(F.col("book_id").alias("new_id"), "ord", "digest", "name"), "pool")
-    renamed = plates.withColumn("digest", F.sha2("content", 256)).join(kept.drop("ord"), ["new_id", "digest"]).select("book_id", "path", "name", "new_id")
+    renamed = placed.drop("ord").join(kept.drop("ord"), ["new_id", "digest"]).select("book_id", "path", "name", "new_id")
     sheets = written(R.healed_stylesheets(text.where(F.lower("path").endswith(".css")).withColumnRenamed("content", "css")), "sheets")
     ordered_sheets = sheets.join(member, "book_id").withColumn("ord", F.row_number().over(Window.partitionBy("new_id").orderBy("volume_ord", "path")))
     many_sheets = B.more_than_one(ordered_sheets.select(F.col("new_id").alias("book_id"), "ord", "path", F.col("css").alias("content")))
@@ -247,8 +249,8 @@ def rebuilt(archives: DataFrame, members: DataFrame | None = None, drop_first: b
     sound = chapters.join(moved.select("book_id", "path", F.col("title").alias("new_title"), F.col("content").alias("new_content")), ["book_id", "path"])
     bound = sound.select(F.col("new_id").alias("book_id"), "chapter_no", F.format_string("chapter%02d", "chapter_no").alias("id"), "href", F.col("new_title").alias("title"))
     contents = sound.select(F.col("new_id").alias("book_id"), "href", F.col("new_content").alias("content"))
-    bytes_ = plates.withColumn("digest", F.sha2("content", 256)).groupBy("new_id", "digest").agg(F.min_by("content", "ord").alias("content"))
-    images = kept.join(bytes_, ["new_id", "digest"]).select(F.col("new_id").alias("book_id"), "ord", "name", "content")
+    first_of = placed.join(kept.select("new_id", "digest", "ord", "name"), ["new_id", "digest", "ord"]).select("new_id", "book_id", "path", "ord", "name")
+    images = first_of.join(plates.drop("digest"), ["book_id", "path"]).select(F.col("new_id").alias("book_id"), "ord", "name", "content")
     if drawn:
         used = moved.join(member, "book_id").select(F.col("new_id").alias("book_id"), F.explode("shown").alias("glyph")).distinct()
         code = F.ascii("glyph")

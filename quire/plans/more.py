@@ -358,7 +358,7 @@ def healed_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books that are sound but for their style, healed: page template and all chapters stay."""
     job = A.healed(C.packed(_volumes(spark, sf_dir)))
     templates = C.unpacked(job.archives).where("path like 'OEBPS/%.xpgt'").groupBy("book_id").agg(F.count("*").cast("int").alias("templates"))
-    found = job.report.where("finding like '%pictographs removed'").select("book_id", F.regexp_extract("finding", "^([0-9]+)", 1).cast("long").alias("pictographs_found"))
+    found = job.report.where("finding like '%pictographs taken out'").select("book_id", F.regexp_extract("finding", "^([0-9]+)", 1).cast("long").alias("pictographs_found"))
     return _pages_of(job).join(templates, "book_id").join(found, "book_id")
 
 

@@ -352,7 +352,7 @@ def chapters_required_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.guards(books, parts).select(F.col("book_id").cast("long").alias("book_id"), F.lit("no chapters").alias("error"))
 
 
-@query("WITH d AS (SELECT source AS book_id, count(*) FILTER (doc_id % 11 = 0) AS legacy, count(*) FILTER (doc_id % 101 = 0) AS bodies, 0 AS pictographs, count(*) FILTER (doc_id % 7 = 0) AS links, count(*) FILTER (doc_id % 89 = 0) AS pages FROM documents GROUP BY source) SELECT book_id, 2::INT AS ord, legacy || ' chapter' || CASE WHEN legacy = 1 THEN '' ELSE 's' END || ' declared a legacy doctype' AS finding FROM d WHERE legacy > 0 UNION ALL SELECT book_id, 3, bodies || ' document' || CASE WHEN bodies = 1 THEN '' ELSE 's' END || ' had content outside the body' FROM d WHERE bodies > 0 UNION ALL SELECT book_id, 5, links || ' contents lines linked' FROM d WHERE links > 0 UNION ALL SELECT book_id, 6, pages || ' contents pages left as they are' FROM d WHERE pages > 1 UNION ALL SELECT book_id, 0, 'EPUB 2.0 spine carried page-progression-direction' FROM d WHERE legacy % 2 = 1")
+@query("WITH d AS (SELECT source AS book_id, count(*) FILTER (doc_id % 11 = 0) AS legacy, count(*) FILTER (doc_id % 101 = 0) AS bodies, 0 AS pictographs, count(*) FILTER (doc_id % 7 = 0) AS links, count(*) FILTER (doc_id % 89 = 0) AS pages FROM documents GROUP BY source) SELECT book_id, 2::INT AS ord, legacy || ' chapter' || CASE WHEN legacy = 1 THEN '' ELSE 's' END || ' with an outdated document type' AS finding FROM d WHERE legacy > 0 UNION ALL SELECT book_id, 3, bodies || ' document' || CASE WHEN bodies = 1 THEN '' ELSE 's' END || ' whose content stands outside the body' FROM d WHERE bodies > 0 UNION ALL SELECT book_id, 5, links || ' lines of contents pages linked' FROM d WHERE links > 0 UNION ALL SELECT book_id, 6, pages || ' pages look like contents and stay unchanged' FROM d WHERE pages > 1 UNION ALL SELECT book_id, 0, 'EPUB 2.0 declares a reading direction, which that version doesn''t know' FROM d WHERE legacy % 2 = 1")
 def repair_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = lambda n: F.count_if(F.col("doc_id") % n == 0)
     books = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("book_id")).agg(every(11).alias("legacy"), every(101).alias("bodies"), F.lit(0).alias("pictographs"), every(7).alias("links"), every(89).alias("contents_pages"))

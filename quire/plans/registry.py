@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans import arrivals as _arrivals
+from quire.plans import further as _further
 from quire.plans import more as _more
 from quire.plans import queries as _queries
 from quire.plans import trees as _trees
@@ -24,8 +25,8 @@ def _run(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _run(f) for name, f in (_queries.QUERIES | _trees.QUERIES | _more.QUERIES | _arrivals.QUERIES).items()}
+    return {name: _run(f) for name, f in (_queries.QUERIES | _trees.QUERIES | _more.QUERIES | _arrivals.QUERIES | _further.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _queries.SQL | _trees.SQL | _more.SQL | _arrivals.SQL
+    return _queries.SQL | _trees.SQL | _more.SQL | _arrivals.SQL | _further.SQL

@@ -87,14 +87,4 @@ def set_times(spark: SparkSession, folder: str, names: DataFrame, seconds: int)
         files.setTimes(hadoop.Path(root, r[0]), 1000 * seconds, -1)
 
 
-def write_pages(pages: DataFrame, folder: str) -> None:
-    """Scanned pages as JSON lines, one file a partition."""
-    pages.write.mode("overwrite").json(folder)
-
-
-def write_table(df: DataFrame, path: str, **options: str) -> None:
-    """A table as Parquet, by the commit protocol's staged publish."""
-    df.write.mode("overwrite").options(**options).parquet(path)
-
-
-__all__ = ["image_sizes", "listing", "ocr_books", "site", "with_plates", "write_books", "write_pages", "write_table"]
+__all__ = ["image_sizes", "listing", "ocr_books", "site", "with_plates", "set_times", "write_books"]
