@@ -58,7 +58,7 @@ BY_LOCALE = ["ch7 a.html", "ｃh7 a.html", "Ch7 a.html", "çh7 a.html", "Çh7 a.
 _LISTED = "[" + ", ".join(f"'{n}'" for n in BY_LOCALE) + "]"
 
 
-@query(f"SELECT s_suppkey, name, (10 * k + place)::BIGINT AS place FROM (SELECT s_suppkey, unnest({_LISTED}) AS name, generate_subscripts({_LISTED}, 1) AS place, 0 AS k FROM supplier UNION ALL SELECT s_suppkey, 'ch12.html', 0, 1 FROM supplier)")
+@query(f"SELECT s_suppkey, name, (10 * k + place)::BIGINT AS place FROM (SELECT s_suppkey, unnest({_LISTED}) AS name, generate_subscripts({_LISTED}, 1) AS place, 0 AS k FROM supplier UNION ALL SELECT s_suppkey, 'ch12.html', 1, 1 FROM supplier)")
 def chapters_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of chapters of one number, in the order of the locale rather than of bytes; larger numbers come after."""
     names = F.array(*(F.lit(n) for n in [*reversed(BY_LOCALE), "ch12.html"]))
