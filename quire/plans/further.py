@@ -66,7 +66,7 @@ def chapters_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.in_order(rows, "s_suppkey", "name").select("s_suppkey", "name", F.col("place").cast("long").alias("place"))
 
 
-@query(rf"SELECT count(*) AS pages, 0::BIGINT AS failed, sum({_N(_VISIBLE, '(?i)<li[\s>]')})::BIGINT AS items, sum({_N(_VISIBLE, '(?i)<a\s[^>]*href=')})::BIGINT AS links FROM pages")
+@query(rf"SELECT count(*) AS pages, 0::BIGINT AS failed, sum({_N(_VISIBLE, r'(?i)<li[\s>]')})::BIGINT AS items, sum({_N(_VISIBLE, r'(?i)<a\s[^>]*href=')})::BIGINT AS links FROM pages")
 def observed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What cleaning all pages says of itself, taken while its rows were written."""
     done = P.sanitised(table(spark, sf_dir, "pages"))

@@ -117,14 +117,16 @@ def bookmd_data_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book_id", F.size("chapters").cast("long").alias("chapters"), F.size("blocks").cast("long").alias("blocks"), "is_fixpoint").join(kept, "book_id")
 
 
-_WHOLE_HEAD = F.concat(F.lit("---\ntitle: "), F.coalesce("source", F.lit("")), F.lit("\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\ndirection: ltr\nmood: calm\n---\n\nBefore.\n\n# Chapter [x](y.html)\n\n> # Inside\n> quoted\n\n* one\n* two\n- three\n\n![[plate.png|A plate]]\n\n```\n# no heading\n```\n\n## Second\n\n"))
+def _whole_head() -> F.Column:
+    """Front matter and blocks of every kind, before a document's own lines."""
+    return F.concat(F.lit("---\ntitle: "), F.coalesce("source", F.lit("")), F.lit("\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\ndirection: ltr\nmood: calm\n---\n\nBefore.\n\n# Chapter [x](y.html)\n\n> # Inside\n> quoted\n\n* one\n* two\n- three\n\n![[plate.png|A plate]]\n\n```\n# no heading\n```\n\n## Second\n\n"))
 
 
 @query()
 def bookmd_whole_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown books of all lines of every document, as they are, after blocks of every kind."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    found = bookmd.parsed(docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(_WHOLE_HEAD, "text", F.lit("\n")).alias("source")))
+    found = bookmd.parsed(docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(_whole_head(), "text", F.lit("\n")).alias("source")))
     kept = bookmd.data_columns(found).select("book_id", F.md5(F.array_join("texts", "\n")).alias("digest"), "links")
     return found.select("book_id", F.size("chapters").cast("long").alias("chapters"), F.size("blocks").cast("long").alias("blocks"), "is_fixpoint").join(kept, "book_id")
 
@@ -135,7 +137,7 @@ def parsers_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import books as B, markdown
 
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    own = docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(_WHOLE_HEAD, "text", F.lit("\n")).alias("source"), "doc_id")
+    own = docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(_whole_head(), "text", F.lit("\n")).alias("source"), "doc_id")
     other = own.withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit("\n\nplanted "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(F.col("source")))
     _, blocks = markdown.read(own)
     found = bookmd.blocks(bookmd.parsed(other)).select(*markdown.BLOCK_COLUMNS)
