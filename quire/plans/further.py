@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import books as B, containers as C, lateral, pages as P
+from quire.operators import books as B, containers as C, images as I, lateral, pages as P
 from quire.plans import assembly as A
 from quire.plans.inputs import table
+from quire.plans.more import _folder
 from quire.plans.trees import _N, _VISIBLE, _markdown
+from quire.sources import files as S
 from quire.sources.progress import watched
 
 QUERIES: dict = {}
@@ -79,3 +81,32 @@ def lateral_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as markdown books, read by a table function within SQL."""
     lateral.register(spark)
     return spark.sql("SELECT book_id, b.kind, count(*) AS n FROM {books}, LATERAL markdown_blocks(source) b GROUP BY book_id, b.kind", books=_markdown(spark, sf_dir))
+
+
+#: Pictures are 20 + key % 23 wide and 10 + key % 41 high, and are to be 32 at most.
+_WIDE, _HIGH, _LONGEST = "20 + s_suppkey % 23", "10 + s_suppkey % 41", 32
+_SIDE = lambda side: f"greatest(round(({side}) * least(1.0::DOUBLE, {_LONGEST}::DOUBLE / greatest({_WIDE}, {_HIGH}))), 1)::INT"
+
+
+@query(f"SELECT 's' || s_suppkey || '.png' AS name, s_suppkey % 5 > 0 AS shrunk, CASE WHEN s_suppkey % 5 > 0 THEN {_SIDE(_WIDE)} WHEN s_suppkey % 10 = 5 THEN ({_WIDE})::INT END AS width, CASE WHEN s_suppkey % 5 > 0 THEN {_SIDE(_HIGH)} WHEN s_suppkey % 10 = 5 THEN ({_HIGH})::INT END AS height FROM supplier")
+def pictures_made_smaller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of every supplier, scaled and given palettes; what is cut short or no picture keeps its bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    def drawn(batches):
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                w, h = 20 + key % 23, 10 + key % 41
+                x, y = np.meshgrid(np.arange(w), np.arange(h))
+                pixels = np.stack([x // 4 * 20 + key, y // 4 * 24, x // 8 * 9], -1).astype(np.uint8)
+                content = I.png(w, h, 2, 8, pixels.reshape(h, -1), level=0)
+                rows.append((f"s{key}.png", b"no picture" if key % 10 == 0 else content[:60] if key % 5 == 0 else content))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary()))], ["name", "content"])
+
+    folder = _folder(spark, "pictures")
+    S.write_books(table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(drawn, "name string, content binary"), folder)
+    made = I.smaller(spark, folder, _LONGEST)
+    return S.image_sizes(made).select("name", F.col("new_size").isNotNull().alias("shrunk"), "width", "height")
