@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 #: Bytes of a piece after the first three, and times at which pieces come.
-PIECE, BATCHES = 4096, 3
+PIECE, BATCHES = 4096, 2
 _BEGINS = "CASE page_id % 8 WHEN 0 THEN '%PDX-' ELSE '%PDF-' END"
 _WHOLE = f"CASE WHEN page_id % 8 = 4 THEN '%PD' ELSE {_BEGINS} || html END"
 
