@@ -40,7 +40,7 @@ LEAST_WORDS = 20
 PERCENT = 25
 SEED = 7
 #: Bytes of text in a trie, or one document: what a task holds doesn't grow with its partition.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 #: Rows that one task sorts and numbers, about.
 RANGE = 500_000
 
