@@ -5,7 +5,7 @@ can be held against the other. A line's kind is a matter of the line itself, but
 fences: a fence closes only at one of its own sign, at least as long and without more, so
 what a line is depends on those before it. That is folded over the lines that look like
 fences, few of all. Runs of lines are islands: a block begins where a line's kind isn't
-that of the line before. Quotes hold lines of their own, which are read in a next round,
+that of the line before. All that stays within a book's row, as arrays. Quotes hold lines of their own, which are read in a next round,
 one for each depth of quotes there is.
 
 Nulls: a null source is an empty book. A null book_id is a book of its own.
@@ -68,29 +68,42 @@ def fences(lines: Column) -> Column:
 
 
 def level(units: DataFrame) -> DataFrame:
-    """Blocks (book_id, path, …, inner) of units (book_id, path, lines): path is that of the unit and the block's first line; inner the lines of a quote."""
-    t = F.col("t")
-    # by book: windows and groups of its units stay where they are
-    rows = units.repartition("book_id").withColumn("fences", fences(F.col("lines"))).select("book_id", "path", "fences", F.posexplode("lines").alias("n", "line")).withColumn("t", bare(F.col("line")))
-    rows = rows.withColumn("fence", F.try_element_at(F.filter("fences", lambda f: F.col("n").between(f["first"], f["last"])), F.lit(1))).drop("fences")
-    image = (t.startswith("![[") & t.endswith("]]")) | t.rlike(r"(?s)^!\[[^\]]*\]\(.*\)$")
-    own = F.when(F.col("fence").isNotNull(), "fence").when(t == "", "blank").when(t.startswith(">"), "quote").when(t.rlike("^#{1,6} "), "heading").when(image, "image").when(t.rlike("^[*+-] "), "list").otherwise("paragraph")
-    w = Window.partitionBy("book_id", "path").orderBy("n")
-    rows = rows.withColumn("own", own).withColumn("marker", F.when(F.col("own") == "list", F.left("t", F.lit(1))))
-    within = (F.col("own") == "blank") & (F.lag("own").over(w) == "quote") & (F.lead("own").over(w) == "quote")
-    rows = rows.withColumn("kind", F.when(within, "quote").otherwise(F.col("own")))
-    same = F.coalesce((F.lag("kind").over(w) == F.col("kind")) & F.lag("marker").over(w).eqNullSafe(F.col("marker")), F.lit(False))
-    begins = F.when(F.col("kind") == "fence", F.col("n") == F.col("fence.first")).when(F.col("kind").isin("heading", "image"), True).otherwise(~same)
-    rows = rows.withColumn("first", F.last(F.when(begins, F.col("n")), ignorenulls=True).over(w)).where("kind <> 'blank'")
-    found = rows.groupBy("book_id", "path", "first", "kind", "marker").agg(F.array_sort(F.collect_list(F.struct("n", "t", F.when(F.col("kind") == "fence", F.col("line")).alias("line"), "fence"))).alias("own"))
-    lines = F.col("own")
-    head, kind = lines[0]["t"], F.col("kind")
+    """Blocks (book_id, path, …, inner) of units (book_id, path, lines): path is that of the unit and the block's first line; inner the lines of a quote.
+
+    A unit's lines stay in its row: kinds, runs and blocks are arrays made of each other."""
+
+    def kind_of(x: Column, i: Column) -> Column:
+        t = bare(x)
+        image = (t.startswith("![[") & t.endswith("]]")) | t.rlike(r"(?s)^!\[[^\]]*\]\(.*\)$")
+        fenced = F.exists("fences", lambda f: i.between(f["first"], f["last"]))
+        kind = F.when(fenced, "fence").when(t == "", "blank").when(t.startswith(">"), "quote").when(t.rlike("^#{1,6} "), "heading").when(image, "image").when(t.rlike("^[*+-] "), "list").otherwise("paragraph")
+        return F.struct(t.alias("t"), kind.alias("kind"), F.when(fenced, x).alias("line"))
+
+    def marked(x: Column, i: Column) -> Column:
+        at = lambda k: F.get("own", k)["kind"]
+        within = (x["kind"] == "blank") & (at(i - 1) == "quote") & (at(i + 1) == "quote")
+        return F.struct(x["t"].alias("t"), F.when(within, "quote").otherwise(x["kind"]).alias("kind"), F.when(x["kind"] == "list", F.left(x["t"], F.lit(1))).alias("marker"), x["line"].alias("line"))
+
+    def begins(i: Column) -> Column:
+        x, before = F.get("own", i), F.get("own", i - 1)
+        same = F.coalesce((before["kind"] == x["kind"]) & before["marker"].eqNullSafe(x["marker"]), F.lit(False))
+        return F.when(x["kind"] == "blank", False).when(x["kind"] == "fence", F.exists("fences", lambda f: f["first"] == i)).when(x["kind"].isin("heading", "image"), True).otherwise(~same)
+
+    def block(i: Column, k: Column) -> Column:
+        x, stop = F.get("own", i), F.coalesce(F.get("starts", k + 1), F.size("own"))
+        return F.struct(i.alias("first"), x["kind"].alias("kind"), x["marker"].alias("marker"), F.filter(F.slice("own", i + 1, stop - i), lambda y: y["kind"] == x["kind"]).alias("own"), F.exists("fences", lambda f: (f["first"] == i) & (f["last"] < F.size("own"))).alias("closed"))
+
+    numbers = F.when(F.size("own") > 0, F.sequence(F.lit(0), F.size("own") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = units.withColumn("fences", fences(F.col("lines"))).withColumn("own", F.transform("lines", kind_of)).withColumn("own", F.transform("own", marked)).withColumn("starts", F.filter(numbers, begins))
+    found = rows.select("book_id", "path", F.explode(F.transform("starts", block)).alias("block")).select("book_id", "path", "block.*")
+    lines, kind = F.col("own"), F.col("kind")
+    head = lines[0]["t"]
     of = lambda k, c: F.when(kind == k, c)
     after = lambda c, at: bare(F.substring(c, at, F.length(c)))
     sign = F.regexp_extract(head, r"^(`+|~+)", 1)
     wiki, target = head.startswith("![["), F.substring(head, F.lit(4), F.length(head) - 5)
     inline = lambda k: F.regexp_extract(head, r"(?s)^!\[([^\]]*)\]\((.*)\)$", k)
-    inside = F.transform(F.filter(lines, lambda x: (x["n"] > x["fence"]["first"]) & (x["n"] < x["fence"]["last"])), lambda x: x["line"])
+    inside = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - F.when(F.col("closed"), 2).otherwise(1), F.lit(0))), lambda x: x["line"])
     hashes = F.length(F.regexp_extract(head, "^(#+)", 1))
     return found.select(
         "book_id",
