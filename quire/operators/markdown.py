@@ -148,3 +148,17 @@ def read(books: DataFrame) -> tuple[DataFrame, DataFrame]:
     siblings = Window.partitionBy("book_id", "chapter_no", F.slice("path", 1, F.size("path") - 1)).orderBy("path")
     blocks = blocks.withColumn("parent_id", parent).withColumn("ord", (F.row_number().over(siblings) - 1).cast("int"))
     return chapters, blocks.select(*BLOCK_COLUMNS)
+
+
+def disagreements(books: DataFrame, found: DataFrame) -> DataFrame:
+    """(book_id, side, …): blocks that only this reading ("left") or only that of `bookmd.parsed` ("right") has, book by book.
+
+    Both sides meet as a row for each book. A book without an id, or that one side lacks, isn't compared."""
+    columns = BLOCK_COLUMNS[1:]
+    own = read(books)[1].groupBy("book_id").agg(F.collect_list(F.struct(*columns)).alias("own"))
+    other = found.select("book_id", F.transform("blocks", lambda b: F.struct(*(b[c].alias(c) for c in columns))).alias("other"))
+    none = lambda c, like: F.coalesce(c, F.filter(like, lambda _: F.lit(False)))
+    both = other.join(own, "book_id", "left").select("book_id", "other", none(F.col("own"), F.col("other")).alias("own"))
+    side = lambda a, b, name: F.transform(F.array_except(a, b), lambda x: F.struct(F.lit(name).alias("side"), x.alias("x")))
+    rows = both.select("book_id", F.explode(F.concat(side("own", "other", "left"), side("other", "own", "right"))).alias("d"))
+    return rows.select("book_id", "d.side", "d.x.*")

@@ -134,14 +134,12 @@ def bookmd_whole_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id::VARCHAR AS book_id, 'right' AS side, 'paragraph' AS kind, 'planted ' || doc_id AS text FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 0")
 def parsers_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, as markdown read by both readers, of which the second gets a paragraph more in every seventh book: nothing else differs."""
-    from quire.operators import books as B, markdown
+    from quire.operators import markdown
 
     docs = table(spark, sf_dir, "documents").where("text is not null")
     own = docs.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(_whole_head(), "text", F.lit("\n")).alias("source"), "doc_id")
     other = own.withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit("\n\nplanted "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(F.col("source")))
-    _, blocks = markdown.read(own)
-    found = bookmd.blocks(bookmd.parsed(other)).select(*markdown.BLOCK_COLUMNS)
-    return B.differences(blocks, found).select("book_id", "side", "kind", "text")
+    return markdown.disagreements(own, bookmd.parsed(other)).select("book_id", "side", "kind", "text")
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,4 +32,6 @@ def test_faults_show_on_their_side(spark):
     other = df.withColumn("source", F.replace("source", F.lit("two"), F.lit("three")))
     rows = B.differences(R.read(df)[1], bookmd.blocks(bookmd.parsed(other)).select(*R.BLOCK_COLUMNS)).collect()
     assert {(r.side, r.text) for r in rows} == {("left", "two"), ("right", "three")}
+    by_book = R.disagreements(df, bookmd.parsed(other)).select(*R.BLOCK_COLUMNS, "side")
+    assert sorted(map(repr, (tuple(r[c] for c in (*R.BLOCK_COLUMNS, "side")) for r in rows))) == sorted(map(repr, map(tuple, by_book.collect())))
     assert R.read(df.limit(0))[1].count() == 0
