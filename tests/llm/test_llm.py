@@ -706,7 +706,7 @@ def test_queries_and_sql_agree(spark):
     from quire.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         path = f"{DIR}/{t}.parquet"
         con.execute(f"create view {t} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     for name, sql in queries.oracle_sql().items():
