@@ -16,6 +16,9 @@ BLOCK = "struct<chapter_no:int,block_id:int,parent_id:int,ord:int,kind:string,le
 META = "struct<title:string,lang:string,direction:string,author:string,translator:string,cover:string,extras:array<struct<key:string,value:string>>>"
 PARSED = f"book_id string, metadata {META}, chapters array<struct<chapter_no:int,level:int,title:string>>, blocks array<{BLOCK}>, serialised string, is_fixpoint boolean"
 
+#: Characters of books that wait in a task before they go to Spark.
+HELD = 4_000_000
+
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(book_id, source): the markdown files of a folder but its readme, named by file."""
@@ -32,13 +35,20 @@ def parsed(books: DataFrame) -> DataFrame:
     schema = to_arrow_schema(_parse_datatype_string(PARSED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
         for batch in batches:
-            rows = []
-            for book_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                book = M.parsed(source or "")
+            rows, size = [], 0
+            for book_id, source in zip(batch.column(0), batch.column(1)):
+                book_id, source = book_id.as_py(), source.as_py() or ""
+                book = M.parsed(source)
                 text = M.serialised(book)
                 rows.append({"book_id": book_id, "metadata": book["metadata"], "chapters": [{"chapter_no": n, "level": c["level"], "title": c["title"]} for n, c in enumerate(book["chapters"], 1)], "blocks": M.block_rows(book), "serialised": text, "is_fixpoint": M.serialised(M.parsed(text)) == text})
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+                size += len(source)
+                if size >= HELD:
+                    yield told(rows)
+                    rows, size = [], 0
+            if rows:
+                yield told(rows)
 
     return books.select(F.col("book_id").cast("string").alias("book_id"), F.col("source").cast("string").alias("source")).mapInArrow(run, PARSED)
 
