@@ -12,8 +12,10 @@ the rows whose bound reaches it are few enough to be rescored exactly, ties incl
 otherwise it goes on to the next level, and after the last every score is exact. Blocks
 answer with their k best; the k best of those are the result.
 
-Queries are a stated set, which meets the index in blocks against blocks, joined on
-block numbers. Nothing is approximate, and no candidate is dropped without proof.
+Queries are a stated set. They come in passes of bounded size, each of which is sent to
+every index block, so no table but a pass's queries is ever held whole, and no pass has
+more tasks than the index has blocks (or a few, if it is small). Nothing is approximate,
+and no candidate is dropped without proof.
 
 Null vectors and those holding null or non-finite components take no part. Rows are
 told apart by a number of their own: a row is never its own candidate, rows that repeat
@@ -25,19 +27,23 @@ a long are cut to it. A null id takes no part. Empty tables give empty results.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_small, mapped, written
+from .common import join_small, mapped, own_dir, written
 
 K = 5
 SCALE = 256
 EVERY = 50
 #: Vectors of an index block, queries of a query block, and queries that accumulate together.
 BLOCK, QUERIES, TOGETHER = 8_192, 512, 64
+#: Components of the queries of a pass, which are broadcast (8 MB), and tasks that a pass has where the index has few blocks.
+ASKED, TASKS = 1 << 20, 32
 #: A query stops when so small a part of a block could still be in its result.
 FEW = 1 / 64
 #: Bounds are looked at when this part of the postings is taken, and after each level from then on.
@@ -168,32 +174,50 @@ def plain(rows: np.ndarray, ids: np.ndarray, data: np.ndarray, query_rows: np.nd
     return out
 
 
+def passes(query_blocks: int, width: int, asked: int | None = None) -> list[range]:
+    """Numbers of query blocks that go together: as many as have no more than `asked` components, one at least."""
+    step = max(1, (asked or ASKED) // (QUERIES * max(1, width)))
+    return [range(a, min(a + step, query_blocks)) for a in range(0, query_blocks, step)]
+
+
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every row whose id is divisible by `every`."""
+    spark = vectors.sparkSession
     rows = written(impacts(vectors, scale), "topk-impacts")
     index, index_blocks = blocked(rows, block, "topk-index")
     queries, query_blocks = blocked(rows.where(F.col("vec_id") % every == 0), QUERIES, "topk-queries")
-    # every query block goes to every index block, by its number
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(max(1, index_blocks) - 1).cast("long"))
-    sent = queries.select(F.col("block").alias("query_block"), F.col("rows").alias("query_rows"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.explode(numbers).alias("block"))
-    met = sent.join(index, "block").repartition(max(4, index_blocks * query_blocks), "query_block", "block").select("query_rows", "query_ids", "query_data", "rows", "ids", "data")
+    width = rows.agg(F.max("width")).collect()[0][0] or 0
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[np.ndarray, ...]] = []
+        whole = lambda x: x.values.to_numpy(zero_copy_only=False).astype(np.int64)
         for r in range(batch.num_rows):
-            query_rows, query_ids, query_data, own, ids, data = (batch.column(c)[r].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6))
-            width = min(len(query_data) // len(query_ids), len(data) // len(ids))
+            own, ids, data = (whole(batch.column(c)[r]) for c in range(3))
             order = np.argsort(own)
-            own, ids, data = own[order], ids[order], data.reshape(len(ids), -1)[order, :width]
-            asked = query_data.reshape(len(query_ids), -1)[:, :width]
-            if too_large(data, asked):
-                found = plain(own, ids, data, query_rows, asked, k)
-            else:
-                postings = Index(data)
-                found = [x for at in range(0, len(asked), TOGETHER) for x in search_block(own, ids, postings, query_rows[at : at + TOGETHER], asked[at : at + TOGETHER], k)[0]]
-            out += [(np.full(len(i), row), np.full(len(i), query_id), i, score) for row, query_id, (i, score) in zip(query_rows, query_ids, found)]
+            own, ids, data = own[order], ids[order], data.reshape(len(ids), -1)[order]
+            postings: dict[int, Index] = {}
+            for asked in batch.column(3)[r]:
+                query_rows, query_ids, query_data = (whole(asked[c]) for c in ("rows", "ids", "data"))
+                width = min(len(query_data) // len(query_ids), data.shape[1])
+                here, queries = data[:, :width], query_data.reshape(len(query_ids), -1)[:, :width]
+                if too_large(here, queries):
+                    found = plain(own, ids, here, query_rows, queries, k)
+                else:
+                    if width not in postings:
+                        postings[width] = Index(here)
+                    found = [x for at in range(0, len(queries), TOGETHER) for x in search_block(own, ids, postings[width], query_rows[at : at + TOGETHER], queries[at : at + TOGETHER], k)[0]]
+                out += [(np.full(len(i), row), np.full(len(i), query_id), i, score) for row, query_id, (i, score) in zip(query_rows, query_ids, found)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["query_row", "query_id", "vec_id", "score"])
 
-    found = mapped(met, run, "query_row long, query_id long, vec_id long, score long")
     first = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(first).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best_of = lambda found: found.withColumn("rank", F.row_number().over(first).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    results = f"{own_dir(spark)}/topk-results-{uuid.uuid4().hex}"
+    schema = "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(results)
+    for part in passes(query_blocks, width):
+        shares = min(len(part), max(1, -(-TASKS // index_blocks)))
+        asked = queries.where(F.col("block").between(part[0], part[-1])).groupBy((F.col("block") % shares).alias("share")).agg(F.collect_list(F.struct("rows", "ids", "data")).alias("asked"))
+        dealt = index.withColumn("share", F.explode(F.array(*(F.lit(n).cast("long") for n in range(shares))))).repartition(index_blocks * shares, "block", "share")
+        met = dealt.join(F.broadcast(asked), "share").select("rows", "ids", "data", "asked")
+        best_of(mapped(met, run, "query_row long, query_id long, vec_id long, score long")).write.mode("append").parquet(results)
+    return spark.read.schema(schema).parquet(results)

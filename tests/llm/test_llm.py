@@ -259,6 +259,25 @@ def test_topk_repeated_ids_and_lengths(spark):
     assert got == {(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))}
 
 
+def test_topk_queries_go_in_passes_of_bounded_size(spark, monkeypatch):
+    # before, every query block was repeated for every index block, and Spark broadcast them all, as their files are small
+    for blocks, width in ((0, 64), (1, 64), (600, 64), (7, 10**9)):
+        found = topk.passes(blocks, width)
+        assert [n for part in found for n in part] == list(range(blocks))
+        assert all(len(part) == 1 or len(part) * topk.QUERIES * width <= topk.ASKED for part in found)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 4))
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "ASKED", 8 * 4 * 2)
+    x = np.floor(256 * vectors).astype(int)
+    want = {(q, n + 1, i, int(x[i] @ x[q])) for q in range(0, 300, 5) for n, i in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-int(x[i] @ x[q]), i))[:5])}
+    for block in (40, 1000):
+        got = topk.search(emb, every=5, block=block)
+        assert {tuple(r) for r in got.collect()} == want
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topk_makes_fewer_products_than_brute_force():
     rng = np.random.default_rng(8)
     data = rng.normal(size=(8192, 64))
