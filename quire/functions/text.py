@@ -99,8 +99,13 @@ def is_word_broken(title: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """A count of bytes for people."""
-    return F.when(n >= 1 << 20, F.format_string("%.2f MB", n / float(1 << 20))).when(n >= 1 << 10, F.format_string("%.0f KB", n / 1024.0)).otherwise(F.format_string("%d B", n))
+    """A whole count of bytes for people; a half of a hundredth goes to the even one."""
+    rest = n % (1 << 20) * 100
+    over, cents = rest % (1 << 20), F.shiftright(rest.cast("long"), 20)
+    up = (over > 1 << 19) | ((over == 1 << 19) & (cents % 2 == 1))
+    hundredths = F.shiftright(n.cast("long"), 20) * 100 + cents + up.cast("int")
+    megabytes = F.format_string("%d.%02d MB", F.floor(hundredths / 100).cast("long"), hundredths % 100)
+    return F.when(n >= 1 << 20, megabytes).when(n >= 1 << 10, F.format_string("%.0f KB", n / 1024.0)).otherwise(F.format_string("%d B", n))
 
 
 def iso_seconds(ts: Column) -> Column:

@@ -106,3 +106,11 @@ def test_long_runs_are_read_once(spark):
     df = spark.createDataFrame([(0, "a " + "🚀" * n + " b"), (1, "a" + " " * n + "b"), (2, "🚀 " * 100_000 + "x"), (3, " " * n)], "k int, t string")
     got = {r.k: (r.stripped, r.trimmed) for r in df.select("k", X.strip_pictographs(F.col("t")).alias("stripped"), F.length(X.trim(F.col("t"))).alias("trimmed")).collect()}
     assert got[0][0] == "a b" and got[1] == ("a" + " " * n + "b", n + 2) and got[2][0] == "x" and got[3][1] == 0
+
+
+def test_byte_sizes_round_halves_to_even(spark):
+    # 131,072 x 1,013 bytes are 126.625 MB: the formatter's half up made 126.63 of it
+    sizes = [131072 * 1013, 393216 * 1013, *(k * (1 << 17) for k in range(8, 40)), (1 << 20) - 1, (2 << 20) - 1, 1023, 1024, 1535, 1536, 10**15 + 7]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", X.byte_size(F.col("n")).alias("size")).collect()
+    for n, size in rows:
+        assert size == (f"{n / (1 << 20):.2f} MB" if n >= 1 << 20 else f"{int(n / 1024 + 0.5)} KB" if n >= 1024 else f"{n} B")
