@@ -49,3 +49,11 @@ def test_nothing_outside_llm_imports_it():
     for path in glob.glob(os.path.join(os.path.dirname(registry.__file__), "..", "**", "*.py"), recursive=True):
         if "/llm/" not in os.path.normpath(path):
             assert "quire.llm" not in open(path, encoding="utf-8").read()
+
+
+def test_equal_names_of_a_site_have_places_by_page(spark, tmp_path):
+    # the SQL leaves their order open, so it is fixed here: the same on every run
+    rows = [(n, f"http://a.example/{n % 17}/7.html", "") for n in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(23).write.parquet(f"{tmp_path}/pages.parquet")
+    found = registry.queries()["chapter_places"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.place) for r in found) == [(n, n + 1) for n in range(400)]
