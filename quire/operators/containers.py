@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +21,17 @@ from pyspark.sql.window import Window
 from quire.functions.text import decoded_bytes
 from quire.functions.names import decoded, dirname, reference_kind, resolved, target
 from quire.operators.books import manifest_by_id
-from quire.sources.session import importable, written
+from quire.sources.session import importable, slices, written
 
 FILES = "book_id string, path string, ord int, content binary, error string"
 CONTAINER_NS = "{urn:oasis:names:tc:opendocument:xmlns:container}"
 OPF_NS = "{http://www.idpf.org/2007/opf}"
 DC_NS = "{http://purl.org/dc/elements/1.1/}"
 NCX_NS = "{http://www.daisy.org/z3986/2005/ncx/}"
+#: Bytes of unpacked files that wait in a task before they go to Spark, and what a row counts for besides.
+HELD, ROW = 8_000_000, 100
+#: Tables of more rows aren't broadcast: Spark goes by the size of their files, which says little of rows that are much alike.
+BROADCAST_ROWS = 20_000
 XML_KINDS = (".xhtml", ".html", ".htm", ".opf", ".ncx", ".xml")
 
 
@@ -50,15 +55,36 @@ def unpacked(books: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("book_id", pa.string()), ("path", pa.string()), ("ord", pa.int32()), ("content", pa.binary()), ("error", pa.string())])
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        rows, size = [], 0
         for batch in batches:
-            for book_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for book_id, content in zip(batch.column(0), batch.column(1)):
+                book_id = book_id.as_py()
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        rows = [(book_id, i.filename, k, z.read(i), None) for k, i in enumerate(z.infolist()) if not i.is_dir()]
+                    # the archive isn't copied
+                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer() if content.is_valid else b"")) as z:
+                        members = [(k, i) for k, i in enumerate(z.infolist()) if not i.is_dir()]
+                        if sum(i.file_size for _, i in members) > HELD:
+                            if bad := z.testzip():  # all or none of an archive: a large one is read through before its first row goes
+                                raise zipfile.BadZipFile(f"Bad CRC-32 for file {bad!r}")
+                            for k, i in members:
+                                if size > HELD:
+                                    yield told(rows)
+                                    rows, size = [], 0
+                                rows.append((book_id, i.filename, k, z.read(i), None))
+                                size += i.file_size
+                        else:
+                            own = [(book_id, i.filename, k, z.read(i), None) for k, i in members]
+                            rows += own
+                            size += sum(len(r[3]) + ROW for r in own)
                 except (zipfile.BadZipFile, RuntimeError, NotImplementedError, ValueError, EOFError, OSError) as e:
-                    rows = [(book_id, None, None, None, f"not a readable archive: {e}")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows.append((book_id, None, None, None, f"not a readable archive: {e}"))
+                    size += ROW
+                if size > HELD:
+                    yield told(rows)
+                    rows, size = [], 0
+        if rows:
+            yield told(rows)
 
     return books.select(F.col("book_id").cast("string").alias("book_id"), "content").mapInArrow(run, FILES)
 
@@ -116,7 +142,7 @@ def documents(files: DataFrame) -> DataFrame:
     is_xml = begins.rlike("^(EFBBBF)?3C3F786D6C|^3C7061636B616765") | F.lower(F.col("path")).rlike("(" + "|".join(k.replace(".", r"\.") for k in XML_KINDS) + ")$")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [{"book_id": b, "path": p} | read_document(p, c or b"") for b, p, c in zip(*(batch.column(k).to_pylist() for k in range(3)))]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
@@ -148,9 +174,12 @@ def violations(books: DataFrame) -> DataFrame:
     # many rules read the same rows: archives are opened, and documents parsed, once
     books = written(books.withColumn("header_error", header_error(F.col("content"))), "books")
     files = written(unpacked(books), "files")
+    many = files.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
+    sorted_ = lambda df: df.hint("merge") if many else df
+    books, files = sorted_(books.drop("content")), sorted_(files)
     there = files.where("path is not null").select("book_id", "path")
-    read = written(documents(files.where("path is not null")), "documents")
-    package = written(packages(read), "packages")
+    read = sorted_(written(documents(files.where("path is not null")), "documents"))
+    package = sorted_(written(packages(read), "packages"))
     items = manifests(package)
     number = lambda c: (F.lit(c) if isinstance(c, int) else F.col(c)).cast("int")
     row = lambda df, rule, item, error, step=0, place="": df.select("book_id", F.lit(rule).alias("rule"), number(item).alias("item"), number(step).alias("step"), (F.col(place) if place else F.lit("")).alias("place"), (F.lit(error) if isinstance(error, str) else error).alias("error"))
@@ -210,20 +239,36 @@ def verdicts(books: DataFrame) -> DataFrame:
 
 
 def packed(files: DataFrame) -> DataFrame:
-    """(book_id, content): an archive of each book's files(book_id, path, content), mimetype first and stored."""
+    """(book_id, content): an archive of each book's files(book_id, path, content), mimetype first and stored.
+
+    Files come in order, and a task holds no more than the archive that it is at."""
     importable(files.sparkSession)
 
-    def one(key: tuple, rows: pa.Table) -> pa.Table:
-        sink = io.BytesIO()
-        named = sorted(zip(rows["path"].to_pylist(), rows["content"].to_pylist()), key=lambda x: (x[0] != "mimetype", x[0]))
-        with zipfile.ZipFile(sink, "w") as z:
-            for path, content in named:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, sink, z = None, None, None
+
+        def done() -> pa.RecordBatch:
+            z.close()
+            data = sink.getbuffer()
+            whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(data)], np.int32)), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array([book], pa.string()), whole], ["book_id", "content"])
+
+        for batch in batches:
+            for own, path, content in zip(*batch.columns):
+                own, path = own.as_py(), path.as_py()
+                if z is None or own != book:
+                    if z is not None:
+                        yield done()
+                    book, sink = own, io.BytesIO()
+                    z = zipfile.ZipFile(sink, "w")
                 info = zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0))
                 info.compress_type = zipfile.ZIP_STORED if path == "mimetype" else zipfile.ZIP_DEFLATED
-                z.writestr(info, content or b"")
-        return pa.table({"book_id": pa.array([key[0].as_py()], pa.string()), "content": pa.array([sink.getvalue()], pa.binary())})
+                z.writestr(info, content.as_py() or b"")
+        if z is not None:
+            yield done()
 
-    return files.select(F.col("book_id").cast("string").alias("book_id"), "path", "content").groupBy("book_id").applyInArrow(one, "book_id string, content binary")
+    own = files.select(F.col("book_id").cast("string").alias("book_id"), "path", "content")
+    return own.repartition("book_id").sortWithinPartitions("book_id", F.col("path") != "mimetype", "path").mapInArrow(run, "book_id string, content binary")
 
 
 def volumes(read: DataFrame, drop_contents: bool = False) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T_
 
 from quire.functions import trees as T
 from quire.operators.books import carried, internal_references
-from quire.sources.session import importable
+from quire.sources.session import importable, slices
 
 LEGACY = r"(?i)<!DOCTYPE\s+html\s+PUBLIC"
 RELOCATED = "book_id string, path string, content string, title string, error string, body_repaired boolean, pictographs int, glyphs int, linked int, lines array<string>, shown array<string>"
@@ -56,7 +56,7 @@ def markup_steps(sources: DataFrame) -> DataFrame:
             return {"error": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [steps(s or "", v or "") for s, v in zip(*(batch.column(k).to_pylist() for k in at))]
             new = [pa.array([r.get(c) for r in rows], pa.string()) for c in made] + [pa.array([r.get("lines") for r in rows], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *made, "lines"])
@@ -143,6 +143,34 @@ def rewritten(source: str, hrefs: dict[str, str], labels: dict[str, str], emoji:
     return "".join(out), removed, inlined, linked
 
 
+def keys_of(source: str) -> set[str]:
+    """What of a document could be a label: its lines, and its texts between tags, without white space."""
+    texts, at = [], 0
+    for m in _TAG.finditer(source):
+        texts.append(source[at : m.start()])
+        at = m.end()
+    squeezed = lambda x: re.sub(rf"[{T.SPACE}]+", "", x)
+    return {k for k in (*map(squeezed, lines_of(source)), *(T.plain_refs(squeezed(t)) for t in (*texts, source[at:]))) if k}
+
+
+def spoken(chapters: DataFrame) -> DataFrame:
+    """(book_id, path, key): what of each of chapters(book_id, path, content) could be a label, once."""
+    importable(chapters.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = []
+            for content in batch.column(2).to_pylist():
+                try:
+                    keys.append(sorted(keys_of(missing_body_repaired(T.literal_refs(T.modern_doctype(content or "")))[0])))
+                except ValueError:
+                    keys.append([])  # an unknown reference makes an error row
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.string()))], ["book_id", "path", "keys"])
+
+    own = chapters.select(F.col("book_id").cast("string").alias("book_id"), "path", "content").mapInArrow(run, "book_id string, path string, keys array<string>")
+    return own.select("book_id", "path", F.explode("keys").alias("key"))
+
+
 def relocated(chapters: DataFrame, targets: DataFrame, labels: DataFrame, emoji: str = "strip", names: dict[str, str] | None = None, relink: bool = True, drawn: frozenset[str] = frozenset()) -> DataFrame:
     """RELOCATED of chapters(book_id, path, content string, title).
 
@@ -156,14 +184,13 @@ def relocated(chapters: DataFrame, targets: DataFrame, labels: DataFrame, emoji:
         raise ValueError(f"emoji must be one of {', '.join(EMOJI)}")
     importable(chapters.sparkSession)
     moves = targets.where("href is not null").groupBy("book_id", "path").agg(F.map_from_entries(F.collect_set(F.struct("raw", "href"))).alias("hrefs"))
-    keys = labels.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "href"))).alias("labels"))
     known = names or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.operators.books import LABEL_SHARE, LEAST_LINES
 
         kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for book, path, content, title, hrefs, own in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
@@ -186,7 +213,13 @@ def relocated(chapters: DataFrame, targets: DataFrame, labels: DataFrame, emoji:
                 rows.append((book, path, new, title, None, repaired, removed, inlined, linked, lines, sorted(shown)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in RELOCATED.split(", ")])
 
-    joined = chapters.select("book_id", "path", "content", "title").join(moves, ["book_id", "path"], "left").join(keys, "book_id", "left")
+    joined = chapters.select("book_id", "path", "content", "title").join(moves, ["book_id", "path"], "left")
+    if relink:
+        # a chapter gets the labels that it could show, not all of its book: those are as many as the book's chapters
+        own = spoken(chapters).join(labels.select(F.col("book_id").cast("string").alias("book_id"), "key", "href"), ["book_id", "key"])
+        joined = joined.withColumn("book_id", F.col("book_id").cast("string")).join(own.groupBy("book_id", "path").agg(F.map_from_entries(F.collect_set(F.struct("key", "href"))).alias("labels")), ["book_id", "path"], "left")
+    else:
+        joined = joined.withColumn("labels", F.lit(None).cast("map<string,string>"))
     return joined.select(F.col("book_id").cast("string"), "path", "content", "title", "hrefs", "labels").mapInArrow(run, RELOCATED)
 
 
@@ -208,7 +241,7 @@ def healed_stylesheets(sheets: DataFrame) -> DataFrame:
     importable(sheets.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             done = [T.healed_stylesheet(c or "") for c in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))], ["book_id", "path", "css", "dropped"])
 
