@@ -90,14 +90,14 @@ def data_columns(found: DataFrame) -> DataFrame:
     """(book_id, levels, texts, images, links, payload): what every conversion must keep, and the same as JSON.
 
     How an image is embedded and what a fence holds are format. Links count in titles too."""
-    own = blocks(found)
-    spoken = F.concat(F.array(F.coalesce("text", F.lit(""))), F.coalesce("items", F.array().cast("array<string>")))
-    # a quote's blocks have its id as parent and follow it, so ids are reading order
-    shown = own.where("kind not in ('fence', 'quote', 'image')").select("book_id", "block_id", F.filter(spoken, lambda x: x != "").alias("t"))
-    texts = shown.groupBy("book_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("block_id", "t")))["t"]).alias("texts"))
-    images = own.where("kind = 'image'").groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "href", "alt"))), lambda x: F.struct(x["href"].alias("href"), x["alt"].alias("alt"))).alias("images"))
+    # a book's blocks are in one row, in reading order: what is taken from them stays there, and books are read once
     none = F.array().cast("array<string>")
-    out = found.select("book_id", "metadata", F.col("chapters.title").alias("titles"), F.col("chapters.level").alias("levels")).join(texts, "book_id", "left").join(images, "book_id", "left").withColumn("texts", F.coalesce("texts", none))
+    ordered = F.array_sort("blocks", lambda a, b: a["block_id"] - b["block_id"])
+    own = found.select("book_id", "metadata", F.col("chapters.title").alias("titles"), F.col("chapters.level").alias("levels"), ordered.alias("own"))
+    shown = F.filter("own", lambda b: ~b["kind"].isin("fence", "quote", "image"))
+    texts = F.flatten(F.transform(shown, lambda b: F.filter(F.concat(F.array(F.coalesce(b["text"], F.lit(""))), F.coalesce(b["items"], none)), lambda x: x != "")))
+    pictures = F.transform(F.filter("own", lambda b: b["kind"] == "image"), lambda b: F.struct(b["href"].alias("href"), b["alt"].alias("alt")))
+    out = own.select("book_id", "metadata", "titles", "levels", texts.alias("texts"), F.when(F.size(pictures) > 0, pictures).alias("images"))
     hrefs = F.flatten(F.transform(F.concat("titles", "texts"), lambda t: F.regexp_extract_all(t, F.lit(r"\[([^\]\n]+)\]\(([^)\s]+)\)"), F.lit(2))))
     out = out.withColumn("links", hrefs)
     return out.select("book_id", "titles", "levels", "texts", "images", "links", F.to_json(F.struct("metadata", "titles", "levels", "texts", "images", "links")).alias("payload"))

@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt over all cores: a table's few small files would else be as few tasks for what Python makes of each row."""
+    return rows.repartition(4 * max(4, rows.sparkSession.sparkContext.defaultParallelism), key)
+
+
 LINES_A_PAGE = 30
 #: Documents of a source whose numbers share all but so much are a book: books don't grow with the data.
 A_BOOK = 100

@@ -10,7 +10,7 @@ from quire.functions import names as N
 from quire.functions import text as X
 from quire.operators import bookmd, books as B, containers as C, images as I, ocr as O, pages as P, repair as R, titles as Ti
 from quire.plans import assembly as A, documents as D
-from quire.plans.inputs import OCR_LINES, PAGE_TITLES, SPACE, ocr_lines, page_titles, table
+from quire.plans.inputs import OCR_LINES, PAGE_TITLES, SPACE, ocr_lines, page_titles, spread, table
 from quire.plans.queries import _CHAPTERS, _WEAK, esc, esc_attr, sql_trim
 from quire.sources import files as S, tables as Ta
 from quire.sources.session import own_dir, written
@@ -451,6 +451,6 @@ def markdown_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every conversion of a markdown book must keep, as columns and as JSON."""
     size = F.col("p_size").cast("string")
     source = F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\n---\n\n# "), "p_type", F.lit("\n\n"), "p_name", F.lit(" [l]("), size, F.lit(".html)\n\n> ### Inside\n> quoted\n\n* one\n* two\n\n![[x "), size, F.lit(".png|A plate]]\n\n```\n# code\n```\n\n## Second\n"))
-    found = bookmd.data_columns(bookmd.parsed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), source.alias("source"))))
+    found = bookmd.data_columns(bookmd.parsed(spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("book_id"), source.alias("source"))))
     payload = lambda path: F.get_json_object("payload", path)
     return found.select("book_id", "titles", "levels", "texts", F.col("images.href").alias("hrefs"), F.col("images.alt").alias("alts"), "links", payload("$.metadata.title").alias("payload_title"), F.regexp_extract(payload("$.texts[0]"), r"^(.*) \[l\]", 1).alias("payload_text"))

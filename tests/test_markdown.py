@@ -35,3 +35,14 @@ def test_faults_show_on_their_side(spark):
     by_book = R.disagreements(df, bookmd.parsed(other)).select(*R.BLOCK_COLUMNS, "side")
     assert sorted(map(repr, (tuple(r[c] for c in (*R.BLOCK_COLUMNS, "side")) for r in rows))) == sorted(map(repr, map(tuple, by_book.collect())))
     assert R.read(df.limit(0))[1].count() == 0
+
+
+def test_data_columns_read_books_once_and_stay_in_their_row(spark):
+    sources = [("b", "---\ntitle: t\n---\n\n# One\n\ntext [l](x.html)\n\n> ### In\n> quoted\n\n* a\n* b\n\n![[p.png|A]]\n\n## Two\n"), ("none", "")]
+    found = bookmd.data_columns(bookmd.parsed(spark.createDataFrame(sources, "book_id string, source string")))
+    # before: three readings of every book and four exchanges
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    rows = {r.book_id: r for r in found.collect()}
+    assert rows["b"].texts == ["text [l](x.html)", "In", "quoted", "a", "b"] and rows["b"].links == ["x.html"] and [tuple(i) for i in rows["b"].images] == [("p.png", "A")]
+    assert rows["none"].texts == [] and rows["none"].images is None
