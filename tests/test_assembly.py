@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+from pyspark.sql import functions as F
 from test_books import GOOD, OPF, packed
 
 from quire.operators import containers as C
@@ -98,3 +99,20 @@ def test_merge(spark):
     assert 'href="nav.xhtml"' in text(files, "1.xhtml") and 'href="2.xhtml#f"' in text(files, "2.xhtml")
     assert "<dc:title>傳 卷</dc:title>" in text(files, "content.opf")
     assert not job.errors.collect() and C.verdicts(job.archives).collect()[0].success
+
+
+def test_chapters_get_only_labels_they_could_show(spark):
+    # before, each chapter came with all labels of its book: their product grew with the square of a book
+    from quire.operators import repair as R
+
+    pages = [("b", f"t{i}.xhtml", f"<html><head><title>x</title></head><body><p>Part {i}</p>\n<p>a &amp; {i}</p></body></html>", f"Part {i}") for i in range(50)]
+    pages.append(("b", "toc.xhtml", "<html><head><title>x</title></head><body><p>Part 1</p>\n<p>Part  2</p>\n<p><b>a &amp; 3</b></p></body></html>", "Contents"))
+    pages.append(pages[-1])  # a spine may name a file twice
+    chapters = spark.createDataFrame(pages, "book_id string, path string, content string, title string")
+    labels = spark.createDataFrame([("b", f"{name}{i}", f"{n}-{i}.xhtml") for i in range(50) for n, name in enumerate(("Part", "a&"))], "book_id string, key string, href string")
+    none = chapters.select("book_id", "path", F.lit("").alias("raw"), F.lit(None).cast("string").alias("href")).where("false")
+    keys = {(r.path, r.key) for r in R.spoken(chapters).join(labels, ["book_id", "key"]).collect()}
+    assert keys == {(f"t{i}.xhtml", k) for i in range(50) for k in (f"Part{i}", f"a&{i}")} | {("toc.xhtml", k) for k in ("Part1", "Part2", "a&3")}
+    done = {r.path: r for r in R.relocated(chapters, none, labels).collect()}
+    assert done["toc.xhtml"].linked == 3 and '<a href="0-1.xhtml">Part 1</a>' in done["toc.xhtml"].content and '<a href="1-3.xhtml">a &amp; 3</a>' in done["toc.xhtml"].content
+    assert done["t7.xhtml"].linked == 0
