@@ -95,3 +95,15 @@ def test_intermediate_tables_can_go(spark):
     assert os.path.isdir(folder)
     clear(spark)
     assert not os.path.isdir(folder)
+
+
+def test_batches_go_through_python_in_small_parts():
+    import pyarrow as pa
+
+    from quire.sources.session import SLICE_ROWS, slices
+
+    large = pa.record_batch([pa.array(range(50)), pa.array(["x" * 1_000_000] * 50)], ["k", "t"])
+    many = pa.record_batch([pa.array(range(10_000)), pa.array([""] * 10_000)], ["k", "t"])
+    parts = list(slices([large, many, many.slice(0, 0)]))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == [*range(50), *range(10_000)]
+    assert all(p.num_rows <= 4 for p in parts[:13]) and max(p.num_rows for p in parts) <= SLICE_ROWS
