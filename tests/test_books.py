@@ -151,3 +151,15 @@ def test_cover_pages(spark):
     chapters = spark.createDataFrame(rows, "book_id string, path string, content string")
     covers = spark.createDataFrame([("b", "OEBPS/i/c v.jpg")], "book_id string, cover_path string")
     assert {r.path for r in R.cover_pages(chapters, covers).collect()} == {"a", "c"}
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    # before, the chapters of large books were broadcast by the size of their files, which compress well
+    from pyspark.sql import functions as F
+
+    from quire.sources.session import written
+
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 100)
+    many, few = (C.unlike_files(written(spark.range(n), "t")) for n in (200, 50))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(many.join(many.withColumnRenamed("id", "b"), F.col("id") == F.col("b"))) and "BroadcastHashJoin" in plan(few.join(few.withColumnRenamed("id", "b"), F.col("id") == F.col("b")))
