@@ -153,6 +153,23 @@ def test_cover_pages(spark):
     assert {r.path for r in R.cover_pages(chapters, covers).collect()} == {"a", "c"}
 
 
+def test_large_archives_go_in_parts(spark):
+    # before, an archive was one value of a row, as large as its book
+    import os
+
+    files = {("large", "mimetype"): b"application/epub+zip", ("small", "mimetype"): b"x", ("large", "none"): b""} | {("large", f"p{k}.png"): os.urandom(300_000) for k in range(12)}
+    df = spark.createDataFrame([(b, p, c) for (b, p), c in files.items()], "book_id string, path string, content binary")
+    packed = C.in_parts(df, 1_000_000)
+    parts = packed.collect()
+    assert sorted((r.book_id, r.part) for r in parts) == [*(("large", k) for k in range(4)), ("small", 0)] and max(len(r.content) for r in parts) < 1_400_000
+    whole = {r.book_id: bytes(r.content) for r in C.packed(df).collect()}
+    assert b"".join(bytes(r.content) for r in sorted(parts, key=lambda r: (r.book_id, r.part)) if r.book_id == "large") == whole["large"]
+    assert {(r.book_id, r.path): bytes(r.content) for r in C.unpacked(packed).collect()} == files
+    cut = C.unpacked(packed.where("book_id = 'small' or part < 3")).collect()
+    assert [(r.book_id, r.path) for r in cut if r.error] == [("large", None)] and len(cut) == 2
+    assert {r.book_id: r.error for r in C.verdicts(packed).collect()} == {"large": "META-INF/container.xml is missing", "small": "mimetype is missing or wrong"}
+
+
 def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     # before, the chapters of large books were broadcast by the size of their files, which compress well
     from pyspark.sql import functions as F
