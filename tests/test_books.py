@@ -170,6 +170,20 @@ def test_large_archives_go_in_parts(spark):
     assert {r.book_id: r.error for r in C.verdicts(packed).collect()} == {"large": "META-INF/container.xml is missing", "small": "mimetype is missing or wrong"}
 
 
+def test_long_lists_are_read_without_a_tree():
+    # before, the tree of a contents list took some twenty times its text
+    import tracemalloc
+
+    points = "".join(f"<navPoint id='n{k}'><navLabel><text>Part {k}</text></navLabel><content src='{k}.xhtml'/></navPoint>" for k in range(20_000))
+    source = f"<ncx><head><meta name='dtb:uid' content='u'/></head><navMap>{points}</navMap></ncx>".encode()
+    tracemalloc.start()
+    told = C.read_document("toc.ncx", source)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told["ncx_uid"] == "u" and told["labels"][:2] == [("0.xhtml", "Part 0"), ("1.xhtml", "Part 1")] and len(told["labels"]) == 20_000
+    assert peak < 6 * len(source), peak / len(source)
+
+
 def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     # before, the chapters of large books were broadcast by the size of their files, which compress well
     from pyspark.sql import functions as F
