@@ -17,6 +17,7 @@ from quire.functions.names import basename, is_pdf
 from quire.streaming.uploads import once
 
 MOST = 512 * 1024 * 1024
+REFUSED_KEYS = 32
 
 
 def arrivals(spark: SparkSession, folder: str, pattern: str = "*.pdf", archive: str | None = None) -> DataFrame:
@@ -45,8 +46,8 @@ def ledger(files: DataFrame, most: int = MOST) -> DataFrame:
     """(path, name, length, modificationTime, upload_id, outcome, holder) of every file of a stream: "accepted", "repeated" where its content was
     taken before (holder: the file that has it), or why it is refused. Contents stay where they are."""
     own = checked(files, most).select("path", basename(F.col("path")).alias("name"), "length", "modificationTime", F.sha2("content", 256).alias("upload_id"), "refused")
-    # a refused file claims nothing: it has a key of its own
-    keyed = own.withColumn("claim", F.when(F.col("refused").isNull(), F.col("upload_id")).otherwise(F.concat(F.lit("refused "), "path")))
+    # a refused file claims nothing: some keys serve all of them, so that they leave no state and cost no group each
+    keyed = own.withColumn("claim", F.when(F.col("refused").isNull(), F.col("upload_id")).otherwise(F.concat(F.lit("refused "), F.pmod(F.xxhash64("path"), F.lit(REFUSED_KEYS)).cast("string"))))
     outcome = F.coalesce("refused", F.when(F.col("first"), "accepted").otherwise("repeated"))
     found = once(keyed, "claim", ["path"], "path")
     return found.select("path", "name", "length", "modificationTime", F.when(F.col("refused").isNull(), F.col("upload_id")).alias("upload_id"), outcome.alias("outcome"), F.when(F.col("refused").isNull(), F.col("holder")).alias("holder"))

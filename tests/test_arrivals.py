@@ -135,3 +135,22 @@ def test_plates_stay_in_their_books(spark):
     with pytest.raises(ValueError):
         S.with_plates(pages, images.drop("book_id"))
     assert S.with_plates(pages.withColumn("own", F.lit(1)), images).columns == [*pages.columns, "own"]
+
+
+def test_refused_files_leave_no_state_each(spark, tmp_path):
+    # before, each refused file had a key, and so a state, of its own
+    from quire.streaming import landing as L
+
+    box = tmp_path / "box"
+    box.mkdir()
+    for k in range(80):
+        (box / f"r{k:02}.pdf").write_bytes(b"no PDF %d" % (k % 3))
+    for k in range(4):
+        (box / f"a{k}.pdf").write_bytes(b"%%PDF-%d" % (k // 2))
+    out = f"{tmp_path}/out"
+    query = L.converted(L.ledger(L.arrivals(spark, str(box))), lambda rows: rows, out, f"{tmp_path}/marks")
+    query.awaitTermination()
+    told = {r.name: (r.outcome, r.holder, r.upload_id is None) for r in spark.read.parquet(f"{out}/*").collect()}
+    assert len(told) == 84 and all(told[f"r{k:02}.pdf"] == ("not a PDF", None, True) for k in range(80))
+    assert [told[f"a{k}.pdf"][0] for k in range(4)] == ["accepted", "repeated"] * 2
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= L.REFUSED_KEYS + 2
