@@ -34,6 +34,14 @@ def unloadable(url: Column) -> Column:
     return (bare != "") & ~bare.startswith("data:") & (bare.startswith("//") | bare.rlike(SCHEME))
 
 
+def number_key(digits: Column, most: int | None = None) -> Column:
+    """What whole numbers of any length are sorted and compared by; null for no digits, and for those beyond `most`."""
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    key = F.struct(F.length(bare).alias("length"), bare.alias("digits"))
+    within = digits != ""
+    return F.when(within if most is None else within & (key <= F.struct(F.lit(len(str(most))).alias("length"), F.lit(str(most)).alias("digits"))), key)
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.names import decoded, dirname, is_image, extension, reference_kind, resolved, target
+from quire.functions.names import decoded, dirname, is_image, extension, number_key, reference_kind, resolved, target
 from quire.functions.text import squeeze
 from quire.sources.session import written
 
@@ -213,7 +213,7 @@ def in_order(names: DataFrame, group: str, name: str, locale: str = "UNICODE") -
     """names with place: by the first number in a name, then as the locale orders names (a collation of Spark, such as UNICODE, de or es), then by bytes.
 
     Names without a number have no place. place is ten times the number's rank, and the rank among equal numbers."""
-    number = F.nullif(F.regexp_extract(name, r"(\d+)", 1), F.lit("")).cast("decimal(38)")
+    number = number_key(F.regexp_extract(name, r"(\d+)", 1))
     by_number = Window.partitionBy(group, F.col("place_number").isNull()).orderBy("place_number")
     within = Window.partitionBy(group, "place_number").orderBy(F.collate(F.col(name), locale), name)
     ranked = names.withColumn("place_number", number).withColumn("place", 10 * (F.dense_rank().over(by_number) - 1) + F.row_number().over(within))

@@ -110,7 +110,7 @@ def sites(chapters: DataFrame, books: DataFrame, images: DataFrame, options: P.O
     meta = with_meta(books)
     number = F.regexp_extract(N.basename(F.col("name")), r"(\d+)", 1)
     unnumbered = chapters.where(number == "").select("book_id", F.concat("name", F.lit(" carries no chapter number")).alias("error"))
-    order = Window.partitionBy("book_id").orderBy(number.cast("decimal(38)"), F.collate(F.col("name"), "UNICODE"), "name")
+    order = Window.partitionBy("book_id").orderBy(N.number_key(number), F.collate(F.col("name"), "UNICODE"), "name")
     placed = chapters.where(number != "").withColumn("chapter_no", F.row_number().over(order)).withColumn("page_id", F.xxhash64("book_id", "name"))
     done = written(P.sanitised(placed, options).join(placed.drop("html"), "page_id"), "sanitised")
     named = done.where("error is null").withColumns({"href": F.format_string("%d.xhtml", "chapter_no"), "id": F.format_string("chapter%02d", "chapter_no")})

@@ -213,12 +213,16 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_titles(spark, sf_dir).select("page_id", "title")
 
 
+#: The SQL's largest number; those beyond it come last, by name.
+_HUGEINT = (1 << 127) - 1
+
+
 @query("SELECT page_id, url, CASE WHEN d <> '' THEN row_number() OVER (PARTITION BY site, d = '' ORDER BY TRY_CAST(d AS HUGEINT), b) END AS place, CASE WHEN d = '' THEN 'no number' END AS error FROM (SELECT *, regexp_extract(b, '([0-9]+)', 1) AS d, regexp_extract(url, '^https?://([^/]+)', 1) AS site FROM (SELECT *, regexp_extract(url, '[^/]*$') AS b FROM pages))")
 def chapter_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages: those whose name has no number are errors and have no place. Pages of a site with equal names, whose order the SQL leaves open, go by page_id."""
     name = N.basename(F.col("url"))
     number = F.regexp_extract(name, r"(\d+)", 1)
-    site = Window.partitionBy(F.regexp_extract("url", "^https?://([^/]+)", 1), number == "").orderBy(F.nullif(number, F.lit("")).cast("decimal(38)"), name, "page_id")
+    site = Window.partitionBy(F.regexp_extract("url", "^https?://([^/]+)", 1), number == "").orderBy(N.number_key(number, _HUGEINT).asc_nulls_last(), name, "page_id")
     return table(spark, sf_dir, "pages").select("page_id", "url", F.when(number != "", F.row_number().over(site)).cast("long").alias("place"), F.when(number == "", "no number").alias("error"))
 
 

@@ -57,3 +57,17 @@ def test_equal_names_of_a_site_have_places_by_page(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(23).write.parquet(f"{tmp_path}/pages.parquet")
     found = registry.queries()["chapter_places"](spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.place) for r in found) == [(n, n + 1) for n in range(400)]
+
+
+def test_numbers_of_any_length_have_the_places_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    most = (1 << 127) - 1
+    names = ["7.html", "007.html", "0.html", "12.html", "0" * 60 + "5.html", f"{10 ** 38}.html", f"{10 ** 38 - 1}.html", f"{most}.html", f"{most + 1}.html", "9" * 39, "1" * 45, "none.html"]
+    rows = [(n, f"https://a.example/{name}", "") for n, name in enumerate(names)] + [(90, None, ""), (91, "3", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    own = duckdb.connect()
+    own.execute(f"create view pages as from '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = own.execute(f"select page_id, url, place, error from ({registry.oracle_sql()['chapter_places']})").fetchall()
+    found = registry.queries()["chapter_places"](spark, str(tmp_path)).select("page_id", "url", "place", "error").collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
