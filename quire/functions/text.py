@@ -39,7 +39,8 @@ def squeeze(c: Column) -> Column:
 
 def graphemes(c: Column) -> Column:
     """Length in user-perceived characters."""
-    return F.regexp_count(c, F.lit(r"\X"))
+    plain = (F.octet_length(c) == F.char_length(c)) & ~F.contains(c, F.lit("\r\n"))
+    return F.when(plain, F.char_length(c)).otherwise(F.regexp_count(c, F.lit(r"\X")))
 
 
 def escape_text(c: Column) -> Column:

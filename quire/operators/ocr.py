@@ -70,8 +70,16 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
 def page_kinds(lines: DataFrame) -> DataFrame:
     """(book_id, page_no, n_graphemes, kind): image if there is too little text."""
-    n = F.sum(graphemes(F.coalesce("text", F.lit(""))))
-    return lines.groupBy(*PAGE).agg(n.alias("n_graphemes")).withColumn("kind", F.when(F.col("n_graphemes") < TEXT_PAGE, "image").otherwise("text"))
+    n = F.sum(line_graphemes())
+    return lines.groupBy(*PAGE).agg(n.alias("n_graphemes")).withColumn("kind", page_kind(F.col("n_graphemes")))
+
+
+def line_graphemes() -> Column:
+    return graphemes(F.coalesce("text", F.lit("")))
+
+
+def page_kind(n_graphemes: Column) -> Column:
+    return F.when(n_graphemes < TEXT_PAGE, "image").otherwise("text")
 
 
 def is_chapter_start(text: Column, is_heading: Column) -> Column:

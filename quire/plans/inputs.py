@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,10 +21,15 @@ LINES_A_PAGE = 30
 A_BOOK = 100
 
 
-def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as books, some of a source each, their lines laid out on pages of thirty by rule."""
+def ocr_book(doc_id: str = "doc_id") -> Column:
+    """The book that a document is laid out in."""
+    return F.concat("source", F.lit("-"), F.floor(F.col(doc_id) / A_BOOK).cast("string")).alias("book_id")
+
+
+def ocr_lines(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Documents as books, some of a source each, their lines laid out on pages of thirty by rule. More columns are worked out before lines meet, so a plan that needs no texts moves none."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    lines = docs.select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / A_BOOK).cast("string")).alias("book_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = docs.select(ocr_book(), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     n = F.length("text")
     i = F.col("pos") % LINES_A_PAGE
     at = lines.withColumn("page", F.floor(F.col("pos") / LINES_A_PAGE)).withColumns({
@@ -34,8 +39,9 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "height": F.when(n % 7 == 0, 40).when(n % 5 == 0, 24).otherwise(20) / 1000.0,
         "width": F.lit(0.7),
     })
+    at = at.select("*", *more)
     page_no = F.dense_rank().over(Window.partitionBy("book_id").orderBy("doc_id", "page")) - 1
-    return at.withColumn("page_no", page_no).select("book_id", "page_no", "line_no", "text", "x", "y", "width", "height")
+    return at.withColumn("page_no", page_no).select("book_id", "page_no", "line_no", "text", "x", "y", "width", "height", *at.columns[len(at.columns) - len(more):])
 
 
 OCR_LINES = f"""

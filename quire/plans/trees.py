@@ -164,7 +164,7 @@ def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH n AS (SELECT c_nationkey AS b, count(*) AS n FROM customer GROUP BY ALL) SELECT b::VARCHAR AS book_id, NOT (b % 5 = 0 AND n > 1 OR b % 7 = 0) AS success, CASE WHEN b % 5 = 0 AND n > 1 AND b % 2 = 1 THEN '2.xhtml has no file' WHEN b % 5 = 0 AND n > 1 THEN 'OEBPS/2.xhtml does not exist' WHEN b % 7 = 0 THEN 'Orphan file: OEBPS/extra.txt' END AS error FROM n")
 def packed_book_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.verdicts(_books(spark, sf_dir))
+    return containers.verdicts(written(_books(spark, sf_dir), "books"))
 
 
 @query("SELECT c_nationkey::VARCHAR AS book_id, 'The <Book> of ' || n_name AS title, CASE WHEN n_nationkey % 2 = 1 THEN '3.0' ELSE '2.0' END AS version, count(*) AS chapters, count(*) AS labelled FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")

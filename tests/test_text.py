@@ -114,3 +114,9 @@ def test_byte_sizes_round_halves_to_even(spark):
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", X.byte_size(F.col("n")).alias("size")).collect()
     for n, size in rows:
         assert size == (f"{n / (1 << 20):.2f} MB" if n >= 1 << 20 else f"{int(n / 1024 + 0.5)} KB" if n >= 1024 else f"{n} B")
+
+
+def test_graphemes_of_plain_text_are_its_characters(spark):
+    texts = ["", "abc", "a\r\nb", "\r\r\n\n", "e\u0301x", "\x00\x7f\t", "👩‍🚀!", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(X.graphemes(F.col("t")).alias("n")).collect()] == [0, 3, 3, 3, 2, 3, 2, None]
