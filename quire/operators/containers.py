@@ -265,7 +265,12 @@ class Reading:
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         self.depth += 1
-        local, out = tag.rpartition("}")[2], self.out
+        out = self.out
+        if self.kind == "html" and self.depth > 2:  # most of what there is
+            if attrs:
+                out["refs"] += [(a.rpartition("}")[2], attrs[a].strip()) for a in REFERENCES if attrs.get(a)]
+            return
+        local = tag.rpartition("}")[2]
         if self.depth == 1:
             out["has_html"] = local == "html"
             self.kind = "container" if self.path == "META-INF/container.xml" else local if local in ("package", "ncx", "html") else ""
@@ -497,7 +502,9 @@ class Packing:
         flags, method, crc, start = 0 if path.isascii() else 0x800, 0 if path == "mimetype" else 8, zlib.crc32(content), self.gone + len(self.held)
         data = content
         if method:
-            deflate = zlib.compressobj(zlib.Z_DEFAULT_COMPRESSION, zlib.DEFLATED, -15)
+            # as much window and memory as the file needs: to set up those of a large one takes longer than to pack a page
+            bits = len(content).bit_length()
+            deflate = zlib.compressobj(zlib.Z_DEFAULT_COMPRESSION, zlib.DEFLATED, -min(15, max(9, bits)), min(8, max(1, bits - 6)))
             data = deflate.compress(content) + deflate.flush()
         # the first of January 1980
         common = struct.pack("<HHHHLLLHH", flags, method, 0, 33, crc, len(data), len(content), len(name), 0)
