@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import sys
 import tempfile
 import zipfile
 import zlib
@@ -313,7 +314,8 @@ class Reading:
                 content = attrs.get("content")
                 out["metadata"].append((attrs.get("name") or attrs.get("property") or local, self.listen() if content is None else content, attrs.get("id")))
             elif self.depth == 3 and self.section == "manifest" and local == "item":
-                out["manifest"].append((attrs.get("id"), attrs.get("href"), attrs.get("media-type"), attrs.get("properties")))
+                kind = attrs.get("media-type")  # one string for all items of a kind
+                out["manifest"].append((attrs.get("id"), attrs.get("href"), kind and sys.intern(kind), attrs.get("properties")))
             elif self.depth == 3 and self.section == "spine" and local == "itemref":
                 out["spine"].append(attrs.get("idref"))
 

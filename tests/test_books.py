@@ -297,3 +297,9 @@ def test_small_files_are_packed_and_read_faster_than_by_zipfile():
     data = packed()
     assert list(C.members(io.BytesIO(data))) == read_by_zipfile() == [(path, k, content) for k, (path, content) in enumerate(files)]
     assert fastest(packed) < 0.85 * fastest(by_zipfile) and fastest(lambda: list(C.members(io.BytesIO(data)))) < 0.85 * fastest(read_by_zipfile)
+
+
+def test_items_of_a_kind_share_its_name():
+    items = "".join(f'<item id="i{k}" href="{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(9))
+    read = C.read_document("a.opf", f"<package><manifest>{items}<item/></manifest><spine/></package>".encode())
+    assert len({id(kind) for _, _, kind, _ in read["manifest"][:9]}) == 1 and read["manifest"][9] == (None, None, None, None)
